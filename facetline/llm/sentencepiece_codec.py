@@ -128,10 +128,12 @@ def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col:
     def run(batches):
         processor = load(model)
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                ids = [x or [] for x in part.column(1).to_pylist()]
-                texts = pa.array([processor.decode(x) if x else "" for x in ids], pa.string())
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                offsets, values = part.column(1).offsets.to_numpy(), part.column(1).values.to_numpy(zero_copy_only=False)
+                lengths = part.column(1).value_lengths().fill_null(0).to_numpy()
+                ids = [values[o : o + n].tolist() for o, n in zip(offsets, lengths, strict=False)]
+                texts = pa.array(processor.decode(ids), pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), texts], ["id", "ids", "decoded"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
