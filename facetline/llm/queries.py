@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetline.llm import sentencepiece_codec, sharding
+from facetline.llm import neardup, sentencepiece_codec, sharding
 
 N_SHARDS = 24
 
@@ -30,6 +30,11 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return neardup.near_duplicates(docs, words=2, percent=80)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     sized = docs.withColumns({"size": sharding.text_size(F.col("text")), "text_crc32": F.crc32(F.coalesce("text", F.lit("")))})
@@ -39,6 +44,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
+        "op7_near_dedup": op7_near_dedup,
         "op10_sharding": op10_sharding,
     }
 
