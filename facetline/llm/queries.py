@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetline.llm import neardup, sentencepiece_codec, sharding
+from facetline.llm import neardup, sentencepiece_codec, sharding, warc
 
 N_SHARDS = 24
 
@@ -35,6 +35,11 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(docs, words=2, percent=80)
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return warc.read_archives(warc.write_archives(pages, min_bytes=0)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     sized = docs.withColumns({"size": sharding.text_size(F.col("text")), "text_crc32": F.crc32(F.coalesce("text", F.lit("")))})
@@ -45,9 +50,53 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
         "op7_near_dedup": op7_near_dedup,
+        "op9_warc": op9_warc,
         "op10_sharding": op10_sharding,
     }
 
 
+#: Hex SHA-1 to base32: 20 bits, so four letters, from every five hex digits.
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(sha, {5 * i + 1}, 5))::BIGINT >> {shift}) & 31)::INTEGER, 1)"
+    for i in range(8)
+    for shift in (15, 10, 5, 0)
+)
+
+OP9_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS sha FROM pages WHERE page_id IS NOT NULL),
+g AS (SELECT page_id, strlen(payload)::BIGINT AS payload_bytes, sha, max(page_id) OVER (PARTITION BY payload) AS response FROM p)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> response THEN response END AS refers_to
+FROM g
+"""
+
+OP7_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(ws) > 1 THEN list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))
+                      WHEN len(ws) = 1 THEN ws ELSE [] END AS sh
+  FROM w),
+n AS (SELECT doc_id, len(sh)::BIGINT AS n FROM s),
+e AS (SELECT doc_id, unnest(sh) AS g FROM s),
+f AS (SELECT doc_id, g, count(*) OVER (PARTITION BY g) AS df FROM e),
+-- the rarest shingles of a set of n, n - ceil(0.8 n) + 1 of them, meet those of any set that is similar enough
+r AS (SELECT f.doc_id, g, n, row_number() OVER (PARTITION BY f.doc_id ORDER BY df, g) AS k FROM f JOIN n USING (doc_id)),
+p AS (SELECT doc_id, g, n FROM r WHERE k <= n - ceil(n * 80 / 100.0) + 1),
+c AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM p a JOIN p b ON a.g = b.g AND a.doc_id < b.doc_id AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 80),
+l AS (
+  SELECT a, b FROM (
+    SELECT c.a, c.b, count(*) AS x FROM c JOIN e ea ON ea.doc_id = c.a JOIN e eb ON eb.doc_id = c.b AND eb.g = ea.g GROUP BY c.a, c.b) i
+  JOIN n na ON na.doc_id = i.a JOIN n nb ON nb.doc_id = i.b
+  WHERE 100 * x >= 80 * (na.n + nb.n - x)),
+u AS (SELECT a AS v, b AS w FROM l UNION SELECT b, a FROM l),
+reach AS (SELECT doc_id AS v, doc_id AS w FROM documents UNION SELECT reach.v, u.w FROM reach JOIN u ON u.v = reach.w)
+SELECT n.doc_id, n.n AS n_shingles, m.component_id, n.doc_id = m.component_id AS kept
+FROM n JOIN (SELECT v, min(w) AS component_id FROM reach GROUP BY v) m ON m.v = n.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_near_dedup": OP7_SQL, "op9_warc": OP9_SQL}
