@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetline.llm import neardup, sentencepiece_codec, sharding, warc
+from facetline.llm import langid, neardup, quality, sentencepiece_codec, sharding, staging, warc
 
 N_SHARDS = 24
 
@@ -30,6 +30,26 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def fold(id_col: Column, folds: int) -> Column:
+    """crc32 of the id as text, modulo the number of folds."""
+    return F.crc32(id_col.cast("string")) % folds
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    stats = staging.materialise(quality.statistics_table(docs), "statistics")
+    held_out = fold(F.col("id"), 4) == 2
+    scored = quality.score(stats, quality.train(stats, labels, ~held_out))
+    return scored.select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    held_out = fold(F.col("doc_id"), 3) == 1
+    found = langid.identify(docs, langid.train(docs, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return neardup.near_duplicates(docs, words=2, percent=80)
@@ -49,7 +69,9 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
+        "op4_quality": op4_quality,
         "op7_near_dedup": op7_near_dedup,
+        "op8_language_id": op8_language_id,
         "op9_warc": op9_warc,
         "op10_sharding": op10_sharding,
     }
