@@ -16,7 +16,6 @@ go to the language that sorts first; an empty table gives an empty table; withou
 from __future__ import annotations
 
 import re
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +26,7 @@ from pyspark.sql import functions as F
 #: Labelled documents per language that training reads at most, those with the smallest hash of their id.
 SAMPLE_DOCS = 800
 #: Hashed trigram slots.
-SLOTS = 1 << 15
+SLOTS = 1 << 15  # the top bits of the hash
 #: Cost of a switch, in nats; scale of a word's score difference, as trigrams of one word are not independent.
 SWITCH, TEMPER = 6.0, 0.7
 #: Share of a language's letters from which a script is one of its own.
@@ -54,19 +53,22 @@ SCRIPT_NAMES = [*SCRIPTS, OTHER]
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def script_of(word: str) -> int:
-    """Index of the script of a word's first letter."""
-    c = ord(word[0])
-    for i, ranges in enumerate(SCRIPTS.values()):
-        if any(a <= c <= b for a, b in ranges):
-            return i
-    return len(SCRIPT_NAMES) - 1
+_EDGES = sorted((first, last, i) for i, ranges in enumerate(SCRIPTS.values()) for first, last in ranges)
+_FIRST, _LAST, _SCRIPT = (np.array(x) for x in zip(*_EDGES, strict=True))
 
 
-def slots(word: str) -> list[int]:
-    """Hashed trigrams of a lower-cased word between blanks."""
-    padded = f" {word} "
-    return [zlib.crc32(padded[i : i + 3].encode()) % SLOTS for i in range(len(padded) - 2)]
+def scripts_of(words: list[str]) -> np.ndarray:
+    """Index of the script of each word's first letter."""
+    first = np.array([ord(w[0]) for w in words])
+    at = np.maximum(0, np.searchsorted(_FIRST, first, side="right") - 1)
+    return np.where((_FIRST[at] <= first) & (first <= _LAST[at]), _SCRIPT[at], len(SCRIPT_NAMES) - 1)
+
+
+def slots(words: list[str]) -> np.ndarray:
+    """Hashed trigrams of lower-cased words between blanks, one after the other: as many for each word as it has letters."""
+    points = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le"), np.uint32).astype(np.uint64)
+    mixed = (points[:-2] * np.uint64(0x9E3779B97F4A7C15)) ^ (points[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (points[2:] * np.uint64(0x165667B19E3779F9))
+    return ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(49)).astype(np.int64)[points[1:-1] != 32]
 
 
 @dataclass
@@ -102,9 +104,9 @@ def train(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 held = counts.setdefault(lang, np.zeros(SLOTS, np.int64))
                 letters = scripts.setdefault(lang, np.zeros(len(SCRIPT_NAMES), np.int64))
-                for word in _WORD.findall(text.lower()):
-                    np.add.at(held, slots(word), 1)
-                    letters[script_of(word)] += len(word)
+                if words := _WORD.findall(text.lower()):
+                    held += np.bincount(slots(words), minlength=SLOTS)
+                    letters += np.bincount(scripts_of(words), [len(w) for w in words], len(SCRIPT_NAMES)).astype(np.int64)
         for lang, held in counts.items():
             both = np.concatenate((held, scripts[lang]))
             at = np.flatnonzero(both)
@@ -143,11 +145,9 @@ class WordScores:
                 self.letters = np.concatenate((self.letters, np.zeros(len(self.rows) - len(self.letters), np.int64)))
             fresh = list(new)
             lowered = [w.lower() for w in fresh]
-            grams = [slots(w) for w in lowered]
-            ends = np.cumsum([len(g) for g in grams])
-            flat = self.model.log_prob[np.concatenate([np.asarray(g) for g in grams])]
-            sums = np.add.reduceat(flat, np.concatenate(([0], ends[:-1])), axis=0)
-            ruled_out = ~self.model.open_to[[script_of(w) for w in lowered]]
+            ends = np.cumsum([len(w) for w in lowered])
+            sums = np.add.reduceat(self.model.log_prob[slots(lowered)], np.concatenate(([0], ends[:-1])), axis=0)
+            ruled_out = ~self.model.open_to[scripts_of(lowered)]
             sums -= sums.max(axis=1, keepdims=True)
             self.rows[have:need] = np.where(ruled_out, -50.0, np.maximum(sums * TEMPER, -50.0))
             self.letters[have:need] = [len(w) for w in fresh]
