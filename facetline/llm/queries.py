@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetline.llm import langid, neardup, quality, sentencepiece_codec, sharding, staging, warc
+from facetline.llm import decontaminate, langid, neardup, quality, sentencepiece_codec, sharding, staging, warc
 
 N_SHARDS = 24
 
@@ -50,6 +50,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.overlaps(docs, benchmark)
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return neardup.near_duplicates(docs, words=2, percent=80)
@@ -70,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
         "op4_quality": op4_quality,
+        "op6_decontamination": op6_decontamination,
         "op7_near_dedup": op7_near_dedup,
         "op8_language_id": op8_language_id,
         "op9_warc": op9_warc,
