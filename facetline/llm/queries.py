@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetline.llm import decontaminate, langid, neardup, quality, sentencepiece_codec, sharding, staging, warc
+from facetline.llm import decontaminate, langid, neardup, quality, sentencepiece_codec, sharding, staging, token_counts, warc
 
 N_SHARDS = 24
 
@@ -30,6 +30,24 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document before and after three edits that its own text decides: an insertion, a deletion, a new end."""
+    import public_tokenizers
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("text", F.coalesce("text", F.lit("")))
+    size = F.length("text")
+    change = lambda at, delete, insert: F.struct(at.cast("int").alias("at"), delete.cast("int").alias("delete"), insert.alias("insert"))
+    edits = F.array(
+        change(F.pmod(F.crc32("text"), size + 1), F.lit(0), F.concat_ws(" ", F.lit(" edit"), "doc_id")),
+        change(F.floor(size / 2), F.lit(24), F.lit("")),
+        change(F.greatest(size - 7, F.lit(0)), F.lit(7), F.substring("text", 1, 40)),
+    )
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    trees = token_counts.build_trees(docs.withColumn("edits", edits), ranks, pattern, keep=["edits"])
+    after = token_counts.apply_edits(trees, "edits", ranks, pattern)
+    return after.select("doc_id", F.col("before").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_edited"), "encoded", (F.octet_length("leaf_chars") / 4).cast("long").alias("n_leaves"), F.sha2("text", 256).alias("edited_sha256"))
+
+
 def fold(id_col: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo the number of folds."""
     return F.crc32(id_col.cast("string")) % folds
@@ -74,6 +92,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
+        "op2_token_counts": op2_token_counts,
         "op4_quality": op4_quality,
         "op6_decontamination": op6_decontamination,
         "op7_near_dedup": op7_near_dedup,
