@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetline.llm import decontaminate, langid, neardup, quality, sentencepiece_codec, sharding, staging, token_counts, warc
+from facetline.llm import bm25, decontaminate, langid, license_scan, neardup, quality, sentencepiece_codec, sharding, staging, token_counts, warc
 
 N_SHARDS = 24
 
@@ -68,6 +68,18 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op5_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each document whose id is divisible by 100, asked by its 25 weightiest terms."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    index = bm25.build_index(docs)
+    asked = bm25.document_queries(docs.where(F.col("doc_id") % 100 == 0), index)
+    return bm25.search(index, asked, k=10).withColumnRenamed("query", "query_id")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.overlaps(docs, benchmark)
@@ -93,7 +105,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
         "op2_token_counts": op2_token_counts,
+        "op3_license_scan": op3_license_scan,
         "op4_quality": op4_quality,
+        "op5_top_k_search": op5_top_k_search,
         "op6_decontamination": op6_decontamination,
         "op7_near_dedup": op7_near_dedup,
         "op8_language_id": op8_language_id,
