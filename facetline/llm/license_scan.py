@@ -2,9 +2,9 @@
 
 Units are the lines of a text and its blocks (lines between blank lines, where a block has several lines). Both
 sides are lower-cased runs of letters and digits, as sets of distinct word bigrams. A template is a candidate for
-a unit only if their set sizes allow the wanted coefficient, and only if they share a bigram: the bigrams of the
-few templates are looked up by hash, so no unit is compared with a template in vain. Only DataFrame functions
-are used.
+a unit only if their set sizes allow the wanted coefficient, and only if they share enough bigrams: those of the
+few templates are looked up by hash while the texts are scanned, so hardly a unit is compared with a template in
+vain. Only DataFrame functions are used.
 
 Cases: null and empty texts, and units with fewer than two words, match nothing; texts are taken whole; repeated
 rows, and rows that share an id, give one row per (id, unit, license); rows with a null id are ignored; of equal
@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from facetline.llm.staging import materialise, small_side
+
 #: Least coefficient of a match.
 LEAST = 0.8
 
@@ -86,12 +88,25 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, least:
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(F.lit("line").alias("unit"), i.alias("unit_no"), x.alias("text")))
     blocks = F.filter(F.transform(F.split(text, r"\n[ \t\r]*\n"), lambda x, i: F.struct(F.lit("block").alias("unit"), i.alias("unit_no"), x.alias("text"))), lambda x: F.contains(x["text"], F.lit("\n")))
-    units = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.explode(F.concat(lines, blocks)).alias("u")).select("id", "u.unit", "u.unit_no", _once(words_of(F.col("u.text")), "words"))
-    sets = units.where((F.size("words") > 1) & (F.size("words") <= most_words)).select("id", "unit", "unit_no", _once(bigrams(F.col("words")), "grams")).withColumn("n", F.size("grams"))
+
+    def units(rows: DataFrame) -> DataFrame:
+        split = rows.select(F.col(id_col).alias("id"), F.explode(F.concat(lines, blocks)).alias("u")).select("id", "u.unit", "u.unit_no", _once(words_of(F.col("u.text")), "words"))
+        return split.where((F.size("words") > 1) & (F.size("words") <= most_words))
+
+    # a pair with the wanted coefficient shares at least lo of the template's bigrams; counted with repeats, which only adds
+    key = ["id", "unit", "unit_no", "license", "template"]
+    at = units(docs.where(F.col(id_col).isNotNull())).select("id", "unit", "unit_no", "words", F.posexplode("words").alias("pos", "word")).where(F.col("pos") < F.size("words") - 1)
+    pairs = at.select("id", "unit", "unit_no", (F.size("words") - 1).alias("most"), F.concat_ws(" ", "word", F.get("words", F.col("pos") + 1)).alias("gram"))
     # the templates are given in code, so their bigrams have a fixed size
-    near = sets.select("id", "unit", "unit_no", "n", F.explode("grams").alias("gram")).join(F.broadcast(grams), "gram").where("n >= lo AND n <= hi")
-    shared = near.groupBy("id", "unit", "unit_no", "license", "template", "n", "size").agg(F.count("*").alias("common"))
-    rated = shared.withColumn("dice", 2.0 * F.col("common") / (F.col("n") + F.col("size"))).where(F.col("dice") >= least)
+    hits = pairs.join(F.broadcast(grams), "gram").where("most >= lo").groupBy(*key).agg(F.count("*").alias("hits"), F.first("lo").alias("lo")).where("hits >= lo")
+    hits = materialise(hits.select(*key), "license-hits")
+
+    held = docs.join(small_side(hits.select(F.col("id").alias(id_col)).distinct()), id_col, "left_semi")
+    whole = grams.groupBy("license", "template").agg(F.collect_set("gram").alias("template_grams"))
+    both = units(held).join(small_side(hits), ["id", "unit", "unit_no"]).join(F.broadcast(whole), ["license", "template"])
+    sets = both.select(*key, "template_grams", _once(bigrams(F.col("words")), "grams"))
+    common = F.size(F.array_intersect("grams", "template_grams"))
+    rated = sets.select(*key, (2.0 * common / (F.size("grams") + F.size("template_grams"))).alias("dice")).where(F.col("dice") >= least).distinct()
     best = rated.groupBy("id", "unit", "unit_no", "license").agg(F.max(F.struct("dice", -F.col("template"))).alias("x"))
     return best.select(F.col("id").alias(id_col), "unit", "unit_no", "license", (-F.col("x.col2")).alias("template"), F.col("x.dice").alias("dice"))
 
