@@ -1 +1,21 @@
 """Registered queries over the driver tables, with their SQL equivalents."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def _modules():
+    from facetline.plans import graph
+
+    return [graph]
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: query for m in _modules() for name, query in m.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for m in _modules() for name, sql in m.ORACLES.items()}
