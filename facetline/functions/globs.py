@@ -58,7 +58,7 @@ def pattern_filter(path: Column, patterns: str) -> Column:
     for p in filter(None, re.split(r"[\s,]+", patterns)):
         target, body = (unwanted, p[1:]) if p.startswith("!") else (wanted, p)
         if body:
-            target.append("(?i)^" + glob_regex(body if re.search(r"[*?\[/]", body) else f"**/*{body}*") + "$")
+            target.append("(?i)^" + glob_regex(body if re.search(r"[*?\[\]{}]", body) else f"**/*{body}*") + "$")
     return (_any(path, wanted) if wanted else F.lit(True)) & ~_any(path, unwanted)
 
 

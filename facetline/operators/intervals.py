@@ -50,8 +50,8 @@ def owner_counts(ranges: DataFrame, spans: DataFrame) -> DataFrame:
     # owners of stretches between boundaries
     bounds = real.select("path", F.explode(F.array(F.col("start"), F.col("end") + 1)).alias("at")).distinct()
     stretch = bounds.select("path", F.col("at").alias("from"), (F.lead("at").over(W.partitionBy("path").orderBy("at")) - 1).alias("to")).where("to IS NOT NULL")
-    owned = innermost(stretch.select("path", F.col("from").alias("line")), real)
-    owned = stretch.join(owned, (stretch["path"] == owned["path"]) & (stretch["from"] == owned["line"])).select(stretch["path"], "from", "to", "owner").where(F.col("owner") != MODULE)
+    owners = innermost(stretch.select("path", F.col("from").alias("line")), real).withColumnRenamed("line", "from")
+    owned = stretch.join(owners, ["path", "from"]).where(F.col("owner") != MODULE)
     merged = merged_ranges(ranges)
     pieces = _segmented(merged, "first", "last", SEGMENT).join(_segmented(owned, "from", "to", SEGMENT), ["path", "segment"])
     pieces = pieces.select("path", "owner", F.greatest("first", "from", F.col("segment") * SEGMENT).alias("a"), F.least("last", "to", F.col("segment") * SEGMENT + SEGMENT - 1).alias("b")).where("a <= b")

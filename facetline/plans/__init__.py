@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _modules():
-    from facetline.plans import graph
+    from facetline.plans import diffs, files, graph, names
 
-    return [graph]
+    return [graph, diffs, files, names]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
