@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _modules():
-    from facetline.plans import diffs, files, graph, names
+    from facetline.plans import diffs, files, graph, names, parsing
 
-    return [graph, diffs, files, names]
+    return [graph, diffs, files, names, parsing]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
