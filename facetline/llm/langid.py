@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from facetline.llm.staging import in_batches
+
 #: Labelled documents per language that training reads at most, those with the smallest hash of their id.
 SAMPLE_DOCS = 800
 #: Hashed trigram slots.
@@ -112,7 +114,7 @@ def train(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col:
             at = np.flatnonzero(both)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(both[at])], ["lang", "slot", "n"])
 
-    sums = labelled.where(chosen).select(lang_col, text_col).mapInArrow(count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
+    sums = in_batches(labelled.where(chosen).select(lang_col, text_col), count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
     table = np.zeros((SLOTS + len(SCRIPT_NAMES), len(languages)))
     table[sums["slot"].to_numpy(), sums["lang"].map(languages.index).to_numpy(int)] = sums["n"]
     grams, scripts = table[:SLOTS] + 0.5, table[SLOTS:]
@@ -124,7 +126,7 @@ def train(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col:
 class WordScores:
     """Rows of scores of distinct words, kept for a task; starts anew when full."""
 
-    def __init__(self, model: Model, limit: int = 600_000):
+    def __init__(self, model: Model, limit: int = 250_000):
         self.model, self.limit = model, limit
         self._clear()
 
@@ -213,7 +215,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, lang_pred string, score double" + ", spans array<struct<first: int, end: int, lang: string>>" * spans
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return in_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, schema).withColumnRenamed("id", id_col)
 
 
 def _label(ids: pa.Array, texts: list[str], model: Model, table: WordScores, spans: bool) -> pa.RecordBatch:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from facetline.llm.staging import materialise
+from facetline.llm.staging import in_batches, materialise
 
 #: Random features, inverse width of the kernel on standardised statistics, ridge weight per training row.
 FEATURES, GAMMA, RIDGE, SEED = 256, 0.04, 1e-4, 11
@@ -77,7 +77,7 @@ def statistics_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 yield pa.RecordBatch.from_arrays([part.column(0), held], ["id", "stats"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, stats array<double>")
+    return in_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {kind}, stats array<double>")
 
 
 @dataclass
@@ -150,7 +150,7 @@ def train(stats: DataFrame, labels: DataFrame, may_learn: Column, id_col: str =
         parts = sorted((tuple(p), n) for p, n in zip(table.column("part").to_pylist(), table.column("n").to_pylist(), strict=True))
         return pa.table({"row": pa.array([key[0].as_py()]), "n": pa.array([sum(n for _, n in parts)]), "part": pa.array([np.sum([p for p, _ in parts], axis=0)], pa.list_(pa.float64()))})
 
-    fit = rows.where("NOT calibrates").select("stats", "y").mapInArrow(normal, "row long, n long, part array<double>")
+    fit = in_batches(rows.where("NOT calibrates").select("stats", "y"), normal, "row long, n long, part array<double>")
     solved = fit.groupBy("row").applyInArrow(added, "row long, n long, part array<double>").orderBy("row").collect()
     if not solved:
         return Model(mean, model.scale, np.zeros(0), base, np.zeros(1), np.zeros(1))
@@ -165,7 +165,7 @@ def train(stats: DataFrame, labels: DataFrame, may_learn: Column, id_col: str =
                 raw = np.clip(model.raw(_stacked(batch, 0)), -0.5, 1.5)
                 yield pa.RecordBatch.from_arrays([pa.array(np.round((raw + 0.5) / 2 * BINS).astype(np.int64)), batch.column(1)], ["bin", "y"])
 
-    held = rows.where("calibrates").select("stats", "y").mapInArrow(binned, "bin long, y double").groupBy("bin").agg(F.count("*").alias("n"), F.sum("y").alias("ones")).orderBy("bin").toPandas()
+    held = in_batches(rows.where("calibrates").select("stats", "y"), binned, "bin long, y double").groupBy("bin").agg(F.count("*").alias("n"), F.sum("y").alias("ones")).orderBy("bin").toPandas()
     if len(held):
         model.edges, model.values = isotonic(held["bin"].to_numpy() / BINS * 2 - 0.5, held["n"].to_numpy(float), held["ones"].to_numpy(float))
     else:
@@ -181,4 +181,4 @@ def score(stats: DataFrame, model: Model) -> DataFrame:
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(_stacked(batch, 1)))], ["id", "score"])
 
-    return stats.mapInArrow(run, f"id {stats.schema['id'].dataType.simpleString()}, score double")
+    return in_batches(stats, run, f"id {stats.schema['id'].dataType.simpleString()}, score double")

@@ -21,9 +21,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from facetline.llm.staging import in_batches
+
 MARK = "▁"
 #: Characters of chunks (keys) that one task's table may hold.
-TABLE_CHARS = 24_000_000
+TABLE_CHARS = 10_000_000
 
 _RUN = re.compile(" +[^ ]*")
 
@@ -85,7 +87,7 @@ class ChunkTable:
         return [b"".join(map(get, s)) for s in split]
 
 
-def _groups(texts: list, chars: int = 8_000_000) -> Iterator[list]:
+def _groups(texts: list, chars: int = 4_000_000) -> Iterator[list]:
     """Runs of texts of about so many characters, so that memory does not follow the batch size."""
     held, size = [], 0
     for t in texts:
@@ -118,7 +120,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                 start += len(texts)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return in_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -137,7 +139,7 @@ def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), texts], ["id", "ids", "decoded"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
-    return encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
+    return in_batches(encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")), run, f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
 
 
 def ids_digest(ids: Column) -> Column:

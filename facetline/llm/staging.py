@@ -1,43 +1,33 @@
-"""Shared staging folder and size-checked broadcasts.
-
-Intermediate tables that cut lineage are Parquet folders below ``spark.checkpoint.dir``, the folder that a
-cluster shares between its executors, so a lost executor costs a re-read and nothing else.
-"""
+"""Staging for texts: the shared folder and checked broadcasts of the library, and Arrow batches of bounded bytes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+import ctypes
 
-#: Rows up to which a checked side may be broadcast; wide enough for ids, far below executor memory.
-BROADCAST_ROWS = 2_000_000
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
-_unset: list[str] = []
+from facetline.operators.staging import BROADCAST_ROWS, materialise, shared_dir, small_side
 
+__all__ = ["BROADCAST_ROWS", "in_batches", "materialise", "shared_dir", "small_side"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder. Where the setting is missing (tests), a folder of this process."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not _unset:
-        _unset.append(tempfile.mkdtemp(prefix="facetline-"))
-    return f"file://{_unset[0]}"
+#: Bytes of a batch of texts that goes to a Python worker; one row at least.
+BATCH_BYTES = "4m"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and return a reader of it. Empty frames keep their schema."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def in_batches(df: DataFrame, run, schema: str) -> DataFrame:
+    """``df.mapInArrow`` in batches that are bounded in bytes, as rows of long texts are not. The bound is set for the session.
 
+    Python workers serve one task after the other; each gives its memory back when its task ends.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows; beyond, Spark shuffles it as usual.
+    def tidy(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass  # another C library
 
-    Give it a materialised frame: it is counted here and read again by the join.
-    """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return df.mapInArrow(tidy, schema)

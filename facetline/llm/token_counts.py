@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from facetline.llm.staging import in_batches
+
 #: Characters behind its end, or its start, that can decide a pre-token of the pattern ('ll, and blanks before a word).
 LOOK_AHEAD = 3
 STATE = "text string, leaf_chars binary, leaf_tokens binary, n_tokens long"
@@ -42,7 +44,7 @@ class Tokenizer:
     def count(self, piece: str) -> int:
         found = self.counts.get(piece)
         if found is None:
-            if len(self.counts) > 800_000:
+            if len(self.counts) > 400_000:
                 self.counts.clear()
             found = self.counts[piece] = len(self.encoding.encode_ordinary(piece))
         return found
@@ -155,7 +157,7 @@ def build_trees(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
     narrow = docs.select(F.col(id_col), *[F.col(c) for c in keep], F.col(text_col).alias("_text"))
     names = [id_col, *keep, "text", "leaf_chars", "leaf_tokens", "n_tokens"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[:-1])
-    return narrow.mapInArrow(run, f"{schema}, {STATE}")
+    return in_batches(narrow, run, f"{schema}, {STATE}")
 
 
 def apply_edits(trees: DataFrame, edits_col: str, ranks_path: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
@@ -185,4 +187,4 @@ def apply_edits(trees: DataFrame, edits_col: str, ranks_path: str, pattern: str,
 
     names = [id_col, "text", "leaf_chars", "leaf_tokens", "n_tokens", "before", "encoded"]
     kind = trees.schema[id_col].dataType.simpleString()
-    return trees.select(id_col, "text", "leaf_chars", "leaf_tokens", "n_tokens", edits_col).mapInArrow(run, f"`{id_col}` {kind}, {STATE}, before long, encoded long")
+    return in_batches(trees.select(id_col, "text", "leaf_chars", "leaf_tokens", "n_tokens", edits_col), run, f"`{id_col}` {kind}, {STATE}, before long, encoded long")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetline.llm.staging import small_side, materialise
+from facetline.llm.staging import in_batches, materialise, small_side
 
 DICTIONARY_FRAME = 0x184D2A5D
 #: Bytes of the dictionary, of the records that it is built from, and of the records of one volume.
@@ -150,7 +150,7 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id"
         if held:
             yield volume()
 
-    return materialise(linked.mapInArrow(run, "archive string, content binary"), "archives")
+    return materialise(in_batches(linked, run, "archive string, content binary"), "archives")
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
@@ -182,7 +182,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 if rows:
                     yield out(rows)
 
-    return archives.mapInArrow(run, "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary")
+    return in_batches(archives, run, "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary")
 
 
 def save_volumes(archives: DataFrame, folder: str) -> DataFrame:
@@ -198,4 +198,4 @@ def save_volumes(archives: DataFrame, folder: str) -> DataFrame:
                 partial.replace(target)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], ["archive", "bytes"])
 
-    return archives.mapInArrow(run, "archive string, bytes long")
+    return in_batches(archives, run, "archive string, bytes long")
