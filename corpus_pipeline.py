@@ -51,8 +51,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens, and the digests of the ids and of the text decoded from them."""
-    model = piece_model()
-    both = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, model), model)
+    both = sentencepiece_codec.encode_and_decode(docs, piece_model())
     return both.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), sentencepiece_codec.ids_digest(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -20,8 +20,7 @@ def piece_model() -> str:
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    model = piece_model()
-    both = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, model), model)
+    both = sentencepiece_codec.encode_and_decode(docs, piece_model())
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -17,6 +17,7 @@ import re
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ from facetline.llm.staging import in_batches
 
 MARK = "▁"
 #: Characters of chunks (keys) that one task's table may hold.
-TABLE_CHARS = 10_000_000
+TABLE_CHARS = 8_000_000
 
 _RUN = re.compile(" +[^ ]*")
 
@@ -142,6 +143,28 @@ def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col:
     return in_batches(encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")), run, f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
 
 
+def encode_and_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The id column, ``ids`` and ``decoded`` of every row, as ``decode(encode(docs))`` in one pass and one worker per task."""
+    model = Path(model_path).read_bytes()
+    check_model(model)
+
+    def run(batches):
+        processor = load(model)
+        table = ChunkTable(processor)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                packed = [np.frombuffer(p, "<i4") for p in table.encode(part.column(1).to_pylist())]
+                offsets = np.zeros(len(packed) + 1, np.int32)
+                np.cumsum([len(p) for p in packed], out=offsets[1:])
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(packed)))
+                texts = pa.array([processor.decode(p.tolist()) if len(p) else "" for p in packed], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0), ids, texts], ["id", "ids", "decoded"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return in_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
+
+
 def ids_digest(ids: Column) -> Column:
     """Lower-case hex SHA-256 of the decimal ids joined by commas."""
     return F.sha2(F.array_join(ids.cast("array<string>"), ","), 256)

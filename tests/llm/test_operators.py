@@ -27,6 +27,8 @@ def test_sentencepiece_equals_library(spark, awkward, nothing):
     got = sorted((str(r.doc_id), r.ids, r.decoded) for r in both.collect())
     want = sorted((str(r.doc_id), processor.encode(r.text or ""), processor.decode(processor.encode(r.text or ""))) for r in awkward.collect())
     assert got == want
+    assert sorted((str(r.doc_id), r.ids, r.decoded) for r in sentencepiece_codec.encode_and_decode(awkward, model).collect()) == want
+    assert sentencepiece_codec.encode_and_decode(nothing, model).count() == 0
     assert sentencepiece_codec.decode(sentencepiece_codec.encode(nothing, model), model).count() == 0
 
 
