@@ -2,8 +2,8 @@
 
 A mask is a fixed pattern of word positions, some of which it ignores. The words that it keeps are hashed at
 every position of every test item and training text; equal hashes are hits, which survive substitutions at
-ignored positions. Hits on one diagonal (same shift between text and item) are joined and verified: over the
-stretch that they span, with some words on either side, enough words must be equal one to one.
+ignored positions. A diagonal (same shift between text and item) with a hit is compared word by word over its whole
+length: some stretch of it, at least ``LEAST`` words or the whole item, must have its ``SHARE`` of equal words.
 
 Only DataFrame functions are used. The seeds of the benchmark are broadcast if a count shows them to be few, so
 that the training texts are scanned without a shuffle; beyond that Spark shuffles narrow hash rows.
@@ -18,13 +18,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from facetline.llm.staging import materialise, small_side
 
 #: Word positions: 1 is hashed, 0 is ignored.
 MASKS = ("11011011", "1110100111", "101101001011")
-#: Words on either side of the hits that are compared too; least stretch (or the whole item), and its share of equal words.
-CONTEXT, LEAST, SHARE = 4, 13, 0.75
+#: Least stretch (or the whole item), and its share of equal words.
+LEAST, SHARE = 13, 0.75
 
 
 def words_of(text: Column) -> Column:
@@ -47,25 +48,50 @@ def seeds(rows: DataFrame, id_col: str, text_col: str, masks: tuple[str, ...] =
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", masks: tuple[str, ...] = MASKS, least: int = LEAST, share: float = SHARE) -> DataFrame:
     """One row per contaminated document and item, of its best stretch: id_col, item_col, overlap_words (its length),
     equal_words, doc_start and item_start (word positions)."""
-    span = max(map(len, masks))
     test = materialise(seeds(benchmark, item_col, item_text_col, masks).select(F.col("id").alias("item"), F.col("pos").alias("item_pos"), "seed"), "benchmark-seeds")
     hits = seeds(docs, id_col, text_col, masks).join(small_side(test), "seed")
-    diagonals = hits.groupBy(F.col("id").alias("doc"), "item", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.min("item_pos").alias("lo"), F.max("item_pos").alias("hi"))
+    diagonals = hits.select(F.col("id").alias("doc"), "item", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
     diagonals = materialise(diagonals, "diagonals")
 
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(small_side(diagonals), "doc").withColumn("words", words_of(F.col("text"))).drop("text")
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), words_of(F.col(item_text_col)).alias("item_words"))
-    both = texts.join(items, "item")
-    first = F.greatest(F.col("lo") - CONTEXT, F.lit(0), -F.col("shift"))
-    end = F.least(F.col("hi") + span + CONTEXT, F.size("item_words"), F.size("words") - F.col("shift"))
-    stretch = both.withColumns({"first": first, "n": end - first})
-    equal = F.size(F.filter(F.zip_with(F.slice("words", F.col("first") + F.col("shift") + 1, F.col("n")), F.slice("item_words", F.col("first") + 1, F.col("n")), lambda a, b: a == b), lambda x: x))
-    compared = stretch.where("n > 0").select("doc", "item", "n", equal.alias("equal"), (F.col("first") + F.col("shift")).alias("at"), "first", F.size("item_words").alias("item_n"))
-    found = compared.where((F.col("n") >= F.least(F.lit(least), F.col("item_n"))) & (F.col("equal") >= F.col("n") * share))
-    best = found.groupBy("doc", "item").agg(F.max(F.struct("equal", -F.col("n"), "n", -F.col("at"), "at", "first")).alias("x"))
+    both = texts.join(items, "item").withColumn("first", F.greatest(F.lit(0), -F.col("shift")))
+    n = F.least(F.size("item_words"), F.size("words") - F.col("shift")) - F.col("first")
+    equal = F.zip_with(F.slice("words", F.col("first") + F.col("shift") + 1, n), F.slice("item_words", F.col("first") + 1, n), lambda a, b: (a == b).cast("int"))
+    compared = both.select("doc", "item", "shift", "first", F.least(F.lit(least), F.size("item_words")).alias("need"), equal.alias("equal")).distinct()
+    enough = compared.where(F.size(F.filter("equal", lambda x: x == 1)) >= F.col("need") * share)
+    found = stretches(enough.withColumn("which", F.xxhash64("need", "equal")), share)
+    at = F.col("first") + F.col("shift")
+    best = found.groupBy("doc", "item").agg(F.max(F.struct("equal", -F.col("n"), "n", -at, at.alias("at"), "first")).alias("x"))
     return best.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), F.col("x.n").alias("overlap_words"), F.col("x.equal").alias("equal_words"), F.col("x.at").alias("doc_start"), F.col("x.first").alias("item_start"))
 
 
+def stretches(diagonals: DataFrame, share: float) -> DataFrame:
+    """doc, item, shift, first, n, equal: for every place where a stretch of a diagonal can end, the one with most equal words.
+
+    ``diagonals``: doc, item, shift, which, first (item position where it begins), need (least length), equal (0 or 1
+    per word). With P = equal words - share * words, summed up to a place, a stretch has its share if P is no less at
+    its end than at its start; the first place where P is no greater is the best start, by a running minimum in
+    order of P. Unequal words at either end then go as long as the stretch stays long enough.
+    """
+    own = ["doc", "item", "shift", "which"]
+    rate = round(share * 10_000)
+    along = W.partitionBy(*own).orderBy("i")
+    # place i is before word i of the diagonal; its row holds word i - 1
+    places = diagonals.select(*own, "first", "need", F.posexplode(F.concat(F.array(F.lit(0)), "equal")).alias("i", "word"))
+    summed = places.withColumns({
+        "equal": F.sum("word").over(along),
+        "last": F.max(F.when(F.col("word") == 1, F.col("i"))).over(along),
+        "next": F.min(F.when(F.col("word") == 1, F.col("i") - 1)).over(along.rowsBetween(1, W.unboundedFollowing)),
+    }).withColumn("p", F.col("equal") * 10_000 - F.col("i") * rate)
+    start = F.min(F.struct("i", "equal", "next")).over(W.partitionBy(*own).orderBy("p"))
+    ended = summed.withColumn("start", start).where(F.col("i") - F.col("start.i") >= F.col("need"))
+    end = F.greatest("last", F.col("start.i") + F.col("need"))
+    begin = F.least("start.next", F.col("end") - F.col("need"))
+    whole = ended.withColumn("end", end).withColumn("begin", begin)
+    return whole.select("doc", "item", "shift", (F.col("first") + F.col("begin")).alias("first"), (F.col("end") - F.col("begin")).cast("int").alias("n"), (F.col("equal") - F.col("start.equal")).cast("int").alias("equal"))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     """``docs`` without the documents that ``overlaps`` finds; rows with a null id stay."""
     id_col = settings.get("id_col", "doc_id")

@@ -202,6 +202,23 @@ def test_decontamination_tolerates_substitutions(spark, awkward, nothing):
     assert decontaminate.decontaminate(awkward, tests).count() == awkward.count()
 
 
+def test_decontamination_finds_parts_of_items(spark):
+    rng = random.Random(6)
+    text = lambda n: [f"w{rng.randrange(100_000)}" for _ in range(n)]
+    item, short = text(59), text(9)
+    cases = {n: item[12 : 12 + n] for n in (13, 16, 20, 24, 28, 32, 35)}  # verbatim from the middle
+    cases[100] = item[2:18] + text(25) + item[43:57]  # two passages on one diagonal, far apart
+    cases[101] = item[10:22] + ["other"] + item[23:30]
+    cases[102] = item[10:19]  # nine words: no stretch of 13 has ten equal ones
+    cases[103] = short
+    docs = spark.createDataFrame([(d, " ".join(text(40) + w + text(40))) for d, w in cases.items()] + [(13, " ".join(text(30)))], "doc_id long, text string")
+    tests = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(short))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.overlap_words, r.equal_words, r.doc_start, r.item_start) for r in decontaminate.overlaps(docs, tests).collect()}
+    want = {(n, 1): (n, n, 40, 12) for n in cases if n < 100}
+    want |= {(100, 1): (16, 16, 40, 2), (101, 1): (20, 19, 40, 10), (103, 2): (9, 9, 40, 0)}
+    assert got == want
+
+
 def _components(sets, percent=80):
     """Smallest ids over all links, by comparing every pair of sets."""
     root = {d: d for d in sets}
