@@ -5,13 +5,14 @@
 2. A class retains its K smallest hash values. Inverted lists of the first KEYS of them give candidates: within a
    list of at most LIST members, all pairs, counted over the lists they share. Longer lists are split by the
    values that follow in each member's sketch, up to DEPTH values; a list that is still long after that (a large
-   group of near copies, or a long passage in very many documents) pairs its members with one leader.
+   group of near copies, or a template or long passage in very many documents) pairs its members with one leader.
 3. The union sketch of a pair estimates its similarity; estimates well below the threshold go.
 4. Exact similarity on the full sets, first for the two best candidates of each member, then for all candidates
    whose ends are still in different components. Before that second pass, members of lists that stayed long and
-   that are not in the list's main component are paired with the most central members of it and with each other. A text that
-   then resembles a large component, but has no link into it, is compared with all members of it: no candidate is
-   lost to the length of a list.
+   that are not in the list's main component are paired with the most central members of it.
+5. In lists that stayed long, members that are then still in different components are compared on their full sets,
+   all with all, in blocks; a text that resembles a large component, but has no link into it, is compared with all
+   members of it: no candidate is lost to the length of a list.
 
 Sets hold 63-bit hashes of shingles; "exact" means on these whole sets.
 
@@ -42,8 +43,8 @@ LIST, DEPTH = 48, 4
 SHARED, SLACK = 0.2, 0.3
 #: Most central members of a component that its list mates outside are compared with.
 CENTRAL = 16
-#: Full sets of a block, where texts are compared with whole components.
-BLOCK = 64
+#: Full sets of a block, where texts are compared with whole components and long lists, and values that a product takes.
+BLOCK, COLUMNS = 64, 1 << 15
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -229,6 +230,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     links = materialise(links.unionAll(confirmed(apart, docs, reps, percent, words, id_col, text_col)), "links")
     labels = components(links)
 
+    within = _within_lists(long, labels, docs, reps, percent, words, id_col, text_col)
+    if within is not None:
+        links = materialise(links.unionAll(within), "links")
+        labels = components(links)
+
     more = _against_whole(_apart(rest, labels), labels, docs, reps, percent, words, id_col, text_col)
     if more is not None:
         labels = components(links.unionAll(more))
@@ -294,8 +300,77 @@ def _unpacked(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return ids, sets.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lengths)))
 
 
+def _within_lists(long: DataFrame, labels: DataFrame, docs: DataFrame, reps: DataFrame, percent: int, words: int, id_col: str, text_col: str) -> DataFrame | None:
+    """Links (a, b) of members of long lists (key, rep, n) that are in different components: all of them are compared on full sets.
+
+    In each list the members outside its main component meet all members. Both sides are cut into blocks, and a row is
+    a pair of blocks; a pair of texts is compared in the first list that both are in. None if no list has members apart.
+    """
+    placed = materialise(long.join(labels, long.rep == labels.id, "left").select("key", "rep", F.coalesce("label", "rep").alias("label")), "placed")
+    sizes = placed.groupBy("key", "label").agg(F.count("*").alias("members"))
+    totals = sizes.groupBy("key").agg(F.count("*").alias("labels"), F.sum("members").alias("all"), F.max(F.struct("members", "label")).alias("m")).where("labels > 1")
+    mixed = materialise(totals.select("key", F.col("m.label").alias("main"), F.ceil((F.col("all") - F.col("m.members")) / BLOCK).alias("xs"), F.ceil(F.col("all") / BLOCK).alias("ys")), "mixed")
+    if mixed.isEmpty():
+        return None
+    held = materialise(placed.join(small_side(mixed), "key"), "held")
+    wanted = materialise(held.select("rep").distinct(), "wanted")
+    keys = held.groupBy("rep").agg(F.collect_set("key").alias("keys"))
+    sets = materialise(_own_sets(docs, wanted, reps, words, id_col, text_col).join(keys, "rep"), "sets")
+
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        placed = rows.withColumn(name, F.pmod(F.xxhash64("rep"), F.col(f"{name}s"))).join(sets, "rep")
+        return materialise(placed.groupBy("key", "main", name).agg(F.collect_list(F.struct("rep", "label", "keys", "set")).alias(f"of_{name}")), "blocks")
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for i in range(batch.num_rows):
+                key, main, x, y = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].values, batch.column(3)[i].values
+                (ids, values, cuts), (others, own, ends) = _unpacked(x), _unpacked(y)
+                of_x, of_y = x.field("label").to_numpy(), y.field("label").to_numpy()
+                n, m = np.diff(cuts)[:, None], np.diff(ends)[None, :]
+                open_ = (of_x[:, None] != of_y) & ((of_y == main) | (ids[:, None] < others)) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent)
+                if open_.any():
+                    open_ &= _common(*_owned(x.field("keys"), key), *_owned(y.field("keys"), key), len(ids), len(others)) == 0
+                if open_.any():
+                    common = _common(np.repeat(np.arange(len(ids)), n[:, 0]), values, np.repeat(np.arange(len(others)), m[0]), own, len(ids), len(others))
+                    out += [(min(ids[j], others[k]), max(ids[j], others[k])) for j, k in zip(*np.nonzero(open_ & (100 * common >= percent * (n + m - common))), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    xs, ys = blocks(held.where("label <> main"), "x"), blocks(held, "y")
+    met = xs.select("key", "x").join(ys.select("key", "y"), "key").join(xs, ["key", "x"]).join(ys.drop("main"), ["key", "y"])
+    return materialise(in_batches(met.select("key", "main", "of_x", "of_y"), run, "a long, b long"), "within")
+
+
+def _owned(lists: pa.ListArray, below: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and value of all values of lists that are less than a bound."""
+    values, rows = lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+    return rows[values < below], values[values < below]
+
+
+def _common(rows_x: np.ndarray, x: np.ndarray, rows_y: np.ndarray, y: np.ndarray, nx: int, ny: int) -> np.ndarray:
+    """Common values of nx and ny sets, each with each, given as rows and values; products of 0/1 matrices, some columns at a time."""
+    known, common = np.intersect1d(x, y), np.zeros((nx, ny), np.int64)
+    if not len(known):
+        return common
+    placed = []
+    for rows, values in ((rows_x, x), (rows_y, y)):
+        at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+        hit = known[at] == values
+        placed.append((rows[hit], at[hit]))
+    for start in range(0, len(known), COLUMNS):
+        part = []
+        for (rows, at), n in zip(placed, (nx, ny), strict=True):
+            inside = (at >= start) & (at < start + COLUMNS)
+            matrix = np.zeros((n, min(COLUMNS, len(known) - start)), np.float32)
+            matrix[rows[inside], at[inside] - start] = 1
+            part.append(matrix)
+        common += np.rint(part[0] @ part[1].T).astype(np.int64)
+    return common
+
+
 def _second_look(long: DataFrame, candidates: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a < b) of members of long lists that are still apart: with central members of the list's components, and with each other."""
+    """Pairs (a < b) of members of long lists that are outside the list's main component with central members of it."""
     placed = materialise(long.join(labels, long.rep == labels.id, "left").select("key", "rep", "n", F.coalesce("label", "rep").alias("label")), "placed")
     sizes = placed.groupBy("key", "label").agg(F.count("*").alias("members"))
     main = sizes.groupBy("key").agg(F.max(F.struct("members", "label")).alias("m")).select("key", F.col("m.label").alias("main"))
@@ -303,7 +378,4 @@ def _second_look(long: DataFrame, candidates: DataFrame, labels: DataFrame, perc
     ranked = placed.select("rep", "n", "label").distinct().join(ends, "rep").withColumn("rank", F.row_number().over(W.partitionBy("label").orderBy(F.desc("centrality"), "rep")))
     central = ranked.where(F.col("rank") <= CENTRAL).select(F.col("label").alias("main"), F.col("rep").alias("c"), F.col("n").alias("nc"))
     outside = materialise(placed.join(main, "key").where(F.col("label") != F.col("main")), "outside")
-    to_main = outside.select("rep", "n", "main").distinct().join(central, "main").where(_near_size(F.col("n"), F.col("nc"), percent)).select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b"))
-    few = outside.groupBy("key").agg(F.count("*").alias("members")).where((F.col("members") > 1) & (F.col("members") <= LIST)).select("key")
-    between = _pairs_within(outside.join(few, "key", "left_semi").select("key", "rep", "n"), percent).select("a", "b")
-    return to_main.unionAll(between).distinct()
+    return outside.select("rep", "n", "main").distinct().join(central, "main").where(_near_size(F.col("n"), F.col("nc"), percent)).select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()

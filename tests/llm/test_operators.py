@@ -268,6 +268,18 @@ def test_near_duplicates_equal_all_pairs(spark, words):
     assert all(r.n_shingles == len(sets[i]) and r.kept == (i == r.component_id) for i, r in got.items())
 
 
+def test_near_duplicates_within_a_template(spark):
+    """500 pairs (0.86) among 1,000 texts on one template that are below the threshold otherwise (0.64)."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.getrandbits(40)}"
+    template, rows = [word() for _ in range(101)], []
+    for i in range(0, 1000, 2):
+        own = [word() for _ in range(28)]
+        rows += [(i, " ".join(template + own)), (i + 1, " ".join(template + own[:18] + [word() for _ in range(10)]))]
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()
+    assert {r.doc_id: r.component_id for r in found} == {i: i - i % 2 for i in range(1000)}
+
+
 def test_near_duplicates_awkward(spark, awkward, nothing):
     rows = neardup.near_duplicates(awkward, words=2).collect()
     by_id = {r.doc_id: r for r in rows}
