@@ -72,7 +72,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten best documents for each document whose id is divisible by 100, asked by its 25 weightiest terms."""
+    """The ten best documents for each document whose id is divisible by 100, asked by all terms of its text."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     index = bm25.build_index(docs)
     asked = bm25.document_queries(docs.where(F.col("doc_id") % 100 == 0), index)

@@ -177,6 +177,25 @@ def test_search_is_exact(spark, awkward, nothing):
     assert bm25.search(empty, bm25.document_queries(nothing, empty)).count() == 0
 
 
+def test_search_asks_whole_texts(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join({f"w{int(rng.paretovariate(0.5)) % 900}" for _ in range(rng.choice((20, 500)))})) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    index = bm25.build_index(docs)
+    asked = bm25.document_queries(docs.where("doc_id < 20"), index)
+    sizes = {r.query: r["count"] for r in asked.groupBy("query").count().collect()}
+    assert sizes == {i: len(t.split()) for i, t in rows[:20]} and min(sizes.values()) <= bm25.LONG_QUERY < max(sizes.values())
+    got = defaultdict(list)
+    for r in bm25.search(index, asked, k=5).orderBy("query", "rank").collect():
+        got[r.query].append((-round(r.score * bm25.UNIT), r.doc_id))
+    texts, n = {i: t.split() for i, t in rows}, len(rows)
+    df, mean = Counter(t for x in texts.values() for t in x), sum(map(len, texts.values())) / n
+    for q in range(20):
+        rate = lambda t, size: int(np.rint(bm25.UNIT * bm25.idf(df[t], n) * (bm25.K1 + 1) / (1 + bm25.K1 * (1 - bm25.B + bm25.B * size / mean))))
+        common = {d: set(x) & set(texts[q]) for d, x in texts.items()}
+        assert got[q] == sorted((-sum(rate(t, len(texts[d])) for t in c), d) for d, c in common.items() if c)[:5]
+
+
 def test_decontamination_tolerates_substitutions(spark, awkward, nothing):
     rng = random.Random(4)
     vocabulary = [f"word{i}" for i in range(4000)]
