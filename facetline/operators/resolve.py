@@ -29,7 +29,7 @@ STOP_NAMES = (
     "freeze getItem setItem removeItem focus blur click dispatch use"
 ).split()
 #: Rounds of following names, levels of base classes.
-BINDING_ROUNDS, BASE_LEVELS = 8, 6
+BINDING_ROUNDS, BASE_LEVELS = 8, 7
 
 
 def longest_prefix(requests: DataFrame, names: DataFrame) -> DataFrame:
@@ -97,14 +97,15 @@ def inherited_member(requests: DataFrame, bases: DataFrame, members: DataFrame,
     """(id, target): member ``name`` of ``class`` for (id, class, name), its own or of the first base that has it.
 
     Bases (class, ord, base) are searched depth first in their order: every class on the way has a position that
-    sorts so, and the least position with a member (class, name, target) wins.
+    sorts so, and the least position with a member (class, name, target) wins. A class that a level reaches on several
+    ways goes on with the least position only, so a level has a row per request and class at most.
     """
     open_, found = requests.select("id", "class", "name", F.lit("").alias("position")), []
     for level in range(levels + 1):
         found.append(open_.join(members, ["class", "name"]).select("id", "position", "target"))
         if level < levels:
             step = open_.join(bases, "class").select("id", F.col("base").alias("class"), "name", F.concat("position", F.lpad(F.col("ord").cast("string"), 4, "0")).alias("position"))
-            open_ = materialise(step, "bases")
+            open_ = materialise(step.groupBy("id", "class", "name").agg(F.min("position").alias("position")), "bases")
             if open_.isEmpty():
                 break
     every = found[0]

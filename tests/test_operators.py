@@ -253,3 +253,10 @@ def test_incremental_parse_skips_what_was_seen(spark, tmp_path):
         stream = spark.readStream.schema("key string").parquet(source)
         incremental.parse_new(stream, cache, parse, str(tmp_path / "checkpoint")).awaitTermination()
     assert sorted((r.key, r.n) for r in spark.read.parquet(cache).collect()) == [("a", 1), ("bb", 2), ("ccc", 3)]
+
+
+def test_members_are_inherited_over_seven_levels(spark):
+    bases = spark.createDataFrame([(i, o, i + 1) for i in range(10) for o in (0, 1)], "class long, ord int, base long")
+    members = spark.createDataFrame([(7, "m", 70), (8, "n", 80)], "class long, name string, target long")
+    requests = spark.createDataFrame([(1, 0, "m"), (2, 1, "n"), (3, 0, "n")], "id long, class long, name string")
+    assert {r.id: r.target for r in resolve.inherited_member(requests, bases, members).collect()} == {1: 70, 2: 80}
