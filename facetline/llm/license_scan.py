@@ -82,8 +82,6 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, least:
     """id_col, unit ('line' or 'block'), unit_no (from 0), license, template, dice: the best template of each license for each unit, at ``least`` or more."""
     templates = TEMPLATES if templates is None else templates
     grams = template_grams(docs.sparkSession, templates, least)
-    longest = max((len(t.split()) + t.count("/") + t.count("-") for texts in templates.values() for t in texts), default=0)
-    most_words = int(longest * (2 - least) / least) * 4 + 8  # loose: repeated bigrams may make a unit longer than its set
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(F.lit("line").alias("unit"), i.alias("unit_no"), x.alias("text")))
@@ -91,12 +89,13 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, least:
 
     def units(rows: DataFrame) -> DataFrame:
         split = rows.select(F.col(id_col).alias("id"), F.explode(F.concat(lines, blocks)).alias("u")).select("id", "u.unit", "u.unit_no", _once(words_of(F.col("u.text")), "words"))
-        return split.where((F.size("words") > 1) & (F.size("words") <= most_words))
+        return split.where(F.size("words") > 1)
 
     # a pair with the wanted coefficient shares at least lo of the template's bigrams; counted with repeats, which only adds
     key = ["id", "unit", "unit_no", "license", "template"]
-    at = units(docs.where(F.col(id_col).isNotNull())).select("id", "unit", "unit_no", "words", F.posexplode("words").alias("pos", "word")).where(F.col("pos") < F.size("words") - 1)
-    pairs = at.select("id", "unit", "unit_no", (F.size("words") - 1).alias("most"), F.concat_ws(" ", "word", F.get("words", F.col("pos") + 1)).alias("gram"))
+    most = F.size("words") - 1
+    joined = F.zip_with(F.slice("words", 1, most), F.slice("words", 2, most), lambda a, b: F.concat_ws(" ", a, b))
+    pairs = units(docs.where(F.col(id_col).isNotNull())).select("id", "unit", "unit_no", most.alias("most"), F.explode(joined).alias("gram"))
     # the templates are given in code, so their bigrams have a fixed size
     hits = pairs.join(F.broadcast(grams), "gram").where("most >= lo").groupBy(*key).agg(F.count("*").alias("hits"), F.first("lo").alias("lo")).where("hits >= lo")
     hits = materialise(hits.select(*key), "license-hits")

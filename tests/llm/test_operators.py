@@ -122,6 +122,13 @@ def test_license_scan_equals_brute_force(spark, awkward, nothing):
     assert license_scan.scan(awkward).count() == 0 and license_scan.scan(nothing).count() == 0
 
 
+def test_license_scan_reads_long_units(spark):
+    notice = "Licensed under CC BY-NC 4.0."
+    rows = [(1, " ".join([notice] * 100)), (2, "\n".join([notice] * 100)), (3, "nothing of the kind " * 2000)]
+    got = {(r.doc_id, r.unit): r.dice for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).where("unit_no = 0").collect()}
+    assert got == {(1, "line"): pytest.approx(12 / 13), (2, "line"): 1.0, (2, "block"): pytest.approx(12 / 13)}
+
+
 def test_op3_on_driver_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     want = {(r.doc_id, i, name) for r in docs for i, x in enumerate(r.text.split("\n")) for name, ts in license_scan.TEMPLATES.items() if max(_dice(x, t) for t in ts) >= license_scan.LEAST}
