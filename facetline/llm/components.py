@@ -29,3 +29,12 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = after
     return labels
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (id, label) after further links (a, b): only the components that these touch are walked again, each as one node."""
+    la, lb = labels.toDF("a", "la"), labels.toDF("b", "lb")
+    ends = links.select("a", "b").join(la, "a", "left").join(lb, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    roots = components(ends.where("a <> b"))
+    moved = labels.join(roots.toDF("label", "root"), "label", "left").select("id", F.coalesce("root", "label").alias("label"))
+    return materialise(moved.unionAll(roots.join(labels.select("id"), "id", "left_anti").select("id", "label")), "labels")

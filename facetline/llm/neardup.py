@@ -8,11 +8,10 @@
    group of near copies, or a template or long passage in very many documents) pairs its members with one leader.
 3. The union sketch of a pair estimates its similarity; estimates well below the threshold go.
 4. Exact similarity on the full sets, first for the two best candidates of each member, then for all candidates
-   whose ends are still in different components. Before that second pass, members of lists that stayed long and
-   that are not in the list's main component are paired with the most central members of it.
-5. In lists that stayed long, members that are then still in different components are compared on their full sets,
-   all with all, in blocks; a text that resembles a large component, but has no link into it, is compared with all
-   members of it: no candidate is lost to the length of a list.
+   whose ends are still in different components.
+5. Lists that stayed long and hold several components: members are compared by what they have other than the
+   shingles that most of the list has. That finds every further link of the list (see ``_around_consensus``) without
+   pairing all with all: no candidate is lost to the length of a list.
 
 Sets hold 63-bit hashes of shingles; "exact" means on these whole sets.
 
@@ -32,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from facetline.llm.components import components
+from facetline.llm.components import components, merged
 from facetline.llm.staging import in_batches, materialise, small_side
 
 #: Retained values of a sketch, and how many of them open inverted lists.
@@ -41,10 +40,6 @@ K, KEYS = 32, 24
 LIST, DEPTH = 48, 4
 #: Share of the keys that a pair from short lists must have in common, and how far the estimate may fall short.
 SHARED, SLACK = 0.2, 0.3
-#: Most central members of a component that its list mates outside are compared with.
-CENTRAL = 16
-#: Full sets of a block, where texts are compared with whole components and long lists, and values that a product takes.
-BLOCK, COLUMNS = 64, 1 << 15
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -221,23 +216,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
     best = candidates.withColumn("rank", F.row_number().over(W.partitionBy("b").orderBy(F.desc("est"), "a"))).where("rank <= 2").select("a", "b")
     best = materialise(best, "best")
-    links = materialise(confirmed(best, docs, reps, percent, words, id_col, text_col), "links")
-    labels = components(links)
+    labels = components(confirmed(best, docs, reps, percent, words, id_col, text_col))
 
-    looked = estimated(_second_look(long, candidates, labels, percent), reps, percent).select("a", "b")
-    rest = materialise(candidates.select("a", "b").unionAll(looked).distinct().join(best, ["a", "b"], "left_anti"), "rest")
-    apart = materialise(_apart(rest, labels).select("a", "b"), "apart")
-    links = materialise(links.unionAll(confirmed(apart, docs, reps, percent, words, id_col, text_col)), "links")
-    labels = components(links)
+    rest = candidates.select("a", "b").join(best, ["a", "b"], "left_anti")
+    apart = materialise(_apart(rest, labels), "apart")
+    labels = merged(labels, confirmed(apart, docs, reps, percent, words, id_col, text_col))
 
-    within = _within_lists(long, labels, docs, reps, percent, words, id_col, text_col)
-    if within is not None:
-        links = materialise(links.unionAll(within), "links")
-        labels = components(links)
-
-    more = _against_whole(_apart(rest, labels), labels, docs, reps, percent, words, id_col, text_col)
-    if more is not None:
-        labels = components(links.unionAll(more))
+    groups = materialise(_groups(long, labels), "groups")
+    if not groups.isEmpty():
+        stars, pairs = _around_consensus(groups, docs, reps, percent, words, id_col, text_col)
+        labels = merged(labels, stars)
+        apart = materialise(_apart(pairs, labels), "apart")
+        labels = merged(labels, confirmed(apart, docs, reps, percent, words, id_col, text_col))
 
     of_class = reps.select("class", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("class", F.coalesce("label", "rep").alias("root"))
     rows = found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("own", "class").alias("class")).join(of_class, "class", "left")
@@ -246,136 +236,66 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, b) with ca, cb, the components of their ends, where these differ."""
+    """The pairs (a, b) whose ends are in different components."""
     la, lb = labels.toDF("a", "la"), labels.toDF("b", "lb")
-    ends = pairs.join(la, "a", "left").join(lb, "b", "left").select("a", "b", F.coalesce("la", "a").alias("ca"), F.coalesce("lb", "b").alias("cb"))
-    return ends.where("ca <> cb")
+    ends = pairs.join(la, "a", "left").join(lb, "b", "left")
+    return ends.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
 
 
-def _against_whole(apart: DataFrame, labels: DataFrame, docs: DataFrame, reps: DataFrame, percent: int, words: int, id_col: str, text_col: str) -> DataFrame | None:
-    """Links (a, b) of texts that resemble some member of a large component, but are linked with none tried, with any of its members.
+def _groups(long: DataFrame, labels: DataFrame) -> DataFrame:
+    """(grp, rep, n, label): members of the lists (key, rep, n) that hold several components, by the largest component of their list.
 
-    Both sides are cut into blocks of full sets, and a row is a pair of blocks: all members are compared, while the
-    rows grow with the number of blocks. None if there are no such texts.
+    Two members of one list are in one group, and lists of one family fall into one group, so a text is in few.
     """
-    sizes = labels.groupBy("label").agg(F.count("*").alias("members")).where(F.col("members") >= CENTRAL)
-    sides = apart.select(F.explode(F.array(F.struct(F.col("a").alias("rep"), F.col("cb").alias("label"), F.col("ca").alias("own")), F.struct(F.col("b").alias("rep"), F.col("ca").alias("label"), F.col("cb").alias("own")))).alias("s")).select("s.*").distinct()
-    of_own = sizes.toDF("own", "own_members")
-    smaller = F.coalesce("own_members", F.lit(0)) < F.col("members")
-    alone = materialise(sides.join(sizes, "label").join(of_own, "own", "left").where(smaller).select("rep", "label"), "alone")
-    if alone.isEmpty():
-        return None
-    inside = materialise(labels.join(alone.select("label").distinct(), "label", "left_semi").select(F.col("id").alias("rep"), "label"), "inside")
-    wanted = materialise(alone.unionAll(inside).select("rep").distinct(), "wanted")
-    sets = materialise(_own_sets(docs, wanted, reps, words, id_col, text_col), "sets")
+    placed = long.join(labels, long.rep == labels.id, "left").select("key", "rep", "n", F.coalesce("label", "rep").alias("label"))
+    sizes = placed.groupBy("key", "label").agg(F.count("*").alias("members"))
+    mixed = sizes.groupBy("key").agg(F.count("*").alias("labels"), F.max(F.struct("members", -F.col("label"), F.col("label").alias("main"))).alias("m")).where("labels > 1")
+    return placed.join(mixed.select("key", F.col("m.main").alias("grp")), "key").select("grp", "rep", "n", "label").distinct()
 
-    def blocks(rows: DataFrame, name: str) -> DataFrame:
-        n = rows.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-        placed = rows.join(n, "label").withColumn(name, F.pmod(F.xxhash64("rep"), F.col("blocks"))).join(sets, "rep")
-        return materialise(placed.groupBy("label", name).agg(F.collect_list(F.struct("rep", "set")).alias(f"of_{name}")), "blocks")
 
-    def run(batches):
-        for batch in batches:
-            out = []
-            for i in range(batch.num_rows):
-                (ids, values, cuts), (others, own, ends) = (_unpacked(batch.column(c)[i].values) for c in (0, 1))
-                sizes_b = np.diff(ends)
-                for x, at, end in zip(ids, cuts, cuts[1:], strict=False):
-                    held, n = values[at:end], end - at
-                    hit = held[np.minimum(np.searchsorted(held, own), n - 1)] == own
-                    common = np.add.reduceat(hit, ends[:-1])
-                    linked = 100 * common >= percent * (n + sizes_b - common)
-                    out += [(min(x, y), max(x, y)) for y in others[linked] if x != y]
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-    xs, ys = blocks(alone, "x"), blocks(inside, "y")
-    met = xs.select("label", "x").join(ys.select("label", "y"), "label").join(xs, ["label", "x"]).join(ys, ["label", "y"])
-    return in_batches(met.select("of_x", "of_y"), run, "a long, b long")
-
-
-def _unpacked(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids, all values and their bounds of a block."""
-    ids, sets = rows.field("rep").to_numpy(), rows.field("set")
-    lengths = sets.value_lengths().to_numpy()
-    return ids, sets.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lengths)))
-
-
-def _within_lists(long: DataFrame, labels: DataFrame, docs: DataFrame, reps: DataFrame, percent: int, words: int, id_col: str, text_col: str) -> DataFrame | None:
-    """Links (a, b) of members of long lists (key, rep, n) that are in different components: all of them are compared on full sets.
-
-    In each list the members outside its main component meet all members. Both sides are cut into blocks, and a row is
-    a pair of blocks; a pair of texts is compared in the first list that both are in. None if no list has members apart.
-    """
-    placed = materialise(long.join(labels, long.rep == labels.id, "left").select("key", "rep", F.coalesce("label", "rep").alias("label")), "placed")
-    sizes = placed.groupBy("key", "label").agg(F.count("*").alias("members"))
-    totals = sizes.groupBy("key").agg(F.count("*").alias("labels"), F.sum("members").alias("all"), F.max(F.struct("members", "label")).alias("m")).where("labels > 1")
-    mixed = materialise(totals.select("key", F.col("m.label").alias("main"), F.ceil((F.col("all") - F.col("m.members")) / BLOCK).alias("xs"), F.ceil(F.col("all") / BLOCK).alias("ys")), "mixed")
-    if mixed.isEmpty():
-        return None
-    held = materialise(placed.join(small_side(mixed), "key"), "held")
-    wanted = materialise(held.select("rep").distinct(), "wanted")
-    keys = held.groupBy("rep").agg(F.collect_set("key").alias("keys"))
-    sets = materialise(_own_sets(docs, wanted, reps, words, id_col, text_col).join(keys, "rep"), "sets")
-
-    def blocks(rows: DataFrame, name: str) -> DataFrame:
-        placed = rows.withColumn(name, F.pmod(F.xxhash64("rep"), F.col(f"{name}s"))).join(sets, "rep")
-        return materialise(placed.groupBy("key", "main", name).agg(F.collect_list(F.struct("rep", "label", "keys", "set")).alias(f"of_{name}")), "blocks")
+def _around_consensus(groups: DataFrame, docs: DataFrame, reps: DataFrame, percent: int, words: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) to the most central member of each group, and pairs (a, b) that hold every other link within it.
 
-    def run(batches):
-        for batch in batches:
-            out = []
-            for i in range(batch.num_rows):
-                key, main, x, y = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].values, batch.column(3)[i].values
-                (ids, values, cuts), (others, own, ends) = _unpacked(x), _unpacked(y)
-                of_x, of_y = x.field("label").to_numpy(), y.field("label").to_numpy()
-                n, m = np.diff(cuts)[:, None], np.diff(ends)[None, :]
-                open_ = (of_x[:, None] != of_y) & ((of_y == main) | (ids[:, None] < others)) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent)
-                if open_.any():
-                    open_ &= _common(*_owned(x.field("keys"), key), *_owned(y.field("keys"), key), len(ids), len(others)) == 0
-                if open_.any():
-                    common = _common(np.repeat(np.arange(len(ids)), n[:, 0]), values, np.repeat(np.arange(len(others)), m[0]), own, len(ids), len(others))
-                    out += [(min(ids[j], others[k]), max(ids[j], others[k])) for j, k in zip(*np.nonzero(open_ & (100 * common >= percent * (n + m - common))), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-    xs, ys = blocks(held.where("label <> main"), "x"), blocks(held, "y")
-    met = xs.select("key", "x").join(ys.select("key", "y"), "key").join(xs, ["key", "x"]).join(ys.drop("main"), ["key", "y"])
-    return materialise(in_batches(met.select("key", "main", "of_x", "of_y"), run, "a long, b long"), "within")
-
-
-def _owned(lists: pa.ListArray, below: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and value of all values of lists that are less than a bound."""
-    values, rows = lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
-    return rows[values < below], values[values < below]
-
-
-def _common(rows_x: np.ndarray, x: np.ndarray, rows_y: np.ndarray, y: np.ndarray, nx: int, ny: int) -> np.ndarray:
-    """Common values of nx and ny sets, each with each, given as rows and values; products of 0/1 matrices, some columns at a time."""
-    known, common = np.intersect1d(x, y), np.zeros((nx, ny), np.int64)
-    if not len(known):
-        return common
-    placed = []
-    for rows, values in ((rows_x, x), (rows_y, y)):
-        at = np.minimum(np.searchsorted(known, values), len(known) - 1)
-        hit = known[at] == values
-        placed.append((rows[hit], at[hit]))
-    for start in range(0, len(known), COLUMNS):
-        part = []
-        for (rows, at), n in zip(placed, (nx, ny), strict=True):
-            inside = (at >= start) & (at < start + COLUMNS)
-            matrix = np.zeros((n, min(COLUMNS, len(known) - start)), np.float32)
-            matrix[rows[inside], at[inside] - start] = 1
-            part.append(matrix)
-        common += np.rint(part[0] @ part[1].T).astype(np.int64)
-    return common
-
-
-def _second_look(long: DataFrame, candidates: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a < b) of members of long lists that are outside the list's main component with central members of it."""
-    placed = materialise(long.join(labels, long.rep == labels.id, "left").select("key", "rep", "n", F.coalesce("label", "rep").alias("label")), "placed")
-    sizes = placed.groupBy("key", "label").agg(F.count("*").alias("members"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("members", "label")).alias("m")).select("key", F.col("m.label").alias("main"))
-    ends = candidates.select(F.explode(F.array("a", "b")).alias("rep"), "est").groupBy("rep").agg(F.avg("est").alias("centrality"))
-    ranked = placed.select("rep", "n", "label").distinct().join(ends, "rep").withColumn("rank", F.row_number().over(W.partitionBy("label").orderBy(F.desc("centrality"), "rep")))
-    central = ranked.where(F.col("rank") <= CENTRAL).select(F.col("label").alias("main"), F.col("rep").alias("c"), F.col("n").alias("nc"))
-    outside = materialise(placed.join(main, "key").where(F.col("label") != F.col("main")), "outside")
-    return outside.select("rep", "n", "main").distinct().join(central, "main").where(_near_size(F.col("n"), F.col("nc"), percent)).select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
+    The consensus M of a group has the shingles of more than half of its members. With D(x) the shingles in which x
+    and M differ and S(x) = (100 - percent) * |x| - (100 + percent) * |D(x)|, texts x and y are linked exactly if
+    S(x) + S(y) + 2 * (100 + percent) * |D(x) and D(y)| >= 0. So whoever has S(x) >= -S(c) is linked with the member c of
+    the largest S, and all those are one component. Anyone else (a straggler) must share differences with whatever it
+    is linked with, at least so many as the sizes leave open: enough to share one of its rarest differences, all but
+    that many. These are few and rare, so a group is never paired with itself.
+    """
+    less, more = 100 - percent, 100 + percent
+    wanted = materialise(groups.select("rep").distinct(), "wanted")
+    sets = materialise(_own_sets(docs, wanted, reps, words, id_col, text_col), "sets")
+    held = groups.join(sets, "rep")
+    totals = groups.groupBy("grp").agg(F.count("*").alias("members"))
+    tally = held.select("grp", F.explode("set").alias("e")).groupBy("grp", "e").agg(F.count("*").alias("df"))
+    tally = materialise(tally.where("df > 1").join(totals, "grp").select("grp", "e", "df", (F.col("df") * 2 > F.col("members")).alias("common"), F.least("df", F.col("members") - F.col("df")).alias("rarity")), "tally")
+    consensus = materialise(tally.where("common").groupBy("grp").agg(F.collect_list("e").alias("m")), "consensus")
+
+    differs = held.join(consensus, "grp", "left").withColumn("m", F.coalesce("m", F.array().cast("array<long>")))
+    differs = differs.select("grp", "rep", "n", "label", F.size("m").alias("size"), F.concat(F.array_except("set", "m"), F.array_except("m", "set")).alias("d"))
+    differs = materialise(differs.withColumn("s", less * F.col("n") - more * F.size("d")), "differences")
+    centre = materialise(differs.groupBy("grp").agg(F.max(F.struct("s", -F.col("rep"), F.col("rep").alias("c"), F.col("label").alias("of_c"))).alias("x")).select("grp", F.col("x.s").alias("top"), "x.c", "x.of_c"), "centres")
+    rated = differs.join(small_side(centre), "grp")
+    core = F.col("s") + F.col("top") >= 0
+    stars = materialise(rated.where(core & (F.col("label") != F.col("of_c"))).select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct(), "stars")
+
+    # no text of a fitting size has a greater S than this, and no straggler that a member of the core could meet
+    low, high = F.ceil(F.col("n") * percent / 100), F.floor(F.col("n") * 100 / percent)
+    nearest = F.greatest(low, F.least(high, F.col("size")))
+    cap = F.least(F.col("top"), less * nearest - more * F.abs(nearest - F.col("size")))
+    partner = F.when(core, F.least(cap, -F.col("top") - 1)).otherwise(cap)
+    need = F.greatest(F.lit(1), F.ceil(-(F.col("s") + partner) / (2 * more)))
+    held = ["grp", "rep", "n", "label", "core", "s", "need"]
+    open_ = rated.select("grp", "rep", "n", "label", core.alias("core"), "s", need.alias("need"), F.size("d").alias("size"), "d").where("need <= size")
+    each = open_.select(*held, "size", F.explode("d").alias("e")).join(tally.select("grp", "e", "rarity"), ["grp", "e"], "left")
+    ranked = each.withColumn("rank", F.row_number().over(W.partitionBy("grp", "rep").orderBy(F.coalesce("rarity", F.lit(1)), "e")))
+    prefixes = materialise(ranked.where("rank <= size - need + 1 AND rarity > 1").select("e", "size", *held), "prefixes")
+    x, y = (prefixes.select("grp", "e", *[F.col(c).alias(f"{c}_{side}") for c in ("rep", "n", "label", "core", "s", "need", "size")]) for side in "xy")
+    once = F.col("core_y") | (F.col("rep_x") < F.col("rep_y"))
+    shareable = F.col("s_x") + F.col("s_y") + 2 * more * F.least("size_x", "size_y") >= 0
+    met = x.where("NOT core_x").join(y, ["grp", "e"]).where(once & (F.col("label_x") != F.col("label_y")) & shareable & _near_size(F.col("n_x"), F.col("n_y"), percent))
+    # differences behind the prefix that ends first are all that a pair can share besides
+    left = F.max(F.col("s_x") + F.col("s_y") + 2 * more * (F.greatest("need_x", "need_y") - 1))
+    counted = met.groupBy("grp", "rep_x", "rep_y").agg((left + 2 * more * F.count("*")).alias("left")).where("left >= 0")
+    return stars, materialise(counted.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct(), "pairs")
