@@ -290,12 +290,11 @@ def _around_consensus(groups: DataFrame, docs: DataFrame, reps: DataFrame, perce
     open_ = rated.select("grp", "rep", "n", "label", core.alias("core"), "s", need.alias("need"), F.size("d").alias("size"), "d").where("need <= size")
     each = open_.select(*held, "size", F.explode("d").alias("e")).join(tally.select("grp", "e", "rarity"), ["grp", "e"], "left")
     ranked = each.withColumn("rank", F.row_number().over(W.partitionBy("grp", "rep").orderBy(F.coalesce("rarity", F.lit(1)), "e")))
-    prefixes = materialise(ranked.where("rank <= size - need + 1 AND rarity > 1").select("e", "size", *held), "prefixes")
-    x, y = (prefixes.select("grp", "e", *[F.col(c).alias(f"{c}_{side}") for c in ("rep", "n", "label", "core", "s", "need", "size")]) for side in "xy")
+    prefixes = materialise(ranked.where("rank <= size - need + 1 AND rarity > 1").select("e", "size", "rank", *held), "prefixes")
+    x, y = (prefixes.select("grp", "e", *[F.col(c).alias(f"{c}_{side}") for c in ("rep", "n", "label", "core", "s", "size", "rank")]) for side in "xy")
     once = F.col("core_y") | (F.col("rep_x") < F.col("rep_y"))
-    shareable = F.col("s_x") + F.col("s_y") + 2 * more * F.least("size_x", "size_y") >= 0
+    # what this pair must share besides its first common difference comes after that on both sides
+    behind = F.least(F.col("size_x") - F.col("rank_x"), F.col("size_y") - F.col("rank_y"))
+    shareable = F.col("s_x") + F.col("s_y") + 2 * more * (1 + behind) >= 0
     met = x.where("NOT core_x").join(y, ["grp", "e"]).where(once & (F.col("label_x") != F.col("label_y")) & shareable & _near_size(F.col("n_x"), F.col("n_y"), percent))
-    # differences behind the prefix that ends first are all that a pair can share besides
-    left = F.max(F.col("s_x") + F.col("s_y") + 2 * more * (F.greatest("need_x", "need_y") - 1))
-    counted = met.groupBy("grp", "rep_x", "rep_y").agg((left + 2 * more * F.count("*")).alias("left")).where("left >= 0")
-    return stars, materialise(counted.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct(), "pairs")
+    return stars, materialise(met.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct(), "pairs")
