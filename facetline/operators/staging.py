@@ -1,7 +1,8 @@
 """Shared staging folder and size-checked broadcasts.
 
 Intermediate tables that cut lineage are Parquet folders below ``spark.checkpoint.dir``, the folder that a
-cluster shares between its executors, so a lost executor costs a re-read and nothing else.
+cluster shares between its executors, so a lost executor costs a re-read and nothing else. They go when the
+application ends.
 """
 
 from __future__ import annotations
@@ -9,35 +10,58 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows up to which a checked side may be broadcast; wide enough for ids, far below executor memory.
-BROADCAST_ROWS = 2_000_000
+#: Bytes up to which a checked side may be broadcast, far below executor memory; bytes that a column takes at least.
+BROADCAST_BYTES, COLUMN_BYTES = 48_000_000, 16
 
-_unset: list[str] = []
+_folders: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder. Where the setting is missing (tests), a folder of this process."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not _unset:
-        _unset.append(tempfile.mkdtemp(prefix="facetline-"))
-    return f"file://{_unset[0]}"
+    """This application's folder below the cluster's shared one. Where that is not set, a local folder, on a local master only."""
+    context = spark.sparkContext
+    if context.applicationId not in _folders:
+        found = context.getConf().get("spark.checkpoint.dir", None)
+        if not found and not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = found.rstrip("/") if found else f"file://{tempfile.mkdtemp(prefix='facetline-')}"
+        path = context._jvm.org.apache.hadoop.fs.Path(f"{base}/facetline-{context.applicationId}")
+        path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+        _folders[context.applicationId] = path.toString()
+    return _folders[context.applicationId]
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return a reader of it. Empty frames keep their schema."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows; beyond, Spark shuffles it as usual.
+def _variable(df: DataFrame) -> list[Column]:
+    """Bytes of the columns whose width follows their values."""
+    out = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.StringType | T.BinaryType):
+            out.append(F.octet_length(c))
+        elif isinstance(f.dataType, T.ArrayType | T.MapType | T.StructType):
+            out.append(F.octet_length(F.to_json(F.struct(c))))
+    return out
 
-    Give it a materialised frame: it is counted here and read again by the join.
+
+def small_side(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if its values take at most ``most`` bytes; beyond, Spark shuffles it as usual.
+
+    Give it a materialised frame: it is measured here and read again by the join.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    width = COLUMN_BYTES * len(df.columns)
+    rows = most // width
+    total = F.lit(0)
+    for c in _variable(df):
+        total = total + F.coalesce(c, F.lit(0))
+    n, more = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(total.cast("long")), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and n * width + more <= most else df
