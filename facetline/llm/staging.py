@@ -7,9 +7,9 @@ import ctypes
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from facetline.operators.staging import BROADCAST_ROWS, materialise, shared_dir, small_side
+from facetline.operators.staging import materialise, shared_dir, small_side
 
-__all__ = ["BROADCAST_ROWS", "in_batches", "materialise", "shared_dir", "small_side"]
+__all__ = ["in_batches", "materialise", "shared_dir", "small_side"]
 
 #: Bytes of a batch of texts that goes to a Python worker; one row at least.
 BATCH_BYTES = "4m"
