@@ -16,14 +16,16 @@ go to the language that sorts first; an empty table gives an empty table; withou
 from __future__ import annotations
 
 import re
+import sys
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from facetline.llm.staging import in_batches
+from facetline.llm.staging import in_batches, materialise
 
 #: Labelled documents per language that training reads at most, those with the smallest hash of their id.
 SAMPLE_DOCS = 800
@@ -52,7 +54,9 @@ SCRIPTS = {
 OTHER = "other"
 SCRIPT_NAMES = [*SCRIPTS, OTHER]
 
-_WORD = re.compile(r"[^\W\d_]+")
+#: Numerals that the word class of patterns takes for letters, such as fractions and Roman ones.
+_NUMERALS = "".join(c for c in map(chr, range(0xB2, sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha())
+_WORD = re.compile(rf"[^\W\d_{_NUMERALS}]+")
 
 
 _EDGES = sorted((first, last, i) for i, ranges in enumerate(SCRIPTS.values()) for first, last in ranges)
@@ -83,22 +87,16 @@ class Model:
 def train(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Model:
     """Counts over at most ``sample_docs`` documents for each language, of the rows where ``may_learn`` holds.
 
-    The sample is a top-k by hash of id for each language and its rows join back to their texts; the driver gets
-    one row per language and slot.
+    The sample is a top-k by hash of id for each language, all rows of the last id included; the driver gets one row
+    per language and slot.
     """
     labelled = docs.where(may_learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    names = [r[0] for r in labelled.select(lang_col).distinct().limit(1000).collect()]
-    languages = sorted(n for n in names if n != UND)
+    ranked = labelled.where(F.col(lang_col) != UND).select(F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h")).withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("h")))
+    bounds = materialise(ranked.where(F.col("rank") <= sample_docs).groupBy("lang").agg(F.max("h").alias("bound")), "language-samples")
+    languages = sorted(r.lang for r in bounds.select("lang").collect())
     if not languages:
         return Model([], np.zeros((SLOTS, 0)), np.zeros((len(SCRIPT_NAMES), 0), bool))
-    order = F.xxhash64(id_col)
-    bounds = {}
-    for name in languages:
-        top = labelled.where(F.col(lang_col) == name).select(order.alias("h")).orderBy("h").limit(sample_docs)
-        bounds[name] = top.agg(F.max("h")).first()[0]
-    chosen = F.lit(False)
-    for name, bound in bounds.items():
-        chosen = chosen | ((F.col(lang_col) == name) & (order <= bound))
+    chosen = labelled.join(F.broadcast(bounds), labelled[lang_col] == bounds["lang"]).where(F.xxhash64(id_col) <= F.col("bound")).select(bounds["lang"], F.col(text_col).alias("text"))
 
     def count(batches):
         counts, scripts = {}, {}
@@ -114,7 +112,7 @@ def train(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col:
             at = np.flatnonzero(both)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(both[at])], ["lang", "slot", "n"])
 
-    sums = in_batches(labelled.where(chosen).select(lang_col, text_col), count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
+    sums = in_batches(chosen, count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
     table = np.zeros((SLOTS + len(SCRIPT_NAMES), len(languages)))
     table[sums["slot"].to_numpy(), sums["lang"].map(languages.index).to_numpy(int)] = sums["n"]
     grams, scripts = table[:SLOTS] + 0.5, table[SLOTS:]
@@ -168,20 +166,20 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) ->
     order = np.argsort(-lengths, kind="stable")
     starts, lengths = starts[order], lengths[order]
     running = np.searchsorted(-lengths, -np.arange(1, (lengths[0] if len(lengths) else 0) + 1), side="right")
-    back = np.zeros((total, n_lang), np.int8)
+    back = np.zeros((total, n_lang), np.int16)
     best = np.zeros((len(lengths), n_lang), np.float32)
-    own = np.arange(n_lang, dtype=np.int8)
+    own = np.arange(n_lang, dtype=np.int16)
     for t, n in enumerate(running):
         v, at = best[:n], starts[:n] + t
         if t:
             top = v.argmax(axis=1)
             moved = v[np.arange(n), top][:, None] - switch
             stays = v >= moved
-            back[at] = np.where(stays, own, top[:, None].astype(np.int8))
+            back[at] = np.where(stays, own, top[:, None].astype(np.int16))
             v = np.where(stays, v, moved)
         best[:n] = v + scores[at]
-    labels = np.zeros(total, np.int8)
-    now = best.argmax(axis=1).astype(np.int8) if len(lengths) else np.zeros(0, np.int8)
+    labels = np.zeros(total, np.int16)
+    now = best.argmax(axis=1).astype(np.int16) if len(lengths) else np.zeros(0, np.int16)
     for t in range(len(running) - 1, -1, -1):
         n = running[t]
         at = starts[:n] + t
@@ -224,7 +222,7 @@ def _label(ids: pa.Array, texts: list[str], model: Model, table: WordScores, spa
     flat = [w for own in words for w in own]
     n_lang = max(1, len(model.languages))
     share, sure = np.zeros((len(texts), n_lang)), np.zeros((len(texts), n_lang))
-    labels = np.zeros(0, np.int8)
+    labels = np.zeros(0, np.int16)
     if flat:
         scores, letters = table.of(flat)
         filled = np.flatnonzero(lengths)

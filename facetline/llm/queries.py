@@ -52,17 +52,22 @@ def fold(id_col: Column, folds: int) -> Column:
     return F.crc32(id_col.cast("string")) % folds
 
 
+def is_held_out(id_col: Column, folds: int, remainder: int) -> Column:
+    """Whether nothing is learned from a row; nothing is from a row without an id."""
+    return F.coalesce(fold(id_col, folds) == remainder, F.lit(True))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     stats = staging.materialise(quality.statistics_table(docs), "statistics")
-    held_out = fold(F.col("id"), 4) == 2
+    held_out = is_held_out(F.col("id"), 4, 2)
     scored = quality.score(stats, quality.train(stats, labels, ~held_out))
     return scored.select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    held_out = fold(F.col("doc_id"), 3) == 1
+    held_out = is_held_out(F.col("doc_id"), 3, 1)
     found = langid.identify(docs, langid.train(docs, ~held_out))
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
@@ -123,11 +128,11 @@ _BASE32 = " || ".join(
 )
 
 OP9_SQL = f"""
-WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS sha FROM pages WHERE page_id IS NOT NULL),
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS sha FROM pages),
 g AS (SELECT page_id, strlen(payload)::BIGINT AS payload_bytes, sha, max(page_id) OVER (PARTITION BY payload) AS response FROM p)
 SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
-       CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id <> response THEN response END AS refers_to
+       CASE WHEN page_id IS NOT DISTINCT FROM response THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM response THEN response END AS refers_to
 FROM g
 """
 
