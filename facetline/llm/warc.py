@@ -9,7 +9,8 @@ only its own volumes; ``save_volumes`` puts them into a folder as files.
 
 Cases: a null payload is empty, and empty payloads are equal payloads; a null url is an empty target; repeated
 rows with one id are each written, as responses or revisits like their id; payloads of any length are whole;
-rows with a null id get no record, as there is no record id to give them; an empty table gives no volume and no
+a row with a null id has a record whose id names no page, and is a response only if no row with its payload has an
+id; an empty table gives no volume and no
 rows. Only the three named columns are read, so other columns cannot clash.
 """
 
@@ -37,11 +38,11 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int) -> str:
-    return f"<urn:page:{page_id}>"
+def record_id(page_id: int | None) -> str:
+    return f"<urn:page:{'' if page_id is None else page_id}>"
 
 
-def format_record(page_id: int, url: str, payload: bytes, refers_to: int | None) -> bytes:
+def format_record(page_id: int | None, url: str, payload: bytes, refers_to: int | None) -> bytes:
     """One WARC/1.1 record, with its two blank lines at the end."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + (payload if refers_to is None else b"")
@@ -125,11 +126,11 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id"
 
     Of records with equal payloads of at least ``min_bytes`` bytes the one with the largest id is the response.
     """
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload")).where("id IS NOT NULL")
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
     keyed = rows.withColumns({"digest": F.unhex(F.sha1("payload")), "size": F.octet_length("payload")})
-    groups = keyed.where(F.col("size") >= min_bytes).groupBy("digest", "size").agg(F.max("id").alias("first"), F.min("id").alias("last")).where("first <> last")
-    repeated = materialise(groups.drop("last"), "payload-groups")
-    linked = keyed.join(small_side(repeated), ["digest", "size"], "left").select("id", "url", "payload", F.when(F.col("first") != F.col("id"), F.col("first")).alias("refers_to"))
+    groups = keyed.where(F.col("size") >= min_bytes).groupBy("digest", "size").agg(F.max("id").alias("first"), F.min("id").alias("last"), F.count("*").alias("rows"), F.count("id").alias("known")).where("first <> last OR known < rows AND known > 0")
+    repeated = materialise(groups.drop("last", "rows", "known"), "payload-groups")
+    linked = keyed.join(small_side(repeated), ["digest", "size"], "left").select("id", "url", "payload", F.when(~F.col("first").eqNullSafe(F.col("id")), F.col("first")).alias("refers_to"))
 
     def run(batches):
         held, size = [], 0
@@ -159,7 +160,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
     def run(batches):
         names = ["page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload"]
         kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
-        page = lambda x: int(x.removeprefix("<urn:page:").removesuffix(">"))
+        page = lambda x: int(own) if (own := x.removeprefix("<urn:page:").removesuffix(">")) else None
 
         def out(rows):
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
