@@ -27,6 +27,8 @@ from facetline.llm.staging import in_batches, materialise
 FEATURES, GAMMA, RIDGE, SEED = 256, 0.04, 1e-4, 11
 #: Bins of the raw score for calibration, and the share of training rows that calibrate (one in so many).
 BINS, CALIBRATE = 1024, 4
+#: Parts of the normal equations that are added at a time.
+PARTS, NORMAL = 256, "row long, task long, n long, part array<double>"
 
 STATISTICS = [
     "log_bytes", "log_words", "log_lines", "word_length", "words_per_line", "upper", "lower", "digit", "space", "high",
@@ -135,6 +137,8 @@ def train(stats: DataFrame, labels: DataFrame, may_learn: Column, id_col: str =
 
     def normal(batches):
         """The task's part of the normal equations, one row for each row of the matrix."""
+        from pyspark import TaskContext
+
         total, count = np.zeros((FEATURES + 1, FEATURES + 2)), 0
         for batch in batches:
             if batch.num_rows:
@@ -144,14 +148,17 @@ def train(stats: DataFrame, labels: DataFrame, may_learn: Column, id_col: str =
         if count:
             flat = pa.array(total.reshape(-1))
             held = pa.ListArray.from_arrays(pa.array(np.arange(FEATURES + 2, dtype=np.int32) * (FEATURES + 2)), flat)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(FEATURES + 1)), pa.array([count] * (FEATURES + 1), pa.int64()), held], ["row", "n", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(FEATURES + 1)), pa.array([TaskContext.get().partitionId()] * (FEATURES + 1), pa.int64()), pa.array([count] * (FEATURES + 1), pa.int64()), held], ["row", "task", "n", "part"])
 
     def added(key, table):
         parts = sorted((tuple(p), n) for p, n in zip(table.column("part").to_pylist(), table.column("n").to_pylist(), strict=True))
-        return pa.table({"row": pa.array([key[0].as_py()]), "n": pa.array([sum(n for _, n in parts)]), "part": pa.array([np.sum([p for p, _ in parts], axis=0)], pa.list_(pa.float64()))})
+        return pa.table({"row": pa.array([key[0].as_py()]), "task": pa.array([key[1].as_py()], pa.int64()), "n": pa.array([sum(n for _, n in parts)]), "part": pa.array([np.sum([p for p, _ in parts], axis=0)], pa.list_(pa.float64()))})
 
-    fit = in_batches(rows.where("NOT calibrates").select("stats", "y"), normal, "row long, n long, part array<double>")
-    solved = fit.groupBy("row").applyInArrow(added, "row long, n long, part array<double>").orderBy("row").collect()
+    fit = in_batches(rows.where("NOT calibrates").select("stats", "y"), normal, NORMAL)
+    # a tree: the parts of neighbouring tasks first, so no group grows with the number of tasks
+    for width in (PARTS, PARTS, None):
+        fit = fit.withColumn("task", F.lit(0).cast("long") if width is None else F.floor(F.col("task") / width)).groupBy("row", "task").applyInArrow(added, NORMAL)
+    solved = fit.orderBy("row").collect()
     if not solved:
         return Model(mean, model.scale, np.zeros(0), base, np.zeros(1), np.zeros(1))
     matrix = np.array([r["part"] for r in solved])
