@@ -10,7 +10,7 @@ Equal texts are one group and stay in one shard as long as that meets the tolera
 the tolerance allows is split by id, so a hot group spreads over shards instead of swelling one.
 
 Cases: a null text has 0 bytes, so size 8, and counts as the empty text; a null id sorts first; repeated rows
-take slots of their own; an empty table gives an empty table; one row that is larger than the tolerance leaves
+take slots of their own, and rows with one text and id are ordered by their other columns; an empty table gives an empty table; one row that is larger than the tolerance leaves
 its splitter at the nearer of its two sides.
 """
 
@@ -140,8 +140,8 @@ def shard(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str
     own = "_"
     while any(c.startswith(own) for c in docs.columns):
         own += "_"
-    size, key, order, at = (f"{own}{x}" for x in ("size", "key", "ord", "range"))
-    keyed = docs.withColumns({size: text_size(F.col(text_col)), key: text_key(F.col(text_col)), order: F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**62)))})
+    size, key, order, at, tie = (f"{own}{x}" for x in ("size", "key", "ord", "range", "tie"))
+    keyed = docs.withColumns({size: text_size(F.col(text_col)), key: text_key(F.col(text_col)), order: F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**62))), tie: F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])))})
     counted = materialise(keyed.select(F.col(size).alias("size"), F.col(key).alias("key"), F.col(order).alias("ord")), "shard-keys")
     n, total = counted.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     parts = max(1, min(MAX_RANGES // n_shards, -(-n // (n_shards * range_rows))))
@@ -150,7 +150,7 @@ def shard(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str
     splitters = find_splitters(counted, cuts)
     starts = [0, *(s[2] for s in splitters)]
     offsets = F.array(*[F.lit(starts[i] - starts[i - i % parts]).cast("long") for i in range(len(starts))])
-    in_range = F.row_number().over(W.partitionBy(at).orderBy(key, order)).cast("long") - 1
+    in_range = F.row_number().over(W.partitionBy(at).orderBy(key, order, tie)).cast("long") - 1
     placed = keyed.withColumn(at, _range_of(splitters, F.col(key), F.col(order)))
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot")]
     return placed.select(*kept, F.floor(F.col(at) / parts).cast("int").alias("shard"), (in_range + F.element_at(offsets, F.col(at) + 1)).alias("slot"))
