@@ -8,8 +8,8 @@ length: some stretch of it, at least ``LEAST`` words or the whole item, must hav
 Only DataFrame functions are used. The seeds of the benchmark are broadcast if a count shows them to be few, so
 that the training texts are scanned without a shuffle; beyond that Spark shuffles narrow hash rows.
 
-Cases: null and empty texts have no hits; an item or text with fewer words than the shortest mask spans cannot be
-matched; texts are taken whole; repeated rows, and rows that share an id, give one row per (id, item); rows with
+Cases: null and empty texts have no hits; an item with fewer words than the shortest mask spans must occur as it is;
+a text with fewer words than that matches such items only; texts are taken whole; repeated rows, and rows that share an id, give one row per (id, item); rows with
 a null id on either side are ignored; empty tables give an empty table. Only the named columns are read, so
 other columns cannot clash.
 """
@@ -33,13 +33,11 @@ def words_of(text: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")), " ")
 
 
-def seeds(rows: DataFrame, id_col: str, text_col: str, masks: tuple[str, ...] = MASKS) -> DataFrame:
-    """id, pos, seed: the hash of every mask at every position where it fits."""
+def seeds(rows: DataFrame, id_col: str, text_col: str, masks: tuple[str, ...] = MASKS, whole: tuple[str, ...] = ()) -> DataFrame:
+    """id, pos, seed: the hash of every mask at every position where it fits; of every mask in ``whole`` where it is all of the row."""
     words = F.col("words")
-    hashed = [
-        F.when(F.col("pos") + len(m) <= F.size(words), F.xxhash64(F.lit(i), *[F.get(words, F.col("pos") + j) for j, c in enumerate(m) if c == "1"]))
-        for i, m in enumerate(masks)
-    ]
+    fits = lambda m: F.size(words) == len(m) if m in whole else F.col("pos") + len(m) <= F.size(words)
+    hashed = [F.when(fits(m), F.xxhash64(F.lit(m), *[F.get(words, F.col("pos") + j) for j, c in enumerate(m) if c == "1"])) for m in masks]
     held = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("words"))
     at = held.select("id", "words", F.posexplode("words").alias("pos", "word"))
     return at.select("id", "pos", F.explode(F.array(*hashed)).alias("seed")).where("seed IS NOT NULL")
@@ -48,8 +46,12 @@ def seeds(rows: DataFrame, id_col: str, text_col: str, masks: tuple[str, ...] =
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", masks: tuple[str, ...] = MASKS, least: int = LEAST, share: float = SHARE) -> DataFrame:
     """One row per contaminated document and item, of its best stretch: id_col, item_col, overlap_words (its length),
     equal_words, doc_start and item_start (word positions)."""
-    test = materialise(seeds(benchmark, item_col, item_text_col, masks).select(F.col("id").alias("item"), F.col("pos").alias("item_pos"), "seed"), "benchmark-seeds")
-    hits = seeds(docs, id_col, text_col, masks).join(small_side(test), "seed")
+    item_size = F.size(words_of(F.col(item_text_col)))
+    short = benchmark.where(F.col(item_col).isNotNull() & (words_of(F.col(item_text_col))[0] != "") & (item_size < min(map(len, masks)))).select(item_size.alias("n")).distinct()
+    # fewer numbers than the shortest mask has positions
+    whole = tuple("1" * r.n for r in short.orderBy("n").collect())
+    test = materialise(seeds(benchmark, item_col, item_text_col, masks + whole, whole).select(F.col("id").alias("item"), F.col("pos").alias("item_pos"), "seed"), "benchmark-seeds")
+    hits = seeds(docs, id_col, text_col, masks + whole).join(small_side(test), "seed")
     diagonals = hits.select(F.col("id").alias("doc"), "item", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
     diagonals = materialise(diagonals, "diagonals")
 
