@@ -1,6 +1,7 @@
 """License scan: Dice coefficient over word bigrams between units of a text and license templates.
 
-Units are the lines of a text and its blocks (lines between blank lines, where a block has several lines). Both
+Units are the lines of a text, its blocks (lines between blank lines, where a block has several lines) and the whole
+text where it has several parts, for full licence texts. Both
 sides are lower-cased runs of letters and digits, as sets of distinct word bigrams. A template is a candidate for
 a unit only if their set sizes allow the wanted coefficient, and only if they share enough bigrams: those of the
 few templates are looked up by hash while the texts are scanned, so hardly a unit is compared with a template in
@@ -55,6 +56,42 @@ TEMPLATES = {
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
 
+# Whole licence texts, without their titles and copyright lines.
+BSD_WARRANTY = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+BSD_CONDITIONS = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+ISC_WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+FULL_TEXTS = {
+    "MIT": "\n\n".join(TEMPLATES["MIT"][3:]),
+    "BSD-2-Clause": BSD_CONDITIONS + "\n\n" + BSD_WARRANTY,
+    "BSD-3-Clause": BSD_CONDITIONS + "\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n" + BSD_WARRANTY,
+    "ISC": TEMPLATES["ISC"][0] + "\n\n" + ISC_WARRANTY,
+    "0BSD": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\n" + ISC_WARRANTY,
+    "Apache-2.0": "\n\n".join(TEMPLATES["Apache-2.0"][1:]),
+    "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "BSL-1.0": """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+}
+for _name, _text in FULL_TEXTS.items():
+    TEMPLATES[_name] = [*TEMPLATES.get(_name, []), _text]
+
 
 def words_of(text: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), " ")
@@ -71,15 +108,15 @@ def _once(value: Column, name: str) -> Column:
 
 
 def template_grams(spark: SparkSession, templates: dict[str, list[str]], least: float) -> DataFrame:
-    """license, template (number), size, lo and hi (sizes of units it can match), gram: as many rows as the templates have bigrams."""
+    """license, template (number), size, lo (the least size of a unit that it can match, and the fewest common bigrams), gram: as many rows as the templates have bigrams."""
     rows = [(name, i, text) for name, texts in sorted(templates.items()) for i, text in enumerate(texts)]
     held = spark.createDataFrame(rows, "license string, template int, text string").select("license", "template", _once(words_of(F.col("text")), "words"))
     sized = held.where(F.size("words") > 1).select("license", "template", _once(bigrams(F.col("words")), "grams")).withColumn("size", F.size("grams"))
-    return sized.select("license", "template", "size", (F.col("size") * least / (2 - least)).alias("lo"), (F.col("size") * (2 - least) / least).alias("hi"), F.explode("grams").alias("gram"))
+    return sized.select("license", "template", "size", (F.col("size") * least / (2 - least) - 1e-6).alias("lo"), F.explode("grams").alias("gram"))
 
 
 def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, unit ('line' or 'block'), unit_no (from 0), license, template, dice: the best template of each license for each unit, at ``least`` or more."""
+    """id_col, unit ('line', 'block' or 'text'), unit_no (from 0), license, template, dice: the best template of each license for each unit, at ``least`` or more."""
     templates = TEMPLATES if templates is None else templates
     grams = template_grams(docs.sparkSession, templates, least)
 
@@ -87,8 +124,10 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, least:
     lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(F.lit("line").alias("unit"), i.alias("unit_no"), x.alias("text")))
     blocks = F.filter(F.transform(F.split(text, r"\n[ \t\r]*\n"), lambda x, i: F.struct(F.lit("block").alias("unit"), i.alias("unit_no"), x.alias("text"))), lambda x: F.contains(x["text"], F.lit("\n")))
 
+    entire = F.when(F.regexp_like(text, F.lit(r"\n[ \t\r]*\n")), F.array(F.struct(F.lit("text").alias("unit"), F.lit(0).alias("unit_no"), text.alias("text")))).otherwise(F.array())
+
     def units(rows: DataFrame) -> DataFrame:
-        split = rows.select(F.col(id_col).alias("id"), F.explode(F.concat(lines, blocks)).alias("u")).select("id", "u.unit", "u.unit_no", _once(words_of(F.col("u.text")), "words"))
+        split = rows.select(F.col(id_col).alias("id"), F.explode(F.concat(lines, blocks, entire)).alias("u")).select("id", "u.unit", "u.unit_no", _once(words_of(F.col("u.text")), "words"))
         return split.where(F.size("words") > 1)
 
     # a pair with the wanted coefficient shares at least lo of the template's bigrams; counted with repeats, which only adds

@@ -105,20 +105,23 @@ def _dice(unit, template):
 
 def test_license_scan_equals_brute_force(spark, awkward, nothing):
     mit = license_scan.TEMPLATES["MIT"][3]
-    rows = [(1, "intro\nReleased under the MIT License.\n\nmore", "x"), (2, mit.replace("free of charge", "gratis"), "x"), (3, mit[:200] + "\n" + mit[200:] + "\n\nother", "x"), (4, "released UNDER the mit licence!", "x"), (5, None, "x"), (6, "", "x"), (None, mit, "x")]
+    rows = [(1, "intro\nReleased under the MIT License.\n\nmore", "x"), (2, mit.replace("free of charge", "gratis"), "x"), (3, mit[:200] + "\n" + mit[200:] + "\n\nother", "x"), (4, "released UNDER the mit licence!", "x"), (5, None, "x"), (6, "", "x"), (None, mit, "x"),
+            (7, "Copyright (c) 2020 A. Person\n\n" + license_scan.FULL_TEXTS["MIT"], "x"), (8, license_scan.FULL_TEXTS["BSD-3-Clause"], "x"), (8, license_scan.FULL_TEXTS["BSD-3-Clause"], "x"), (9, "licensed under cc by nc", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, license string")
     got = {(r.doc_id, r.unit, r.unit_no, r.license): r.dice for r in license_scan.scan(docs).collect()}
     want = {}
     for doc, text, _ in rows:
         lines = [("line", i, x) for i, x in enumerate((text or "").split("\n"))]
         blocks = [("block", i, x) for i, x in enumerate(regex.split(r"\n[ \t\r]*\n", text or "")) if "\n" in x]
-        for unit, i, x in lines + blocks if doc is not None else []:
+        parts = [("text", 0, text)] if regex.search(r"\n[ \t\r]*\n", text or "") else []
+        for unit, i, x in lines + blocks + parts if doc is not None else []:
             for name, templates in license_scan.TEMPLATES.items():
                 best = max(_dice(x, t) for t in templates)
                 if best >= license_scan.LEAST:
                     want[doc, unit, i, name] = best
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in want)
-    assert {k[0] for k in want} == {1, 2, 3}
+    assert {k[0] for k in want} == {1, 2, 3, 7, 8, 9} and want[9, "line", 0, "CC-BY-NC-4.0"] == 0.8
+    assert {(7, "text", 0, "MIT"), (8, "text", 0, "BSD-3-Clause"), (8, "text", 0, "BSD-2-Clause")} <= want.keys() and want[8, "text", 0, "BSD-3-Clause"] == 1
     assert license_scan.scan(awkward).count() == 0 and license_scan.scan(nothing).count() == 0
 
 
@@ -186,12 +189,12 @@ def test_search_is_exact(spark, awkward, nothing):
 
 def test_search_asks_whole_texts(spark):
     rng = random.Random(3)
-    rows = [(i, " ".join({f"w{int(rng.paretovariate(0.5)) % 900}" for _ in range(rng.choice((20, 500)))})) for i in range(200)]
+    rows = [(i, " ".join({f"w{int(rng.paretovariate(0.5)) % 900}" for _ in range(rng.choice((6, 20, 500)))})) for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
     index = bm25.build_index(docs)
     asked = bm25.document_queries(docs.where("doc_id < 20"), index)
     sizes = {r.query: r["count"] for r in asked.groupBy("query").count().collect()}
-    assert sizes == {i: len(t.split()) for i, t in rows[:20]} and min(sizes.values()) <= bm25.LONG_QUERY < max(sizes.values())
+    assert sizes == {i: len(t.split()) for i, t in rows[:20]} and min(sizes.values()) <= bm25.SHORT_QUERY < max(sizes.values())
     got = defaultdict(list)
     for r in bm25.search(index, asked, k=5).orderBy("query", "rank").collect():
         got[r.query].append((-round(r.score * bm25.UNIT), r.doc_id))
@@ -203,6 +206,26 @@ def test_search_asks_whole_texts(spark):
         assert got[q] == sorted((-sum(rate(t, len(texts[d])) for t in c), d) for d, c in common.items() if c)[:5]
 
 
+def test_op5_equals_floating_bm25(spark):
+    """The query on the driver table against plain BM25 of every document, for a part of its queries."""
+    found = defaultdict(dict)
+    for r in queries.op5_top_k_search(spark, SF).collect():
+        found[r.query_id][r.rank] = (r.doc_id, r.score)
+    rows = [(r.doc_id, bm25.terms_of(r.text)) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    n, mean = len(rows), sum(len(t) for _, t in rows) / len(rows)
+    counts = [(d, Counter(t), len(t)) for d, t in rows]
+    df = Counter(t for _, c, _ in counts for t in c)
+    asked = [(d, c) for d, c, size in counts if d % 100 == 0 and size]
+    assert asked and set(found) == {d for d, _ in asked}
+    for q, terms in asked:
+        scores = {d: sum(m * bm25.idf(df[t], n) * c[t] * (bm25.K1 + 1) / (c[t] + bm25.K1 * (1 - bm25.B + bm25.B * size / mean)) for t, m in terms.items() if t in c) for d, c, size in counts}
+        scores = {d: s for d, s in scores.items() if s > 0}
+        best = sorted(scores.values(), reverse=True)[:10]
+        assert sorted(found[q]) == list(range(1, len(best) + 1))
+        for rank, (doc, score) in found[q].items():
+            assert abs(score - best[rank - 1]) < 0.01 and abs(score - scores[doc]) < 0.01
+
+
 def test_decontamination_tolerates_substitutions(spark, awkward, nothing):
     rng = random.Random(4)
     vocabulary = [f"word{i}" for i in range(4000)]
@@ -228,6 +251,13 @@ def test_decontamination_tolerates_substitutions(spark, awkward, nothing):
     assert decontaminate.decontaminate(awkward, tests).count() == awkward.count()
 
 
+def test_decontamination_short_items_occur_whole(spark):
+    items = spark.createDataFrame([(1, "Alpha beta gamma!"), (2, "one two three four five six seven"), (3, ""), (4, None), (5, "single")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "so alpha, beta; gamma it is"), (2, "alpha beta delta"), (3, "one two three four five six seven"), (4, "one two three four five six"), (5, None), (6, ""), (7, "a single word"), (7, "a single word")], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.overlap_words, r.doc_start) for r in decontaminate.overlaps(docs, items).collect()}
+    assert got == {(1, 1): (3, 1), (3, 2): (7, 0), (7, 5): (1, 1)}
+
+
 def test_decontamination_finds_parts_of_items(spark):
     rng = random.Random(6)
     text = lambda n: [f"w{rng.randrange(100_000)}" for _ in range(n)]
@@ -367,7 +397,7 @@ def test_warc_round_trip(spark, tmp_path):
     pages = spark.createDataFrame([(*p, "x") for p in PAGES], "page_id long, url string, html string, digest string")
     archives = warc.write_archives(pages)
     rows = {r.page_id: r for r in warc.read_archives(archives).collect()}
-    assert rows.keys() == {1, 2, 3, 4, 5, 6}
+    assert rows.keys() == {None, 1, 2, 3, 4, 5, 6}
     for page, _, html in PAGES:
         if page is not None:
             data = (html or "").encode()
