@@ -38,7 +38,7 @@ def seeds(rows: DataFrame, id_col: str, text_col: str, masks: tuple[str, ...] =
     words = F.col("words")
     fits = lambda m: F.size(words) == len(m) if m in whole else F.col("pos") + len(m) <= F.size(words)
     hashed = [F.when(fits(m), F.xxhash64(F.lit(m), *[F.get(words, F.col("pos") + j) for j, c in enumerate(m) if c == "1"])) for m in masks]
-    held = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("words"))
+    held = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("words")).where(F.col("words")[0] != "")
     at = held.select("id", "words", F.posexplode("words").alias("pos", "word"))
     return at.select("id", "pos", F.explode(F.array(*hashed)).alias("seed")).where("seed IS NOT NULL")
 
