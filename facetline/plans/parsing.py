@@ -5,15 +5,22 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from facetline.operators import serving as S
 from facetline.plans import entities as N
 from facetline.sources import python_facts as PY
 from facetline.sources import script_facts as JS
 
 
+#: Ids whose symbols of one path share a file.
+FILE_IDS = 1000
+
+
 def _numbered(spark, d):
     """Symbols with their place k in their file, and one symbol that each calls (the next of the file)."""
+    # more symbols are more files, not longer ones
+    held = N.symbols(spark, d).withColumn("path", F.concat("path", F.lit("."), F.floor(F.col("id") / FILE_IDS).cast("string")))
     w = W.partitionBy("path").orderBy("id")
-    return N.symbols(spark, d).select("path", "id", "qual", "kind", F.row_number().over(w).alias("k"), F.lead("qual").over(w).alias("next"))
+    return held.select("path", "id", "qual", "kind", F.row_number().over(w).alias("k"), F.lead("qual").over(w).alias("next"))
 
 
 def python_files(spark, d):
@@ -65,6 +72,63 @@ def script_calls(spark, d):
     return JS.calls(JS.code_lines(script_files(spark, d)))
 
 
+CLASS_TEXT = """/* note: don't
+  { */ import { a } from './a';
+const s = '{ // not';
+export class NAME extends lib.Base<T> implements Other {
+  static count = 0;
+  constructor(private repo: Repo, public readonly name?: string, plain: number) {
+    super("}");
+  }
+  load = async (x) => {
+    return x;
+  };
+  async find(
+    id: string): Promise<void> {
+    if (id) { this.load(id); }
+  }
+}
+const api_NAME = {
+  get: () => 1,
+  post(a) { return a; },
+};
+const data_NAME = {
+  size: 1,
+};
+NAME.Item = api_NAME;"""
+#: Lines of the text.
+CLASS_LINES = CLASS_TEXT.count("\n") + 1
+
+
+def class_files(spark, d):
+    """path, content: a class with members, object literals, comments and strings for each symbol of a file."""
+    rows = _numbered(spark, d).select("path", "k", F.replace(F.lit(CLASS_TEXT), F.lit("NAME"), F.col("qual")).alias("text"))
+    return rows.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]), "\n").alias("content"))
+
+
+def script_members(spark, d):
+    return JS.symbols(JS.code_lines(class_files(spark, d)))
+
+
+def script_bases(spark, d):
+    return JS.bases(JS.code_lines(class_files(spark, d)))
+
+
+def script_parameters(spark, d):
+    return JS.accessor_parameters(JS.code_lines(class_files(spark, d)))
+
+
+def script_static_members(spark, d):
+    return JS.static_members(JS.code_lines(class_files(spark, d)))
+
+
+def call_sites(spark, d):
+    """The lines from which callers reach a symbol: the first line of each edge, else the caller's first."""
+    owners = _numbered(spark, d).select("id", "path", F.lit(1).alias("start"))
+    text = python_files(spark, d).select("path", F.posexplode(F.split("content", "\n")).alias("n", "text")).select("path", (F.col("n") + 1).alias("line"), "text")
+    return S.call_sites(N.edges(spark, d), owners, text)
+
+
 QUERIES = {
     "tf1_python_symbols": python_symbols,
     "tf3_python_modules": python_modules,
@@ -72,11 +136,16 @@ QUERIES = {
     "tf6_python_locals": python_locals,
     "tf10_script_symbols": script_symbols,
     "tf16_script_imports": script_imports,
+    "tf10_script_members": script_members,
+    "tf11_script_bases": script_bases,
+    "tf12_script_parameters": script_parameters,
+    "tf14_script_static_members": script_static_members,
+    "jn25_call_sites": call_sites,
     "tf13_script_exports": script_exports,
     "tf15_script_calls": script_calls,
 }
 
-BASE = f"WITH {N.SYMBOLS}, k AS (SELECT path, id, qual, kind, row_number() OVER w AS k, lead(qual) OVER w AS nxt FROM symbols WINDOW w AS (PARTITION BY path ORDER BY id)), good AS (SELECT * FROM k WHERE NOT contains(path, '/brand7/'))"
+BASE = f"WITH {N.SYMBOLS}, k AS (SELECT path, id, qual, kind, row_number() OVER w AS k, lead(qual) OVER w AS nxt FROM (SELECT * REPLACE (path || '.' || (id // {FILE_IDS}) AS path) FROM symbols) q WINDOW w AS (PARTITION BY path ORDER BY id)), good AS (SELECT * FROM k WHERE NOT contains(path, '/brand7/'))"
 
 ORACLES = {
     "tf1_python_symbols": f"{BASE} SELECT path, qual AS name, CASE kind WHEN 'class' THEN 'class' ELSE 'function' END AS kind, 3 * k - 2 AS start, 3 * k - 1 AS \"end\" FROM good",
@@ -87,4 +156,14 @@ ORACLES = {
     "tf16_script_imports": f"{BASE} SELECT path, unnest(['Def', 'one', 'three']) AS local, './m' || k AS module, unnest(['default', 'one', 'two']) AS name FROM k",
     "tf13_script_exports": f"{BASE} SELECT path, qual AS exported, qual AS local FROM k WHERE kind IN ('class', 'module')",
     "tf15_script_calls": f"{BASE} SELECT path, 4 * k - 1 AS line, unnest([coalesce(nxt, 'last'), 'Box']) AS name, unnest(['attr', 'new']) AS kind, unnest(['api', NULL]) AS receiver FROM k",
+    "tf10_script_members": f"{BASE}, m AS (SELECT path, qual, {CLASS_LINES} * (k - 1) AS base FROM k) SELECT path, unnest([qual, qual || '.constructor', qual || '.load', qual || '.find', 'api_' || qual, 'api_' || qual || '.get', 'api_' || qual || '.post']) AS name, unnest(['class', 'method', 'method', 'method', 'object', 'method', 'method']) AS kind, base + unnest([4, 6, 9, 12, 17, 18, 19]) AS start, base + unnest([16, 8, 11, 15, 20, 18, 19]) AS \"end\" FROM m",
+    "tf11_script_bases": f"{BASE} SELECT path, qual AS name, 'lib.Base' AS base FROM k",
+    "tf12_script_parameters": f"{BASE} SELECT path, {CLASS_LINES} * (k - 1) + 6 AS line, unnest(['repo', 'name']) AS field, unnest(['Repo', 'string']) AS type FROM k",
+    "tf14_script_static_members": f"{BASE} SELECT path, qual AS owner, 'Item' AS member, 'api_' || qual AS target FROM k",
+    "jn25_call_sites": f"""{BASE}, {N.USES}, {N.EDGES}, l AS (SELECT src, dst, arg_min(line, ord) AS line FROM uses GROUP BY src, dst),
+t AS (SELECT path, 3 * k - 2 AS line, CASE kind WHEN 'class' THEN 'class ' || qual || '(Base):' ELSE 'def ' || qual || '(a, b: int):' END AS text FROM k
+  UNION ALL SELECT path, 3 * k - 1, CASE kind WHEN 'class' THEN 'field = make()' ELSE 'return a.' || coalesce(nxt, 'last') || '(b)' END FROM k
+  UNION ALL SELECT path, 3 * k, '' FROM k
+  UNION ALL SELECT path, 3 * max(k) + 1, 'def (' FROM k WHERE contains(path, '/brand7/') GROUP BY path)
+SELECT e.src, e.dst, o.path, l.line, t.text FROM edges e JOIN l ON l.src = e.src AND l.dst = e.dst JOIN k o ON o.id = e.src JOIN t ON t.path = o.path AND t.line = l.line""",
 }

@@ -1,7 +1,8 @@
 """Facts of JavaScript and TypeScript files by patterns per line, as DataFrame expressions.
 
-There is no grammar here: declarations, imports, exports and calls are found by the shape of their line, and a
-declaration ends where the braces opened since its line are closed again, a running sum over the lines.
+There is no grammar here: texts are cut into comments, strings and code first; declarations, members, imports, exports
+and calls are found by the shape of their line, and a declaration ends where the brackets opened since its line are
+closed again, a running sum over the lines. Regular expression literals are read as code.
 """
 
 from __future__ import annotations
@@ -23,28 +24,96 @@ DECLARATIONS = {
 }
 
 
+# Tokens that hold the whole text: comments, strings, and what is between them.
+_TOKENS = r"""/\*[\s\S]*?\*/|//[^\n]*|"(?:[^"\\\n]++|\\[\s\S])*+"|'(?:[^'\\\n]++|\\[\s\S])*+'|`(?:[^`\\]++|\\[\s\S])*+`|[^/"'`]++|[\s\S]"""
+# Words that may stand before a member's name.
+MODIFIERS = "public private protected static readonly override abstract declare async get set accessor".split()
+_MODIFIER = rf"^\s*(?:(?:{'|'.join(MODIFIERS)})\s+)*\*?\s*"
+_FUNCTION = rf"(?:async\s*)?(?:function\b|(?:<[^>]*>)?\([^)]*\)?[^=]*=>|{_NAME}\s*=>|\($)"
+MEMBERS = {
+    "class": [rf"{_MODIFIER}#?({_NAME})\s*(?:<[^>]*>)?\([^;]*$", rf"{_MODIFIER}#?({_NAME})\s*(?::[^=]+)?=\s*{_FUNCTION}"],
+    "object": [rf"^\s*(?:async\s+|get\s+|set\s+)?\*?\s*({_NAME})\s*\([^;]*\{{", rf"^\s*({_NAME})\s*:\s*{_FUNCTION}"],
+}
+OBJECT = rf"^\s*(?:export\s+)?(?:const|let|var)\s+({_NAME})\s*(?::[^=]+)?=\s*\{{\s*$"
+
+
 def code_lines(files: DataFrame) -> DataFrame:
-    """path, line (from 1), text without line comments and strings' contents."""
-    text = F.regexp_replace(F.regexp_replace("content", r"/\*[\s\S]*?\*/", ""), r"(?m)(^|[^:])//.*$", "$1")
-    return files.select("path", F.posexplode(F.split(text, "\n")).alias("n", "text")).select("path", (F.col("n") + 1).alias("line"), "text")
+    """path, line (from 1), text without comments, code without the contents of strings either; lines keep their numbers."""
+    tokens = F.regexp_extract_all("content", F.lit(_TOKENS), F.lit(0))
+    is_comment = lambda t: F.startswith(t, F.lit("//")) | (F.startswith(t, F.lit("/*")) & (F.length(t) > 3))
+    breaks = lambda t: F.regexp_replace(t, r"[^\n]", "")
+    plain = F.transform(tokens, lambda t: F.when(is_comment(t), breaks(t)).otherwise(t))
+    quote = lambda t: F.substring(t, 1, 1)
+    blank = lambda t: F.when(quote(t).isin('"', "'", "`") & (F.length(t) > 1), F.concat(quote(t), breaks(t), quote(t))).otherwise(t)
+    split = lambda parts: F.split(F.array_join(parts, ""), "\n")
+    lines = files.where("content IS NOT NULL").select("path", F.posexplode(F.arrays_zip(split(plain).alias("text"), split(F.transform(plain, blank)).alias("code"))).alias("n", "l"))
+    return lines.select("path", (F.col("n") + 1).alias("line"), "l.text", "l.code")
 
 
-def _first(pattern: str, group: int = 1) -> Column:
-    return F.nullif(F.regexp_extract("text", pattern, group), F.lit(""))
+def _first(pattern: str, group: int = 1, column: str = "text") -> Column:
+    return F.nullif(F.regexp_extract(column, pattern, group), F.lit(""))
 
 
 def symbols(lines: DataFrame) -> DataFrame:
-    """path, name, kind, start, end: declarations; the end is the line that closes the braces opened since the start."""
-    kind = F.coalesce(*[F.when(_first(p).isNotNull(), F.lit("function" if k == "arrow" else k)) for k, p in DECLARATIONS.items()])
-    name = F.coalesce(*[_first(p) for p in DECLARATIONS.values()])
-    net = F.length(F.regexp_replace("text", r"[^{]", "")) - F.length(F.regexp_replace("text", r"[^}]", ""))
+    """path, name, kind, start, end: declarations, and methods, function fields and function members as Container.member.
+
+    A declaration ends on the line that closes the brackets opened since its start; that is the next line that comes
+    back to its depth, by a window over the declarations and closing lines of a depth. Members are on the lines one
+    level into the last class or object literal before them; an object literal counts if it has a function member.
+    """
+    code = lambda p: _first(p, column="code")
+    count = lambda marks: F.length(F.regexp_replace("code", f"[^{marks}]", ""))
     upto = W.partitionBy("path").orderBy("line").rowsBetween(W.unboundedPreceding, 0)
-    depth = lines.withColumn("after", F.sum(net).over(upto)).withColumns({"before": F.col("after") - net, "name": name, "kind": kind})
-    found = depth.where("name IS NOT NULL").select("path", "name", "kind", F.col("line").alias("start"), "before", "after")
-    # the first line from here on at which the depth is back where it was
-    closing = depth.select("path", F.col("after").alias("level"), F.col("line").alias("at"))
-    ends = found.join(closing, (found["path"] == closing["path"]) & (found["before"] == closing["level"]) & (closing["at"] >= found["start"])).groupBy(found["path"], "name", "start").agg(F.min("at").alias("end"))
-    return found.join(ends, ["path", "name", "start"], "left").select("path", "name", "kind", "start", F.coalesce("end", "start").alias("end"))
+    net = count(r"\[({") - count(r"\])}")
+    depth = lines.select("path", "line", "code", F.sum(net).over(upto).alias("after"), net.alias("net")).withColumn("before", F.col("after") - F.col("net"))
+
+    kind = F.coalesce(*[F.when(code(p).isNotNull(), F.lit("function" if k == "arrow" else k)) for k, p in DECLARATIONS.items()], F.when((F.col("before") == 0) & code(OBJECT).isNotNull(), F.lit("object")))
+    found = depth.withColumns({"kind": kind, "name": F.coalesce(*[code(p) for p in DECLARATIONS.values()], code(OBJECT))})
+    member = {c: F.coalesce(*[code(p) for p in patterns]) for c, patterns in MEMBERS.items()}
+    usable = lambda c: F.when(~member[c].isin([k for k in KEYWORDS if k != "constructor"]), member[c])
+    found = found.withColumns({"of_class": F.when(F.col("before") > 0, usable("class")), "of_object": F.when(F.col("before") > 0, usable("object"))})
+    starts = found.where("kind IS NOT NULL OR of_class IS NOT NULL OR of_object IS NOT NULL").select("path", F.col("before").alias("level"), "line", F.struct("kind", "name", "of_class", "of_object", (F.col("after") <= F.col("before")).alias("whole")).alias("s"), F.lit(None).cast("int").alias("closes"))
+    closers = depth.where("after < before").select("path", F.explode(F.sequence("after", F.col("before") - 1)).alias("level"), "line", F.lit(None).cast(starts.schema["s"].dataType).alias("s"), F.col("line").alias("closes"))
+    later = W.partitionBy("path", "level").orderBy("line").rowsBetween(1, W.unboundedFollowing)
+    ended = starts.unionByName(closers).withColumn("close", F.min("closes").over(later)).where("s IS NOT NULL")
+    ended = ended.select("path", "level", "line", "s.*", F.when(F.col("s.whole"), F.col("line")).otherwise(F.coalesce("close", "line")).alias("end"))
+
+    # the last class or object literal one level up, if it is still open
+    held = F.struct("name", "kind", "end")
+    boxes = ended.where("kind IN ('class', 'object')").select("path", (F.col("level") + 1).alias("level"), "line", held.alias("box"), F.lit(None).cast(ended.select(F.struct("*").alias("m")).schema["m"].dataType).alias("m"))
+    members = ended.where("of_class IS NOT NULL OR of_object IS NOT NULL").select("path", "level", "line", F.lit(None).cast(boxes.schema["box"].dataType).alias("box"), F.struct("*").alias("m"))
+    last = F.last("box", ignorenulls=True).over(W.partitionBy("path", "level").orderBy("line").rowsBetween(W.unboundedPreceding, -1))
+    inside = boxes.unionByName(members).withColumn("of", last).where("m IS NOT NULL AND of.end >= line")
+    own = F.when(F.col("of.kind") == "class", F.col("m.of_class")).otherwise(F.col("m.of_object"))
+    methods = inside.select("path", F.concat_ws(".", "of.name", own).alias("name"), F.lit("method").alias("kind"), F.col("line").alias("start"), "m.end", F.col("of.name").alias("box"), "of.kind").where(own.isNotNull())
+    methods = methods.toDF("path", "name", "kind", "start", "end", "box", "box_kind")
+    objects = methods.where("box_kind = 'object'").select("path", F.col("box").alias("name")).distinct()
+    plain = ended.where("kind IS NOT NULL").select("path", "name", "kind", F.col("line").alias("start"), "end")
+    kept = plain.where("kind <> 'object'").unionByName(plain.where("kind = 'object'").join(objects, ["path", "name"], "left_semi"))
+    return kept.unionByName(methods.drop("box", "box_kind"))
+
+
+def bases(lines: DataFrame) -> DataFrame:
+    """path, name, base: what a class extends, and each of what an interface extends, without type arguments."""
+    head = F.regexp_extract("code", rf"\b(?:class|interface)\s+({_NAME})(?:<[^>]*>)?\s+extends\s+([^{{]+?)(?:\s+implements\b.*|\s*\{{.*|\s*)$", 1)
+    listed = F.regexp_extract("code", rf"\b(?:class|interface)\s+({_NAME})(?:<[^>]*>)?\s+extends\s+([^{{]+?)(?:\s+implements\b.*|\s*\{{.*|\s*)$", 2)
+    rows = lines.select("path", F.nullif(head, F.lit("")).alias("name"), F.explode(F.split(F.regexp_replace(listed, "<[^<>]*>", ""), r"\s*,\s*")).alias("base"))
+    return rows.where(F.col("name").isNotNull() & F.col("base").rlike(rf"^{_NAME}(?:\.{_NAME})*$"))
+
+
+def static_members(lines: DataFrame) -> DataFrame:
+    """path, owner, member, target: assignments Owner.Member = Target on a line of their own, not indented."""
+    pattern = rf"^({_NAME})\.({_NAME})\s*=\s*({_NAME}(?:\.{_NAME})*)\s*;?\s*$"
+    rows = lines.select("path", *[_first(pattern, i + 1, "code").alias(c) for i, c in enumerate(("owner", "member", "target"))])
+    return rows.where("owner IS NOT NULL AND owner NOT IN ('module', 'exports')")
+
+
+def accessor_parameters(lines: DataFrame) -> DataFrame:
+    """path, line, field, type: constructor parameters with an access modifier, which declare fields of their class."""
+    listed = F.split(F.regexp_extract("code", r"\bconstructor\s*\((.*)\)", 1), ",")
+    pattern = rf"^\s*(?:(?:public|private|protected|readonly|override)\s+)+({_NAME})\??\s*:\s*([\w$.]+)"
+    rows = lines.select("path", "line", F.explode(listed).alias("text")).select("path", "line", _first(pattern).alias("field"), _first(pattern, 2).alias("type"))
+    return rows.where("field IS NOT NULL")
 
 
 def imports(lines: DataFrame) -> DataFrame:
@@ -79,12 +148,12 @@ def exports(lines: DataFrame) -> DataFrame:
 
 def calls(lines: DataFrame) -> DataFrame:
     """path, line, name, kind (name, attr, new, jsx), receiver."""
-    found = lambda pattern, group: F.regexp_extract_all("text", F.lit(pattern), F.lit(group))
+    found = lambda pattern, group: F.regexp_extract_all("code", F.lit(pattern), F.lit(group))
     named = F.transform(found(rf"(?<![\w$.])({_NAME})\s*\(", 1), lambda x: F.struct(x.alias("name"), F.lit("name").alias("kind"), F.lit(None).cast("string").alias("receiver")))
     dotted = F.transform(found(rf"({_NAME}(?:\.{_NAME})+)\s*\(", 1), lambda x: F.struct(F.regexp_extract(x, r"[^.]+$", 0).alias("name"), F.lit("attr").alias("kind"), F.regexp_replace(x, r"\.[^.]+$", "").alias("receiver")))
     made = F.transform(found(rf"\bnew\s+({_NAME})", 1), lambda x: F.struct(x.alias("name"), F.lit("new").alias("kind"), F.lit(None).cast("string").alias("receiver")))
     tags = F.transform(found(r"<([A-Z][\w.]*)", 1), lambda x: F.struct(x.alias("name"), F.lit("jsx").alias("kind"), F.lit(None).cast("string").alias("receiver")))
-    rows = lines.select("path", "line", "text", F.explode(F.concat(named, dotted, made, tags)).alias("c")).select("path", "line", "text", "c.*")
-    declared = F.col("text").rlike(r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\b") & (F.col("kind") == "name") & (F.col("name") == F.coalesce(_first(DECLARATIONS["function"]), F.lit("")))
-    constructed = (F.col("kind") == "name") & F.contains("text", F.concat(F.lit("new "), F.col("name")))
-    return rows.where(~((F.col("kind") == "name") & F.col("name").isin(KEYWORDS)) & ~declared & ~constructed).drop("text")
+    rows = lines.select("path", "line", "code", F.explode(F.concat(named, dotted, made, tags)).alias("c")).select("path", "line", "code", "c.*")
+    declared = F.col("code").rlike(r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\b") & (F.col("kind") == "name") & (F.col("name") == F.coalesce(_first(DECLARATIONS["function"], column="code"), F.lit("")))
+    constructed = (F.col("kind") == "name") & F.contains("code", F.concat(F.lit("new "), F.col("name")))
+    return rows.where(~((F.col("kind") == "name") & F.col("name").isin(KEYWORDS)) & ~declared & ~constructed).drop("code")
