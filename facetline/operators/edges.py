@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Strength of an edge kind.
@@ -23,8 +24,10 @@ def merge_edges(uses: DataFrame, cap: int = LINE_CAP) -> DataFrame:
         F.max(F.struct(strength(F.col("kind")).alias("s"), (-F.col("ord")).alias("o"), "kind")).alias("best"),
         F.bool_and("fuzzy").alias("fuzzy"),
     )
-    ordered = F.array_sort(F.collect_list(F.struct("ord", "line")))
-    merged = firsts.groupBy("src", "dst").agg(F.max("best").alias("best"), F.bool_and("fuzzy").alias("fuzzy"), F.slice(F.transform(ordered, lambda x: x["line"]), 1, cap).alias("lines"))
+    # all lines count for the kind, and no more than ``cap`` of them are gathered
+    ranked = firsts.withColumn("rank", F.row_number().over(W.partitionBy("src", "dst").orderBy("ord", "line")))
+    held = F.array_sort(F.collect_list(F.when(F.col("rank") <= cap, F.struct("rank", "line"))))
+    merged = ranked.groupBy("src", "dst").agg(F.max("best").alias("best"), F.bool_and("fuzzy").alias("fuzzy"), F.transform(held, lambda x: x["line"]).alias("lines"))
     return merged.select("src", "dst", F.col("best.kind").alias("kind"), "fuzzy", "lines")
 
 

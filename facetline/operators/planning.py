@@ -14,8 +14,8 @@ from facetline.operators.traversal import components
 DIRECT, REFERENCE, BRIDGED, PARENT, SIBLING = 3.0, 1.0, 1.0, 1.0, 1.0
 #: Votes for a cluster: by a direct or incoming link, by a bridged one.
 VOTE_LINK, VOTE_BRIDGE = 2, 1
-#: Members above which a component is split, rounds of moves, test callers shown.
-SPLIT_ABOVE, ROUNDS, TEST_CALLERS = 40, 12, 5
+#: Members above which a component is split, and how often; levels of communities, rounds of moves on each; test callers shown.
+SPLIT_ABOVE, SPLITS, LEVELS, ROUNDS, TEST_CALLERS = 40, 3, 10, 20, 5
 
 
 def sibling_chain(symbols: DataFrame, changed: DataFrame) -> DataFrame:
@@ -40,44 +40,72 @@ def link_weights(core: DataFrame, symbols: DataFrame, edges: DataFrame, changed:
     return every.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.sum("weight").alias("weight"))
 
 
-def communities(nodes: DataFrame, weights: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(id, community) by greedy modularity moves over the whole graph at once.
+def _moved(both: DataFrame, degrees: DataFrame, m2: float) -> tuple[DataFrame, bool]:
+    """(id, community) after greedy modularity moves of the nodes of (u, v, w), and whether any moved.
 
     In every round one half of the nodes, alternating by hash, move to the neighbouring community with the largest
     gain in modularity, if there is one; gains are joins and sums over the edges, so no component has to fit into a
-    task. Of equal gains the smaller label wins. Rounds end early when nothing moves.
+    task. Of equal gains the smaller label wins. Rounds end when nothing moves in either half; as nodes move at once,
+    ``ROUNDS`` ends what swings to and fro.
     """
-    both = materialise(weights.select("src", "dst", "weight").unionAll(weights.select("dst", "src", "weight")).toDF("u", "v", "w"), "weights")
-    m2 = both.agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
-    state = materialise(nodes.select("id").join(both.groupBy(F.col("u").alias("id")).agg(F.sum("w").alias("degree")), "id", "left").select("id", F.coalesce("degree", F.lit(0.0)).alias("degree"), F.col("id").alias("community")), "communities")
-    still = 0
-    for n in range(rounds if m2 else 0):
+    state, still, any_moved = materialise(degrees.select("id", "degree", F.col("id").alias("community")), "communities"), 0, False
+    between = both.where("u <> v")
+    for n in range(ROUNDS):
         total = state.groupBy("community").agg(F.sum("degree").alias("total"))
-        near = both.join(state.select(F.col("id").alias("v"), F.col("community").alias("target")), "v").groupBy("u", "target").agg(F.sum("w").alias("links"))
+        near = between.join(state.select(F.col("id").alias("v"), F.col("community").alias("target")), "v").groupBy("u", "target").agg(F.sum("w").alias("links"))
         movers = state.where(F.pmod(F.xxhash64("id"), F.lit(2)) == n % 2).withColumnRenamed("community", "current")
         options = near.join(movers, near["u"] == movers["id"]).join(total.withColumnRenamed("community", "target"), "target")
         others = F.col("total") - F.when(F.col("target") == F.col("current"), F.col("degree")).otherwise(0.0)
         gained = options.select("id", "current", "target", F.round(F.col("links") - others * F.col("degree") / m2, 9).alias("gain"))
-        stay = F.coalesce(F.max(F.when(F.col("target") == F.col("current"), F.col("gain"))), F.lit(0.0))
-        best = gained.groupBy("id").agg(F.max(F.when(F.col("target") != F.col("current"), F.col("gain"))).alias("top"), stay.alias("stay"))
-        chosen = gained.where("target <> current").join(best.where("top > stay + 1e-9"), "id").where("gain = top").groupBy("id").agg(F.min("target").alias("to"))
+        # a node without a link into its own community loses what its size costs there
+        alone = movers.join(total.withColumnRenamed("community", "current"), "current").select("id", F.round(-(F.col("total") - F.col("degree")) * F.col("degree") / m2, 9).alias("alone"))
+        best = gained.groupBy("id").agg(F.max(F.when(F.col("target") != F.col("current"), F.col("gain"))).alias("top"), F.max(F.when(F.col("target") == F.col("current"), F.col("gain"))).alias("stay"))
+        better = best.join(alone, "id").where(F.col("top") > F.coalesce("stay", "alone") + 1e-9)
+        chosen = gained.where("target <> current").join(better, "id").where("gain = top").groupBy("id").agg(F.min("target").alias("to"))
         moved = materialise(state.join(chosen, "id", "left").select("id", "degree", F.coalesce("to", "community").alias("community"), F.col("to").isNotNull().alias("moved")), "communities")
         still = 0 if not moved.where("moved").isEmpty() else still + 1
+        any_moved = any_moved or not still
         state = moved.drop("moved")
         if still == 2:
             break
-    # a community is named by its smallest member
-    named = state.withColumn("community", F.min("id").over(W.partitionBy("community")))
-    return named.select("id", "community")
+    return state.select("id", "community"), any_moved
+
+
+def communities(nodes: DataFrame, weights: DataFrame, levels: int = LEVELS) -> DataFrame:
+    """(id, community): modularity communities of all nodes (id), named by their smallest members.
+
+    After the moves of a level every community becomes one node, with what is linked within it as a loop, and the
+    communities move on, until none does.
+    """
+    both = materialise(weights.select("src", "dst", "weight").unionAll(weights.select("dst", "src", "weight")).toDF("u", "v", "w"), "weights")
+    m2 = both.agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
+    of = nodes.select("id", F.col("id").alias("community"))
+    for _ in range(levels if m2 else 0):
+        degrees = both.groupBy(F.col("u").alias("id")).agg(F.sum("w").alias("degree"))
+        state, any_moved = _moved(both, degrees, m2)
+        if not any_moved:
+            break
+        step = state.toDF("community", "to")
+        of = materialise(of.join(step, "community", "left").select("id", F.coalesce("to", "community").alias("community")), "communities")
+        ends = both.join(state.toDF("u", "cu"), "u").join(state.toDF("v", "cv"), "v")
+        both = materialise(ends.groupBy(F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("w").alias("w")), "weights")
+    return of.select("id", F.min("id").over(W.partitionBy("community")).alias("community"))
 
 
 def core_clusters(core: DataFrame, weights: DataFrame, split_above: int = SPLIT_ABOVE) -> DataFrame:
-    """(id, cluster): components of the links, those above ``split_above`` members split into communities."""
-    parts = materialise(components(core, weights), "components")
-    large = materialise(parts.groupBy("root").count().where(F.col("count") > split_above).select("root"), "large")
-    members = parts.join(large, "root", "left_semi").select("id")
-    split = communities(members, weights.join(members.select(F.col("id").alias("src")), "src", "left_semi"))
-    return parts.join(split, "id", "left").select("id", F.coalesce("community", "root").alias("cluster"))
+    """(id, cluster): components of the links; those above ``split_above`` members are split into communities, and these again, ``SPLITS`` times at most."""
+    parts = materialise(components(core, weights).withColumnRenamed("root", "cluster"), "components")
+    for _ in range(SPLITS):
+        large = parts.groupBy("cluster").count().where(F.col("count") > split_above).select("cluster")
+        members = materialise(parts.join(large, "cluster", "left_semi"), "large")
+        if members.isEmpty():
+            break
+        members = members.select("id", "cluster")
+        a, b = members.toDF("src", "src_cluster"), members.toDF("dst", "dst_cluster")
+        inner = weights.join(a, "src").join(b, "dst").where("src_cluster = dst_cluster").select("src", "dst", "weight")
+        split = communities(members.select("id"), inner)
+        parts = materialise(parts.join(split, "id", "left").select("id", F.coalesce("community", "cluster").alias("cluster")), "components")
+    return parts
 
 
 def votes(satellites: DataFrame, clusters: DataFrame, edges: DataFrame, changed: DataFrame, changed_core: DataFrame) -> DataFrame:
@@ -126,7 +154,7 @@ def entry_points(clusters: DataFrame, links: DataFrame, members: DataFrame) -> D
     return chosen.select("cluster", "id", F.row_number().over(W.partitionBy("cluster").orderBy(*order)).alias("rank"))
 
 
-def reading_order(clusters: DataFrame, links: DataFrame, members: DataFrame, entries: DataFrame, levels: int = 20) -> DataFrame:
+def reading_order(clusters: DataFrame, links: DataFrame, members: DataFrame, entries: DataFrame) -> DataFrame:
     """(cluster, id, position): top-down from the entry points, by level; logic, then module code, then tests.
 
     Levels are found for all clusters at once, by joins; what no entry reaches comes after, by (path, start, id).
@@ -135,12 +163,16 @@ def reading_order(clusters: DataFrame, links: DataFrame, members: DataFrame, ent
     inner = materialise(links.join(clusters.select(F.col("id").alias("a"), F.col("cluster").alias("ca")), "a").join(clusters.select(F.col("id").alias("b"), F.col("cluster").alias("cb")), "b").where("ca = cb").select("a", "b"), "inner")
     seen = materialise(entries.select("id", F.lit(0).alias("level")), "levels")
     frontier = seen
-    for level in range(1, levels + 1):
+    level = 0
+    while True:
+        level += 1
         fresh = inner.join(frontier.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct().join(seen, "id", "left_anti")
         frontier = materialise(fresh.withColumn("level", F.lit(level)), "levels")
         if frontier.isEmpty():
             break
-        seen = materialise(seen.unionAll(frontier), "levels")
+        seen = seen.unionAll(frontier)
+        if level % 8 == 0:  # the plan reads few tables
+            seen = materialise(seen, "levels")
     placed = clusters.join(members, "id").join(seen, "id", "left")
     position = F.row_number().over(W.partitionBy("cluster").orderBy("segment", F.asc_nulls_last("level"), "path", "start", "id"))
     return placed.select("cluster", "id", position.alias("position"))

@@ -128,3 +128,28 @@ def tree_nodes(paths: DataFrame) -> DataFrame:
     direct = paths.groupBy(parent(F.col("path")).alias("dir")).agg(F.count("*").alias("leaves"))
     shown = dirs.join(children, "dir", "left").join(direct, "dir", "left").where((F.coalesce("dirs", F.lit(0)) != 1) | F.col("leaves").isNotNull())
     return shown.select("dir", "files", F.coalesce("dirs", F.lit(0)).alias("dirs"), F.coalesce("leaves", F.lit(0)).alias("leaves"))
+
+
+def call_sites(edges: DataFrame, owners: DataFrame, lines: DataFrame, width: int = 200) -> DataFrame:
+    """src, dst, path, line, text: the caller's line for each edge (src, dst, lines), its first, else the start of the caller (id, path, start).
+
+    ``lines`` (path, line, text) are the callers' files; a line that a file has not gives no row.
+    """
+    first = F.coalesce(F.get("lines", F.lit(0)), F.col("start"))
+    at = edges.select("src", "dst", "lines").join(owners.select(F.col("id").alias("src"), "path", "start"), "src").select("src", "dst", "path", first.cast("int").alias("line"))
+    return at.join(lines, ["path", "line"]).select("src", "dst", "path", "line", F.substring(F.trim("text"), 1, width).alias("text"))
+
+
+def wide_reach(risk: DataFrame, least: int = 3, most: int = 6) -> DataFrame:
+    """id, external_callers: the changed symbols (id, external_callers) that most other files call, ``most`` of them; ties by id."""
+    return risk.where(F.col("external_callers") >= least).select("id", "external_callers").orderBy(F.desc("external_callers"), "id").limit(most)
+
+
+def cluster_scope(files: DataFrame, ranked: DataFrame) -> DataFrame:
+    """path, position: of ``files`` (path) those of one cluster, in its order, an array of paths (files) in one row."""
+    return ranked.select(F.posexplode("files").alias("position", "path")).join(files.select("path").distinct(), "path").select("path", (F.col("position") + 1).alias("position"))
+
+
+def payload_order(rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows in the order in which they are delivered, by a range-partitioned sort; give it columns that leave no ties."""
+    return rows.orderBy(*columns)

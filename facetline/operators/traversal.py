@@ -39,13 +39,14 @@ def neighborhood(symbols: DataFrame, edges: DataFrame, seeds: list, depth_in: in
             here, there = ("src", "dst") if way == "out" else ("dst", "src")
             found = usable.join(frontiers[way].select(F.col("id").alias(here), "rank"), here).groupBy(F.col(there).alias("id")).agg(F.min("rank").alias("by"))
             found = found.join(allowed, "id", "left_semi").join(seen, "id", "left_anti")
-            # only the best that fit are ranked and kept
-            fresh = materialise(found.orderBy("by", "id").limit(max_nodes - held + 1), "found")
+            # only the best that fit are ranked, one more than is kept; a level is written once
+            best = found.orderBy("by", "id").limit(max_nodes - held + 1)
+            ranked = best.select("id", F.lit(level if way == "out" else -level).alias("depth"), F.row_number().over(W.orderBy("by", "id")).cast("long").alias("rank"))
+            fresh = materialise(ranked, "walk")
             n = fresh.count()
             truncated = n > max_nodes - held
-            kept = fresh.select("id", F.lit(level if way == "out" else -level).alias("depth"), F.row_number().over(W.orderBy("by", "id")).cast("long").alias("rank")).where(F.col("rank") <= max_nodes - held)
-            frontiers[way] = materialise(kept, "frontier")
-            seen = materialise(seen.unionAll(frontiers[way]), "walk")
+            frontiers[way] = fresh.where(F.col("rank") <= max_nodes - held)
+            seen = seen.unionAll(frontiers[way])
             held += min(n, max_nodes - held)
     return seen.select("id", "depth"), truncated
 
@@ -98,3 +99,19 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         labels = stepped.select("id", "root")
         if stepped.where("moved").isEmpty():
             return labels
+
+
+def ancestors(parents: DataFrame) -> DataFrame:
+    """(id, ancestor, depth): all containers of each (id, parent), the direct one at depth 1. A circle ends where it comes back.
+
+    Every round doubles the steps: what is known up to depth n is joined with itself.
+    """
+    known = materialise(parents.where("parent IS NOT NULL AND parent <> id").select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")), "ancestors")
+    n = known.count()
+    while True:
+        upper = known.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("above"), F.col("depth").alias("more"))
+        further = known.join(upper, "ancestor").select("id", F.col("above").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth")).where("id <> ancestor")
+        known = materialise(known.unionAll(further).groupBy("id", "ancestor").agg(F.min("depth").alias("depth")), "ancestors")
+        before, n = n, known.count()
+        if n == before:
+            return known

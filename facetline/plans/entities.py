@@ -55,11 +55,11 @@ SYMBOLS = """symbols AS (
 
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, path, name, kind, category, status, additions, deletions, parent, start of the changed symbols (small parts)."""
-    held = symbols(spark, sf_dir).where("size <= 5")
+    held = symbols(spark, sf_dir).where("size <= 5 OR size IN (10, 17)")
     return held.withColumns({"status": F.when(F.col("size") == 1, "added").otherwise("modified"), "additions": F.col("size") * 2, "deletions": F.col("size")})
 
 
-CHANGES = "changes AS (SELECT *, CASE WHEN size = 1 THEN 'added' ELSE 'modified' END AS status, size * 2 AS additions, size AS deletions FROM symbols WHERE size <= 5)"
+CHANGES = "changes AS (SELECT *, CASE WHEN size = 1 THEN 'added' ELSE 'modified' END AS status, size * 2 AS additions, size AS deletions FROM symbols WHERE size <= 5 OR size IN (10, 17))"
 
 
 def uses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ GRAPH = N.GRAPH
 
 def _sets(spark: SparkSession, d: str):
     """symbols, edges (written once), changes, live core, live."""
-    symbols = N.symbols(spark, d)
+    symbols = materialise(N.symbols(spark, d), "symbols")
     edges = materialise(N.edges(spark, d), "edges")
     changes = materialise(N.changes(spark, d), "changes")
     core = changes.where("category <> 'test' AND kind <> 'module'").select("id")
@@ -245,10 +245,25 @@ def search_symbols(spark, d):
 
 
 def ancestor_walk(spark, d):
-    """Containers of every symbol up its parents."""
-    symbols, _, _, _ = _sets(spark, d)
-    parents = symbols.select("id", "parent")
-    return parents.where("parent IS NOT NULL").select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
+    """All containers of every symbol, where that of each is the one with a third of its key."""
+    return T.ancestors(N.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") > 0, F.floor(F.col("p_partkey") / 3)).alias("parent")))
+
+
+def wide_reach(spark, d):
+    symbols, edges, changes, _ = _sets(spark, d)
+    return S.wide_reach(P.risk(changes.select("id"), symbols, edges, changes.select("path").distinct()))
+
+
+def cluster_scope(spark, d):
+    """The changed files of the largest cluster, in its order."""
+    symbols, edges, changes, core = _sets(spark, d)
+    roots = T.components(core, E.induced(edges.where("NOT fuzzy"), core)).withColumnRenamed("root", "cluster")
+    made = P.cluster_table(roots.withColumn("position", F.col("id")), changes).where("id = 'c1'")
+    return S.cluster_scope(changes, made)
+
+
+def payload_order(spark, d):
+    return S.payload_order(N.changes(spark, d).select("path", "start", "id", "status"), "path", "start", "id")
 
 
 QUERIES = {
@@ -288,6 +303,9 @@ QUERIES = {
     "rp7_graph_legend": graph_legend,
     "sl1_search": search_symbols,
     "gr14_ancestors": ancestor_walk,
+    "pf16_wide_reach": wide_reach,
+    "pf18_cluster_scope": cluster_scope,
+    "sl9_payload_order": payload_order,
 }
 
 CORE = f"{GRAPH}, core AS (SELECT id FROM changes WHERE category <> 'test' AND kind <> 'module')"
@@ -369,7 +387,7 @@ SELECT id FROM core WHERE id NOT IN (SELECT t_to FROM t WHERE test <> t_to) AND
     "sl12_entry_points": f"{ROOTS}{ENTRIES} SELECT cluster, id, rank FROM entries",
     "gr4_adjacency": f"{EXACT}{ADJ} SELECT a, b FROM adj",
     "sl11_reading_order": f"""{ROOTS}{ENTRIES},
-lv AS (SELECT id, 0 AS level FROM entries UNION SELECT i.b, lv.level + 1 FROM lv JOIN inside i ON i.a = lv.id WHERE lv.level < 20),
+lv AS (SELECT id, 0 AS level FROM entries UNION SELECT i.b, lv.level + 1 FROM lv JOIN inside i ON i.a = lv.id WHERE lv.level < (SELECT count(*) FROM core)),
 ll AS (SELECT id, min(level) AS level FROM lv GROUP BY id)
 SELECT r.root AS cluster, r.id, row_number() OVER (PARTITION BY r.root ORDER BY ll.level NULLS LAST, c.path, c.start, c.id) AS position FROM roots r JOIN changes c ON c.id = r.id LEFT JOIN ll ON ll.id = r.id""",
     "ag7_cluster_statistics": f"""{ROOTS}, x AS (SELECT r.root AS cluster, c.* FROM roots r JOIN changes c ON c.id = r.id),
@@ -382,5 +400,10 @@ SELECT 'c' || row_number() OVER (ORDER BY symbols DESC, additions + deletions DE
     "ag19_index_stats": f"{GRAPH} SELECT 'symbols' AS what, count(*) AS n FROM symbols UNION ALL SELECT 'edges', count(*) FROM edges UNION ALL SELECT 'changes', count(*) FROM changes",
     "rp7_graph_legend": f"{GRAPH} SELECT 'category' AS what, category AS value FROM symbols UNION SELECT 'change', status FROM changes",
     "sl1_search": f"{GRAPH} SELECT id, score, qual FROM (SELECT *, CASE WHEN lower(name) = 'red_w' THEN 0 WHEN starts_with(lower(name), 'red_w') THEN 1 WHEN contains(lower(qual), 'red_w') THEN 2 WHEN contains(lower(path), 'red_w') THEN 3 END AS score FROM symbols WHERE kind <> 'module') q WHERE score IS NOT NULL ORDER BY score, length(qual), path, id LIMIT 40",
-    "gr14_ancestors": f"{GRAPH} SELECT id, parent AS ancestor, 1 AS depth FROM symbols WHERE parent IS NOT NULL",
+    "gr14_ancestors": "WITH RECURSIVE u AS (SELECT p_partkey AS id, p_partkey // 3 AS ancestor, 1 AS depth FROM part WHERE p_partkey > 0 UNION ALL SELECT id, ancestor // 3, depth + 1 FROM u WHERE ancestor > 0) SELECT * FROM u",
+    "pf16_wide_reach": f"{GRAPH} SELECT * FROM (SELECT c.id, (SELECT count(*) FROM edges e JOIN symbols s ON s.id = e.src WHERE e.dst = c.id AND s.path NOT IN (SELECT path FROM changes)) AS external_callers FROM changes c) q WHERE external_callers >= 3 ORDER BY external_callers DESC, id LIMIT 6",
+    "pf18_cluster_scope": f"""{ROOTS}, x AS (SELECT r.root AS cluster, c.* FROM roots r JOIN changes c ON c.id = r.id),
+s AS (SELECT cluster FROM (SELECT cluster, count(*) AS n, sum(additions) + sum(deletions) AS churn, arg_min(name, id) AS title FROM x GROUP BY cluster) q ORDER BY n DESC, churn DESC, title, cluster LIMIT 1)
+SELECT path, row_number() OVER (ORDER BY m) AS position FROM (SELECT path, min(id) AS m FROM x JOIN s USING (cluster) GROUP BY path) q""",
+    "sl9_payload_order": f"{GRAPH} SELECT path, start, id, status FROM changes ORDER BY path, start, id",
 }

@@ -65,7 +65,7 @@ def inherited_member(spark, d):
     second = part.where("class > 0 AND class % 3 = 0").select("class", F.lit(1).alias("ord"), F.floor(F.col("class") / 3).alias("base"))
     members = part.where("class % 7 = 0").select("class", F.concat(F.lit("m"), (F.col("p_size") % 4).cast("string")).alias("name"), F.col("class").alias("target"))
     requests = part.select(F.col("class").alias("id"), "class", F.concat(F.lit("m"), (F.col("class") % 4).cast("string")).alias("name"))
-    return R.inherited_member(requests, first.unionAll(second), members, levels=3)
+    return R.inherited_member(requests, first.unionAll(second), members)
 
 
 def _methods(spark, d):
@@ -278,7 +278,7 @@ SELECT id, path FROM (SELECT id, path, row_number() OVER (PARTITION BY id ORDER
     "jn12_workspace_package": f"WITH p AS (SELECT DISTINCT '@' || lower({B}) AS name FROM part WHERE p_partkey % 5 = 0), r AS (SELECT p_partkey AS id, '@' || lower({B}) AS b, lower(p_type) AS t FROM part) SELECT id, CASE WHEN t = 'promo' THEN b || '/promo' ELSE b END AS name, 'packages/' || substr(CASE WHEN t = 'promo' THEN b || '/promo' ELSE b END, 2) AS dir, CASE WHEN t = 'promo' THEN 'index' ELSE t || '/index' END AS rest FROM r JOIN p ON p.name = r.b",
     "jn13_conventional_alias": f"WITH {N.PATHS}, o AS (SELECT id, unnest(['src/' || r, 'app/' || r, r]) AS path, unnest([0, 1, 2]) AS k FROM (SELECT id, regexp_replace(path, '^src/', '') AS r FROM paths) q) SELECT id, arg_min(path, k) AS path FROM o WHERE path IN (SELECT path FROM paths) GROUP BY id",
     "jn14_inherited_member": """WITH RECURSIVE b AS (SELECT p_partkey AS class, '0000' AS o, p_partkey // 2 AS base FROM part WHERE p_partkey > 0 UNION ALL SELECT p_partkey, '0001', p_partkey // 3 FROM part WHERE p_partkey > 0 AND p_partkey % 3 = 0),
-w AS (SELECT p_partkey AS id, p_partkey AS class, '' AS pos, 0 AS lv FROM part UNION ALL SELECT w.id, b.base, pos || o, lv + 1 FROM w JOIN b ON b.class = w.class WHERE lv < 3)
+w AS (SELECT p_partkey AS id, p_partkey AS class, '' AS pos, 0 AS lv FROM part UNION ALL SELECT w.id, b.base, pos || o, lv + 1 FROM w JOIN b ON b.class = w.class WHERE lv < 7)
 SELECT id, arg_min(w.class, pos) AS target FROM w JOIN part p ON p.p_partkey = w.class WHERE w.class % 7 = 0 AND p.p_size % 4 = w.id % 4 GROUP BY id""",
     "jn16_fuzzy_methods": f"{FEW} SELECT u.ord AS id, m.target FROM uses u JOIN methods t ON t.target = u.dst JOIN few f ON f.name = t.name JOIN methods m ON m.name = t.name",
     "jn17_fuzzy_top_level": FEW.replace(" WHERE name <> 'append'", "") + " SELECT u.ord AS id, m.target FROM uses u JOIN methods t ON t.target = u.dst JOIN few f ON f.name = t.name JOIN methods m ON m.name = t.name WHERE m.path <> 'f' || (u.src % 20)",

@@ -115,7 +115,7 @@ QUERIES = {
 ORACLES = {
     "rp2_file_detail": f"{N.GRAPH} SELECT s.path, s.id, s.qual, s.kind, s.start, (SELECT count(*) FROM edges WHERE dst = s.id) AS callers, (SELECT count(*) FROM edges WHERE src = s.id) AS callees, c.status, c.additions, c.deletions FROM symbols s LEFT JOIN changes c ON c.id = s.id WHERE s.kind <> 'module' OR c.id IS NOT NULL",
     "rp6_symbols_in_file": f"WITH {N.SYMBOLS} SELECT path, id, row_number() OVER (PARTITION BY path ORDER BY id) AS position FROM symbols",
-    "rp5_file_symbol_split": f"WITH {N.SYMBOLS} SELECT path, count(*) FILTER (size <= 5) AS changed, count(*) FILTER (size > 5) AS unchanged FROM symbols WHERE kind <> 'module' GROUP BY path",
+    "rp5_file_symbol_split": f"WITH {N.SYMBOLS} SELECT path, count(*) FILTER (size <= 5 OR size IN (10, 17)) AS changed, count(*) FILTER (NOT (size <= 5 OR size IN (10, 17))) AS unchanged FROM symbols WHERE kind <> 'module' GROUP BY path",
     "rp4_review_summary": f"WITH {N.SYMBOLS}, {N.CHANGES} SELECT path, count(*) AS symbols, sum(additions)::BIGINT AS additions, sum(deletions)::BIGINT AS deletions, count(*) FILTER (status = 'added') AS added FROM changes GROUP BY path",
     "rp8_overview_elements": f"{N.GRAPH} SELECT DISTINCT 'zone' AS what, path AS key FROM changes UNION ALL SELECT 'node', id::VARCHAR FROM changes UNION ALL SELECT 'edge', src || '->' || dst FROM edges WHERE src IN (SELECT id FROM changes) AND dst IN (SELECT id FROM changes)",
     "rp3_single_file_hunks": f"WITH {N.DIFF} SELECT DISTINCT path, CASE type WHEN 'add' THEN 'head' ELSE 'base' END AS side, CASE type WHEN 'add' THEN new_no ELSE old_no END AS first, 1 AS count FROM diff WHERE type <> 'ctx'",
