@@ -16,7 +16,6 @@ go to the language that sorts first; an empty table gives an empty table; withou
 from __future__ import annotations
 
 import re
-import sys
 from dataclasses import dataclass
 
 import numpy as np
@@ -54,9 +53,18 @@ SCRIPTS = {
 OTHER = "other"
 SCRIPT_NAMES = [*SCRIPTS, OTHER]
 
-#: Numerals that the word class of patterns takes for letters, such as fractions and Roman ones.
-_NUMERALS = "".join(c for c in map(chr, range(0xB2, sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha())
-_WORD = re.compile(rf"[^\W\d_{_NUMERALS}]+")
+_WORD = re.compile(r"[^\W\d_]+")
+
+
+def only_letters(text: str) -> str:
+    """The text with blanks for numerals that the word pattern takes for letters, such as fractions and Roman ones."""
+    return "".join(" " if c.isnumeric() and not c.isalpha() else c for c in text)
+
+
+def words_of(text: str) -> list[str]:
+    """The runs of letters of a text."""
+    found = _WORD.findall(text)
+    return found if all(map(str.isalpha, found)) else _WORD.findall(only_letters(text))
 
 
 _EDGES = sorted((first, last, i) for i, ranges in enumerate(SCRIPTS.values()) for first, last in ranges)
@@ -104,7 +112,7 @@ def train(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 held = counts.setdefault(lang, np.zeros(SLOTS, np.int64))
                 letters = scripts.setdefault(lang, np.zeros(len(SCRIPT_NAMES), np.int64))
-                if words := _WORD.findall(text.lower()):
+                if words := words_of(text.lower()):
                     held += np.bincount(slots(words), minlength=SLOTS)
                     letters += np.bincount(scripts_of(words), [len(w) for w in words], len(SCRIPT_NAMES)).astype(np.int64)
         for lang, held in counts.items():
@@ -217,7 +225,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def _label(ids: pa.Array, texts: list[str], model: Model, table: WordScores, spans: bool) -> pa.RecordBatch:
-    words = [_WORD.findall(t) if model.languages else [] for t in texts]
+    words = [words_of(t) if model.languages else [] for t in texts]
     lengths = np.array([len(w) for w in words], np.int64)
     flat = [w for own in words for w in own]
     n_lang = max(1, len(model.languages))
@@ -237,6 +245,6 @@ def _label(ids: pa.Array, texts: list[str], model: Model, table: WordScores, spa
     columns = {"id": ids, "lang_pred": pa.array(names, pa.string()), "score": pa.array(score)}
     if spans:
         ends = np.cumsum(lengths)
-        found = [_spans(list(_WORD.finditer(t)) if n else [], labels[e - n : e], model.languages) for t, n, e in zip(texts, lengths, ends, strict=True)]
+        found = [_spans(list(_WORD.finditer(only_letters(t))) if n else [], labels[e - n : e], model.languages) for t, n, e in zip(texts, lengths, ends, strict=True)]
         columns["spans"] = pa.array(found, pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])))
     return pa.RecordBatch.from_pydict(columns)

@@ -385,6 +385,11 @@ def test_language_spans_and_awkward_rows(spark, awkward, nothing):
     assert {r.lang_pred for r in langid.identify(awkward, blank).collect()} == {"und"}
 
 
+def test_words_are_letters_only():
+    assert langid.words_of("½ ² ① Ⅷ x²y Straße_4") == ["x", "y", "Straße"] and langid.words_of("½ ² ① Ⅷ") == []
+    assert len(langid.only_letters("a½b")) == 3
+
+
 def test_scripts_narrow_languages():
     counts = langid.scripts_of(["word", "слово", "λόγος", "漢字", "ⵣⵣ"])
     assert [langid.SCRIPT_NAMES[i] for i in counts] == ["latin", "cyrillic", "greek", "han", "other"]
