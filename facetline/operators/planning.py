@@ -15,7 +15,7 @@ DIRECT, REFERENCE, BRIDGED, PARENT, SIBLING = 3.0, 1.0, 1.0, 1.0, 1.0
 #: Votes for a cluster: by a direct or incoming link, by a bridged one.
 VOTE_LINK, VOTE_BRIDGE = 2, 1
 #: Members above which a component is split, and how often; levels of communities, rounds of moves on each; test callers shown.
-SPLIT_ABOVE, SPLITS, LEVELS, ROUNDS, TEST_CALLERS = 40, 3, 10, 20, 5
+SPLIT_ABOVE, SPLITS, LEVELS, ROUNDS, TEST_CALLERS = 40, 3, 10, 8, 5
 
 
 def sibling_chain(symbols: DataFrame, changed: DataFrame) -> DataFrame:
