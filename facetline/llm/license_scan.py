@@ -131,20 +131,26 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, least:
         return split.where(F.size("words") > 1)
 
     # a pair with the wanted coefficient shares at least lo of the template's bigrams; counted with repeats, which only adds
-    key = ["id", "unit", "unit_no", "license", "template"]
-    most = F.size("words") - 1
-    joined = F.zip_with(F.slice("words", 1, most), F.slice("words", 2, most), lambda a, b: F.concat_ws(" ", a, b))
-    pairs = units(docs.where(F.col(id_col).isNotNull())).select("id", "unit", "unit_no", most.alias("most"), F.explode(joined).alias("gram"))
-    # the templates are given in code, so their bigrams have a fixed size
-    hits = pairs.join(F.broadcast(grams), "gram").where("most >= lo").groupBy(*key).agg(F.count("*").alias("hits"), F.first("lo").alias("lo")).where("hits >= lo")
-    hits = materialise(hits.select(*key), "license-hits")
+    def near(rows: DataFrame, *key: str) -> DataFrame:
+        most = F.size("words") - 1
+        joined = F.zip_with(F.slice("words", 1, most), F.slice("words", 2, most), lambda a, b: F.concat_ws(" ", a, b))
+        pairs = rows.select(*key, most.alias("most"), F.explode(joined).alias("gram"))
+        # the templates are given in code, so their bigrams have a fixed size
+        hits = pairs.join(F.broadcast(grams), "gram").where("most >= lo").groupBy(*key, "license", "template").agg(F.count("*").alias("hits"), F.first("lo").alias("lo"))
+        return hits.where("hits >= lo").select(*key, "license", "template")
+
+    # the words of a unit follow each other in the whole text, so a text has all bigrams of its units: texts first, then units of those left
+    known = docs.where(F.col(id_col).isNotNull())
+    entire_texts = known.select(F.col(id_col).alias("id"), _once(words_of(text), "words")).where(F.size("words") > 1)
+    open_ = materialise(near(entire_texts, "id").select(F.col("id").alias(id_col)).distinct(), "license-texts")
+    hits = materialise(near(units(known.join(small_side(open_), id_col, "left_semi")), "id", "unit", "unit_no"), "license-hits")
 
     held = docs.join(small_side(hits.select(F.col("id").alias(id_col)).distinct()), id_col, "left_semi")
     whole = grams.groupBy("license", "template").agg(F.collect_set("gram").alias("template_grams"))
     both = units(held).join(small_side(hits), ["id", "unit", "unit_no"]).join(F.broadcast(whole), ["license", "template"])
-    sets = both.select(*key, "template_grams", _once(bigrams(F.col("words")), "grams"))
+    sets = both.select("id", "unit", "unit_no", "license", "template", "template_grams", _once(bigrams(F.col("words")), "grams"))
     common = F.size(F.array_intersect("grams", "template_grams"))
-    rated = sets.select(*key, (2.0 * common / (F.size("grams") + F.size("template_grams"))).alias("dice")).where(F.col("dice") >= least).distinct()
+    rated = sets.select("id", "unit", "unit_no", "license", "template", (2.0 * common / (F.size("grams") + F.size("template_grams"))).alias("dice")).where(F.col("dice") >= least).distinct()
     best = rated.groupBy("id", "unit", "unit_no", "license").agg(F.max(F.struct("dice", -F.col("template"))).alias("x"))
     return best.select(F.col("id").alias(id_col), "unit", "unit_no", "license", (-F.col("x.col2")).alias("template"), F.col("x.dice").alias("dice"))
 
