@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from facetline.llm.staging import in_batches, materialise
 
 #: Labelled documents per language that training reads at most, those with the smallest hash of their id.
-SAMPLE_DOCS = 800
+SAMPLE_DOCS, SAMPLE_PARTS = 800, 64
 #: Hashed trigram slots.
 SLOTS = 1 << 15  # the top bits of the hash
 #: Cost of a switch, in nats; scale of a word's score difference, as trigrams of one word are not independent.
@@ -99,7 +99,10 @@ def train(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col:
     per language and slot.
     """
     labelled = docs.where(may_learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    ranked = labelled.where(F.col(lang_col) != UND).select(F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h")).withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("h")))
+    # first within parts of a language, so that no task gets more rows of one than the parts leave
+    hashed = labelled.where(F.col(lang_col) != UND).select(F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"), F.pmod(F.spark_partition_id(), F.lit(SAMPLE_PARTS)).alias("part"))
+    firsts = hashed.withColumn("rank", F.row_number().over(W.partitionBy("lang", "part").orderBy("h"))).where(F.col("rank") <= sample_docs)
+    ranked = firsts.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("h")))
     bounds = materialise(ranked.where(F.col("rank") <= sample_docs).groupBy("lang").agg(F.max("h").alias("bound")), "language-samples")
     languages = sorted(r.lang for r in bounds.select("lang").collect())
     if not languages:
