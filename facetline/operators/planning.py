@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -16,6 +18,8 @@ DIRECT, REFERENCE, BRIDGED, PARENT, SIBLING = 3.0, 1.0, 1.0, 1.0, 1.0
 VOTE_LINK, VOTE_BRIDGE = 2, 1
 #: Members above which a component is split, and how often; levels of communities, rounds of moves on each; test callers shown.
 SPLIT_ABOVE, SPLITS, LEVELS, ROUNDS, TEST_CALLERS = 40, 3, 10, 8, 5
+#: Members and links up to which one cluster is split within a task; larger ones are split by joins.
+IN_TASK = 500_000
 
 
 def sibling_chain(symbols: DataFrame, changed: DataFrame) -> DataFrame:
@@ -40,15 +44,15 @@ def link_weights(core: DataFrame, symbols: DataFrame, edges: DataFrame, changed:
     return every.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.sum("weight").alias("weight"))
 
 
-def _moved(both: DataFrame, degrees: DataFrame, m2: float) -> tuple[DataFrame, bool]:
-    """(id, community) after greedy modularity moves of the nodes of (u, v, w), and whether any moved.
+def _moved(both: DataFrame, degrees: DataFrame) -> tuple[DataFrame, bool]:
+    """(id, community) after greedy modularity moves of the nodes (id, degree, m2: twice the weight of all links of its cluster) of (u, v, w), and whether any moved.
 
     In every round one half of the nodes, alternating by hash, move to the neighbouring community with the largest
     gain in modularity, if there is one; gains are joins and sums over the edges, so no component has to fit into a
     task. Of equal gains the smaller label wins. Rounds end when nothing moves in either half; as nodes move at once,
     ``ROUNDS`` ends what swings to and fro.
     """
-    state, still, any_moved = materialise(degrees.select("id", "degree", F.col("id").alias("community")), "communities"), 0, False
+    state, still, any_moved = materialise(degrees.select("id", "degree", "m2", F.col("id").alias("community")), "communities"), 0, False
     between = both.where("u <> v")
     for n in range(ROUNDS):
         total = state.groupBy("community").agg(F.sum("degree").alias("total"))
@@ -56,13 +60,13 @@ def _moved(both: DataFrame, degrees: DataFrame, m2: float) -> tuple[DataFrame, b
         movers = state.where(F.pmod(F.xxhash64("id"), F.lit(2)) == n % 2).withColumnRenamed("community", "current")
         options = near.join(movers, near["u"] == movers["id"]).join(total.withColumnRenamed("community", "target"), "target")
         others = F.col("total") - F.when(F.col("target") == F.col("current"), F.col("degree")).otherwise(0.0)
-        gained = options.select("id", "current", "target", F.round(F.col("links") - others * F.col("degree") / m2, 9).alias("gain"))
+        gained = options.select("id", "current", "target", F.round(F.col("links") - others * F.col("degree") / F.col("m2"), 9).alias("gain"))
         # a node without a link into its own community loses what its size costs there
-        alone = movers.join(total.withColumnRenamed("community", "current"), "current").select("id", F.round(-(F.col("total") - F.col("degree")) * F.col("degree") / m2, 9).alias("alone"))
+        alone = movers.join(total.withColumnRenamed("community", "current"), "current").select("id", F.round(-(F.col("total") - F.col("degree")) * F.col("degree") / F.col("m2"), 9).alias("alone"))
         best = gained.groupBy("id").agg(F.max(F.when(F.col("target") != F.col("current"), F.col("gain"))).alias("top"), F.max(F.when(F.col("target") == F.col("current"), F.col("gain"))).alias("stay"))
         better = best.join(alone, "id").where(F.col("top") > F.coalesce("stay", "alone") + 1e-9)
         chosen = gained.where("target <> current").join(better, "id").where("gain = top").groupBy("id").agg(F.min("target").alias("to"))
-        moved = materialise(state.join(chosen, "id", "left").select("id", "degree", F.coalesce("to", "community").alias("community"), F.col("to").isNotNull().alias("moved")), "communities")
+        moved = materialise(state.join(chosen, "id", "left").select("id", "degree", "m2", F.coalesce("to", "community").alias("community"), F.col("to").isNotNull().alias("moved")), "communities")
         still = 0 if not moved.where("moved").isEmpty() else still + 1
         any_moved = any_moved or not still
         state = moved.drop("moved")
@@ -72,17 +76,18 @@ def _moved(both: DataFrame, degrees: DataFrame, m2: float) -> tuple[DataFrame, b
 
 
 def communities(nodes: DataFrame, weights: DataFrame, levels: int = LEVELS) -> DataFrame:
-    """(id, community): modularity communities of all nodes (id), named by their smallest members.
+    """(id, community): modularity communities of all nodes (id, cluster), each cluster by itself, named by their smallest members.
 
-    After the moves of a level every community becomes one node, with what is linked within it as a loop, and the
-    communities move on, until none does.
+    ``weights`` lead from nodes of a cluster to others of it. After the moves of a level every community becomes one
+    node, with what is linked within it as a loop, and the communities move on, until none does.
     """
     both = materialise(weights.select("src", "dst", "weight").unionAll(weights.select("dst", "src", "weight")).toDF("u", "v", "w"), "weights")
-    m2 = both.agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
+    ends = nodes.select(F.col("id").alias("u"), "cluster")
+    m2 = materialise(ends.join(both.join(ends, "u").groupBy("cluster").agg(F.sum("w").alias("m2")), "cluster").select(F.col("u").alias("id"), "m2"), "totals")
     of = nodes.select("id", F.col("id").alias("community"))
-    for _ in range(levels if m2 else 0):
-        degrees = both.groupBy(F.col("u").alias("id")).agg(F.sum("w").alias("degree"))
-        state, any_moved = _moved(both, degrees, m2)
+    for _ in range(levels):
+        degrees = both.groupBy(F.col("u").alias("id")).agg(F.sum("w").alias("degree")).join(m2, "id")
+        state, any_moved = _moved(both, degrees)
         if not any_moved:
             break
         step = state.toDF("community", "to")
@@ -92,18 +97,73 @@ def communities(nodes: DataFrame, weights: DataFrame, levels: int = LEVELS) -> D
     return of.select("id", F.min("id").over(W.partitionBy("community")).alias("community"))
 
 
-def core_clusters(core: DataFrame, weights: DataFrame, split_above: int = SPLIT_ABOVE) -> DataFrame:
-    """(id, cluster): components of the links; those above ``split_above`` members are split into communities, and these again, ``SPLITS`` times at most."""
+def _half_moved(state: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray, degree: np.ndarray, turn: np.ndarray) -> np.ndarray:
+    """Communities after one round of :func:`_moved` for the nodes whose ``turn`` it is; loops are in ``degree`` alone."""
+    n, m2 = len(state), degree.sum()
+    total = np.bincount(state, degree, n)
+    key, at = np.unique(u * n + state[v], return_inverse=True)
+    node, target = key // n, key % n
+    own = target == state[node]
+    gain = np.round(np.bincount(at, w, len(key)) - (total[target] - np.where(own, degree[node], 0)) * degree[node] / m2, 9)
+    stay = np.round(-(total[state] - degree) * degree / m2, 9)
+    stay[node[own]] = gain[own]
+    top = np.full(n, -np.inf)
+    np.maximum.at(top, node[~own], gain[~own])
+    # of equal gains the first is kept, so they are set from the last to the first
+    best = np.flatnonzero(~own & turn[node] & (gain == top[node]) & (gain > stay[node] + 1e-9))[::-1]
+    moved = state.copy()
+    moved[node[best]] = target[best]
+    return moved
+
+
+def _split_in_task(rows: pd.DataFrame) -> pd.DataFrame:
+    """:func:`communities` of one cluster (src, dst, weight, half), where every node has a row from itself to itself, without weight."""
+    ids, at = np.unique(np.concatenate((rows["src"], rows["dst"])), return_inverse=True)
+    a, b = at[: len(rows)], at[len(rows) :]
+    half = np.zeros(len(ids), np.int64)
+    half[a] = rows["half"]
+    linked = (rows["weight"] > 0).to_numpy()
+    u, v, w = np.concatenate((a[linked], b[linked])), np.concatenate((b[linked], a[linked])), np.tile(rows["weight"].to_numpy()[linked], 2)
+    of, n = np.arange(len(ids)), len(ids)
+    for _ in range(LEVELS if len(w) else 0):
+        degree, state, still, any_moved, between = np.bincount(u, w, n), np.arange(n), 0, False, u != v
+        for r in range(ROUNDS):
+            moved = _half_moved(state, u[between], v[between], w[between], degree, half == r % 2)
+            still = 0 if (moved != state).any() else still + 1
+            any_moved, state = any_moved or not still, moved
+            if still == 2:
+                break
+        if not any_moved:
+            break
+        of = state[of]
+        key, at = np.unique(state[u] * n + state[v], return_inverse=True)
+        u, v, w = key // n, key % n, np.bincount(at, w, len(key))
+    least = np.full(n, n)
+    np.minimum.at(least, of, np.arange(n))
+    return pd.DataFrame({"id": ids, "community": ids[least[of]]})
+
+
+def core_clusters(core: DataFrame, weights: DataFrame, split_above: int = SPLIT_ABOVE, in_task: int = IN_TASK) -> DataFrame:
+    """(id, cluster): components of the links; those above ``split_above`` members are split into communities, and these again, ``SPLITS`` times at most.
+
+    Clusters of up to ``in_task`` members and links are split in a task each, larger ones by joins, with one result.
+    """
     parts = materialise(components(core, weights).withColumnRenamed("root", "cluster"), "components")
     for _ in range(SPLITS):
         large = parts.groupBy("cluster").count().where(F.col("count") > split_above).select("cluster")
-        members = materialise(parts.join(large, "cluster", "left_semi"), "large")
-        if members.isEmpty():
+        members = parts.join(large, "cluster", "left_semi").select("id", "cluster")
+        a, b = members.toDF("src", "cluster"), members.toDF("dst", "dst_cluster")
+        inner = weights.join(a, "src").join(b, "dst").where("cluster = dst_cluster").select("cluster", "src", "dst", "weight")
+        loops = members.select("cluster", F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("weight"))
+        rows = materialise(loops.unionAll(inner).withColumn("half", F.pmod(F.xxhash64("src"), F.lit(2))), "large")
+        sizes = materialise(rows.groupBy("cluster").agg(F.count("*").alias("rows")), "sizes")
+        n, most = sizes.agg(F.count("*"), F.max("rows")).first()
+        if not n:
             break
-        members = members.select("id", "cluster")
-        a, b = members.toDF("src", "src_cluster"), members.toDF("dst", "dst_cluster")
-        inner = weights.join(a, "src").join(b, "dst").where("src_cluster = dst_cluster").select("src", "dst", "weight")
-        split = communities(members.select("id"), inner)
+        split = rows.join(sizes.where(F.col("rows") <= in_task), "cluster", "left_semi").groupBy("cluster").applyInPandas(lambda x: _split_in_task(x), core.select("id", F.col("id").alias("community")).schema)
+        if most > in_task:
+            rest = materialise(rows.join(sizes.where(F.col("rows") > in_task), "cluster", "left_semi"), "rest")
+            split = split.unionAll(communities(rest.where("src = dst").select(F.col("src").alias("id"), "cluster"), rest.where("src <> dst")))
         parts = materialise(parts.join(split, "id", "left").select("id", F.coalesce("community", "cluster").alias("cluster")), "components")
     return parts
 

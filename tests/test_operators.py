@@ -108,6 +108,19 @@ def test_components_and_communities(spark):
     assert all(parts[i] == i // 20 * 20 for i in range(60)) and parts[60] == 60
 
 
+def test_clusters_are_split_alike_in_a_task_and_by_joins(spark, monkeypatch):
+    monkeypatch.setattr(planning, "SPLITS", 1)
+    rng = random.Random(5)
+    near = lambda a: a // 12 * 12 + rng.randrange(12)
+    links = {(min(a, b), max(a, b)) for a in range(96) for b in [near(a), near(a), near(a), rng.randrange(96) if a % 5 == 0 else near(a)] if a != b}
+    nodes = spark.range(97)
+    weights = spark.createDataFrame([(a, b, float(1 + (a * b) % 3)) for a, b in sorted(links)], "src long, dst long, weight double")
+    split = lambda most: {r.id: r.cluster for r in planning.core_clusters(nodes, weights, split_above=60, in_task=most).collect()}
+    found = split(10**6)
+    assert found == split(0) and found.keys() == set(range(97)) and 1 < len(set(found.values())) < 97
+    assert all(found[c] == c <= i for i, c in found.items())
+
+
 def test_categories_and_globs(spark):
     cases = {"src/test_a.py": "test", "vendor/tests/x.py": "generated", "db/migrate/1.rb": "migration", "a/templates/x.txt": "template", "requirements-dev.txt": "config", "notes.txt": "docs", "x.scss": "style", ".eslintrc.js": "config", "go.sum": "generated", "UserTest.java": "source", "LICENSE": "docs", "bin/tool": "other", "a.lock": "config", "logo.SVG": "asset"}
     rows = spark.createDataFrame([(p,) for p in cases], "path string").select("path", paths.builtin_category(F.col("path")).alias("c"), paths.extension(F.col("path")).alias("e"))
