@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from facetline.functions.paths import analyzable
 from facetline.operators.intervals import MODULE
 
+# Modes of links and submodules, which hold no source; bytes up to which a file is parsed.
+NO_SOURCE, MOST_BYTES = ("120000", "160000"), 512 * 1024
+
 
 def reconcile(files: DataFrame, head: DataFrame, base: DataFrame, added: DataFrame, deleted: DataFrame) -> DataFrame:
     """path, qual, status, additions, deletions of every changed symbol.
@@ -40,5 +44,18 @@ def changed_files(raw: DataFrame, stats: DataFrame) -> DataFrame:
     return joined.select("path", "old_path", F.coalesce(F.element_at(names, F.substring("letter", 1, 1)), F.lit("modified")).alias("status"), number("adds").alias("additions"), number("dels").alias("deletions"), F.coalesce(F.col("adds") == "-", F.lit(False)).alias("binary"))
 
 
+def base_targets(files: DataFrame, sizes: DataFrame, most: int = MOST_BYTES) -> DataFrame:
+    """path, sha of the base sides that a review parses; paths are those of the base.
+
+    ``files``: path, old_path, status, binary, sha, mode (of the base). Added and binary files have none, nor have
+    links, submodules, missing blobs, other languages and excluded paths on either side, or blobs (``sizes``: sha,
+    size) above ``most`` bytes or not in the store.
+    """
+    base = F.coalesce("old_path", "path")
+    usable = ~F.col("binary") & (F.col("status") != "added") & (F.coalesce("sha", F.lit("")) != "") & ~F.coalesce("mode", F.lit("")).isin(*NO_SOURCE)
+    wanted = files.where(usable & analyzable(F.col("path")) & analyzable(base)).select(base.alias("path"), "sha")
+    return wanted.join(sizes.where(F.col("size") <= most).select("sha").distinct(), "sha", "left_semi").select("path", "sha")
+
+
 # Status letters of a raw diff.
 STATUS = {"A": "added", "M": "modified", "D": "deleted", "R": "renamed", "C": "copied", "T": "typechange"}

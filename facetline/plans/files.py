@@ -193,7 +193,32 @@ def ordered_distinct(spark, d):
     return listed.select("o_custkey", F.array_join("p", ",").alias("priorities"))
 
 
+def base_targets(spark, d):
+    """Base sides of the documents' paths: every fourth is renamed, a half of these from an excluded folder; some are added, binary, links or not stored."""
+    from facetline.operators.changes import base_targets
+
+    n, sha = F.col("id"), F.concat(F.lit("s"), F.col("id"))
+    old = F.when(n % 8 == 1, F.concat(F.lit("vendor/"), "path")).when(n % 8 == 5, F.concat(F.lit("old/"), "path"))
+    status = F.when(n % 4 == 1, "renamed").when(n % 4 == 2, "added").when(n % 12 == 3, "deleted").otherwise("modified")
+    mode = F.when(n % 11 == 0, "120000").when(n % 13 == 0, "160000").otherwise("100644")
+    files = N.paths(spark, d)
+    rows = files.select("path", old.alias("old_path"), status.alias("status"), (n % 9 == 0).alias("binary"), F.when(n % 7 != 0, sha).alias("sha"), mode.alias("mode"))
+    return base_targets(rows, files.where("id % 5 <> 0").select(sha.alias("sha"), "size"), most=3000)
+
+
+def status_letters(spark, d):
+    """Orders as changed files of every status letter, renames and copies with their old path and a similarity."""
+    from facetline.operators.changes import changed_files
+
+    letters = F.element_at(F.array(*[F.lit(x) for x in ("A", "M", "D", "R100", "C075", "T", "X")]), (F.col("o_orderkey") % 7 + 1).cast("int"))
+    key = F.col("o_orderkey").cast("string")
+    orders = N.table(spark, d, "orders").select(key.alias("path"), F.when(letters.isin("R100", "C075"), F.concat(F.lit("old/"), key)).alias("old_path"), letters.alias("letter"), (F.col("o_custkey") % 50).cast("string").alias("adds"), F.lit("1").alias("dels"))
+    return changed_files(orders.select("path", "old_path", "letter"), orders.select("path", "adds", "dels"))
+
+
 QUERIES = {
+    "pf7_base_targets": base_targets,
+    "sc4_status_letters": status_letters,
     "pf1_classify": classify,
     "pf2_classify_override": classify_override,
     "pf3_language": language,
@@ -245,6 +270,9 @@ EXCLUDED = r"(^|.*/)(node_modules|bower_components|vendor|dist|build|\.next|cove
 LANG = "CASE ext " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in P.LANGUAGES.items()) + " END"
 
 ORACLES = {
+    "pf7_base_targets": f"""WITH {N.PATHS}, t AS (SELECT id, size, 's' || id AS sha, CASE id % 8 WHEN 1 THEN 'vendor/' || path WHEN 5 THEN 'old/' || path ELSE path END AS path FROM paths), p AS (SELECT *, {EXT} AS ext FROM t)
+SELECT path, sha FROM p WHERE id % 4 <> 2 AND id % 9 <> 0 AND id % 7 <> 0 AND id % 11 <> 0 AND id % 13 <> 0 AND id % 5 <> 0 AND size <= 3000 AND coalesce({LANG} IN ({_q(P.ANALYZABLE)}), false) AND NOT regexp_full_match(path, '{EXCLUDED}')""",
+    "sc4_status_letters": """SELECT o_orderkey::VARCHAR AS path, CASE WHEN o_orderkey % 7 IN (3, 4) THEN 'old/' || o_orderkey END AS old_path, ['added', 'modified', 'deleted', 'renamed', 'copied', 'typechange', 'modified'][o_orderkey % 7 + 1] AS status, (o_custkey % 50)::INTEGER AS additions, 1 AS deletions, false AS "binary" FROM orders""",
     "pf1_classify": f"{FILES} SELECT id, category FROM files",
     "pf2_classify_override": f"{FILES} SELECT id, CASE WHEN path LIKE '%.svg' AND regexp_extract(path, '[^/]*$') <> 'logo.svg' THEN 'docs' WHEN regexp_matches(path, '(^|/)src/') OR regexp_matches(path, '^Docs/.*\\.md$') THEN 'config' WHEN path LIKE '%.rs' THEN 'style' ELSE category END AS category FROM files",
     "pf3_language": f"WITH {N.PATHS}, p AS (SELECT id, {EXT} AS ext FROM paths) SELECT id, {LANG} AS language, ext FROM p",
