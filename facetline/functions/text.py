@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,6 +53,42 @@ def hunk_header(line: Column) -> dict[str, Column]:
     return {"old_start": number(1), "old_lines": number(2), "new_start": number(3), "new_lines": number(4), "section": F.coalesce(part(5), F.lit(""))}
 
 
+# The letters that stand for control characters in quoted paths.
+ESCAPES = {"a": "07", "b": "08", "t": "09", "n": "0A", "v": "0B", "f": "0C", "r": "0D"}
+
+
+def unquote(path: Column) -> Column:
+    """A path without C-style quoting: backslash and three octal digits are a byte, other escapes a character.
+
+    Bytes that are no UTF-8 become the replacement character. Paths that no pair of quotes surrounds stay as they are.
+    """
+    quoted = (F.length(path) >= 2) & F.startswith(path, F.lit('"')) & F.endswith(path, F.lit('"'))
+    pieces = F.regexp_extract_all(F.substring(path, F.lit(2), F.length(path) - 2), F.lit(r"(?s)\\[0-7]{3}|\\.|[^\\]+|\\"), F.lit(0))
+
+    def code(piece: Column) -> Column:
+        after = F.substring(piece, 2, 1)
+        special = F.element_at(F.create_map(*[F.lit(x) for kv in ESCAPES.items() for x in kv]), after)
+        octal = F.lpad(F.right(F.conv(F.substring(piece, 2, 3), 8, 16), F.lit(2)), 2, "0")
+        escaped = F.when(piece.rlike(r"^\\[0-7]{3}$"), octal).otherwise(F.coalesce(special, F.hex(after)))
+        return F.when(F.startswith(piece, F.lit("\\")) & (F.length(piece) > 1), escaped).otherwise(F.hex(piece))
+
+    return F.when(quoted, F.make_valid_utf8(F.unhex(F.array_join(F.transform(pieces, code), "")).cast("string"))).otherwise(path)
+
+
+def header_paths(rest: Column) -> Column:
+    """(old, new) of what follows 'diff --git ', null where it is ambiguous.
+
+    A quoted first path ends at its closing quote. Unquoted ones have blanks of their own, so only two equal paths can be told.
+    """
+    first, second = (F.regexp_extract(rest, r'(?s)^("(?:[^"\\]|\\.)*") (.*)$', i) for i in (1, 2))
+    a, b = unquote(first), unquote(second)
+    of_quoted = F.when(F.startswith(a, F.lit("a/")) & F.startswith(b, F.lit("b/")), F.struct(F.substring(a, F.lit(3), F.length(a)).alias("old"), F.substring(b, F.lit(3), F.length(b)).alias("new")))
+    n = F.floor((F.length(rest) - 5) / 2).cast("int")
+    left, right = F.substring(rest, F.lit(3), n), F.substring(rest, n + 6, n)
+    of_plain = F.when((n > 0) & (F.length(rest) == 2 * n + 5) & (left == right), F.struct(left.alias("old"), left.alias("new")))
+    return F.when(F.startswith(rest, F.lit('"')), of_quoted).otherwise(of_plain)
+
+
 def symbol_id(path: Column, qual: Column) -> Column:
     return F.concat_ws("::", path, qual)
 
@@ -66,7 +104,7 @@ def review_id(base: Column, head: Column) -> Column:
 
 def still_defined(content: Column, name: str) -> Column:
     """Whether a text still defines a name: def, class, function, const and the like."""
-    return content.rlike(rf"(?m)^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:def|class|function|const|let|var|interface|type|enum)\s+{name}\b")
+    return content.rlike(rf"(?m)^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:def|class|function|const|let|var|interface|type|enum)\s+{re.escape(name)}\b")
 
 
 def strip_jsonc(text: Column) -> Column:

@@ -30,6 +30,8 @@ STOP_NAMES = (
 ).split()
 #: Rounds of following names, levels of base classes.
 BINDING_ROUNDS, BASE_LEVELS = 8, 7
+#: Levels of configurations that extend another.
+EXTENDS_LEVELS = 5
 
 
 def longest_prefix(requests: DataFrame, names: DataFrame) -> DataFrame:
@@ -76,6 +78,41 @@ def aliased_bases(requests: DataFrame, configs: DataFrame) -> DataFrame:
     return hits.select("id", k.alias("k"), normalize(F.concat_ws("/", "dir", F.concat("target", rest))).alias("base"))
 
 
+def merged_configs(configs: DataFrame, levels: int = EXTENDS_LEVELS) -> DataFrame:
+    """(path, dir, base_dir, aliases): script configurations (path, extends, base_url, aliases) with what they inherit.
+
+    Relative ``extends`` are followed for so many levels; the nearest configuration that has a base or aliases gives them. A
+    base is relative to the configuration that declares it; without one the configuration's own directory is the base.
+    Those with neither are left out.
+    """
+    beside = lambda own, spec: normalize(F.concat_ws("/", dirname(own), spec))
+    upper = F.when(F.startswith("extends", F.lit(".")), beside(F.col("path"), F.col("extends")))
+    held = configs.select("path", F.when(F.endswith(upper, F.lit(".json")), upper).otherwise(F.concat(upper, F.lit(".json"))).alias("next"), F.when(F.col("base_url").isNotNull(), beside(F.col("path"), F.col("base_url"))).alias("base"), "aliases")
+    above = held.select(F.col("path").alias("next"), F.col("next").alias("next_2"), F.col("base").alias("base_2"), F.col("aliases").alias("aliases_2"))
+    for _ in range(levels):
+        held = held.join(above, "next", "left").select("path", F.col("next_2").alias("next"), F.coalesce("base", "base_2").alias("base"), F.coalesce("aliases", "aliases_2").alias("aliases"))
+    return held.where("base IS NOT NULL OR size(aliases) > 0").select("path", dirname(F.col("path")).alias("dir"), F.coalesce("base", dirname(F.col("path"))).alias("base_dir"), "aliases")
+
+
+def alias_candidates(requests: DataFrame, merged: DataFrame) -> DataFrame:
+    """(id, k, base): expansions of (id, from_path, spec) in the order of trying, the nearest configuration first.
+
+    Within one: the targets of each alias that fits, a star standing for the rest wherever it is in the target, in the order
+    that they are written; then the spec below the base itself.
+    """
+    listed = merged.select("path", "dir", "base_dir", F.posexplode_outer(F.map_entries("aliases")).alias("a", "alias")).select("path", "dir", "base_dir", "a", F.col("alias.key").alias("pattern"), F.posexplode_outer("alias.value").alias("t", "target"))
+    plain = merged.select("path", "dir", "base_dir", F.lit(None).cast("int").alias("a"), F.lit("*").alias("pattern"), F.lit(None).cast("int").alias("t"), F.lit("*").alias("target"))
+    rules = listed.where("target IS NOT NULL").unionByName(plain)
+    tried = requests.select("id", "spec", F.posexplode(ancestors(F.col("from_path"))).alias("level", "dir")).join(rules, "dir")
+    stem = F.expr("substring(pattern, 1, length(pattern) - 1)")
+    starred = F.endswith("pattern", F.lit("*"))
+    fits = tried.where((starred & F.startswith("spec", stem)) | (F.col("pattern") == F.col("spec")))
+    rest = F.expr("substring(spec, length(pattern))")
+    base = normalize(F.concat_ws("/", "base_dir", F.when(starred, F.replace("target", F.lit("*"), rest)).otherwise(F.col("target"))))
+    order = W.partitionBy("id").orderBy("level", "path", F.asc_nulls_last("a"), F.asc_nulls_last("t"))
+    return fits.select("id", F.row_number().over(order).alias("k"), base.alias("base"))
+
+
 def workspace_package(requests: DataFrame, packages: DataFrame) -> DataFrame:
     """(id, name, dir, rest): the longest package name that (id, spec) is, or starts with before a slash.
 

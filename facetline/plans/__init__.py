@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _modules():
-    from facetline.plans import diffs, files, graph, names, parsing, reports
+    from facetline.plans import callgraph, diffs, files, graph, names, parsing, reports
 
-    return [graph, diffs, files, names, parsing, reports]
+    return [graph, diffs, files, names, callgraph, parsing, reports]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from facetline.functions.text import hunk_header
+from facetline.functions.text import hunk_header, unquote
 
 HEADER = r"^@@ -\d+(?:,\d+)? \+\d+(?:,\d+)? @@"
 
@@ -54,14 +54,14 @@ def file_ranges(lines: DataFrame) -> DataFrame:
     """path, side, first, count from one diff text of many files (pos, text).
 
     A header block starts at 'diff --git' and ends at the first hunk header; only there are '---' and '+++' file
-    names, so body lines that look like them are not. /dev/null, quotes and trailing tabs are handled; a file has
+    names, so body lines that look like them are not. /dev/null, quoting and trailing tabs are handled; a file has
     the path of its new side, or of its old side if it is deleted.
     """
     order = W.partitionBy("source").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     marked = lines.withColumns({"file": F.sum(F.startswith(F.col("text"), F.lit("diff --git ")).cast("int")).over(order)}).where("file > 0")
     in_file = W.partitionBy("source", "file").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     staged = marked.withColumn("hunks", F.sum(F.col("text").rlike(HEADER).cast("int")).over(in_file))
-    name = lambda prefix: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.expr("substring(text, 5)"), "\t.*$", ""), '^"(.*)"$', "$1"), f"^{prefix}/", "")
+    name = lambda prefix: F.regexp_replace(unquote(F.regexp_replace(F.expr("substring(text, 5)"), "\t.*$", "")), f"^{prefix}/", "")
     of_side = lambda mark, prefix: F.max(F.when((F.col("hunks") == 0) & F.startswith(F.col("text"), F.lit(mark)) & (name(prefix) != "/dev/null"), name(prefix)))
     names = staged.groupBy("source", "file").agg(of_side("+++ ", "b").alias("new"), of_side("--- ", "a").alias("old"))
     headers = staged.where(F.col("text").rlike(HEADER)).join(names, ["source", "file"]).select(F.coalesce("new", "old").alias("path"), "pos", "text")
