@@ -107,6 +107,14 @@ def still_defined(content: Column, name: str) -> Column:
     return content.rlike(rf"(?m)^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:def|class|function|const|let|var|interface|type|enum)\s+{re.escape(name)}\b")
 
 
+def import_line(content: Column, name: Column) -> Column:
+    """The first line with the name that imports or requires, else the first with the name, else 1."""
+    lines = F.split(content, "\n")
+    has = lambda x: F.contains(x, name)
+    first = F.array_position(F.transform(lines, lambda x: has(x) & (F.contains(x, F.lit("import")) | F.contains(x, F.lit("require")))), True)
+    return F.coalesce(F.nullif(first, F.lit(0)), F.nullif(F.array_position(F.transform(lines, has), True), F.lit(0)), F.lit(1))
+
+
 def strip_jsonc(text: Column) -> Column:
     """JSON with comments and trailing commas as plain JSON; strings stay as they are."""
     bare = F.regexp_replace(text, r"""("(?:[^"\\]|\\.)*")|//[^\n]*|/\*[\s\S]*?\*/""", "$1")

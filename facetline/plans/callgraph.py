@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from facetline.functions import text as X
 from facetline.operators import calls as C
+from facetline.operators import dangling as G
 from facetline.operators import resolve as R
 from facetline.plans import entities as N
 
@@ -123,7 +124,42 @@ def header_paths(spark, d):
     return N.table(spark, d, "pages").select("page_id", X.header_paths(rest).alias("p")).select("page_id", F.col("p.old").alias("old_path"), F.col("p.new").alias("new_path"))
 
 
+def deleted_still_used(spark, d):
+    """Parts that one side lost, and what still calls, mentions or imports them; 60 files, three keys share a name."""
+    part = N.table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_size")
+    key, file = F.col("id"), F.col("id") % 60
+    name = F.concat(F.lit("n"), F.floor(key / 3).cast("string"))
+    owner = F.when(key % 4 == 0, F.floor(key / 2))
+    deleted = part.where("p_size % 5 = 0").select("id", file.alias("path"), F.lit("py").alias("family"), name.alias("name"), owner.alias("owner"), F.concat(F.lit("C"), owner.cast("string")).alias("owner_qual"))
+    alive = part.where("p_size % 5 = 1 AND floor(id / 3) % 7 = 0").select(F.lit("py").alias("family"), name.alias("name"))
+    still = part.where("id % 8 = 1").select(file.alias("path"), name.alias("name"))
+    members = part.where("id % 12 = 0").select(F.floor(key / 4).alias("class"), name.alias("name"), key.alias("target"))
+    gone = G.replaced_by_nothing(deleted, alive, still, _bases(spark, d), members)
+
+    src, dst = F.col("src"), F.col("dst")
+    scope = F.when(src % 3 == 0, "<module>").when(src % 3 == 1, "f").otherwise(F.concat(F.lit("C"), F.floor(dst / 2).cast("string"), F.lit(".m")))
+    receiver = F.when(dst % 5 == 1, "self").when(dst % 5 == 2, "mod").when(dst % 5 == 3, "obj").when(dst % 5 == 4, "a.b")
+    called = F.concat(F.lit("n"), F.floor(dst / 3).cast("string"))
+    seen = N.uses(spark, d).select(F.col("ord").alias("use"), (src % 60).alias("path"), F.lit("py").alias("family"), scope.alias("scope"), F.when(F.col("line") % 4 == 1, "name").when(F.col("line") % 4 == 2, "ref").otherwise("attr").alias("kind"), called.alias("name"), receiver.alias("receiver"), "line", "dst")
+    mentions = seen.where("kind = 'ref'").select("use", "path", "family", "scope", F.concat_ws(".", "receiver", "name").alias("ref"), "line")
+    uses = seen.where("kind <> 'ref'").drop("dst").unionByName(G.reference_uses(mentions))
+
+    locals_ = part.where("id % 10 = 0").select(file.alias("path"), F.when(key % 20 == 0, "f").otherwise("<module>").alias("scope"), name.alias("name"))
+    imports = part.where("id % 6 = 1").select((key * 7 % 60).alias("path"), F.lit("py").alias("family"), name.alias("local"), F.when(key % 4 == 1, "other").otherwise(name).alias("name"), (key % 5 == 0).alias("bound"), F.lit(None).cast("long").alias("module"), file.alias("means"), F.lit(1).alias("line"))
+    modules = part.where("id < 60").select(key.alias("path"), F.lit("py").alias("family"), F.lit("mod").alias("local"), F.lit("*").alias("name"), F.lit(True).alias("bound"), (key * 3 % 60).alias("module"), (key * 3 % 60).alias("means"), F.lit(1).alias("line"))
+    starred = part.where("id < 60 AND id % 11 = 0").select(key.alias("path"))
+    receivers = seen.where("receiver = 'obj' AND use % 2 = 0").select("use", F.floor(dst / 2).alias("target"))
+    return G.dangling_uses(gone, uses, locals_, imports.unionAll(modules), starred, receivers)
+
+
+def import_lines(spark, d):
+    """Lines of whole documents that name their language, those that import first."""
+    return N.table(spark, d, "documents").select("doc_id", X.import_line(F.concat(F.lit("x\n"), "text", F.lit("\nrequire z\n"), "source"), F.when(F.col("doc_id") % 3 == 0, "z").otherwise(F.col("source"))).cast("long").alias("line"))
+
+
 QUERIES = {
+    "gr9_deleted_still_used": deleted_still_used,
+    "fn_import_lines": import_lines,
     "gr11_call_targets": call_targets,
     "jn15_type_chains": type_chains,
     "jn15_attribute_types": attribute_types,
@@ -146,6 +182,27 @@ SELECT w.path, arg_min(now, pos) AS target FROM w JOIN part ON p_partkey = now W
 
 
 ORACLES = {
+    "gr9_deleted_still_used": f"""WITH RECURSIVE {N.USES}, {BASES},
+dd AS (SELECT p_partkey AS id, p_partkey % 60 AS home, p_partkey // 3 AS nm, CASE WHEN p_partkey % 4 = 0 THEN p_partkey // 2 END AS owner FROM part WHERE p_size % 5 = 0 AND p_partkey // 3 NOT IN (SELECT p_partkey // 3 FROM part WHERE p_size % 5 = 1 AND (p_partkey // 3) % 7 = 0)),
+w AS (SELECT id, nm, owner AS class, 0 AS lv FROM dd WHERE owner IS NOT NULL UNION SELECT id, nm, base, lv + 1 FROM w JOIN b ON b.class = w.class WHERE lv < 7),
+inh AS (SELECT DISTINCT w.id FROM w JOIN part ON p_partkey % 12 = 0 AND p_partkey // 4 = w.class AND p_partkey // 3 = w.nm),
+g AS (SELECT * FROM dd WHERE CASE WHEN owner IS NULL THEN NOT EXISTS (SELECT 1 FROM part WHERE p_partkey % 8 = 1 AND p_partkey % 60 = home AND p_partkey // 3 = nm) ELSE id NOT IN (SELECT id FROM inh) END),
+u AS (SELECT ord, src % 60 AS path, src % 3 AS sc, dst, dst // 3 AS nm, line, line % 4 AS z, dst % 5 AS rc FROM uses),
+loc AS (SELECT p_partkey % 60 AS path, p_partkey % 20 = 0 AS f, p_partkey // 3 AS nm FROM part WHERE p_partkey % 10 = 0),
+imp AS (SELECT p_partkey * 7 % 60 AS path, p_partkey // 3 AS nm, p_partkey % 4 = 1 AS other, p_partkey % 5 = 0 AS bound, p_partkey % 60 AS means FROM part WHERE p_partkey % 6 = 1),
+r AS (SELECT g.*, u.* EXCLUDE (nm), i.nm IS NOT NULL AS has, i.other, i.bound, i.means,
+    EXISTS (SELECT 1 FROM loc WHERE loc.path = u.path AND loc.nm = u.nm AND loc.f) AS in_f, EXISTS (SELECT 1 FROM loc WHERE loc.path = u.path AND loc.nm = u.nm AND NOT loc.f) AS on_top
+  FROM g JOIN u ON u.nm = g.nm LEFT JOIN imp i ON i.path = u.path AND i.nm = u.nm),
+h AS (SELECT id, path, line FROM r WHERE CASE
+    WHEN rc = 4 AND z = 2 THEN false
+    WHEN owner IS NOT NULL THEN z <> 1 AND (CASE rc WHEN 1 THEN path = home AND sc = 2 AND dst // 2 = owner WHEN 3 THEN ord % 2 = 0 AND dst // 2 = owner ELSE false END)
+    WHEN rc = 0 THEN z IN (1, 2) AND NOT (sc = 1 AND in_f) AND NOT (sc = 0 AND on_top) AND CASE WHEN has THEN NOT other AND NOT bound AND means = home ELSE path = home AND path % 11 <> 0 AND NOT on_top END
+    WHEN rc = 2 THEN path * 3 % 60 = home ELSE false END
+  UNION SELECT g.id, imp.path, 1 FROM g JOIN imp ON imp.nm = g.nm AND imp.means = g.home WHERE g.owner IS NULL AND NOT other AND NOT bound)
+SELECT id, path, line FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY path, line) AS k FROM h) q WHERE k <= 25""",
+    "fn_import_lines": """WITH l AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'z' ELSE source END AS name, string_split('x' || chr(10) || text || chr(10) || 'require z' || chr(10) || source, chr(10)) AS lines FROM documents),
+e AS (SELECT doc_id, name, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS n FROM l)
+SELECT doc_id, coalesce(min(n) FILTER (contains(line, name) AND (contains(line, 'import') OR contains(line, 'require'))), min(n) FILTER (contains(line, name)), 1) AS line FROM e GROUP BY doc_id""",
     "gr11_call_targets": f"""WITH RECURSIVE {N.USES}, {BASES},
 c AS (SELECT ord AS id, src, dst, line % 5 AS z, dst % 6 = 0 AS outer_, CASE WHEN dst % 10 = 0 THEN 'constructor' ELSE 'm' || (dst % 4) END AS name FROM uses),
 mm AS (SELECT p_partkey AS class, 'm' || (p_size % 4) AS name, p_partkey AS target FROM part WHERE p_partkey % 7 = 0 UNION ALL SELECT p_partkey, 'constructor', p_partkey + 1000000 FROM part WHERE p_partkey % 5 = 0),
