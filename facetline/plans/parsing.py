@@ -48,6 +48,33 @@ def python_locals(spark, d):
     return PY.python_facts(python_files(spark, d)).where("fact IN ('local', 'base', 'type', 'failed')").select("path", "scope", "fact", "name", F.col("kind").alias("type"))
 
 
+def typed_files(spark, d):
+    """path, content: a file per symbol with imports of all kinds, a class, typed attributes and a property with a setter."""
+    key = F.col("p_partkey").cast("string")
+    lines = [
+        F.concat(F.lit("import pkg.q"), key, F.lit(".sub")), F.lit("import numpy as np"), F.lit("from .m import n as a, b"), F.lit("from x import *"),
+        F.concat(F.lit("class C"), key, F.lit("(Base, Generic[T], ABC):")),
+        F.concat(F.lit("    def __init__(self, repo: R"), key, F.lit("):")), F.lit("        self.repo = repo"), F.lit("        self.made = mk.Maker(repo)"),
+        F.lit("    @property"), F.concat(F.lit("    def size(self) -> T"), key, F.lit(": return self.made")),
+        F.lit("    @size.setter"), F.lit("    def size(self, v): self.v = v"),
+    ]
+    return N.table(spark, d, "part").select(F.concat(F.lit("f"), key, F.lit(".py")).alias("path"), F.concat_ws("\n", *lines).alias("content"))
+
+
+def class_symbols(spark, d):
+    """A setter with its property's name is no second symbol; spans begin with decorators."""
+    return PY.python_facts(typed_files(spark, d)).where("fact = 'symbol' AND name <> '<module>'").select("path", "name", "kind", F.col("line").alias("start"), "end")
+
+
+def class_types(spark, d):
+    """Types of parameters, of attributes that take them or a call's result, of returns; bases that say nothing are left out."""
+    return PY.python_facts(typed_files(spark, d)).where("fact IN ('type', 'returns', 'base')").select("path", "scope", "fact", "name", F.col("kind").alias("type"))
+
+
+def class_imports(spark, d):
+    return PY.python_facts(typed_files(spark, d)).where("fact = 'import'").select("path", F.col("name").alias("local"), F.col("receiver").alias("module"), F.col("kind").alias("name"))
+
+
 def script_files(spark, d):
     head = F.when(F.col("kind") == "class", F.concat(F.lit("export class "), F.col("qual"), F.lit(" {"))).when(F.col("kind") == "module", F.concat(F.lit("export const "), F.col("qual"), F.lit(" = (a) => {"))).otherwise(F.concat(F.lit("function "), F.col("qual"), F.lit("(a, b) {")))
     body = F.concat(F.lit("  if (a) { return api."), F.coalesce("next", F.lit("last")), F.lit("(new Box(b)); } // old(1)"))
@@ -130,6 +157,9 @@ def call_sites(spark, d):
 
 
 QUERIES = {
+    "tf4_python_definitions": class_symbols,
+    "tf8_python_types": class_types,
+    "tf9_python_imports": class_imports,
     "tf1_python_symbols": python_symbols,
     "tf3_python_modules": python_modules,
     "tf7_python_calls": python_calls,
@@ -147,7 +177,12 @@ QUERIES = {
 
 BASE = f"WITH {N.SYMBOLS}, k AS (SELECT path, id, qual, kind, row_number() OVER w AS k, lead(qual) OVER w AS nxt FROM (SELECT * REPLACE (path || '.' || (id // {FILE_IDS}) AS path) FROM symbols) q WINDOW w AS (PARTITION BY path ORDER BY id)), good AS (SELECT * FROM k WHERE NOT contains(path, '/brand7/'))"
 
+KEYED = "SELECT 'f' || p_partkey || '.py' AS path, 'C' || p_partkey AS c, p_partkey AS k FROM part"
+
 ORACLES = {
+    "tf4_python_definitions": f"SELECT path, unnest([c, c || '.__init__', c || '.size']) AS name, unnest(['class', 'method', 'method']) AS kind, unnest([5, 6, 9]) AS start, unnest([12, 8, 10]) AS \"end\" FROM ({KEYED}) q",
+    "tf8_python_types": f"SELECT path, unnest([c, c || '.__init__', c, c, c || '.size']) AS scope, unnest(['base', 'type', 'type', 'type', 'returns']) AS fact, unnest(['Base', 'repo', 'self.repo', 'self.made', c || '.size']) AS name, unnest([NULL, 'R' || k, 'R' || k, 'mk.Maker', 'T' || k]) AS type FROM ({KEYED}) q",
+    "tf9_python_imports": f"SELECT path, unnest(['pkg', 'pkg.q' || k || '.sub', 'np', 'a', 'b', '*']) AS local, unnest(['pkg', 'pkg.q' || k || '.sub', 'numpy', '.m', '.m', 'x']) AS module, unnest([NULL, NULL, NULL, 'n', 'b', '*']) AS name FROM ({KEYED}) q",
     "tf1_python_symbols": f"{BASE} SELECT path, qual AS name, CASE kind WHEN 'class' THEN 'class' ELSE 'function' END AS kind, 3 * k - 2 AS start, 3 * k - 1 AS \"end\" FROM good",
     "tf3_python_modules": f"{BASE} SELECT path, 3 * max(k) - 1 AS lines FROM good GROUP BY path",
     "tf7_python_calls": f"{BASE} SELECT path, qual AS scope, CASE kind WHEN 'class' THEN 'make' ELSE coalesce(nxt, 'last') END AS name, CASE kind WHEN 'class' THEN 'name' ELSE 'attr' END AS kind, CASE WHEN kind <> 'class' THEN 'a' END AS receiver, 3 * k - 1 AS line FROM good",

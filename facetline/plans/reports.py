@@ -11,6 +11,7 @@ from facetline.operators import planning as P
 from facetline.operators.staging import materialise, shared_dir
 from facetline.plans import entities as N
 from facetline.sources import diff as D
+from facetline.sources import tables as T
 from facetline.streaming import incremental as I
 
 
@@ -99,7 +100,32 @@ def incremental_parse(spark, d):
     return spark.read.parquet(f"{base}/cache").select("key", "k")
 
 
+def file_diff(spark, d):
+    """The first six lines of one order's diff."""
+    return D.file_diff(N.diff_lines(spark, d), "1", 6).select("path", F.floor(F.col("pos") / 2).alias("n"), "text")
+
+
+def pull_requests(spark, d):
+    """Orders as a listing in JSON lines, read back: the forty open ones of latest date."""
+    path = f"{shared_dir(spark)}/listing-{uuid.uuid4().hex}"
+    state = F.when(F.col("o_orderstatus") == "O", "OPEN").otherwise("CLOSED")
+    rows = N.table(spark, d, "orders").select(F.col("o_orderkey").alias("number"), F.col("o_orderpriority").alias("title"), F.struct(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("login")).alias("author"), state.alias("state"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("updatedAt"))
+    rows.write.json(path)
+    return T.read_pull_requests(spark, path, state="OPEN").select("number", "title", F.col("author.login").alias("login"), F.col("updatedAt").alias("updated_at"))
+
+
+def put_cache(spark, d):
+    """Parts are a cache, returned lines failures, other lines what was parsed since: the newest of a key and version stays."""
+    cache = N.table(spark, d, "part").select(F.col("p_partkey").alias("key"), F.concat(F.lit("v"), (F.col("p_size") % 2).cast("string")).alias("version"), F.lit("old").alias("data"))
+    at = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    parsed = N.table(spark, d, "lineitem").where("l_partkey % 3 <> 0").select(F.col("l_partkey").alias("key"), F.concat(F.lit("v"), (F.col("l_linenumber") % 2).cast("string")).alias("version"), F.concat(F.lit("d"), at.cast("string")).alias("data"), (F.col("l_returnflag") == "R").alias("failed"), at.alias("at"))
+    return T.put_cache(cache, parsed)
+
+
 QUERIES = {
+    "sc6_file_diff": file_diff,
+    "sc13_pull_requests": pull_requests,
+    "sc15_put_cache": put_cache,
     "rp2_file_detail": file_detail,
     "rp6_symbols_in_file": symbols_in_file,
     "rp5_file_symbol_split": file_symbol_split,
@@ -113,6 +139,13 @@ QUERIES = {
 }
 
 ORACLES = {
+    "sc6_file_diff": f"""WITH {N.DIFF}, r AS (SELECT n, 2 * n + k AS pos, x.text FROM (SELECT n, unnest(CASE WHEN (n - 1) % 4 = 0 THEN [0, 1] ELSE [0] END) AS k,
+    unnest(CASE WHEN (n - 1) % 4 = 0 THEN ['@@ -' || ((n - 1) * 10 + l_linenumber) || ',4 +' || ((n - 1) * 11 + 1) || ' @@ s' || l_suppkey, b] ELSE [b] END) AS text
+    FROM (SELECT *, CASE l_returnflag WHEN 'R' THEN '-' WHEN 'A' THEN '+' ELSE ' ' END || 'p' || l_partkey AS b FROM raw_lines WHERE path = '1') q) x)
+SELECT '1' AS path, n, text FROM r ORDER BY pos LIMIT 6""",
+    "sc13_pull_requests": "SELECT o_orderkey AS number, o_orderpriority AS title, 'c' || o_custkey AS login, strftime(o_orderdate, '%Y-%m-%d') AS updated_at FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate DESC, o_orderkey LIMIT 40",
+    "sc15_put_cache": """WITH f AS (SELECT l_partkey AS key, 'v' || (l_linenumber % 2) AS version, max(l_orderkey * 10 + l_linenumber) AS at FROM lineitem WHERE l_partkey % 3 <> 0 AND l_returnflag <> 'R' GROUP BY 1, 2)
+SELECT key, version, 'd' || f.at AS data FROM f UNION ALL SELECT p_partkey, 'v' || (p_size % 2), 'old' FROM part WHERE NOT EXISTS (SELECT 1 FROM f WHERE key = p_partkey AND version = 'v' || (p_size % 2))""",
     "rp2_file_detail": f"{N.GRAPH} SELECT s.path, s.id, s.qual, s.kind, s.start, (SELECT count(*) FROM edges WHERE dst = s.id) AS callers, (SELECT count(*) FROM edges WHERE src = s.id) AS callees, c.status, c.additions, c.deletions FROM symbols s LEFT JOIN changes c ON c.id = s.id WHERE s.kind <> 'module' OR c.id IS NOT NULL",
     "rp6_symbols_in_file": f"WITH {N.SYMBOLS} SELECT path, id, row_number() OVER (PARTITION BY path ORDER BY id) AS position FROM symbols",
     "rp5_file_symbol_split": f"WITH {N.SYMBOLS} SELECT path, count(*) FILTER (size <= 5 OR size IN (10, 17)) AS changed, count(*) FILTER (NOT (size <= 5 OR size IN (10, 17))) AS unchanged FROM symbols WHERE kind <> 'module' GROUP BY path",

@@ -37,6 +37,12 @@ def diff_lines(lines: DataFrame) -> DataFrame:
     return typed.select("path", "hunk", "pos", "type", old.alias("old_no"), new.alias("new_no"), content.alias("text"), "section")
 
 
+def file_diff(lines: DataFrame, path: str, most: int | None = None) -> DataFrame:
+    """The lines (path, pos, text) of one file's diff in order, on request only the first ``most``, so that no more is read than is shown."""
+    one = lines.where(F.col("path") == path).orderBy("pos")
+    return one if most is None else one.limit(most)
+
+
 def changed_lines(numbered: DataFrame) -> DataFrame:
     """path, side, line: added lines by their new number, deleted ones by their old number, each once."""
     return numbered.where("type <> 'ctx'").select("path", F.when(F.col("type") == "add", "head").otherwise("base").alias("side"), F.coalesce(F.when(F.col("type") == "add", F.col("new_no")), F.col("old_no")).alias("line")).distinct()

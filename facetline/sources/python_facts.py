@@ -36,6 +36,7 @@ class Facts(ast.NodeVisitor):
     def __init__(self, path: str):
         self.path, self.rows, self.scope, self.is_class = path, [], MODULE, False
         self.seen: set[str] = set()
+        self.types: dict[tuple[str, str], str] = {}
 
     def add(self, fact, name, kind=None, receiver=None, node=None, end=None, scope=None):
         self.rows.append((self.path, fact, scope or self.scope, name, kind, receiver, getattr(node, "lineno", None), end, len(self.rows)))
@@ -64,7 +65,8 @@ class Facts(ast.NodeVisitor):
         for a in [*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs, *filter(None, (node.args.vararg, node.args.kwarg))]:
             self.add("local", a.arg, scope=qual, node=a)
             if a.annotation is not None:
-                self.add("type", a.arg, ast.unparse(a.annotation), scope=qual, node=a)
+                self.types[qual, a.arg] = ast.unparse(a.annotation)
+                self.add("type", a.arg, self.types[qual, a.arg], scope=qual, node=a)
         if node.returns is not None and not inner:
             self.add("returns", qual, ast.unparse(node.returns), scope=qual, node=node)
         self._inside(qual, False, [*node.decorator_list, *node.body])
@@ -112,6 +114,10 @@ class Facts(ast.NodeVisitor):
             for t in node.targets:
                 if name := dotted(t):
                     self.typed(name, root, node)
+        elif isinstance(node.value, ast.Name) and (known := self.types.get((self.scope, node.value.id))):
+            for t in node.targets:  # self.x = x has the type of the parameter
+                if name := dotted(t):
+                    self.typed(name, known, node)
         self.generic_visit(node)
 
     def visit_AnnAssign(self, node):
@@ -121,7 +127,9 @@ class Facts(ast.NodeVisitor):
 
     def typed(self, name, kind, node):
         own = name.startswith("self.") and "." in self.scope
-        self.add("type", name, kind, scope=self.scope.rsplit(".", 1)[0] if own else self.scope, node=node)
+        scope = self.scope.rsplit(".", 1)[0] if own else self.scope
+        self.types[scope, name] = kind
+        self.add("type", name, kind, scope=scope, node=node)
 
     def visit_Import(self, node):
         for a in node.names:

@@ -40,9 +40,10 @@ def put_cache(cache: DataFrame, parsed: DataFrame) -> DataFrame:
     return cache.join(fresh, ["key", "version"], "left_anti").select("key", "version", "data").unionByName(fresh)
 
 
-def read_pull_requests(spark: SparkSession, path: str, limit: int = 40) -> DataFrame:
-    """Pull requests from JSON lines, the newest first; a limit is part of the listing."""
-    return spark.read.schema(PULL_REQUEST).json(path).orderBy(F.desc("updatedAt"), "number").limit(limit)
+def read_pull_requests(spark: SparkSession, path: str, limit: int = 40, state: str | None = None) -> DataFrame:
+    """Pull requests from JSON lines, of one state or all, the newest first; a limit is part of the listing."""
+    held = spark.read.schema(PULL_REQUEST).json(path)
+    return held.where(F.lit(True) if state is None else F.col("state") == state).orderBy(F.desc("updatedAt"), "number").limit(limit)
 
 
 def base_commit(state: Column, base_oid: Column, tip: Column) -> Column:

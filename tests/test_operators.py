@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from facetline.functions import globs, paths, text
-from facetline.operators import changes, edges, intervals, planning, resolve, serving, traversal
+from facetline.operators import calls, changes, dangling, edges, intervals, planning, resolve, serving, traversal
 from facetline.sources import diff, git, jsonc, python_facts, script_facts, tables
 from facetline.streaming import incremental
 
@@ -273,3 +273,57 @@ def test_members_are_inherited_over_seven_levels(spark):
     members = spark.createDataFrame([(7, "m", 70), (8, "n", 80)], "class long, name string, target long")
     requests = spark.createDataFrame([(1, 0, "m"), (2, 1, "n"), (3, 0, "n")], "id long, class long, name string")
     assert {r.id: r.target for r in resolve.inherited_member(requests, bases, members).collect()} == {1: 70, 2: 80}
+
+
+def test_quoted_paths(spark):
+    cases = {'"a/\\303\\251\\t\\"q"': 'a/é\t"q', "plain": "plain", '"': '"', '""': "", '"\\377"': "\ufffd", '"x\\\\101"': "x\\101", '"\\z\\n"': "z\n", None: None}
+    rows = spark.createDataFrame([(k,) for k in cases], "p string").select("p", text.unquote(F.col("p")).alias("u")).collect()
+    assert {r.p: r.u for r in rows} == cases
+    heads = {"a/x y b/x y": ("x y", "x y"), 'a/x b/z': None, '"a/\\"x" b/z': ('"x', "z"), '"c/x" b/z': None, "": None, None: None}
+    rows = spark.createDataFrame([(k,) for k in heads], "p string").select("p", text.header_paths(F.col("p")).alias("u")).collect()
+    assert {r.p: r.u and tuple(r.u) for r in rows} == heads
+
+
+def test_import_lines(spark):
+    rows = spark.createDataFrame([(1, "x\nuse foo\nfrom m import foo"), (2, "use foo"), (3, "none"), (4, None)], "id int, content string")
+    assert {r.id: r.n for r in rows.select("id", text.import_line(F.col("content"), F.lit("foo")).alias("n")).collect()} == {1: 3, 2: 1, 3: 1, 4: 1}
+
+
+def test_settings(tmp_path):
+    assert jsonc.load_settings(str(tmp_path / "none.toml")).max_bytes == 512 * 1024
+    (tmp_path / "s.toml").write_text('[categories]\ntest = ["spec/**"]\nsource = "x"\n[index]\nexclude = ["gen/"]\nmax_file_kb = 3\n')
+    found = jsonc.load_settings(str(tmp_path / "s.toml"))
+    assert found.overrides == {"test": ["spec/**"]} and found.exclude[-1] == "gen/" and len(found.exclude) == 14 and found.max_bytes == 3072
+
+
+def test_super_and_members(spark):
+    bases = spark.createDataFrame([(1, 0, 2), (1, 1, 3), (3, 0, 4)], "class long, ord int, base long")
+    members = spark.createDataFrame([(4, "m", 40), (3, "constructor", 30), (1, "own", 10)], "class long, name string, target long")
+    on_super = spark.createDataFrame([(1, 1, "m"), (2, 1, "constructor"), (3, 1, "own"), (4, 4, "constructor")], "id long, class long, name string")
+    on_class = spark.createDataFrame([(5, 1, "own"), (6, 1, "m"), (7, 2, "m")], "id long, class long, name string")
+    assert {r.id: r.target for r in calls.member_calls(on_class, on_super, bases, members).collect()} == {1: 40, 2: 2, 5: 10, 6: 40}
+
+
+def test_names_over_stars(spark):
+    imports = spark.createDataFrame([("a", "x", "b", "y", 0), ("a", "x", "c", "y", 1), ("b", "y", "b", "y", 0)], "path string, local string, module string, name string, ord int")
+    defined = spark.createDataFrame([("c", "y", 1), ("e", "x", 2), ("f", "y", 3)], "path string, local string, target long")
+    stars = spark.createDataFrame([("b", 0, "d"), ("d", 0, "f"), ("g", 0, "c"), ("g", 1, "e"), ("h", 0, "g")], "path string, ord int, module string")
+    asked = spark.createDataFrame([("a", "x"), ("b", "y"), ("g", "x"), ("g", "y"), ("h", "y")], "path string, local string")
+    follow = lambda deep: {(r.path, r.local): r.target for r in calls.followed_names(asked, imports, defined, stars, deep=deep).collect()}
+    assert follow(True) == {("g", "x"): 2, ("g", "y"): 1, ("h", "y"): 1} and follow(False) == {("g", "x"): 2, ("g", "y"): 1}
+    none = spark.createDataFrame([], asked.schema)
+    assert calls.followed_names(none, imports, defined, stars, deep=True).count() == 0
+
+
+def test_configurations_that_extend(spark):
+    rows = [("p/q/tsconfig.json", "../base", None, {"@/*": ["src/*", "gen/*.x"]}), ("p/base.json", "./tsconfig.root.json", None, None), ("p/tsconfig.root.json", "./base", "lib", {"@/*": ["no/*"], "one": ["o"]}), ("tsconfig.json", "pkg/base", None, None)]
+    merged = resolve.merged_configs(spark.createDataFrame(rows, "path string, extends string, base_url string, aliases map<string,array<string>>"))
+    asked = spark.createDataFrame([(1, "p/q/a.ts", "@/k"), (2, "p/b.ts", "one"), (3, "z.ts", "one")], "id int, from_path string, spec string")
+    got = [(r.id, r.base) for r in resolve.alias_candidates(asked, merged).orderBy("id", "k").collect()]
+    # two configurations of p: the one that only extends inherits base and aliases
+    assert got == [(1, "p/lib/src/k"), (1, "p/lib/gen/k.x"), (1, "p/lib/@/k"), (1, "p/lib/no/k"), (1, "p/lib/@/k"), (1, "p/lib/no/k"), (1, "p/lib/@/k"), (2, "p/lib/o"), (2, "p/lib/one"), (2, "p/lib/o"), (2, "p/lib/one")]
+
+
+def test_references_as_uses(spark):
+    refs = spark.createDataFrame([(1, "a", "py", "f", "x", 1), (2, "a", "py", "f", "m.x", 2), (3, "a", "py", "f", "a.b.c", 3)], "use int, path string, family string, scope string, ref string, line int")
+    assert {(r.use, r.name, r.receiver) for r in dangling.reference_uses(refs).collect()} == {(1, "x", None), (2, "x", "m")}
