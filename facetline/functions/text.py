@@ -8,10 +8,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Fixed value: the host whose repositories are compared.
+HOST = "github.com"
+
+
 def normalize_remote(url: Column) -> Column:
-    """owner/repo of a remote's address, lower-cased; null if it has none."""
-    found = F.regexp_extract(F.lower(F.trim(url)), r"[:/]([^/:]+/[^/]+?)(?:\.git)?/?$", 1)
-    return F.nullif(found, F.lit(""))
+    """owner/repo of a remote's address on ``HOST``, lower-cased; null for other addresses."""
+    trimmed = F.regexp_replace(url, r"^\s+|\s+$", "")
+    found = [F.regexp_extract(trimmed, rf"{re.escape(HOST)}[:/]+([^/]+)/([^/\s]+?)(?:\.git)?/?$", i) for i in (1, 2)]
+    return F.when(found[0] != "", F.lower(F.concat_ws("/", *found)))
 
 
 def request_number(value: Column) -> Column:
@@ -20,30 +25,38 @@ def request_number(value: Column) -> Column:
     return found.cast("int")
 
 
-#: Wrappers that a type annotation is peeled of, and names that stand for no class.
-WRAPPERS = "Optional|List|Sequence|Iterable|Set|Type|Promise|Awaitable|Array|Partial|Readonly|list|set|type"
-BUILTIN_TYPES = "str int float bool bytes dict list set tuple None any Any object string number boolean void null undefined unknown never".split()
+# Wrappers that a type annotation is peeled of, words of a union that stand for nothing, and names that
+# stand for no class.
+WRAPPERS = "Optional Annotated Type type ClassVar Final Readonly Partial Required".split()
+NOTHING = "None null undefined".split()
+NO_CLASS = """str int float bool bytes dict list set tuple Any
+string number boolean any unknown void object never
+Record Array Promise Map Set Callable Iterable Sequence""".split()
 
 
 def normalize_type(raw: Column) -> Column:
-    """The class that an annotation names: up to three wrappers off, the first part of a union that is not null, its dotted name."""
-    value = F.trim(F.regexp_replace(raw, r"""^['"]|['"]$""", ""))
+    """The class that an annotation names: up to three wrappers in square brackets off, of which the part before a comma
+    counts, then the first part of a union that is not nothing, and its dotted name at the start."""
+    blanks = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    bare = lambda c: F.regexp_replace(blanks(c), r"""^['"]+|['"]+$""", "")
+    pattern = rf"^({'|'.join(WRAPPERS)})\[(.*)\]$"
+    value = bare(raw)
     for _ in range(3):
-        value = F.trim(F.regexp_replace(value, rf"^(?:\w+\.)?(?:{WRAPPERS})\s*[\[<](.*)[\]>]$", "$1"))
-    parts = F.filter(F.transform(F.split(value, r"\|"), lambda x: F.trim(x)), lambda x: ~F.lower(x).isin("none", "null", "undefined", ""))
-    name = F.regexp_extract(F.get(parts, F.lit(0)), r"^([A-Za-z_$][\w$.]*)", 1)
-    return F.when((name != "") & ~name.isin(BUILTIN_TYPES), name)
+        value = F.when(value.rlike(pattern), bare(F.split_part(F.regexp_extract(value, pattern, 2), F.lit(","), F.lit(1)))).otherwise(value)
+    parts = F.filter(F.transform(F.split(value, r"\|"), blanks), lambda x: ~x.isin(*NOTHING, ""))
+    name = F.regexp_extract(F.get(parts, F.lit(0)), r"^([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*)", 1)
+    return F.when((name != "") & ~name.isin(NO_CLASS), name)
 
 
 def relative_time(then: Column, now: Column) -> Column:
-    """'5 minutes ago' and the like; less than a minute is 'just now'."""
-    seconds = F.unix_timestamp(now) - F.unix_timestamp(then)
+    """'5 minutes ago' and the like; less than two seconds, and times to come, are 'just now'; no time is an empty text."""
+    micros = F.greatest(F.unix_micros(now) - F.unix_micros(then), F.lit(0))
     steps = [(60, "minute"), (3600, "hour"), (86400, "day"), (30 * 86400, "month"), (12 * 30 * 86400, "year")]
-    label = F.lit("just now")
+    some = lambda size, unit: F.concat(F.floor(micros / (size * 1_000_000)).cast("string"), F.lit(f" {unit}"), F.when(F.floor(micros / (size * 1_000_000)) == 1, "").otherwise("s"), F.lit(" ago"))
+    label = F.when(micros < 2_000_000, "just now").otherwise(some(1, "second"))
     for size, unit in steps:
-        n = F.floor(seconds / size)
-        label = F.when(seconds >= size, F.concat(n.cast("string"), F.lit(f" {unit}"), F.when(n == 1, "").otherwise("s"), F.lit(" ago"))).otherwise(label)
-    return label
+        label = F.when(micros >= size * 1_000_000, some(size, unit)).otherwise(label)
+    return F.coalesce(label, F.lit(""))
 
 
 def hunk_header(line: Column) -> dict[str, Column]:

@@ -16,8 +16,9 @@ from facetline.operators.traversal import components
 DIRECT, REFERENCE, BRIDGED, PARENT, SIBLING = 3.0, 1.0, 1.0, 1.0, 1.0
 #: Votes for a cluster: by a direct or incoming link, by a bridged one.
 VOTE_LINK, VOTE_BRIDGE = 2, 1
-#: Members above which a component is split, and how often; levels of communities, rounds of moves on each; test callers shown.
-SPLIT_ABOVE, SPLITS, LEVELS, ROUNDS, TEST_CALLERS = 40, 3, 10, 8, 5
+#: Members above which a component is split, and how often; levels of communities, rounds of moves of one half on each (two are a sweep);
+#: test callers shown.
+SPLIT_ABOVE, SPLITS, LEVELS, ROUNDS, TEST_CALLERS = 40, 3, 10, 40, 5
 #: Members and links up to which one cluster is split within a task; larger ones are split by joins.
 IN_TASK = 500_000
 

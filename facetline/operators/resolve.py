@@ -162,10 +162,15 @@ def fuzzy_methods(calls: DataFrame, methods: DataFrame, most: int = MOST_CANDIDA
 
 
 def fuzzy_top_level(calls: DataFrame, symbols: DataFrame, most: int = MOST_CANDIDATES) -> DataFrame:
-    """(id, target): top-level symbols (family, name, path, target) of other files, for calls (id, family, name, path)."""
-    few = symbols.groupBy("family", "name").agg(F.count("*").alias("n")).where(F.col("n") <= most).select("family", "name")
-    other = symbols.join(few, ["family", "name"], "left_semi").withColumnRenamed("path", "target_path")
-    return calls.join(other, ["family", "name"]).where("path <> target_path").select("id", "target")
+    """(id, target): top-level symbols (family, name, path, target) of other files, for calls (id, family, name, path), if these are few.
+
+    The call's own file is left out before candidates are counted: all of a name less those of a name and file.
+    """
+    each = symbols.groupBy("family", "name", "path").agg(F.count("*").alias("mine"))
+    all_ = each.groupBy("family", "name").agg(F.sum("mine").alias("n"))
+    asked = calls.select("id", "family", "name", "path").join(all_, ["family", "name"]).join(each, ["family", "name", "path"], "left")
+    asked = asked.where(F.col("n") - F.coalesce("mine", F.lit(0)) <= most).select("id", "family", "name", "path")
+    return asked.join(symbols.select("family", "name", F.col("path").alias("target_path"), "target"), ["family", "name"]).where("path <> target_path").select("id", "target")
 
 
 def not_external(calls: DataFrame, unresolved: DataFrame) -> DataFrame:

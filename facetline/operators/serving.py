@@ -56,8 +56,27 @@ def toggle(selected: Column, value: Column, all_values: Column, exclusive: bool
     return F.when(~(empty | full), result)
 
 
-def same_set(a: Column, b: Column) -> Column:
-    return (F.size(F.array_except(a, b)) == 0) & (F.size(F.array_except(b, a)) == 0)
+# Presets of the file filter and the categories that each shows; none is every category. None restricts extensions.
+PRESETS = {
+    "all": None,
+    "logic": ["source"],
+    "tests": ["test"],
+    "templates": ["template", "style"],
+    "no-noise": ["source", "template", "style", "config", "migration", "other"],
+}
+
+
+def same_list(a: Column, b: list[str] | None) -> Column:
+    """Whether a list has as many values as another and none beside its own; only no list is like no list."""
+    if b is None:
+        return a.isNull()
+    return a.isNotNull() & (F.size(a) == len(b)) & (F.size(F.array_except(a, F.array(*[F.lit(x) for x in b]))) == 0)
+
+
+def active_preset(categories: Column, extensions: Column, patterns: Column) -> Column:
+    """The preset that a filter is, null if it is none or has patterns."""
+    plain = extensions.isNull() & (F.regexp_replace(patterns, r"\s", "") == "")
+    return F.when(plain, F.coalesce(*[F.when(same_list(categories, c), F.lit(name)) for name, c in PRESETS.items()]))
 
 
 def shares(clusters: DataFrame) -> DataFrame:

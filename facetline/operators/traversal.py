@@ -20,7 +20,8 @@ def neighborhood(symbols: DataFrame, edges: DataFrame, seeds: list, depth_in: in
     """(id, depth), and whether the cap cut it: seeds and members of container seeds at 0, callees at +n, callers at -n.
 
     Levels go outwards, out before in, each from its own frontier; a node keeps its first depth. Within a level
-    nodes are found in the order of their finder, then by id, and at most ``max_nodes`` are kept.
+    nodes are found in the order of their finder, then by id, and at most ``max_nodes`` are kept; seeds and members of
+    container seeds always are, however many.
     """
     spark = symbols.sparkSession
     wanted = spark.createDataFrame([(s, i) for i, s in enumerate(dict.fromkeys(seeds))], symbols.select("id", F.lit(0).alias("at")).schema)
@@ -40,14 +41,15 @@ def neighborhood(symbols: DataFrame, edges: DataFrame, seeds: list, depth_in: in
             found = usable.join(frontiers[way].select(F.col("id").alias(here), "rank"), here).groupBy(F.col(there).alias("id")).agg(F.min("rank").alias("by"))
             found = found.join(allowed, "id", "left_semi").join(seen, "id", "left_anti")
             # only the best that fit are ranked, one more than is kept; a level is written once
-            best = found.orderBy("by", "id").limit(max_nodes - held + 1)
+            room = max(0, max_nodes - held)
+            best = found.orderBy("by", "id").limit(room + 1)
             ranked = best.select("id", F.lit(level if way == "out" else -level).alias("depth"), F.row_number().over(W.orderBy("by", "id")).cast("long").alias("rank"))
             fresh = materialise(ranked, "walk")
             n = fresh.count()
-            truncated = n > max_nodes - held
-            frontiers[way] = fresh.where(F.col("rank") <= max_nodes - held)
+            truncated = n > room
+            frontiers[way] = fresh.where(F.col("rank") <= room)
             seen = seen.unionAll(frontiers[way])
-            held += min(n, max_nodes - held)
+            held += min(n, room)
     return seen.select("id", "depth"), truncated
 
 

@@ -63,7 +63,7 @@ def type_chains(spark, d):
     t = lambda n, *more: F.concat(F.lit("T"), F.floor(key / n).cast("string"), *[F.lit(x) for x in more])
     names = part.select(path.alias("path"), t(50).alias("name"), key.alias("target")).unionAll(part.where("id % 3 = 0").select(path.alias("path"), t(50, ".b").alias("name"), F.floor(key / 2).alias("target")))
     kind = F.element_at(F.array(*[F.lit(k) for k in ("class", "function", "method", "module")]), (key % 4 + 1).cast("int"))
-    symbols = part.select("id", path.alias("path"), kind.alias("kind"), F.when(key % 5 != 0, t(100, ".b.c")).alias("returns"))
+    symbols = part.select("id", path.alias("path"), kind.alias("kind"), F.when(key % 5 == 1, F.concat(F.lit("Optional["), t(100, ".b.c"), F.lit("]"))).when(key % 5 == 2, F.concat(t(100, ".b.c"), F.lit(" | None"))).when(key % 5 == 3, F.concat(F.lit("Promise<"), t(100), F.lit(">"))).when(key % 5 == 4, t(100, ".b.c")).alias("returns"))
     return C.type_classes(part.select("id", path.alias("path"), t(150, ".b.z").alias("type")), names, symbols)
 
 
@@ -223,7 +223,7 @@ h AS (SELECT *, CASE
 SELECT id, CASE how WHEN 'super' THEN coalesce(t, src // 2) WHEN 'name' THEN src + 2000000 WHEN 'module' THEN within ELSE t END AS target, false AS fuzzy, how FROM h WHERE how IN ('super', 'name', 'module', 'member')
 UNION ALL SELECT id, n_nationkey + CASE how WHEN 'guess' THEN 4000000 ELSE 5000000 END, true, how FROM h JOIN nation ON 'm' || (n_nationkey % 12) = name WHERE how = 'guess' OR (how = 'guess_top' AND n_nationkey <> src)""",
     "jn15_type_chains": """WITH RECURSIVE w AS (SELECT p_partkey AS id, 50 * (p_partkey // 150) + p_partkey % 50 AS k, 0 AS n FROM part
-  UNION ALL SELECT id, 50 * (t // 100) + t % 50, n + 1 FROM (SELECT id, n, CASE WHEN k % 3 = 0 THEN k // 2 ELSE k END AS t FROM w JOIN part ON p_partkey = k) q WHERE t % 4 IN (1, 2) AND t % 5 <> 0 AND n < 3)
+  UNION ALL SELECT id, 50 * (t // 100) + t % 50, n + 1 FROM (SELECT id, n, CASE WHEN k % 3 = 0 THEN k // 2 ELSE k END AS t FROM w JOIN part ON p_partkey = k) q WHERE t % 4 IN (1, 2) AND t % 5 NOT IN (0, 3) AND n < 3)
 SELECT id, CASE WHEN k % 3 = 0 THEN k // 2 ELSE k END AS class FROM w JOIN part ON p_partkey = k WHERE (CASE WHEN k % 3 = 0 THEN k // 2 ELSE k END) % 4 = 0""",
     "jn15_attribute_types": f"""WITH {BASES}, a AS (SELECT c_custkey // 2 AS owner, 'a' || (c_nationkey % 3) AS attr, arg_min(c_mktsegment, c_custkey) AS type FROM customer GROUP BY 1, 2),
 o AS (SELECT p_partkey AS id, p_partkey AS owner, '' AS k FROM part UNION ALL SELECT class, base, o FROM b)

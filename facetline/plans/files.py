@@ -67,9 +67,16 @@ def chip_toggle(spark, d):
 
 
 def preset_equal(spark, d):
-    """Whether the categories of a directory are exactly those of a preset."""
-    sets = _files(spark, d).groupBy(P.dirname(F.col("path")).alias("dir")).agg(F.collect_set("category").alias("c"))
-    return sets.select("dir", S.same_set(F.col("c"), F.array(F.lit("source"), F.lit("test"))).alias("is_code"), S.same_set(F.col("c"), F.array(F.lit("generated"))).alias("is_generated"))
+    """The preset that a filter is: lists of categories in any order, extensions and patterns, made up from a file's number."""
+    k = F.col("id") % 9
+    pick = lambda *c: F.array(*[F.lit(x) for x in c])
+    categories = (
+        F.when(k == 0, pick("source")).when(k == 1, pick("test")).when(k == 2, pick("style", "template")).when(k == 3, pick("other", "migration", "config", "style", "template", "source"))
+        .when(k == 4, pick("source", "test")).when(k == 5, pick("source", "source")).when(k == 6, F.array("category")).when(k == 7, pick().cast("array<string>"))
+    )
+    extensions = F.when(F.col("id") % 5 == 0, pick(".py")).when(F.col("id") % 5 == 1, pick().cast("array<string>"))
+    patterns = F.when(F.col("id") % 7 == 0, " src/** ").when(F.col("id") % 7 == 1, " \n ").otherwise("")
+    return _files(spark, d).select("id", S.active_preset(categories, extensions, patterns).alias("preset"))
 
 
 def excluded_categories(spark, d):
@@ -142,12 +149,18 @@ def next_unreviewed(spark, d):
 
 
 def relative_time(spark, d):
-    now = F.lit("2024-03-01 00:00:00").cast("timestamp")
-    return N.table(spark, d, "events").select("event_id", X.relative_time(F.col("ts"), now).alias("label"))
+    """Events seen from a while later that doubles with their number, from a second before to decades after."""
+    seconds = F.pow(F.lit(2.0), F.col("event_id") % 31) + F.col("event_id") % 7 - 2.5
+    then = F.col("ts").cast("timestamp")
+    now = F.timestamp_micros(F.unix_micros(then) + (seconds * 1_000_000).cast("long"))
+    return N.table(spark, d, "events").select("event_id", X.relative_time(then, now).alias("label"))
 
 
 def remote_names(spark, d):
-    url = F.concat(F.lit("git@HOST:"), F.col("c_mktsegment"), F.lit("/"), F.col("c_name"), F.when(F.col("c_custkey") % 2 == 0, ".git").otherwise("/"))
+    """Addresses of customers on two hosts, with and without ending, and some that name no repository."""
+    k, name = F.col("c_custkey"), F.concat(F.col("c_mktsegment"), F.lit("/"), F.col("c_name"))
+    start = F.element_at(F.array(*[F.lit(x) for x in ("git@github.com:", "https://github.com/", " ssh://git@github.com//", "git@example.org:", "https://github.com/a/")]), (k % 5 + 1).cast("int"))
+    url = F.concat(start, name, F.when(k % 3 == 0, ".git").when(k % 3 == 1, "/").otherwise(".git/"))
     return N.table(spark, d, "customer").select("c_custkey", X.normalize_remote(url).alias("remote"))
 
 
@@ -157,9 +170,11 @@ def request_numbers(spark, d):
 
 
 def type_names(spark, d):
-    size = F.col("p_size") % 5
+    """Annotations of both languages around a brand: wrappers, several deep, generics, unions, quotes, names of no class."""
     brand = F.regexp_replace("p_brand", "#", "")
-    raw = F.when(size == 0, F.concat(F.lit("Optional["), brand, F.lit("]"))).when(size == 1, F.concat(brand, F.lit(" | None"))).when(size == 2, F.concat(F.lit("Promise<Array<"), brand, F.lit(">>"))).when(size == 3, F.lit("str")).otherwise(F.concat(F.lit('"'), brand, F.lit('.Inner"')))
+    around = [("Optional[", "]"), ("", " | None"), ("Promise<Array<", ">>"), ("str", ""), ('"', '.Inner"'), ("List[", "]"), ("Annotated[", ", x]"), ("Map<A, ", ">"), ("Repo<", ">"), ("Type[Final[Optional['", "']]]"), ("Type[Type[Type[Type[", "]]]]"), ("null | undefined | ", "[]"), ("None", "x"), ("Readonly<", ">"), ("Optional[", " | None, int]"), ("  '", "' "), ("(", ")"), ("Callable[[", "], int]")]
+    kind = F.col("p_partkey") % len(around)
+    raw = F.element_at(F.array(*[F.concat(F.lit(a), F.lit("") if a == "str" else brand, F.lit(b)) for a, b in around]), (kind + 1).cast("int"))
     return N.table(spark, d, "part").select("p_partkey", X.normalize_type(raw).alias("type"))
 
 
@@ -284,7 +299,9 @@ SELECT path, sha FROM p WHERE id % 4 <> 2 AND id % 9 <> 0 AND id % 7 <> 0 AND id
     "ag13_facets": f"{FILES} SELECT 'category' AS facet, category AS value, count(*) AS n FROM files WHERE ext IN ('.py', '.ts', '(none)') GROUP BY category UNION ALL SELECT 'ext', ext, count(*) FROM files WHERE category IN ('source', 'test') GROUP BY ext",
     "ag14_facet_universe": f"{FILES}, c AS (SELECT 'category' AS facet, category AS value, count(*) AS n FROM files GROUP BY category), e AS (SELECT 'ext' AS facet, ext AS value, count(*) AS n FROM files GROUP BY ext) SELECT *, row_number() OVER (ORDER BY list_position([{_q(P.CATEGORIES)}], value)) AS position FROM c UNION ALL SELECT *, row_number() OVER (ORDER BY n DESC, value) FROM e",
     "pf14_chip_toggle": "WITH u AS (SELECT ['F', 'O', 'P', '1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'] AS every) SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus WHEN o_orderstatus = 'F' THEN o_orderpriority ELSE o_orderpriority || ',F' END AS toggled, array_to_string(list_filter(every, lambda x: x <> o_orderstatus), ',') AS others FROM orders, u",
-    "pf13_preset_equal": f"{FILES}, s AS (SELECT array_to_string(string_split(path, '/')[1:len(string_split(path, '/')) - 1], '/') AS dir, list_sort(list(DISTINCT category)) AS c FROM files GROUP BY 1) SELECT dir, c = ['source', 'test'] AS is_code, c = ['generated'] AS is_generated FROM s",
+    "pf13_preset_equal": f"""{FILES}, k AS (SELECT id, category, id % 5 AS e, id % 7 AS p, id % 9 AS k FROM files)
+SELECT id, CASE WHEN e IN (0, 1) OR p = 0 THEN NULL WHEN k = 8 THEN 'all' WHEN k = 0 OR (k = 6 AND category = 'source') THEN 'logic'
+  WHEN k = 1 OR (k = 6 AND category = 'test') THEN 'tests' WHEN k = 2 THEN 'templates' WHEN k = 3 THEN 'no-noise' WHEN k = 5 THEN NULL END AS preset FROM k""",
     "pf19_excluded_categories": f"{FILES}, s AS (SELECT ext, list(DISTINCT category) AS c FROM files GROUP BY ext) SELECT ext, array_to_string(list_filter([{_q(P.CATEGORIES)}], lambda x: NOT list_contains(c, x)), ',') AS excluded FROM s",
     "ag7_category_histogram": f"{FILES} SELECT category, ext, count(*) AS n FROM files GROUP BY 1, 2",
     "sl13_directory_tree": f"""WITH {N.PATHS}, p AS (SELECT DISTINCT path, string_split(path, '/') AS s FROM paths),
@@ -301,10 +318,15 @@ SELECT d.dir, d.files, coalesce(k.dirs, 0) AS dirs, coalesce(l.leaves, 0) AS lea
     "sc20_recent_list": 'SELECT owner, id, "at", rank FROM (SELECT user_id AS owner, props AS id, max(epoch_us(ts)) AS "at", row_number() OVER (PARTITION BY user_id ORDER BY max(ts) DESC, props) AS rank FROM events GROUP BY 1, 2) q WHERE rank <= 5',
     "ag16_review_progress": "SELECT o_custkey AS cluster, count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS done FROM orders GROUP BY 1",
     "sl14_next_unreviewed": "SELECT o_custkey AS list, o_orderkey AS pos, coalesce(min(CASE WHEN o_orderstatus = 'O' THEN o_orderkey END) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), min(CASE WHEN o_orderstatus = 'O' THEN o_orderkey END) OVER (PARTITION BY o_custkey)) AS next FROM orders",
-    "fn_relative_time": "WITH s AS (SELECT event_id, floor(epoch(TIMESTAMP '2024-03-01 00:00:00'))::BIGINT - floor(epoch(ts))::BIGINT AS s FROM events), u AS (SELECT event_id, CASE WHEN s >= 31104000 THEN 31104000 WHEN s >= 2592000 THEN 2592000 WHEN s >= 86400 THEN 86400 WHEN s >= 3600 THEN 3600 WHEN s >= 60 THEN 60 END AS z, s FROM s) SELECT event_id, CASE WHEN z IS NULL THEN 'just now' ELSE (s // z)::VARCHAR || CASE z WHEN 60 THEN ' minute' WHEN 3600 THEN ' hour' WHEN 86400 THEN ' day' WHEN 2592000 THEN ' month' ELSE ' year' END || CASE WHEN s // z = 1 THEN '' ELSE 's' END || ' ago' END AS label FROM u",
-    "jn27_remote_names": "SELECT c_custkey, lower(c_mktsegment || '/' || c_name) AS remote FROM customer",
+    "fn_relative_time": """WITH s AS (SELECT event_id, greatest(2::DOUBLE ** (event_id % 31) + event_id % 7 - 2.5, 0) AS s FROM events),
+u AS (SELECT event_id, s, CASE WHEN s < 60 THEN 1 WHEN s < 3600 THEN 60 WHEN s < 86400 THEN 3600 WHEN s < 2592000 THEN 86400 WHEN s < 31104000 THEN 2592000 ELSE 31104000 END AS z FROM s),
+n AS (SELECT event_id, z, floor(s / z)::BIGINT AS n FROM u)
+SELECT event_id, CASE WHEN z = 1 AND n <= 1 THEN 'just now' ELSE n || CASE z WHEN 1 THEN ' second' WHEN 60 THEN ' minute' WHEN 3600 THEN ' hour' WHEN 86400 THEN ' day' WHEN 2592000 THEN ' month' ELSE ' year' END || CASE WHEN n = 1 THEN '' ELSE 's' END || ' ago' END AS label FROM n""",
+    "jn27_remote_names": "SELECT c_custkey, CASE WHEN c_custkey % 5 < 3 THEN lower(c_mktsegment || '/' || c_name) END AS remote FROM customer",
     "fn_request_numbers": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN o_orderkey::INTEGER END AS number FROM orders",
-    "fn_type_names": "SELECT p_partkey, CASE p_size % 5 WHEN 3 THEN NULL WHEN 4 THEN replace(p_brand, '#', '') || '.Inner' ELSE replace(p_brand, '#', '') END AS type FROM part",
+    "fn_type_names": """SELECT p_partkey, CASE p_partkey % 18 WHEN 0 THEN b WHEN 1 THEN b WHEN 4 THEN b || '.Inner' WHEN 5 THEN 'List' WHEN 6 THEN b WHEN 8 THEN 'Repo' WHEN 9 THEN b
+  WHEN 10 THEN 'Type' WHEN 11 THEN b WHEN 12 THEN 'None' || b || 'x' WHEN 13 THEN 'Readonly' WHEN 14 THEN b WHEN 15 THEN b END AS type
+FROM (SELECT p_partkey, replace(p_brand, '#', '') AS b FROM part)""",
     "pf15_request_filter": "SELECT o_orderkey FROM orders WHERE lower(o_orderkey || ' ' || o_orderpriority || ' ' || o_orderstatus) LIKE '%urgent f%'",
     "sc14_base_commits": "WITH x AS (SELECT *, CASE WHEN o_custkey % 3 <> 0 THEN o_custkey END AS oid, CASE WHEN o_custkey % 2 = 0 THEN o_orderkey END AS tip FROM orders) SELECT o_orderkey, coalesce(CASE WHEN o_orderstatus = 'O' OR oid IS NULL THEN tip ELSE oid END, oid) AS base FROM x",
     "st2_unmapped_files": f"{FILES} SELECT DISTINCT path FROM files WHERE category NOT IN ('source', 'test')",

@@ -84,19 +84,19 @@ def script_files(spark, d):
 
 
 def script_symbols(spark, d):
-    return JS.symbols(JS.code_lines(script_files(spark, d)))
+    return JS.symbols(JS.parse(script_files(spark, d)))
 
 
 def script_imports(spark, d):
-    return JS.imports(JS.code_lines(script_files(spark, d)))
+    return JS.imports(JS.parse(script_files(spark, d)))
 
 
 def script_exports(spark, d):
-    return JS.exports(JS.code_lines(script_files(spark, d))).select("path", "exported", "local")
+    return JS.exports(JS.parse(script_files(spark, d))).select("path", "exported", "local")
 
 
 def script_calls(spark, d):
-    return JS.calls(JS.code_lines(script_files(spark, d)))
+    return JS.calls(JS.parse(script_files(spark, d))).drop("scope")
 
 
 CLASS_TEXT = """/* note: don't
@@ -134,19 +134,19 @@ def class_files(spark, d):
 
 
 def script_members(spark, d):
-    return JS.symbols(JS.code_lines(class_files(spark, d)))
+    return JS.symbols(JS.parse(class_files(spark, d)))
 
 
 def script_bases(spark, d):
-    return JS.bases(JS.code_lines(class_files(spark, d)))
+    return JS.bases(JS.parse(class_files(spark, d)))
 
 
 def script_parameters(spark, d):
-    return JS.accessor_parameters(JS.code_lines(class_files(spark, d)))
+    return JS.accessor_parameters(JS.parse(class_files(spark, d))).drop("class")
 
 
 def script_static_members(spark, d):
-    return JS.static_members(JS.code_lines(class_files(spark, d)))
+    return JS.static_members(JS.parse(class_files(spark, d)))
 
 
 def call_sites(spark, d):
@@ -192,7 +192,7 @@ ORACLES = {
     "tf13_script_exports": f"{BASE} SELECT path, qual AS exported, qual AS local FROM k WHERE kind IN ('class', 'module')",
     "tf15_script_calls": f"{BASE} SELECT path, 4 * k - 1 AS line, unnest([coalesce(nxt, 'last'), 'Box']) AS name, unnest(['attr', 'new']) AS kind, unnest(['api', NULL]) AS receiver FROM k",
     "tf10_script_members": f"{BASE}, m AS (SELECT path, qual, {CLASS_LINES} * (k - 1) AS base FROM k) SELECT path, unnest([qual, qual || '.constructor', qual || '.load', qual || '.find', 'api_' || qual, 'api_' || qual || '.get', 'api_' || qual || '.post']) AS name, unnest(['class', 'method', 'method', 'method', 'object', 'method', 'method']) AS kind, base + unnest([4, 6, 9, 12, 17, 18, 19]) AS start, base + unnest([16, 8, 11, 15, 20, 18, 19]) AS \"end\" FROM m",
-    "tf11_script_bases": f"{BASE} SELECT path, qual AS name, 'lib.Base' AS base FROM k",
+    "tf11_script_bases": f"{BASE} SELECT path, qual AS name, unnest(['lib.Base', 'Other']) AS base FROM k",
     "tf12_script_parameters": f"{BASE} SELECT path, {CLASS_LINES} * (k - 1) + 6 AS line, unnest(['repo', 'name']) AS field, unnest(['Repo', 'string']) AS type FROM k",
     "tf14_script_static_members": f"{BASE} SELECT path, qual AS owner, 'Item' AS member, 'api_' || qual AS target FROM k",
     "jn25_call_sites": f"""{BASE}, {N.USES}, {N.EDGES}, l AS (SELECT src, dst, arg_min(line, ord) AS line FROM uses GROUP BY src, dst),

@@ -1,159 +1,406 @@
-"""Facts of JavaScript and TypeScript files by patterns per line, as DataFrame expressions.
+"""Facts of JavaScript and TypeScript files: symbols, imports, exports, calls, references, locals and types.
 
-There is no grammar here: texts are cut into comments, strings and code first; declarations, members, imports, exports
-and calls are found by the shape of their line, and a declaration ends where the brackets opened since its line are
-closed again, a running sum over the lines. Regular expression literals are read as code.
+Texts are tables of tokens (:mod:`facetline.sources.script_tokens`). Statements, and their parts between commas, are runs of
+neighbours within one box, written as one line of tokens with a blank between them; a bracket stands there for its whole
+box. Patterns over these lines find declarations wherever their text is broken. Symbols are stretches of tokens, and every
+token belongs to the innermost symbol around it. All steps are DataFrame expressions, windows per file or box and
+joins on (file, place).
+
+There is no full grammar: words of texts within elements are passed over by the balance of tags, type arguments by the
+marks that may stand in them, and a comma within type arguments ends a part.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-_NAME = r"[A-Za-z_$][\w$]*"
-# Words before a parenthesis that are no calls.
-KEYWORDS = "if for while switch catch return typeof function await new super import require constructor".split()
-DECLARATIONS = {
-    "function": rf"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*({_NAME})",
-    "class": rf"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+({_NAME})",
-    "interface": rf"^\s*(?:export\s+)?interface\s+({_NAME})",
-    "type": rf"^\s*(?:export\s+)?type\s+({_NAME})[^=]*=",
-    "enum": rf"^\s*(?:export\s+)?(?:const\s+)?enum\s+({_NAME})",
-    "arrow": rf"^\s*(?:export\s+)?(?:const|let|var)\s+({_NAME})[^=]*=\s*(?:async\s*)?(?:\([^)]*\)|{_NAME})\s*(?::[^=]+)?=>",
-}
-
-
-# Tokens that hold the whole text: comments, strings, and what is between them.
-_TOKENS = r"""/\*[\s\S]*?\*/|//[^\n]*|"(?:[^"\\\n]++|\\[\s\S])*+"|'(?:[^'\\\n]++|\\[\s\S])*+'|`(?:[^`\\]++|\\[\s\S])*+`|[^/"'`]++|[\s\S]"""
-# Words that may stand before a member's name.
+from facetline.functions.text import normalize_type
+from facetline.operators.staging import materialise
+from facetline.sources.script_tokens import NAME, RESERVED, tokens
+
+MODULE = "<module>"
+# Words that may stand before a member's name, before a parameter that is a field, before a condition,
+# types of the language itself, and names that mean something where they stand.
 MODIFIERS = "public private protected static readonly override abstract declare async get set accessor".split()
-_MODIFIER = rf"^\s*(?:(?:{'|'.join(MODIFIERS)})\s+)*\*?\s*"
-_FUNCTION = rf"(?:async\s*)?(?:function\b|(?:<[^>]*>)?\([^)]*\)?[^=]*=>|{_NAME}\s*=>|\($)"
-MEMBERS = {
-    "class": [rf"{_MODIFIER}#?({_NAME})\s*(?:<[^>]*>)?\([^;]*$", rf"{_MODIFIER}#?({_NAME})\s*(?::[^=]+)?=\s*{_FUNCTION}"],
-    "object": [rf"^\s*(?:async\s+|get\s+|set\s+)?\*?\s*({_NAME})\s*\([^;]*\{{", rf"^\s*({_NAME})\s*:\s*{_FUNCTION}"],
-}
-OBJECT = rf"^\s*(?:export\s+)?(?:const|let|var)\s+({_NAME})\s*(?::[^=]+)?=\s*\{{\s*$"
-
-
-def code_lines(files: DataFrame) -> DataFrame:
-    """path, line (from 1), text without comments, code without the contents of strings either; lines keep their numbers."""
-    tokens = F.regexp_extract_all("content", F.lit(_TOKENS), F.lit(0))
-    is_comment = lambda t: F.startswith(t, F.lit("//")) | (F.startswith(t, F.lit("/*")) & (F.length(t) > 3))
-    breaks = lambda t: F.regexp_replace(t, r"[^\n]", "")
-    plain = F.transform(tokens, lambda t: F.when(is_comment(t), breaks(t)).otherwise(t))
-    quote = lambda t: F.substring(t, 1, 1)
-    blank = lambda t: F.when(quote(t).isin('"', "'", "`") & (F.length(t) > 1), F.concat(quote(t), breaks(t), quote(t))).otherwise(t)
-    split = lambda parts: F.split(F.array_join(parts, ""), "\n")
-    lines = files.where("content IS NOT NULL").select("path", F.posexplode(F.arrays_zip(split(plain).alias("text"), split(F.transform(plain, blank)).alias("code"))).alias("n", "l"))
-    return lines.select("path", (F.col("n") + 1).alias("line"), "l.text", "l.code")
-
-
-def _first(pattern: str, group: int = 1, column: str = "text") -> Column:
+ACCESS = "public private protected readonly override".split()
+BRANCHES = "if for while switch with".split()
+PREDEFINED = "any number boolean string symbol unknown never object".split()
+CONTEXTUAL = "as from of type get set async static public private protected readonly abstract declare keyof infer is satisfies implements namespace override accessor interface enum".split()
+
+_EXPORT = r"(?:export )?(?:default )?(?:declare )?"
+_VAR = r"(?:export )?(?:declare )?(?:const|let|var) "
+_GENERIC = r"(?:<\S* (?:[^()]*? )?> )?"
+_FUNCTION = rf"(?:async )?(?:function\b|{_GENERIC}(?:\(|{NAME})(?: : [^;=]*?)? =>)"
+_WRAPPED = rf"(?!new |await )(?:{NAME}|this)(?: (?:\.|\?\.) {NAME}| \(|(?: <\S* [^()]*?>))* \( ?;?$"
+_MOD = rf"(?:@{NAME} (?:\. {NAME} )*(?:\( )?)*(?:(?:{'|'.join(MODIFIERS)}) )*(?:\* )?"
+_KEY = rf"#?{NAME}"
+_CHAIN = rf"{NAME}(?: (?:\.|\?\.) #?{NAME})*"
+
+
+@dataclass(frozen=True)
+class Script:
+    """tokens; statements and parts: path, box, stmt (and item), s (the line of tokens), ks, ts (their places and texts), line, last, end (last place);
+    symbols: path, k, name (qualified), own, kind, parent, start, end, from, to (places), body (place of its members' or body's box), returns."""
+
+    tokens: DataFrame
+    statements: DataFrame
+    parts: DataFrame
+    symbols: DataFrame
+
+
+def _lines(rows: DataFrame, *by: str) -> DataFrame:
+    held = F.array_sort(F.collect_list(F.struct("k", "w", "t", "line", "last", "close")))
+    x = rows.groupBy("path", "box", *by).agg(held.alias("x"))
+    each = lambda name: F.transform("x", lambda v: v[name])
+    return x.select("path", "box", *by, F.array_join(each("w"), " ").alias("s"), each("k").alias("ks"), each("t").alias("ts"), each("line").alias("lines"), F.array_max(each("last")).alias("last"), F.array_max(F.transform("x", lambda v: F.coalesce(v["close"], v["k"]))).alias("end"))
+
+
+def _first(pattern: str, group: int = 1, column: str = "s") -> Column:
     return F.nullif(F.regexp_extract(column, pattern, group), F.lit(""))
 
 
-def symbols(lines: DataFrame) -> DataFrame:
-    """path, name, kind, start, end: declarations, and methods, function fields and function members as Container.member.
+def _after(prefix: str, column: str = "s") -> Column:
+    """Number of tokens that a pattern takes; it ends with the blank before the next one."""
+    return F.length(F.regexp_replace(F.regexp_extract(column, prefix, 0), "[^ ]", ""))
+
+
+def _at(prefix: str, of: str = "ks") -> Column:
+    return F.get(of, _after(prefix))
+
+
+def _unquoted(t: Column) -> Column:
+    return F.regexp_replace(t, r"""^['"`]|['"`]$""", "")
+
 
-    A declaration ends on the line that closes the brackets opened since its start; that is the next line that comes
-    back to its depth, by a window over the declarations and closing lines of a depth. Members are on the lines one
-    level into the last class or object literal before them; an object literal counts if it has a function member.
+def _with_last(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """``rows`` with last_box, the place of their last token but for an end mark, and gives: whether that box has a function as an argument."""
+    given = parts.where(F.col("s").rlike(rf"^{_FUNCTION}")).select("path", F.col("box").alias("last_box")).distinct().withColumn("gives", F.lit(True))
+    last = F.when(F.col("s").rlike(" ;$"), F.element_at("ks", -2)).otherwise(F.element_at("ks", -1))
+    return rows.withColumn("last_box", last).join(given, ["path", "last_box"], "left")
+
+
+def parse(files: DataFrame) -> Script:
+    """The script files (path, content) as tokens, statements and symbols; the tables are in the shared folder."""
+    t = tokens(files)
+    statements = materialise(_lines(t, "stmt"), "statements")
+    parts = materialise(_lines(t.where("w <> ','"), "stmt", "item"), "parts")
+    with_last = lambda rows: _with_last(rows, parts)
+    top = with_last(statements.where("box = -1"))
+
+    var = rf"^{_VAR}(?={NAME})"
+    value = rf"^{_VAR}{NAME} (?:: .*? )?= "
+    is_function = lambda prefix: F.col("s").rlike(prefix + _FUNCTION) | (F.col("s").rlike(prefix + _WRAPPED) & F.coalesce("gives", F.lit(False)))
+    assigned = rf"^(?:module \. )?exports(?: \. {NAME})? = "
+    default = r"^export default "
+    kinds = [
+        ("function", rf"^{_EXPORT}(?:async )?function\b", F.lit(True), rf"^{_EXPORT}(?:async )?function (?:\* )?(?={NAME})", rf"^{_EXPORT}"),
+        ("class", rf"^{_EXPORT}(?:abstract )?class\b", F.lit(True), rf"^{_EXPORT}(?:abstract )?class (?={NAME})(?!extends|implements)", rf"^{_EXPORT}"),
+        ("interface", rf"^{_EXPORT}interface {NAME}", F.lit(True), rf"^{_EXPORT}interface ", rf"^{_EXPORT}"),
+        ("type", rf"^{_EXPORT}type {NAME} (?:<|=)", F.lit(True), rf"^{_EXPORT}type ", rf"^{_EXPORT}"),
+        ("enum", rf"^{_EXPORT}(?:const )?enum {NAME}", F.lit(True), rf"^{_EXPORT}(?:const )?enum ", rf"^{_EXPORT}"),
+        ("function", var, is_function(value), var, r"^(?:export )?(?:declare )?"),
+        ("class", value + r"class\b", F.lit(True), var, value),
+        ("object", value + r"\{(?: as const| satisfies .*)?(?: ;)?$", F.lit(True), var, r"^(?:export )?(?:declare )?"),
+        ("function", assigned + _FUNCTION, F.lit(True), None, r"^"),
+        ("function", default + rf"{_FUNCTION}", F.lit(True), None, default),
+    ]
+    found = F.coalesce(*[
+        F.when(F.col("s").rlike(pattern) & also, F.struct(
+            F.lit(kind).alias("kind"),
+            (_at(name, "ts") if name and kind not in ("function", "class") else F.when(F.col("s").rlike(name), _at(name, "ts")).otherwise("default") if name else F.when(F.col("s").rlike(default), "default").otherwise(F.coalesce(_first(rf"exports \. ({NAME}) ="), F.lit("default")))).alias("own"),
+            _at(start, "lines").alias("start"), _at(start).alias("from")))
+        for kind, pattern, also, name, start in kinds
+    ])
+    outer = top.withColumn("f", found).where("f IS NOT NULL").select("path", F.get("ks", F.lit(0)).alias("k"), F.col("f.own").alias("name"), F.col("f.own").alias("own"), F.col("f.kind").alias("kind"), F.lit(None).cast("string").alias("parent"), "f.start", F.col("last").alias("end"), "f.from", F.col("end").alias("to"), F.col("last_box").alias("body"), "s", "ts")
+    outer = materialise(outer, "outer-symbols")
+
+    box_of = outer.where("kind IN ('class', 'object')").select("path", F.col("body").alias("box"), F.col("name").alias("parent"), F.col("kind").alias("of"))
+    in_class = with_last(statements.join(box_of.where("of = 'class'"), ["path", "box"]))
+    method = rf"^{_MOD}(?={_KEY} (?:< .*?> )?\( (?:: .*)?\{{(?: ;)?$)"
+    field = rf"^{_MOD}(?={_KEY} (?:[?!] )?(?:: .*? )?= )"
+    field_value = rf"^{_MOD}{_KEY} (?:[?!] )?(?:: .*? )?= "
+    in_class = in_class.withColumn("at", F.when(F.col("s").rlike(method), _after(method)).when(F.col("s").rlike(field) & is_function(field_value), _after(field)))
+    in_object = with_last(parts.join(box_of.where("of = 'object'"), ["path", "box"]))
+    shorthand = rf"^(?:(?:async|get|set) )*(?:\* )?(?={NAME} (?:< .*?> )?\( (?:: .*)?\{{$)"
+    pair = rf'^(?={NAME} : |" : )'
+    in_object = in_object.withColumn("at", F.when(F.col("s").rlike(shorthand), _after(shorthand)).when(F.col("s").rlike(pair) & is_function(rf'^(?:{NAME}|") : '), F.lit(0)))
+    own = _unquoted(F.get("ts", F.col("at")))
+    both = in_class.drop("stmt", "of").unionByName(in_object.drop("stmt", "item", "of")).where("at IS NOT NULL").where(~own.isin(BRANCHES))
+    inner = both.select("path", F.get("ks", F.lit(0)).alias("k"), F.concat_ws(".", "parent", own).alias("name"), own.alias("own"), F.lit("method").alias("kind"), "parent", F.get("lines", F.lit(0)).alias("start"), F.col("last").alias("end"), F.get("ks", F.lit(0)).alias("from"), F.col("end").alias("to"), F.col("last_box").alias("body"), "s", "ts")
+    # an object is a symbol if it has a function among its members
+    with_members = inner.select("path", F.col("parent").alias("name")).distinct()
+    every = outer.where("kind <> 'object'").unionByName(outer.where("kind = 'object'").join(with_members, ["path", "name"], "left_semi")).unionByName(inner)
+    returns = F.when(F.col("kind").isin("function", "method"), F.array_join(F.slice("ts", _after(r"^.*?\( : (?=.*(?:\{|=>))") + 1, F.greatest(F.lit(0), _after(r"^.*?\( : (?:(?!=> )[^{])*? (?=\{|=>)") - _after(r"^.*?\( : (?=.*(?:\{|=>))"))), ""))
+    every = every.withColumn("returns", F.nullif(returns, F.lit("")))
+    first = F.row_number().over(W.partitionBy("path", "name").orderBy("k"))
+    return Script(t, statements, parts, materialise(every.withColumn("n", first).where("n = 1").drop("n"), "symbols"))
+
+
+def symbols(script: Script) -> DataFrame:
+    """path, name, kind, start, end: declarations, and methods, function fields and function members as Container.member; the first of a name counts."""
+    return script.symbols.select("path", "name", "kind", "start", "end")
+
+
+def modules(files: DataFrame) -> DataFrame:
+    """path, name, kind, start, end: every file as a symbol of its own."""
+    return files.where("content IS NOT NULL").select("path", F.lit(MODULE).alias("name"), F.lit("module").alias("kind"), F.lit(1).alias("start"), F.size(F.split("content", "\n")).alias("end"))
+
+
+def bases(script: Script) -> DataFrame:
+    """path, name, base: what a class extends and implements, and each of what an interface extends, without type arguments."""
+    head = script.symbols.where("kind IN ('class', 'interface')").select("path", "name", F.array_join("ts", " ").alias("s"), "kind")
+    listed = F.coalesce(_first(r"\bextends (.*?)(?: implements .*)? \{(?: ;)?$"), F.lit(""))
+    also = F.coalesce(_first(r"\bimplements (.*?) \{(?: ;)?$"), F.lit(""))
+    bare = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r" <[^<>]*>", ""), r" <.*?>(?= ,|$)", ""), r" \.\s", ".")
+    rows = head.select("path", "name", F.explode(F.concat(F.split(bare(listed), " , "), F.split(bare(also), " , "))).alias("base"))
+    return rows.where(F.col("base").rlike(rf"^{NAME}(?:\.{NAME})*$"))
+
+
+def static_members(script: Script) -> DataFrame:
+    """path, owner, member, target: assignments Owner.Member = Target at the top of a file."""
+    pattern = rf"^({NAME}) \. ({NAME}) = ({_CHAIN})(?: ;)?$"
+    held = script.statements.where("box = -1")
+    rows = held.select("path", _first(pattern).alias("owner"), _first(pattern, 2).alias("member"), F.regexp_replace(_first(pattern, 3), r" (?:\?)?(\.) ", "$1").alias("target"))
+    return rows.where("owner IS NOT NULL AND owner NOT IN ('module', 'exports', 'this')")
+
+
+def imports(script: Script) -> DataFrame:
+    """path, local, module, name: default and named imports, namespaces (*), and required modules."""
+    st = script.statements
+    s = F.col("s")
+    is_import = (F.col("box") == -1) & s.rlike(r'^import (?:type )?(?:.* )?from "')
+    head = st.where(is_import).withColumn("module", _unquoted(F.element_at(F.filter("ts", lambda t: t.rlike(r"""^['"]""")), -1)))
+    default = F.when(s.rlike(rf"^import (?:type )?{NAME} (?:,|from)"), F.when(s.rlike(rf"^import type {NAME} "), F.get("ts", F.lit(2))).otherwise(F.get("ts", F.lit(1))))
+    plain = head.select("path", "module", default.alias("default"), _first(rf"\* as ({NAME}) ").alias("whole"), F.when(s.contains("{"), _at(r"^import [^{]*(?=\{)")).alias("braces"))
+    required = rf'^{_VAR}(.*) = require \((?: ;)?$'
+    asked = st.where(s.rlike(required)).withColumn("spec_box", _at(rf"^{_VAR}.* = require "))
+    spec = script.tokens.where("kind = 'string'").groupBy("path", F.col("box").alias("spec_box")).agg(F.min_by("t", "k").alias("spec"))
+    asked = asked.join(spec, ["path", "spec_box"]).select("path", _unquoted(F.col("spec")).alias("module"), F.lit(None).cast("string").alias("default"), _first(rf"^{_VAR}({NAME}) (?:: .*? )?= ").alias("whole"), F.when(s.rlike(rf"^{_VAR}\{{"), _at(rf"^{_VAR}")).alias("braces"))
+    held = plain.unionByName(asked)
+    one = held.select("path", "module", F.explode(F.filter(F.array(F.struct(F.col("default").alias("local"), F.lit("default").alias("name")), F.struct(F.col("whole").alias("local"), F.lit("*").alias("name"))), lambda x: x["local"].isNotNull())).alias("i")).select("path", "i.local", "module", "i.name")
+    part = rf"^(?:type )?({NAME}|default)(?: (?:as|:) ({NAME}))?"
+    named = held.where("braces IS NOT NULL").join(script.parts.select("path", F.col("box").alias("braces"), "s"), ["path", "braces"])
+    named = named.select("path", F.coalesce(_first(part, 2), _first(part)).alias("local"), "module", _first(part).alias("name")).where("name IS NOT NULL")
+    return one.unionByName(named)
+
+
+def exports(script: Script) -> DataFrame:
+    """path, exported, local, module, ord: what a file exports, by a local name or from another module.
+
+    A star export is (*, *, module), one under a name (name, *, module); a default whose value is an expression gives its
+    names from the last to the first, by ``ord``.
+    """
+    st, s = script.statements.where("box = -1"), F.col("s")
+    none = F.lit(None).cast("string")
+    row = lambda exported, local, module=none, ord_=F.lit(0): [exported.alias("exported"), local.alias("local"), module.alias("module"), ord_.cast("int").alias("ord")]
+    from_ = F.when(s.rlike(r'(?:^| )from "'), _unquoted(F.element_at(F.filter("ts", lambda t: t.rlike(r"""^['"]""")), -1)))
+    tops = script.symbols.where("parent IS NULL").select("path", "k", "name")
+    declared = st.where(s.rlike("^export ")).select("path", F.get("ks", F.lit(0)).alias("k"), "s").join(tops, ["path", "k"])
+    of_symbols = declared.select("path", *row(F.col("name"), F.col("name"))).unionByName(declared.where(s.rlike("^export default ")).select("path", *row(F.lit("default"), F.col("name")))).distinct()
+    plain = st.where(s.rlike(rf"^export (?:declare )?(?:const|let|var) {NAME}")).join(tops.select("path", F.col("k").alias("own_k"), F.col("name").alias("own_name")), (st["path"] == tops["path"]) & (F.get("ks", F.lit(0)) == F.col("own_k")), "left_anti")
+    of_values = plain.select("path", *row(_first(rf"^{_VAR}({NAME})"), _first(rf"^{_VAR}({NAME})")))
+    star = st.where(s.rlike(r"^export (?:type )?\* ")).select("path", *row(F.coalesce(_first(rf"^export (?:type )?\* as ({NAME}|default)"), F.lit("*")), F.lit("*"), from_))
+    lists = st.where(s.rlike(r"^export (?:type )?\{")).select("path", F.when(s.rlike("^export type "), F.get("ks", F.lit(2))).otherwise(F.get("ks", F.lit(1))).alias("box"), from_.alias("module"))
+    part = rf"^(?:type )?({NAME}|default)(?: as ({NAME}|default))?"
+    listed = lists.join(script.parts.select("path", "box", "s"), ["path", "box"]).where(_first(part).isNotNull()).select("path", *row(F.coalesce(_first(part, 2), _first(part)), _first(part), F.col("module")))
+    value = rf"^(?:export default|module \. exports =) ({NAME})(?: ;)?$"
+    is_default = s.rlike(value)
+    of_default = st.where(is_default).select("path", *row(F.lit("default"), _first(value)))
+    # other expressions: all their names, wherever in their brackets
+    other = st.where(s.rlike(r"^export default ") & ~is_default & ~s.rlike(rf"^export default (?:(?:abstract )?class\b|{_FUNCTION})")).select("path", F.get("ks", F.lit(0)).alias("from"), F.col("end").alias("to"))
+    idents = script.tokens.where("kind = 'name' AND (prev IS NULL OR prev NOT IN ('.', '?.')) AND (next IS NULL OR next <> ':')").select("path", "k", "t").join(other, "path").where("k > from AND k <= to")
+    guessed = idents.select("path", *row(F.lit("default"), F.col("t"), none, F.row_number().over(W.partitionBy("path").orderBy(F.desc("k"))) - 1))
+    assigned = rf"^(?:module \. )?exports \. ({NAME}) = "
+    given = st.where(s.rlike(assigned)).select("path", *row(_first(assigned), F.when(s.rlike(assigned + _FUNCTION), _first(assigned)).otherwise(F.coalesce(_first(assigned + rf"({NAME})(?: ;)?$", 2), _first(assigned)))))
+    objects = st.where(s.rlike(r"^module \. exports = \{")).select("path", F.get("ks", F.lit(4)).alias("box")).join(script.parts.select("path", "box", "s"), ["path", "box"])
+    member = rf'^({NAME})(?: : ({NAME}))?$'
+    of_object = objects.where(s.rlike(member)).select("path", *row(_first(member), F.coalesce(_first(member, 2), _first(member))))
+    return reduce(DataFrame.unionByName, [of_symbols, of_values, star, listed, of_default, guessed, given, of_object])
+
+
+def scopes(script: Script) -> DataFrame:
+    """The tokens with scope (the innermost symbol around each, or the module) and scope_kind; the head of a class is outside of it."""
+    y = script.symbols.withColumn("from", F.when(F.col("kind") == "class", F.col("body")).otherwise(F.col("from")))
+    mark = lambda rows, name: rows.select("path", F.col("from").alias("k"), F.struct(F.col("name"), "kind", "to").alias(name))
+    rows = script.tokens.join(mark(y.where("parent IS NULL"), "outer"), ["path", "k"], "left").join(mark(y.where("parent IS NOT NULL"), "inner"), ["path", "k"], "left")
+    upto = W.partitionBy("path").orderBy("k")
+    around = lambda name: F.last(name, ignorenulls=True).over(upto)
+    rows = rows.withColumns({"outer": around("outer"), "inner": around("inner")})
+    held = lambda name: F.when(F.col("k") <= F.col(f"{name}.to"), F.col(name))
+    of = F.coalesce(held("inner"), held("outer"))
+    return rows.withColumn("of", of).withColumn("scope", F.coalesce("of.name", F.lit(MODULE))).withColumn("scope_kind", F.coalesce("of.kind", F.lit("module"))).drop("outer", "inner", "of")
+
+
+def chains(script: Script) -> DataFrame:
+    """Names and the dotted names that go on from them, a table in the shared folder.
+
+    path, scope, scope_kind, box, k (first place), line, run_line (where its whole expression begins), text, dangling (it goes on from an
+    expression), head_kind, prev, prev2, then (what follows, type arguments passed over), next2, starts (first of its part), in_tag, in_text.
+    """
+    t = scopes(script)
+    near = W.partitionBy("path", "box").orderBy("k")
+    word = F.col("kind").isin("name", "word")
+    prev_word = F.col("prev_kind").isin("name") | F.col("prev").isin("this", "super", "import") | ((F.col("prev_kind") == "word") & F.col("prev2").isin(".", "?."))
+    dot = F.col("w").isin(".", "?.")
+    joins = (dot & prev_word) | (word & F.col("prev").isin(".", "?."))
+    runs = joins | (dot & F.col("prev").isin("(", "[", "`(", "!", '"')) | (F.col("w").isin("(", "[", "`(") & (prev_word | F.col("prev").isin("(", "[", "!"))) | ((F.col("w") == "!") & F.col("next").isin(".", "?.", "(", "["))
+    is_dotted = F.coalesce(joins, F.lit(False))
+    # a bracket that may hold type arguments: no other marks up to the last of those that close it, and a call after
+    odd = ~(F.col("kind").isin("name", "string") | F.col("w").isin(".", ",", "|", "&", "[", "{", "<", ">", "typeof", "null", "void"))
+    t = t.withColumn("odd", F.sum(odd.cast("int")).over(near)).withColumn("follows", F.lead("w").over(near))
+    down = W.partitionBy("path", "box").orderBy(F.desc("k")).rowsBetween(W.unboundedPreceding, -1)
+    close = F.last(F.when((F.col("w") == ">") & (F.coalesce("follows", F.lit("")) != ">"), F.struct("odd", "follows")), ignorenulls=True).over(down)
+    t = t.withColumn("close_of", close).withColumn("generic", F.when((F.col("w") == "<") & (F.col("close_of.odd") == F.col("odd")) & F.col("close_of.follows").isin("(", "`("), F.col("close_of.follows")))
+    t = t.withColumn("then", F.coalesce(F.lead("generic").over(near), F.col("next")))
+    part = W.partitionBy("path", "box", "stmt", "item").orderBy("k")
+    comma = F.max(F.when(F.col("w") == ",", 1).otherwise(0)).over(part)
+    t = t.withColumn("nth", F.row_number().over(part) - comma)
+    at = lambda keep, c: F.last(F.when(~F.coalesce(keep, F.lit(False)), F.col(c)), ignorenulls=True).over(near)
+    t = t.withColumns({"chain": at(joins, "k"), "run_line": at(runs, "line")}).where(word | dot)
+    one = F.array_sort(F.collect_list(F.struct("k", F.when(dot, F.lit(".")).otherwise(F.col("t")).alias("t"))))
+    head = lambda c: F.min_by(c, "k").alias(c)
+    out = t.groupBy("path", "box", "chain").agg(
+        F.array_join(F.transform(one, lambda x: x["t"]), "").alias("text"), *[head(c) for c in ("scope", "scope_kind", "line", "run_line", "prev", "prev2", "prev_kind", "in_tag", "in_text", "nth", "stmt", "item", "kind")],
+        F.max_by("then", "k").alias("then"), F.max_by("next", "k").alias("next"), F.max_by("next2", "k").alias("next2"))
+    out = out.withColumnRenamed("chain", "k").withColumn("dangling", F.startswith("text", F.lit("."))).withColumn("starts", F.col("nth") == 1)
+    return materialise(out, "chains")
+
+
+def _member_names(script: Script) -> DataFrame:
+    """path, k: the names of all that stands in bodies of classes, interfaces and enumerations."""
+    bodies = script.symbols.where("kind IN ('class', 'interface', 'enum')").select("path", F.col("body").alias("box"))
+    return script.parts.join(bodies, ["path", "box"]).select("path", _at(rf"^{_MOD}(?={_KEY}\b)").alias("k")).where("k IS NOT NULL").distinct()
+
+
+def _definition() -> Column:
+    """Whether a chain is the name in a definition: after function or class, or with parameters and a body."""
+    named = F.col("prev").isin("function", "class", "interface", "enum") | ((F.col("prev") == "*") & (F.col("prev2") == "function")) | ((F.col("prev") == "type") & F.col("next").isin("=", "<"))
+    with_body = (F.col("next") == "(") & (F.col("next2") == "{") & ~F.contains("text", F.lit(".")) & (F.col("starts") | F.col("prev").isin(*MODIFIERS, "*"))
+    return F.coalesce(named, F.lit(False)) | F.coalesce(with_body, F.lit(False))
+
+
+def calls(script: Script, chain_rows: DataFrame | None = None) -> DataFrame:
+    """path, line, scope, name, kind (name, attr, new, jsx, super), receiver (null for none, and for any expression)."""
+    c = chains(script) if chain_rows is None else chain_rows
+    c = c.where("NOT in_text AND NOT in_tag").join(_member_names(script), ["path", "k"], "left_anti").where(~_definition())
+    text, head = F.col("text"), F.split_part("text", F.lit("."), F.lit(1))
+    last = F.regexp_extract("text", r"[^.]*$", 0)
+    rest = F.nullif(F.regexp_replace("text", r"\.?[^.]*$", ""), F.lit(""))
+    made = F.coalesce(F.col("prev") == "new", F.lit(False))
+    called = F.coalesce(F.col("then").isin("(", "`("), F.lit(False)) & ~made
+    own_word = F.col("kind") == "word"
+    usable = F.col("dangling") | ~own_word | head.isin("this", "super")
+    on_super = F.col("text").rlike(rf"^super\.#?{NAME}$")
+    kind = F.when(made, "new").when(text == "super", "super").when(on_super, "super").when(F.col("dangling") | F.contains("text", F.lit(".")), "attr").otherwise("name")
+    name = F.when(text == "super", "constructor").otherwise(last)
+    receiver = F.when(F.col("dangling") | (kind == "super") | F.startswith("text", F.lit("super.")), F.lit(None).cast("string")).otherwise(rest)
+    line = F.when(F.col("dangling"), F.col("run_line")).otherwise(F.col("line"))
+    plain = c.where((called | made) & usable & ~text.isin("require", "this", "import", "async")).select("path", line.alias("line"), "scope", name.alias("name"), kind.alias("kind"), receiver.alias("receiver"))
+    tag = F.regexp_extract("t", rf"^<({NAME}(?:\.{NAME})*)$", 1)
+    elements = scopes(script).where((F.col("kind") == "tag") & tag.rlike(r"^\p{Lu}")).select("path", "line", "scope", F.regexp_extract(tag, r"[^.]*$", 0).alias("name"), F.lit("jsx").alias("kind"), F.nullif(F.regexp_replace(tag, r"\.?[^.]*$", ""), F.lit("")).alias("receiver"))
+    return plain.unionByName(elements)
+
+
+def bound_names(script: Script) -> DataFrame:
+    """path, k, name, how: names that parameters and declared variables bind, patterns expanded; a table in the shared folder.
+
+    A box is a pattern if it is a list of parameters, stands for a declared variable, or is in a pattern at a place that binds.
     """
-    code = lambda p: _first(p, column="code")
-    count = lambda marks: F.length(F.regexp_replace("code", f"[^{marks}]", ""))
-    upto = W.partitionBy("path").orderBy("line").rowsBetween(W.unboundedPreceding, 0)
-    net = count(r"\[({") - count(r"\])}")
-    depth = lines.select("path", "line", "code", F.sum(net).over(upto).alias("after"), net.alias("net")).withColumn("before", F.col("after") - F.col("net"))
-
-    kind = F.coalesce(*[F.when(code(p).isNotNull(), F.lit("function" if k == "arrow" else k)) for k, p in DECLARATIONS.items()], F.when((F.col("before") == 0) & code(OBJECT).isNotNull(), F.lit("object")))
-    found = depth.withColumns({"kind": kind, "name": F.coalesce(*[code(p) for p in DECLARATIONS.values()], code(OBJECT))})
-    member = {c: F.coalesce(*[code(p) for p in patterns]) for c, patterns in MEMBERS.items()}
-    usable = lambda c: F.when(~member[c].isin([k for k in KEYWORDS if k != "constructor"]), member[c])
-    found = found.withColumns({"of_class": F.when(F.col("before") > 0, usable("class")), "of_object": F.when(F.col("before") > 0, usable("object"))})
-    starts = found.where("kind IS NOT NULL OR of_class IS NOT NULL OR of_object IS NOT NULL").select("path", F.col("before").alias("level"), "line", F.struct("kind", "name", "of_class", "of_object", (F.col("after") <= F.col("before")).alias("whole")).alias("s"), F.lit(None).cast("int").alias("closes"))
-    closers = depth.where("after < before").select("path", F.explode(F.sequence("after", F.col("before") - 1)).alias("level"), "line", F.lit(None).cast(starts.schema["s"].dataType).alias("s"), F.col("line").alias("closes"))
-    later = W.partitionBy("path", "level").orderBy("line").rowsBetween(1, W.unboundedFollowing)
-    ended = starts.unionByName(closers).withColumn("close", F.min("closes").over(later)).where("s IS NOT NULL")
-    ended = ended.select("path", "level", "line", "s.*", F.when(F.col("s.whole"), F.col("line")).otherwise(F.coalesce("close", "line")).alias("end"))
-
-    # the last class or object literal one level up, if it is still open
-    held = F.struct("name", "kind", "end")
-    boxes = ended.where("kind IN ('class', 'object')").select("path", (F.col("level") + 1).alias("level"), "line", held.alias("box"), F.lit(None).cast(ended.select(F.struct("*").alias("m")).schema["m"].dataType).alias("m"))
-    members = ended.where("of_class IS NOT NULL OR of_object IS NOT NULL").select("path", "level", "line", F.lit(None).cast(boxes.schema["box"].dataType).alias("box"), F.struct("*").alias("m"))
-    last = F.last("box", ignorenulls=True).over(W.partitionBy("path", "level").orderBy("line").rowsBetween(W.unboundedPreceding, -1))
-    inside = boxes.unionByName(members).withColumn("of", last).where("m IS NOT NULL AND of.end >= line")
-    own = F.when(F.col("of.kind") == "class", F.col("m.of_class")).otherwise(F.col("m.of_object"))
-    methods = inside.select("path", F.concat_ws(".", "of.name", own).alias("name"), F.lit("method").alias("kind"), F.col("line").alias("start"), "m.end", F.col("of.name").alias("box"), "of.kind").where(own.isNotNull())
-    methods = methods.toDF("path", "name", "kind", "start", "end", "box", "box_kind")
-    objects = methods.where("box_kind = 'object'").select("path", F.col("box").alias("name")).distinct()
-    plain = ended.where("kind IS NOT NULL").select("path", "name", "kind", F.col("line").alias("start"), "end")
-    kept = plain.where("kind <> 'object'").unionByName(plain.where("kind = 'object'").join(objects, ["path", "name"], "left_semi"))
-    return kept.unionByName(methods.drop("box", "box_kind"))
-
-
-def bases(lines: DataFrame) -> DataFrame:
-    """path, name, base: what a class extends, and each of what an interface extends, without type arguments."""
-    head = F.regexp_extract("code", rf"\b(?:class|interface)\s+({_NAME})(?:<[^>]*>)?\s+extends\s+([^{{]+?)(?:\s+implements\b.*|\s*\{{.*|\s*)$", 1)
-    listed = F.regexp_extract("code", rf"\b(?:class|interface)\s+({_NAME})(?:<[^>]*>)?\s+extends\s+([^{{]+?)(?:\s+implements\b.*|\s*\{{.*|\s*)$", 2)
-    rows = lines.select("path", F.nullif(head, F.lit("")).alias("name"), F.explode(F.split(F.regexp_replace(listed, "<[^<>]*>", ""), r"\s*,\s*")).alias("base"))
-    return rows.where(F.col("name").isNotNull() & F.col("base").rlike(rf"^{_NAME}(?:\.{_NAME})*$"))
-
-
-def static_members(lines: DataFrame) -> DataFrame:
-    """path, owner, member, target: assignments Owner.Member = Target on a line of their own, not indented."""
-    pattern = rf"^({_NAME})\.({_NAME})\s*=\s*({_NAME}(?:\.{_NAME})*)\s*;?\s*$"
-    rows = lines.select("path", *[_first(pattern, i + 1, "code").alias(c) for i, c in enumerate(("owner", "member", "target"))])
-    return rows.where("owner IS NOT NULL AND owner NOT IN ('module', 'exports')")
-
-
-def accessor_parameters(lines: DataFrame) -> DataFrame:
+    t, parts = script.tokens, script.parts
+    near = W.partitionBy("path", "box").orderBy("k")
+    odd = F.sum(F.when(F.col("w").isin(";", "=", "?", "(", ","), 1).otherwise(0)).over(near)
+    down = W.partitionBy("path", "box").orderBy(F.desc("k")).rowsBetween(W.unboundedPreceding, -1)
+    arrow = F.last(F.when(F.col("w") == "=>", F.col("odd")), ignorenulls=True).over(down)
+    p = t.withColumn("odd", odd).withColumn("arrow", arrow)
+    typed = (F.col("next") == ":") & (F.col("arrow") == F.col("odd")) & (F.coalesce("prev", F.lit("")) != "?")
+    after_function = (F.col("prev") == "function") | (F.col("prev2") == "function") | ((F.col("prev") == "*") & (F.col("prev2") == "function"))
+    method = (F.col("next") == "{") & F.col("prev_kind").isin("name", "string")
+    lists = p.where(F.col("w") == "(").where((F.col("next") == "=>") | typed | after_function | method).select("path", F.col("k").alias("box"))
+    members = script.statements.join(script.symbols.where("kind = 'class'").select("path", F.col("body").alias("box")), ["path", "box"]).where(F.col("s").rlike(rf"^{_MOD}{_KEY} (?:< .*?> )?\( (?:: .*)?\{{(?: ;)?$")).select("path", _at(rf"^{_MOD}{_KEY} (?:< .*?> )?(?=\()").alias("box"))
+    lists = lists.unionByName(members).distinct().select("path", "box", F.lit("(").alias("mark"))
+    single = t.where((F.col("kind") == "name") & (F.col("next") == "=>") & (F.coalesce("prev", F.lit("")) != ":")).select("path", "k", F.col("t").alias("name"), F.lit("parameter").alias("how"))
+    # declared variables: every part of a statement that begins with const, let or var
+    heads = script.statements.where(F.col("s").rlike(rf"^{_VAR}")).select("path", "box", "stmt")
+    d = parts.join(heads, ["path", "box", "stmt"])
+    start = rf"^(?:{_VAR})?"
+    simple = rf"{start}(?={NAME}(?: [!])?(?: :.*?)?(?: =.*| ;|)$)"
+    variables = d.where(F.col("s").rlike(simple)).select("path", _at(simple).alias("k"), _at(simple, "ts").alias("name"), F.lit("variable").alias("how"))
+    patterns = d.where(F.col("s").rlike(start + r"[\[{]")).select("path", _at(start + r"(?=[\[{])").alias("box"), _at(start + r"(?=[\[{])", "ts").alias("mark"))
+    level, found = materialise(lists.unionByName(patterns), "patterns"), [single, variables]
+    lead = rf"^(?:@{NAME} (?:\( )?)*(?:(?:{'|'.join(ACCESS)}) )*(?:\.\.\. )?"
+    while not level.isEmpty():
+        inside = parts.join(level, ["path", "box"])
+        place = F.when(F.col("mark") == "{", F.when(F.col("s").rlike(rf'^(?:{NAME}|"|0|\[) : '), _after(rf'^(?:{NAME}|"|0|\[) : ')).otherwise(_after(lead))).otherwise(_after(lead))
+        at = inside.select("path", F.get("ks", place).alias("k"), F.get("ts", place).alias("name"), F.lit("parameter").alias("how"))
+        found.append(at.where(F.col("name").rlike(f"^{NAME}$") & ~F.col("name").isin(RESERVED)))
+        level = materialise(at.where("name IN ('[', '{')").select("path", F.col("k").alias("box"), F.col("name").alias("mark")), "patterns")
+    return materialise(reduce(DataFrame.unionByName, found).distinct(), "bound-names")
+
+
+def locals_(script: Script, bound: DataFrame | None = None) -> DataFrame:
+    """path, scope, name: what parameters and variables of functions bind; nested functions count to the symbol around them."""
+    held = (bound_names(script) if bound is None else bound).join(scopes(script).select("path", "k", "box", "scope", "scope_kind"), ["path", "k"])
+    return held.where("scope_kind NOT IN ('module', 'class') AND NOT (how = 'variable' AND box = -1)").select("path", "scope", "name").distinct()
+
+
+def references(script: Script, chain_rows: DataFrame | None = None, bound: DataFrame | None = None) -> DataFrame:
+    """path, scope, name: dotted names that are mentioned and neither called, declared nor assigned to."""
+    c = chains(script) if chain_rows is None else chain_rows
+    b = bound_names(script) if bound is None else bound
+    within = c.where("NOT in_text AND NOT in_tag AND NOT dangling AND kind = 'name'").where(~_definition())
+    within = within.join(b.select("path", "k").distinct(), ["path", "k"], "left_anti").join(_member_names(script), ["path", "k"], "left_anti")
+    key = F.col("starts") & (F.coalesce(F.col("next") == ":", F.lit(False)) | (F.coalesce(F.col("next") == "?", F.lit(False)) & F.coalesce(F.col("next2") == ":", F.lit(False)))) & (F.col("box") >= 0)
+    target = F.coalesce(F.col("next").isin("=", "=>"), F.lit(False)) & ~F.coalesce(F.col("prev") == ":", F.lit(False))
+    called = F.coalesce(F.col("then").isin("(", "`("), F.lit(False)) | F.coalesce(F.col("prev") == "new", F.lit(False))
+    rows = within.where(~key & ~target & ~called & ~F.col("text").isin(CONTEXTUAL + PREDEFINED))
+    # lists of imports and exports mention nothing
+    lists = script.statements.where((F.col("box") == -1) & F.col("s").rlike(r"^(?:import |export (?:type )?(?:\{|\*))")).select("path", F.explode("ks").alias("k"))
+    rows = rows.join(lists, ["path", "k"], "left_anti").join(lists.withColumnRenamed("k", "box"), ["path", "box"], "left_anti")
+    return rows.select("path", "scope", F.col("text").alias("name")).distinct()
+
+
+def accessor_parameters(script: Script) -> DataFrame:
     """path, line, field, type: constructor parameters with an access modifier, which declare fields of their class."""
-    listed = F.split(F.regexp_extract("code", r"\bconstructor\s*\((.*)\)", 1), ",")
-    pattern = rf"^\s*(?:(?:public|private|protected|readonly|override)\s+)+({_NAME})\??\s*:\s*([\w$.]+)"
-    rows = lines.select("path", "line", F.explode(listed).alias("text")).select("path", "line", _first(pattern).alias("field"), _first(pattern, 2).alias("type"))
-    return rows.where("field IS NOT NULL")
+    boxes = script.statements.join(script.symbols.where("kind = 'class'").select("path", F.col("body").alias("box"), F.col("name").alias("class")), ["path", "box"])
+    lists = boxes.where(F.col("s").rlike(rf"^{_MOD}constructor \(")).select("path", _at(rf"^{_MOD}constructor (?=\()").alias("box"), "class")
+    pattern = rf"^(?:@{NAME} (?:\( )?)*(?:(?:{'|'.join(ACCESS)}) )+(?={NAME})"
+    rows = script.parts.join(lists, ["path", "box"]).where(F.col("s").rlike(rf"{pattern}{NAME} (?:\? )?: "))
+    kind = F.regexp_replace(_first(rf"{pattern}{NAME} (?:\? )?: ({_CHAIN})"), r" (\.) ", "$1")
+    return rows.select("path", _at(pattern, "lines").alias("line"), "class", _at(pattern, "ts").alias("field"), kind.alias("type")).where("type IS NOT NULL")
 
 
-def imports(lines: DataFrame) -> DataFrame:
-    """path, local, module, name: default and named imports, namespaces (*), and required modules."""
-    module = F.coalesce(_first(r"""\bfrom\s*['"]([^'"]+)['"]"""), _first(r"""\brequire\(\s*['"]([^'"]+)['"]\s*\)"""))
-    is_import, is_require = F.col("text").rlike(r"^\s*import\b"), F.col("text").rlike(r"^\s*(?:const|let|var)\b.*\brequire\(")
-    held = lines.where(is_import | is_require).withColumn("module", module).where("module IS NOT NULL")
-    default = F.when(is_import, _first(rf"^\s*import\s+(?:type\s+)?({_NAME})\s*(?:,|from)"))
-    whole = F.coalesce(_first(rf"\*\s*as\s+({_NAME})"), F.when(~is_import, _first(rf"^\s*(?:const|let|var)\s+({_NAME})\s*=")))
-    braces = F.filter(F.transform(F.split(F.coalesce(_first(r"\{([^}]*)\}"), F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
-    part = lambda x, i: F.regexp_extract(x, rf"^(?:type\s+)?({_NAME})(?:\s*(?:as|:)\s*({_NAME}))?", i)
-    named = F.transform(braces, lambda x: F.struct(F.coalesce(F.nullif(part(x, 2), F.lit("")), part(x, 1)).alias("local"), part(x, 1).alias("name")))
-    one = lambda c, name: F.when(c.isNotNull(), F.array(F.struct(c.alias("local"), F.lit(name).alias("name")))).otherwise(F.array().cast("array<struct<local:string,name:string>>"))
-    return held.select("path", "module", F.explode(F.concat(one(default, "default"), one(whole, "*"), named)).alias("i")).select("path", "i.local", "module", "i.name")
-
-
-def exports(lines: DataFrame) -> DataFrame:
-    """path, exported, local, module: declared, listed, default and star exports, with the module that they pass on."""
-    held = lines.where(F.col("text").rlike(r"^\s*(?:export\b|module\.exports\b|exports\.)"))
-    module = _first(r"""\bfrom\s*['"]([^'"]+)['"]""")
-    declared = F.coalesce(*[F.when(F.col("text").rlike(r"^\s*export\b"), _first(p)) for p in DECLARATIONS.values()], _first(rf"^\s*export\s+(?:const|let|var)\s+({_NAME})"))
-    is_default = F.col("text").rlike(r"^\s*(?:export\s+default\b|module\.exports\s*=)")
-    default_name = F.coalesce(declared, _first(rf"^\s*(?:export\s+default|module\.exports\s*=)\s+({_NAME})\s*;?\s*$"))
-    braces = F.filter(F.transform(F.split(F.coalesce(_first(r"^\s*export\s+(?:type\s+)?\{([^}]*)\}"), F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
-    part = lambda x, i: F.regexp_extract(x, rf"^({_NAME})(?:\s+as\s+({_NAME}))?", i)
-    listed = F.transform(braces, lambda x: F.struct(F.coalesce(F.nullif(part(x, 2), F.lit("")), part(x, 1)).alias("exported"), part(x, 1).alias("local")))
-    one = lambda c, exported, local: F.when(c, F.array(F.struct(exported.alias("exported"), local.alias("local")))).otherwise(F.array().cast("array<struct<exported:string,local:string>>"))
-    star, assigned = F.col("text").rlike(r"^\s*export\s*\*"), _first(rf"^\s*(?:module\.)?exports\.({_NAME})\s*=")
-    every = F.concat(one(is_default, F.lit("default"), default_name), one(~is_default & declared.isNotNull(), declared, declared), listed, one(star, F.lit("*"), F.lit("*")), one(assigned.isNotNull(), assigned, assigned))
-    return held.select("path", module.alias("module"), F.explode(every).alias("e")).select("path", "e.exported", "e.local", "module")
-
-
-def calls(lines: DataFrame) -> DataFrame:
-    """path, line, name, kind (name, attr, new, jsx), receiver."""
-    found = lambda pattern, group: F.regexp_extract_all("code", F.lit(pattern), F.lit(group))
-    named = F.transform(found(rf"(?<![\w$.])({_NAME})\s*\(", 1), lambda x: F.struct(x.alias("name"), F.lit("name").alias("kind"), F.lit(None).cast("string").alias("receiver")))
-    dotted = F.transform(found(rf"({_NAME}(?:\.{_NAME})+)\s*\(", 1), lambda x: F.struct(F.regexp_extract(x, r"[^.]+$", 0).alias("name"), F.lit("attr").alias("kind"), F.regexp_replace(x, r"\.[^.]+$", "").alias("receiver")))
-    made = F.transform(found(rf"\bnew\s+({_NAME})", 1), lambda x: F.struct(x.alias("name"), F.lit("new").alias("kind"), F.lit(None).cast("string").alias("receiver")))
-    tags = F.transform(found(r"<([A-Z][\w.]*)", 1), lambda x: F.struct(x.alias("name"), F.lit("jsx").alias("kind"), F.lit(None).cast("string").alias("receiver")))
-    rows = lines.select("path", "line", "code", F.explode(F.concat(named, dotted, made, tags)).alias("c")).select("path", "line", "code", "c.*")
-    declared = F.col("code").rlike(r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\b") & (F.col("kind") == "name") & (F.col("name") == F.coalesce(_first(DECLARATIONS["function"], column="code"), F.lit("")))
-    constructed = (F.col("kind") == "name") & F.contains("code", F.concat(F.lit("new "), F.col("name")))
-    return rows.where(~((F.col("kind") == "name") & F.col("name").isin(KEYWORDS)) & ~declared & ~constructed).drop("code")
+_ROOT = rf"(?:await )*(?:new )?({_CHAIN})(?: <[^()]*?>)? \((?: \(| \[| !| (?:\.|\?\.) #?{NAME})*(?: ;)?$"
+
+
+def variable_types(script: Script) -> DataFrame:
+    """path, scope, var, type, ord: the class that an annotation, or what a value is made by, names; ``this.x`` in the scope of its class.
+
+    Parameters and variables by their annotation, else variables by the name at the root of a construction or call; fields of
+    classes and parameters with access modifiers as ``this.x``, and what methods assign to ``this.x``.
+    """
+    s, t = F.col("s"), scopes(script).select("path", "k", "box", "scope")
+    dotted = lambda c: F.regexp_replace(c, r" (?:\?)?\. ", ".")
+    note = lambda prefix: F.array_join(F.slice("ts", _after(prefix) + 1, F.greatest(F.lit(0), F.coalesce(F.nullif(_after(prefix + r".*? (?==)"), F.lit(0)), F.size("ts")) - _after(prefix))), "")
+    b = bound_names(script).select("path", "k", "name", "how")
+    lead = rf"^(?:{_VAR})?(?:@{NAME} (?:\( )?)*(?:(?:{'|'.join(ACCESS)}) )*"
+    heads = _with_last(script.parts, script.parts).where(s.rlike(rf"{lead}{NAME} (?:[?!] )?(?:: |= )")).withColumn("k", _at(rf"{lead}(?={NAME})")).join(b, ["path", "k"])
+    annotated = heads.where(s.rlike(rf"{lead}{NAME} (?:[?!] )?: ")).select("path", "k", F.col("name").alias("var"), F.regexp_replace(note(rf"{lead}{NAME} (?:[?!] )?: "), ";$", "").alias("raw"))
+    plain_value = F.col("gives").isNull() & ~s.rlike(" = require \\(")
+    made = heads.where((F.col("how") == "variable") & plain_value & s.rlike(rf"{lead}{NAME} = {_ROOT}")).select("path", "k", F.col("name").alias("var"), dotted(_first(rf"{lead}{NAME} = {_ROOT}")).alias("raw"))
+    at_top = F.when(F.col("box") == -1, MODULE).otherwise(F.col("scope"))
+    plain = annotated.unionByName(made).join(t, ["path", "k"]).select("path", at_top.alias("scope"), "var", "raw", "k")
+    classes = script.symbols.where("kind = 'class'").select("path", F.col("body").alias("box"), F.col("name").alias("scope"))
+    fields = _with_last(script.statements.join(classes, ["path", "box"]), script.parts)
+    key = rf"^{_MOD}(?={_KEY})"
+    of_note = fields.where(s.rlike(rf"^{_MOD}{_KEY} (?:[?!] )?: ")).select("path", "scope", _at(key, "ts").alias("var"), F.regexp_replace(note(rf"^{_MOD}{_KEY} (?:[?!] )?: "), ";$", "").alias("raw"), _at(key).alias("k"))
+    of_value = fields.where(plain_value & s.rlike(rf"^{_MOD}{_KEY} = {_ROOT}")).select("path", "scope", _at(key, "ts").alias("var"), dotted(_first(rf"^{_MOD}{_KEY} = {_ROOT}")).alias("raw"), _at(key).alias("k"))
+    of_parameter = accessor_parameters(script).select("path", F.col("class").alias("scope"), F.col("field").alias("var"), F.col("type").alias("raw"), F.col("line").alias("k"))
+    inside = script.symbols.where("parent IS NOT NULL").select("path", F.col("name").alias("scope"), "parent")
+    assigned = script.statements.where(s.rlike(rf"^this \. {_KEY} = {_ROOT}")).select("path", F.get("ks", F.lit(0)).alias("k"), F.get("ts", F.lit(2)).alias("var"), dotted(_first(rf"^this \. {_KEY} = {_ROOT}")).alias("raw")).join(t, ["path", "k"]).join(inside, ["path", "scope"]).select("path", F.col("parent").alias("scope"), "var", "raw", "k")
+    own = reduce(DataFrame.unionByName, [of_note, of_value, of_parameter, assigned]).withColumn("var", F.concat(F.lit("this."), "var"))
+    return plain.unionByName(own).select("path", "scope", "var", normalize_type(F.col("raw")).alias("type"), F.col("k").alias("ord")).where("type IS NOT NULL")

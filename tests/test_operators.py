@@ -138,7 +138,11 @@ def test_texts(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first().x
     assert one(text.normalize_remote(F.lit("git@github.com:Me/Repo.git"))) == "me/repo"
     assert one(text.request_number(F.lit("https://h/o/r/pull/12"))) == 12 and one(text.request_number(F.lit("x"))) is None
-    assert one(text.normalize_type(F.lit("Optional[List[pkg.Order]]"))) == "pkg.Order" and one(text.normalize_type(F.lit("str | None"))) is None
+    assert one(text.normalize_remote(F.lit("git@example.org:Me/Repo.git"))) is None
+    names = {"Optional[pkg.Order]": "pkg.Order", "List[Order]": "List", "Annotated[Order, x]": "Order", "Promise<Order>": None, "Map<A, B>": None, "str | None": None, "None | Order": "Order"}
+    assert {raw: one(text.normalize_type(F.lit(raw))) for raw in names} == names
+    ago = lambda s: one(text.relative_time(F.timestamp_seconds(F.lit(0)), F.timestamp_millis(F.lit(int(1000 * s)))))
+    assert [ago(s) for s in (-5, 1.9, 2, 45, 60, 7200, 31104000)] == ["just now", "just now", "2 seconds ago", "45 seconds ago", "1 minute ago", "2 hours ago", "1 year ago"]
     assert one(paths.normalize(F.lit("a/./b/../../c/x"))) == "c/x" and one(paths.normalize(F.lit("../a/../../b"))) == "../../b"
     parsed = jsonc.parse_jsonc(F.lit('{// c\n "a": "x // y, }", /* z */ "b": 2,}'), "a string, b int")
     assert one(parsed["a"]) == "x // y, }" and one(parsed["b"]) == 2 and one(jsonc.parse_jsonc(F.lit("[1]"), "a string")["a"]) is None
@@ -205,10 +209,10 @@ module.exports.old = go;
 
 
 def test_script_facts(spark):
-    lines = script_facts.code_lines(spark.createDataFrame([("p.tsx", SCRIPT)], "path string, content string"))
-    assert {(r.name, r.kind, r.start, r.end) for r in script_facts.symbols(lines).collect()} == {("Panel", "class", 6, 8), ("go", "function", 9, 11)}
+    lines = script_facts.parse(spark.createDataFrame([("p.tsx", SCRIPT)], "path string, content string"))
+    assert {(r.name, r.kind, r.start, r.end) for r in script_facts.symbols(lines).collect()} == {("Panel", "class", 6, 8), ("Panel.render", "method", 7, 7), ("go", "function", 9, 11)}
     assert {(r.local, r.module, r.name) for r in script_facts.imports(lines).collect()} == {("React", "react", "default"), ("use", "react", "useState"), ("memo", "react", "memo"), ("api", "./api", "*"), ("fs", "fs", "*")}
-    assert {(r.exported, r.local, r.module) for r in script_facts.exports(lines).collect()} == {("*", "*", "./more"), ("b", "a", "./d"), ("c", "c", "./d"), ("default", "Panel", None), ("go", "go", None), ("old", "old", None)}
+    assert {(r.exported, r.local, r.module) for r in script_facts.exports(lines).collect()} == {("*", "*", "./more"), ("b", "a", "./d"), ("c", "c", "./d"), ("Panel", "Panel", None), ("default", "Panel", None), ("go", "go", None), ("old", "go", None)}
     found = {(r.name, r.kind, r.receiver) for r in script_facts.calls(lines).collect()}
     assert {("load", "attr", "api"), ("Card", "jsx", None), ("Map", "new", None)} <= found and not any(n == "skip" for n, _, _ in found)
 
