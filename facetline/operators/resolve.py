@@ -53,10 +53,33 @@ def suffix_module(requests: DataFrame, modules: DataFrame) -> DataFrame:
 
 
 def script_file(requests: DataFrame, files: DataFrame) -> DataFrame:
-    """(id, path): of (id, base) the first that exists: the base, base + extension, base/index + extension."""
-    base = F.col("base")
-    options = F.array(base, *[F.concat(base, F.lit(e)) for e in SCRIPT_EXT], *[F.concat(base, F.lit(f"/index{e}")) for e in SCRIPT_EXT])
-    return first_existing(requests.select("id", F.posexplode(options).alias("k", "path")), files)
+    """(id, path): of (id, base) the first that exists: the base, its stem + extension, base/index + extension."""
+    return first_existing(requests.select("id", F.posexplode(script_options(F.col("base"))).alias("k", "path")), files)
+
+
+def script_options(base: Column) -> Column:
+    """Paths that a base may stand for. A script ending goes before others are tried, as sources may be compiled to it."""
+    stem = F.regexp_replace(base, r"\.(?:js|jsx|mjs|cjs)$", "")
+    return F.array(base, *[F.concat(stem, F.lit(e)) for e in SCRIPT_EXT], *[F.concat(base, F.lit(f"/index{e}")) for e in SCRIPT_EXT])
+
+
+def script_modules(requests: DataFrame, files: DataFrame, configs: DataFrame, packages: DataFrame) -> DataFrame:
+    """(id, path): the file of ``files`` (path) that a module's name means, for (id, from_path, spec).
+
+    Relative names are below the asking file. Others are tried by path aliases (``merged_configs``), then below the sources
+    of the longest workspace package (name, dir) that they name, and only where they name none by convention.
+    """
+    beside = requests.where(F.startswith("spec", F.lit("."))).select("id", F.lit(0).alias("way"), F.lit(0).alias("k"), relative_base(F.col("from_path"), F.col("spec")).alias("base"))
+    named = requests.where(~F.startswith("spec", F.lit(".")))
+    aliased = alias_candidates(named, configs).select("id", F.lit(1).alias("way"), "k", "base")
+    found = workspace_package(named, packages)
+    below = F.when(F.col("rest") == "", "index").otherwise(F.col("rest"))
+    roots = F.when(F.col("dir") == "", F.array(F.lit("src"), F.lit(""))).otherwise(F.array(F.concat("dir", F.lit("/src")), F.col("dir")))
+    packaged = found.select("id", below.alias("below"), F.posexplode(roots).alias("k", "root")).select("id", F.lit(2).alias("way"), "k", F.when(F.col("root") == "", F.col("below")).otherwise(F.concat_ws("/", "root", "below")).alias("base"))
+    usual = conventional_bases(named.join(found.select("id"), "id", "left_anti")).select("id", F.lit(3).alias("way"), "k", "base")
+    every = beside.unionByName(aliased).unionByName(packaged).unionByName(usual)
+    tried = every.select("id", "way", "k", F.posexplode(script_options(F.col("base"))).alias("option", "path"))
+    return tried.join(files.select("path").distinct(), "path", "left_semi").groupBy("id").agg(F.min_by("path", F.struct("way", "k", "option")).alias("path"))
 
 
 def first_existing(options: DataFrame, files: DataFrame) -> DataFrame:
@@ -130,25 +153,35 @@ def conventional_bases(requests: DataFrame) -> DataFrame:
     return requests.where(F.col("spec").rlike("^[@~]/")).select("id", F.posexplode(F.array(F.concat(F.lit("src/"), rest), F.concat(F.lit("app/"), rest), rest)).alias("k", "base"))
 
 
+def lineage(bases: DataFrame, levels: int = BASE_LEVELS) -> DataFrame:
+    """(class, ancestor, position): the classes that a class derives from within ``levels`` levels, a table in the shared folder.
+
+    Positions sort as bases (class, ord, base) are searched depth first in their order; an ancestor that is reached on several
+    ways has the least one. Reach doubles with every join of the table with itself, so there are few of them.
+    """
+    one = F.lpad(F.col("ord").cast("string"), 4, "0")
+    reach, far = bases.select("class", F.col("base").alias("ancestor"), F.lit(1).alias("depth"), one.alias("position")), 1
+    while far < levels:
+        beyond = reach.toDF("ancestor", "upper", "more", "then")
+        longer = reach.join(beyond, "ancestor").where(F.col("depth") + F.col("more") <= levels).select("class", F.col("upper").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"), F.concat("position", "then").alias("position"))
+        reach, far = materialise(reach.unionByName(longer).groupBy("class", "ancestor", "depth").agg(F.min("position").alias("position")), "lineage"), 2 * far
+    return materialise(reach.groupBy("class", "ancestor").agg(F.min("position").alias("position")), "lineage")
+
+
+def inherited_from(requests: DataFrame, ancestors: DataFrame, members: DataFrame) -> DataFrame:
+    """(id, target): member ``name`` of ``class`` for (id, class, name), its own or of the first of its ``ancestors`` that has it."""
+    own = requests.select("id", "class", "name", F.lit("").alias("position"))
+    above = requests.join(ancestors, "class").select("id", F.col("ancestor").alias("class"), "name", "position")
+    return own.unionByName(above).join(members, ["class", "name"]).groupBy("id").agg(F.min_by("target", "position").alias("target"))
+
+
 def inherited_member(requests: DataFrame, bases: DataFrame, members: DataFrame, levels: int = BASE_LEVELS) -> DataFrame:
     """(id, target): member ``name`` of ``class`` for (id, class, name), its own or of the first base that has it.
 
-    Bases (class, ord, base) are searched depth first in their order: every class on the way has a position that
-    sorts so, and the least position with a member (class, name, target) wins. A class that a level reaches on several
-    ways goes on with the least position only, so a level has a row per request and class at most.
+    Bases (class, ord, base) are searched depth first in their order, for ``levels`` levels: every class on the way has a
+    position that sorts so, and the least position with a member (class, name, target) wins.
     """
-    open_, found = requests.select("id", "class", "name", F.lit("").alias("position")), []
-    for level in range(levels + 1):
-        found.append(open_.join(members, ["class", "name"]).select("id", "position", "target"))
-        if level < levels:
-            step = open_.join(bases, "class").select("id", F.col("base").alias("class"), "name", F.concat("position", F.lpad(F.col("ord").cast("string"), 4, "0")).alias("position"))
-            open_ = materialise(step.groupBy("id", "class", "name").agg(F.min("position").alias("position")), "bases")
-            if open_.isEmpty():
-                break
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionAll(more)
-    return every.groupBy("id").agg(F.min_by("target", "position").alias("target"))
+    return inherited_from(requests, lineage(bases, levels), members)
 
 
 def fuzzy_methods(calls: DataFrame, methods: DataFrame, most: int = MOST_CANDIDATES, stop: list[str] | None = None) -> DataFrame:

@@ -7,8 +7,10 @@ application ends.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +20,8 @@ from pyspark.sql import types as T
 BROADCAST_BYTES, COLUMN_BYTES = 48_000_000, 16
 
 _folders: dict[str, str] = {}
+#: Folders of the jobs that are being built; tables go to the innermost one.
+_open_jobs: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,9 +38,19 @@ def shared_dir(spark: SparkSession) -> str:
     return _folders[context.applicationId]
 
 
+@contextlib.contextmanager
+def job_folder(spark: SparkSession, name: str) -> Iterator[str]:
+    """A folder below the shared one that takes the tables written meanwhile."""
+    _open_jobs.append(f"{shared_dir(spark)}/job-{name}-{uuid.uuid4().hex}")
+    try:
+        yield _open_jobs[-1]
+    finally:
+        _open_jobs.pop()
+
+
 def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return a reader of it. Empty frames keep their schema."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_open_jobs[-1] if _open_jobs else shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetline.operators import edges as E
+from facetline.operators import jobs as J
 from facetline.operators import planning as P
 from facetline.operators import serving as S
 from facetline.operators import traversal as T
@@ -16,10 +17,9 @@ GRAPH = N.GRAPH
 
 
 def _sets(spark: SparkSession, d: str):
-    """symbols, edges (written once), changes, live core, live."""
-    symbols = materialise(N.symbols(spark, d), "symbols")
-    edges = materialise(N.edges(spark, d), "edges")
-    changes = materialise(N.changes(spark, d), "changes")
+    """symbols, edges and changes, written once for a snapshot of the tables, and the live core."""
+    written = lambda: [materialise(rows(spark, d), name) for name, rows in (("symbols", N.symbols), ("edges", N.edges), ("changes", N.changes))]
+    symbols, edges, changes = J.recent(spark, "graph", J.stamp(spark, f"{d}/part.parquet", f"{d}/lineitem.parquet"), written)
     core = changes.where("category <> 'test' AND kind <> 'module'").select("id")
     return symbols, edges, changes, core
 

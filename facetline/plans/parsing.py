@@ -96,7 +96,7 @@ def script_exports(spark, d):
 
 
 def script_calls(spark, d):
-    return JS.calls(JS.parse(script_files(spark, d))).drop("scope")
+    return JS.calls(JS.parse(script_files(spark, d))).drop("scope", "k")
 
 
 CLASS_TEXT = """/* note: don't

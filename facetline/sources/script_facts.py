@@ -192,7 +192,7 @@ def imports(script: Script) -> DataFrame:
 def exports(script: Script) -> DataFrame:
     """path, exported, local, module, ord: what a file exports, by a local name or from another module.
 
-    A star export is (*, *, module), one under a name (name, *, module); a default whose value is an expression gives its
+    A star export is (*, *, module), by its place in the file, one under a name (name, *, module); a default whose value is an expression gives its
     names from the last to the first, by ``ord``.
     """
     st, s = script.statements.where("box = -1"), F.col("s")
@@ -204,7 +204,7 @@ def exports(script: Script) -> DataFrame:
     of_symbols = declared.select("path", *row(F.col("name"), F.col("name"))).unionByName(declared.where(s.rlike("^export default ")).select("path", *row(F.lit("default"), F.col("name")))).distinct()
     plain = st.where(s.rlike(rf"^export (?:declare )?(?:const|let|var) {NAME}")).join(tops.select("path", F.col("k").alias("own_k"), F.col("name").alias("own_name")), (st["path"] == tops["path"]) & (F.get("ks", F.lit(0)) == F.col("own_k")), "left_anti")
     of_values = plain.select("path", *row(_first(rf"^{_VAR}({NAME})"), _first(rf"^{_VAR}({NAME})")))
-    star = st.where(s.rlike(r"^export (?:type )?\* ")).select("path", *row(F.coalesce(_first(rf"^export (?:type )?\* as ({NAME}|default)"), F.lit("*")), F.lit("*"), from_))
+    star = st.where(s.rlike(r"^export (?:type )?\* ")).select("path", *row(F.coalesce(_first(rf"^export (?:type )?\* as ({NAME}|default)"), F.lit("*")), F.lit("*"), from_, F.when(s.rlike(r"^export (?:type )?\* from"), F.get("ks", F.lit(0))).otherwise(0)))
     lists = st.where(s.rlike(r"^export (?:type )?\{")).select("path", F.when(s.rlike("^export type "), F.get("ks", F.lit(2))).otherwise(F.get("ks", F.lit(1))).alias("box"), from_.alias("module"))
     part = rf"^(?:type )?({NAME}|default)(?: as ({NAME}|default))?"
     listed = lists.join(script.parts.select("path", "box", "s"), ["path", "box"]).where(_first(part).isNotNull()).select("path", *row(F.coalesce(_first(part, 2), _first(part)), _first(part), F.col("module")))
@@ -285,7 +285,7 @@ def _definition() -> Column:
 
 
 def calls(script: Script, chain_rows: DataFrame | None = None) -> DataFrame:
-    """path, line, scope, name, kind (name, attr, new, jsx, super), receiver (null for none, and for any expression)."""
+    """path, k (place), line, scope, name, kind (name, attr, new, jsx, super), receiver (null for none, and for any expression)."""
     c = chains(script) if chain_rows is None else chain_rows
     c = c.where("NOT in_text AND NOT in_tag").join(_member_names(script), ["path", "k"], "left_anti").where(~_definition())
     text, head = F.col("text"), F.split_part("text", F.lit("."), F.lit(1))
@@ -300,9 +300,9 @@ def calls(script: Script, chain_rows: DataFrame | None = None) -> DataFrame:
     name = F.when(text == "super", "constructor").otherwise(last)
     receiver = F.when(F.col("dangling") | (kind == "super") | F.startswith("text", F.lit("super.")), F.lit(None).cast("string")).otherwise(rest)
     line = F.when(F.col("dangling"), F.col("run_line")).otherwise(F.col("line"))
-    plain = c.where((called | made) & usable & ~text.isin("require", "this", "import", "async")).select("path", line.alias("line"), "scope", name.alias("name"), kind.alias("kind"), receiver.alias("receiver"))
+    plain = c.where((called | made) & usable & ~text.isin("require", "this", "import", "async")).select("path", "k", line.alias("line"), "scope", name.alias("name"), kind.alias("kind"), receiver.alias("receiver"))
     tag = F.regexp_extract("t", rf"^<({NAME}(?:\.{NAME})*)$", 1)
-    elements = scopes(script).where((F.col("kind") == "tag") & tag.rlike(r"^\p{Lu}")).select("path", "line", "scope", F.regexp_extract(tag, r"[^.]*$", 0).alias("name"), F.lit("jsx").alias("kind"), F.nullif(F.regexp_replace(tag, r"\.?[^.]*$", ""), F.lit("")).alias("receiver"))
+    elements = scopes(script).where((F.col("kind") == "tag") & tag.rlike(r"^\p{Lu}")).select("path", "k", "line", "scope", F.regexp_extract(tag, r"[^.]*$", 0).alias("name"), F.lit("jsx").alias("kind"), F.nullif(F.regexp_replace(tag, r"\.?[^.]*$", ""), F.lit("")).alias("receiver"))
     return plain.unionByName(elements)
 
 
