@@ -3,7 +3,9 @@
 A mask is a fixed pattern of word positions, some of which it ignores. The words that it keeps are hashed at
 every position of every test item and training text; equal hashes are hits, which survive substitutions at
 ignored positions. A diagonal (same shift between text and item) with a hit is compared word by word over its whole
-length: some stretch of it, at least ``LEAST`` words or the whole item, must have its ``SHARE`` of equal words.
+length: some stretch of it, at least ``LEAST`` words or the whole item, must have its ``SHARE`` of equal words. Texts are
+cut to what the diagonals near each other reach, and diagonals with one pattern of equal words are one, so that a text
+takes work by its length even if it repeats one word.
 
 Only DataFrame functions are used. The seeds of the benchmark are broadcast if a count shows them to be few, so
 that the training texts are scanned without a shuffle; beyond that Spark shuffles narrow hash rows.
@@ -26,6 +28,8 @@ from facetline.llm.staging import materialise, small_side
 MASKS = ("11011011", "1110100111", "101101001011")
 #: Least stretch (or the whole item), and its share of equal words.
 LEAST, SHARE = 13, 0.75
+#: Shifts of a text against an item that are compared from one cut of the text.
+CUT_SHIFTS = 1024
 
 
 def words_of(text: Column) -> Column:
@@ -55,14 +59,29 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     diagonals = hits.select(F.col("id").alias("doc"), "item", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
     diagonals = materialise(diagonals, "diagonals")
 
-    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(small_side(diagonals), "doc").withColumn("words", words_of(F.col("text"))).drop("text")
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), words_of(F.col(item_text_col)).alias("item_words"))
-    both = texts.join(items, "item").withColumn("first", F.greatest(F.lit(0), -F.col("shift")))
-    n = F.least(F.size("item_words"), F.size("words") - F.col("shift")) - F.col("first")
-    equal = F.zip_with(F.slice("words", F.col("first") + F.col("shift") + 1, n), F.slice("item_words", F.col("first") + 1, n), lambda a, b: (a == b).cast("int"))
-    compared = both.select("doc", "item", "shift", "first", F.least(F.lit(least), F.size("item_words")).alias("need"), equal.alias("equal")).distinct()
-    enough = compared.where(F.size(F.filter("equal", lambda x: x == 1)) >= F.col("need") * share)
-    found = stretches(enough.withColumn("which", F.xxhash64("need", "equal")), share)
+    sizes = materialise(items.groupBy("item").agg(F.max(F.size("item_words")).alias("longest")), "item-sizes")
+    # shifts that lie near each other share a cut of the text, which is as long as they reach; a text is read once
+    near = diagonals.join(small_side(sizes), "item").groupBy("doc", "item", F.floor(F.col("shift") / CUT_SHIFTS).alias("cut")).agg(F.sort_array(F.collect_set("shift")).alias("shifts"), F.max("longest").alias("longest"))
+    near = near.withColumn("base", F.greatest(F.lit(0), F.get("shifts", F.lit(0))))
+    cuts = near.select("doc", F.struct("item", "shifts", "base", (F.array_max("shifts") + F.col("longest") - F.col("base")).alias("reach")).alias("cut"))
+    cuts = materialise(cuts.groupBy("doc").agg(F.collect_list("cut").alias("cuts")), "cuts")
+    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(small_side(cuts), "doc").select("doc", words_of(F.col("text")).alias("words"), "cuts")
+    part = lambda c: F.struct(c["item"].alias("item"), c["shifts"].alias("shifts"), c["base"].alias("base"), F.slice("words", c["base"] + 1, F.greatest(F.lit(0), c["reach"])).alias("part"))
+    parts = texts.select("doc", F.size("words").alias("n_words"), F.explode(F.transform("cuts", part)).alias("c")).select("doc", "n_words", "c.*")
+    both = parts.join(small_side(materialise(items, "items")), "item").withColumn("need", F.least(F.lit(least), F.size("item_words")))
+
+    def compared(shift: Column) -> Column:
+        first = F.greatest(F.lit(0), -shift)
+        n = F.greatest(F.lit(0), F.least(F.size("item_words"), F.col("n_words") - shift) - first)
+        equal = F.zip_with(F.slice("part", first + shift - F.col("base") + 1, n), F.slice("item_words", first + 1, n), lambda a, b: (a == b).cast("int"))
+        return F.struct(shift.alias("shift"), first.alias("first"), equal.alias("equal"))
+
+    each = both.select("doc", "item", "need", F.explode(F.transform("shifts", compared)).alias("d")).select("doc", "item", "need", "d.*")
+    enough = each.where(F.size(F.filter("equal", lambda x: x == 1)) >= F.col("need") * share)
+    # diagonals of one pattern differ in where they are in the text only, and of equal stretches the first counts
+    patterns = enough.groupBy("doc", "item", "first", "need", "equal").agg(F.min("shift").alias("shift")).withColumn("which", F.xxhash64("need", "equal"))
+    found = stretches(patterns, share)
     at = F.col("first") + F.col("shift")
     best = found.groupBy("doc", "item").agg(F.max(F.struct("equal", -F.col("n"), "n", -at, at.alias("at"), "first")).alias("x"))
     return best.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), F.col("x.n").alias("overlap_words"), F.col("x.equal").alias("equal_words"), F.col("x.at").alias("doc_start"), F.col("x.first").alias("item_start"))
