@@ -194,7 +194,7 @@ def test_search_asks_whole_texts(spark):
     index = bm25.build_index(docs)
     asked = bm25.document_queries(docs.where("doc_id < 20"), index)
     sizes = {r.query: r["count"] for r in asked.groupBy("query").count().collect()}
-    assert sizes == {i: len(t.split()) for i, t in rows[:20]} and min(sizes.values()) <= bm25.SHORT_QUERY < max(sizes.values())
+    assert sizes == {i: len(t.split()) for i, t in rows[:20]} and min(sizes.values()) < 8 < max(sizes.values())
     got = defaultdict(list)
     for r in bm25.search(index, asked, k=5).orderBy("query", "rank").collect():
         got[r.query].append((-round(r.score * bm25.UNIT), r.doc_id))
@@ -206,6 +206,35 @@ def test_search_asks_whole_texts(spark):
         assert got[q] == sorted((-sum(rate(t, len(texts[d])) for t in c), d) for d, c in common.items() if c)[:5]
 
 
+def test_search_scores_few_documents():
+    """Blocks whose bounds don't reach the k-th best are not looked at, for short and long queries, and results are those of all documents."""
+    rng = np.random.default_rng(5)
+    names = [f"t{i}" for i in range(400)]
+    builder = bm25._Builder()
+    topics = rng.integers(0, 40, 4000)
+    for d, topic in enumerate(np.sort(topics)):
+        builder.add(d, [names[i] for i in np.concatenate((topic * 10 + rng.integers(0, 10, 30), rng.integers(0, 400, 10)))])
+    row = builder.row(0)
+    rates = bm25.idf(np.array(row.column(4)[0].as_py()), 4000)
+    of = dict(zip(row.column(3)[0].as_py(), rates, strict=True))
+    shard = bm25.Shard(row.column(3)[0].as_py(), row.column(4)[0].values.to_numpy(), *(row.column(i)[0].as_buffer() for i in range(5, 9)), names, np.array([of[t] for t in names]), 40.0)
+    for size in (1, 3, 8, 30):
+        terms = np.arange(size) + 70
+        times = rng.integers(1, 4, size)
+        scores, ids = shard.best(terms, times, 10, 0)
+        every = np.zeros(4000)
+        for t, m in zip(terms, times, strict=True):
+            number = row.column(3)[0].as_py().index(names[t])
+            runs = np.arange(shard.first_run[number], shard.first_run[number] + shard.runs[number])
+            for r in runs:
+                post = np.arange(shard.run_starts[r], shard.run_starts[r] + shard.run_sizes[r])
+                every[shard.places[post]] += m * shard.weights[post]
+        best = np.lexsort((np.arange(4000), -every))[:10]
+        assert list(scores) == list(every[best]) and list(ids) == list(best)
+        assert len(shard.best(terms, times, 10, every[best[0]] + 1)[0]) == 0
+    assert shard.scored < shard.offered / 10
+
+
 def test_op5_equals_floating_bm25(spark):
     """The query on the driver table against plain BM25 of every document, for a part of its queries."""
     found = defaultdict(dict)
