@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from facetline.operators.edges import bridges, degrees
@@ -48,9 +51,10 @@ def link_weights(core: DataFrame, symbols: DataFrame, edges: DataFrame, changed:
 def _moved(both: DataFrame, degrees: DataFrame) -> tuple[DataFrame, bool]:
     """(id, community) after greedy modularity moves of the nodes (id, degree, m2: twice the weight of all links of its cluster) of (u, v, w), and whether any moved.
 
-    In every round one half of the nodes, alternating by hash, move to the neighbouring community with the largest
+    In every round one half of the nodes, as a bit of their hash decides, move to the neighbouring community with the largest
     gain in modularity, if there is one; gains are joins and sums over the edges, so no component has to fit into a
-    task. Of equal gains the smaller label wins. Rounds end when nothing moves in either half; as nodes move at once,
+    task. Of equal gains the smaller label wins. After one half comes the other, then the next bit makes other halves, so
+    that no two nodes always move at once. Rounds end when nothing moves in either half; as nodes move at once,
     ``ROUNDS`` ends what swings to and fro.
     """
     state, still, any_moved = materialise(degrees.select("id", "degree", "m2", F.col("id").alias("community")), "communities"), 0, False
@@ -58,7 +62,7 @@ def _moved(both: DataFrame, degrees: DataFrame) -> tuple[DataFrame, bool]:
     for n in range(ROUNDS):
         total = state.groupBy("community").agg(F.sum("degree").alias("total"))
         near = between.join(state.select(F.col("id").alias("v"), F.col("community").alias("target")), "v").groupBy("u", "target").agg(F.sum("w").alias("links"))
-        movers = state.where(F.pmod(F.xxhash64("id"), F.lit(2)) == n % 2).withColumnRenamed("community", "current")
+        movers = state.where(F.pmod(F.shiftright(F.xxhash64("id"), n // 2), F.lit(2)) == n % 2).withColumnRenamed("community", "current")
         options = near.join(movers, near["u"] == movers["id"]).join(total.withColumnRenamed("community", "target"), "target")
         others = F.col("total") - F.when(F.col("target") == F.col("current"), F.col("degree")).otherwise(0.0)
         gained = options.select("id", "current", "target", F.round(F.col("links") - others * F.col("degree") / F.col("m2"), 9).alias("gain"))
@@ -71,7 +75,7 @@ def _moved(both: DataFrame, degrees: DataFrame) -> tuple[DataFrame, bool]:
         still = 0 if not moved.where("moved").isEmpty() else still + 1
         any_moved = any_moved or not still
         state = moved.drop("moved")
-        if still == 2:
+        if still >= 2 and n % 2:
             break
     return state.select("id", "community"), any_moved
 
@@ -118,21 +122,21 @@ def _half_moved(state: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray,
 
 
 def _split_in_task(rows: pd.DataFrame) -> pd.DataFrame:
-    """:func:`communities` of one cluster (src, dst, weight, half), where every node has a row from itself to itself, without weight."""
+    """:func:`communities` of one cluster (src, dst, weight, hash), where every node has a row from itself to itself, without weight."""
     ids, at = np.unique(np.concatenate((rows["src"], rows["dst"])), return_inverse=True)
     a, b = at[: len(rows)], at[len(rows) :]
-    half = np.zeros(len(ids), np.int64)
-    half[a] = rows["half"]
+    bits = np.zeros(len(ids), np.int64)
+    bits[a] = rows["hash"]
     linked = (rows["weight"] > 0).to_numpy()
     u, v, w = np.concatenate((a[linked], b[linked])), np.concatenate((b[linked], a[linked])), np.tile(rows["weight"].to_numpy()[linked], 2)
     of, n = np.arange(len(ids)), len(ids)
     for _ in range(LEVELS if len(w) else 0):
         degree, state, still, any_moved, between = np.bincount(u, w, n), np.arange(n), 0, False, u != v
         for r in range(ROUNDS):
-            moved = _half_moved(state, u[between], v[between], w[between], degree, half == r % 2)
+            moved = _half_moved(state, u[between], v[between], w[between], degree, (bits >> r // 2) % 2 == r % 2)
             still = 0 if (moved != state).any() else still + 1
             any_moved, state = any_moved or not still, moved
-            if still == 2:
+            if still >= 2 and r % 2:
                 break
         if not any_moved:
             break
@@ -156,7 +160,7 @@ def core_clusters(core: DataFrame, weights: DataFrame, split_above: int = SPLIT_
         a, b = members.toDF("src", "cluster"), members.toDF("dst", "dst_cluster")
         inner = weights.join(a, "src").join(b, "dst").where("cluster = dst_cluster").select("cluster", "src", "dst", "weight")
         loops = members.select("cluster", F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("weight"))
-        rows = materialise(loops.unionAll(inner).withColumn("half", F.pmod(F.xxhash64("src"), F.lit(2))), "large")
+        rows = materialise(loops.unionAll(inner).withColumn("hash", F.xxhash64("src")), "large")
         sizes = materialise(rows.groupBy("cluster").agg(F.count("*").alias("rows")), "sizes")
         n, most = sizes.agg(F.count("*"), F.max("rows")).first()
         if not n:
@@ -215,28 +219,91 @@ def entry_points(clusters: DataFrame, links: DataFrame, members: DataFrame) -> D
     return chosen.select("cluster", "id", F.row_number().over(W.partitionBy("cluster").orderBy(*order)).alias("rank"))
 
 
-def reading_order(clusters: DataFrame, links: DataFrame, members: DataFrame, entries: DataFrame) -> DataFrame:
-    """(cluster, id, position): top-down from the entry points, by level; logic, then module code, then tests.
-
-    Levels are found for all clusters at once, by joins; what no entry reaches comes after, by (path, start, id).
-    ``members``: id, path, start, segment (0 logic, 1 module, 2 test).
+def _discovery(rows: pd.DataFrame) -> pd.DataFrame:
+    """:func:`_discovered` of one cluster: its members (id, segment, place, key) and links from ``id`` to ``b``, in one frame."""
+    is_link = rows["b"].notna().to_numpy()
+    nodes = rows[~is_link].sort_values(["segment", "place"])
+    ids, keys, places = nodes["id"].to_numpy(), nodes["key"].to_numpy(), nodes["place"].to_numpy()
+    at = {x: i for i, x in enumerate(ids)}
+    links = rows[is_link]
+    after: list[list[int]] = [[] for _ in ids]
+    for a, b in zip(links["id"].tolist(), links["b"].astype(ids.dtype).tolist(), strict=True):
+        after[at[a]].append(at[b])
+    for x in after:
+        x.sort(key=keys.__getitem__)
+    seen, order = np.zeros(len(ids), bool), []
+    for root in range(len(ids)):
+        if seen[root]:
+            continue
+        seen[root] = True
+        order.append(root)
+        for node in itertools.islice(order, len(order) - 1, None):  # grows while it is walked
+            for b in after[node]:
+                if not seen[b]:
+                    seen[b] = True
+                    order.append(b)
+    cluster = rows["cluster"].iloc[0]
+    return pd.DataFrame({"cluster": cluster, "id": ids[order], "position": np.arange(1, len(ids) + 1)})
+
+
+def _discovered(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(cluster, id, position) of the nodes (cluster, id, segment, place, key) over links (id, b) within a cluster and segment.
+
+    The root of a node is the first place from which it can be reached, by passing on least places until none changes. Then
+    levels go out from all roots at once: of a level, nodes stand in the order of their first finder, then of their keys.
     """
-    inner = materialise(links.join(clusters.select(F.col("id").alias("a"), F.col("cluster").alias("ca")), "a").join(clusters.select(F.col("id").alias("b"), F.col("cluster").alias("cb")), "b").where("ca = cb").select("a", "b"), "inner")
-    seen = materialise(entries.select("id", F.lit(0).alias("level")), "levels")
-    frontier = seen
-    level = 0
+    state = materialise(nodes.withColumn("root", F.col("place")), "roots")
+    while True:
+        less = links.join(state.select("id", "root"), "id").groupBy(F.col("b").alias("id")).agg(F.min("root").alias("seen"))
+        moved = materialise(state.join(less, "id", "left").select("cluster", "id", "segment", "place", "key", F.least("root", F.coalesce("seen", "root")).alias("root"), (F.col("seen") < F.col("root")).alias("moved")), "roots")
+        state = moved.drop("moved")
+        if moved.where("moved").isEmpty():
+            break
+    # what an earlier root reaches as well is none of a later root's
+    ends = links.join(state.select("id", "root"), "id").join(state.select(F.col("id").alias("b"), F.col("root").alias("root_b")), "b")
+    links = materialise(ends.where("root = root_b").select("id", "b"), "inner")
+    within = W.partitionBy("cluster").orderBy("segment", "root", "finder", "key")
+    seen = materialise(state.where("place = root").withColumns({"level": F.lit(0), "finder": F.lit(0).cast("long")}).withColumn("rank", F.row_number().over(within).cast("long")), "levels")
+    frontier, level = seen, 0
     while True:
         level += 1
-        fresh = inner.join(frontier.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct().join(seen, "id", "left_anti")
-        frontier = materialise(fresh.withColumn("level", F.lit(level)), "levels")
+        met = links.join(frontier.select("id", F.col("rank").alias("finder")), "id").groupBy(F.col("b").alias("id")).agg(F.min("finder").alias("finder"))
+        fresh = state.join(met, "id").join(seen.select("id"), "id", "left_anti").withColumn("level", F.lit(level)).withColumn("rank", F.row_number().over(within).cast("long"))
+        frontier = materialise(fresh.select(*seen.columns), "levels")
         if frontier.isEmpty():
             break
-        seen = seen.unionAll(frontier)
-        if level % 8 == 0:  # the plan reads few tables
-            seen = materialise(seen, "levels")
-    placed = clusters.join(members, "id").join(seen, "id", "left")
-    position = F.row_number().over(W.partitionBy("cluster").orderBy("segment", F.asc_nulls_last("level"), "path", "start", "id"))
-    return placed.select("cluster", "id", position.alias("position"))
+        seen = materialise(seen.unionAll(frontier), "levels") if level % 8 == 0 else seen.unionAll(frontier)
+    return seen.select("cluster", "id", F.row_number().over(W.partitionBy("cluster").orderBy("segment", "root", "level", "rank")).alias("position"))
+
+
+def reading_order(clusters: DataFrame, links: DataFrame, members: DataFrame, entries: DataFrame, in_task: int = IN_TASK) -> DataFrame:
+    """(cluster, id, position): in the order of discovery, breadth first, from one root after the other; logic, then module code, then tests.
+
+    Roots of a segment are the entry points (but of module code), then what nothing in the segment leads to, then the
+    rest, each by (path, start, id); what a root reaches comes before the next root, and of one node's successors the
+    least (path, start, id) first. Clusters of up to ``in_task`` members and links are walked in a task each, larger ones by joins
+    over all of them, with one result. ``members``: id, path, start, segment (0 logic, 1 module, 2 test).
+    """
+    placed = clusters.join(members.select("id", "path", "start", "segment"), "id")
+    own = placed.select("id", "cluster", "segment")
+    ends = links.where("a <> b").join(own.toDF("a", "ca", "sa"), "a").join(own.toDF("b", "cb", "sb"), "b")
+    inner = materialise(ends.where("ca = cb AND sa = sb").select(F.col("ca").alias("cluster"), F.col("a").alias("id"), "b").distinct(), "inner")
+    called = inner.select(F.col("b").alias("id")).distinct().withColumn("called", F.lit(True))
+    rows = placed.join(entries.select("id", F.col("rank").alias("entry")), "id", "left").join(called, "id", "left")
+    entry = F.when(F.col("segment") != 1, F.col("entry"))
+    place = F.row_number().over(W.partitionBy("cluster", "segment").orderBy(F.asc_nulls_last(entry), F.coalesce("called", F.lit(False)), "path", "start", "id"))
+    key = F.row_number().over(W.partitionBy("cluster").orderBy("path", "start", "id"))
+    nodes = materialise(rows.select("cluster", "id", F.col("segment").cast("int").alias("segment"), place.alias("place"), key.alias("key")), "places")
+    sizes = nodes.groupBy("cluster").agg(F.count("*").alias("n")).join(inner.groupBy("cluster").agg(F.count("*").alias("m")), "cluster", "left")
+    sizes = materialise(sizes.select("cluster", (F.col("n") + F.coalesce("m", F.lit(0))).alias("size")), "sizes")
+    none = F.lit(None)
+    both = nodes.withColumn("b", none.cast(inner.schema["b"].dataType)).unionByName(inner.select("cluster", "id", none.cast("int").alias("segment"), none.cast("int").alias("place"), none.cast("int").alias("key"), "b"))
+    schema = T.StructType([nodes.schema["cluster"], nodes.schema["id"], T.StructField("position", T.IntegerType())])
+    small = both.join(sizes.where(F.col("size") <= in_task), "cluster", "left_semi").groupBy("cluster").applyInPandas(_discovery, schema)
+    large = sizes.where(F.col("size") > in_task)
+    if large.isEmpty():
+        return small
+    return small.unionByName(_discovered(nodes.join(large, "cluster", "left_semi"), inner.join(large, "cluster", "left_semi").select("id", "b")))
 
 
 def cluster_table(order: DataFrame, changes: DataFrame) -> DataFrame:
