@@ -33,8 +33,8 @@ from facetline.llm.staging import in_batches, materialise, small_side
 #: A component x becomes floor(SCALE * x), within +-MOST.
 SCALE, MOST = 1024, 1 << 26
 PARTS, ENTRIES, ROUNDS = 4, 256, 4
-#: Leaves of the trie that are walked together, one level after the other.
-BLOCK = 2048
+#: Leaves of the trie that are walked together, one level after the other: so few that their distances stay in a core's cache.
+BLOCK = 128
 
 
 @dataclass(frozen=True)
@@ -83,11 +83,13 @@ class TrieWalk:
         sums = self.path[0]
         for d in range(width):
             new = np.flatnonzero(opens[:, d])
-            grown = sums[node[new]]
             step = parts[new, d][:, None] - self.entries[:, d]
-            grown += step * step
+            step *= step
+            grown = np.empty((len(new) + 1, len(self.entries)), np.int64)
+            grown[:1] = self.path[d + 1]
+            np.add(sums[node[new]], step, out=grown[1:])
             self.nodes += len(new)
-            sums = np.concatenate([self.path[d + 1], grown])
+            sums = grown
             node = np.cumsum(opens[:, d])
             self.path[d + 1] = sums[-1:].copy()
         self.components += n * width
