@@ -206,13 +206,15 @@ def adjacency(live: DataFrame, edges: DataFrame, changed: DataFrame) -> DataFram
 def entry_points(clusters: DataFrame, links: DataFrame, members: DataFrame) -> DataFrame:
     """(cluster, id, rank): members that no counted member of their cluster calls, else the one with the best priority.
 
-    Priority: most links inside, most churn, then (path, start, id). ``members``: id, path, start, churn, counts.
+    Priority: most links inside, most churn, then (path, start, id). ``members``: id, path, start, churn, counts; where a column
+    ``candidate`` is given, it says who may be an entry point, and ``counts`` only whose calls make others none.
     """
+    may = "candidate" if "candidate" in members.columns else "counts"
     own = clusters.join(members, "id")
     inner = links.join(clusters.select(F.col("id").alias("a"), F.col("cluster").alias("ca")), "a").join(clusters.select(F.col("id").alias("b"), F.col("cluster").alias("cb")), "b").where("ca = cb AND a <> b")
     called = inner.join(members.where("counts").select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct().withColumn("called", F.lit(True))
     out = inner.groupBy(F.col("a").alias("id")).agg(F.count_distinct("b").alias("inside"))
-    rated = own.where("counts").join(called, "id", "left").join(out, "id", "left").withColumn("inside", F.coalesce("inside", F.lit(0)))
+    rated = own.where(may).join(called, "id", "left").join(out, "id", "left").withColumn("inside", F.coalesce("inside", F.lit(0)))
     order = [F.desc("inside"), F.desc("churn"), "path", "start", "id"]
     free = F.max(F.col("called").isNull()).over(W.partitionBy("cluster"))
     chosen = rated.withColumns({"any_free": free, "best": F.row_number().over(W.partitionBy("cluster").orderBy(*order))}).where((F.col("any_free") & F.col("called").isNull()) | (~F.col("any_free") & (F.col("best") == 1)))
@@ -306,15 +308,18 @@ def reading_order(clusters: DataFrame, links: DataFrame, members: DataFrame, ent
     return small.unionByName(_discovered(nodes.join(large, "cluster", "left_semi"), inner.join(large, "cluster", "left_semi").select("id", "b")))
 
 
-def cluster_table(order: DataFrame, changes: DataFrame) -> DataFrame:
+def cluster_table(order: DataFrame, changes: DataFrame, titles: DataFrame | None = None) -> DataFrame:
     """One row per cluster, numbered by most symbols, most churn, first title: sums, ordered files, categories.
 
-    ``changes``: id, path, name, category, additions, deletions; the title is the name of the first symbol.
+    ``changes``: id, path, name, category, additions, deletions; the title is that of ``titles`` (cluster, title), else the
+    name of the first symbol.
     """
     rows = order.join(changes, "id")
     files = rows.groupBy("cluster", "path").agg(F.min("position").alias("first")).groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "path"))), lambda x: x["path"]).alias("files"))
     kinds = rows.groupBy("cluster", "category").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "n")))).alias("categories"))
     sums = rows.groupBy("cluster").agg(F.count("*").alias("symbols"), F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions"), F.min_by("name", "position").alias("title"))
+    if titles is not None:
+        sums = sums.drop("title").join(titles, "cluster")
     # one row per cluster: numbering them is a sort of a table that is far smaller than the symbols
     number = F.row_number().over(W.orderBy(F.desc("symbols"), F.desc(F.col("additions") + F.col("deletions")), "title", "cluster"))
     return sums.join(files, "cluster").join(kinds, "cluster").withColumn("id", F.concat(F.lit("c"), number))
@@ -332,7 +337,9 @@ def risk(live: DataFrame, symbols: DataFrame, edges: DataFrame, changed_paths: D
     tests = symbols.where("category = 'test'").select(F.col("id").alias("src"))
     test_edges = edges.join(tests, "src", "left_semi").select(F.col("src").alias("test"), F.col("dst").alias("to"), F.col("fuzzy").alias("test_fuzzy"))
     near = test_edges.join(live.select(F.col("id").alias("to")), "to", "left_semi").select(F.col("to").alias("id"), "test", F.struct(F.lit(1).alias("hop"), F.col("test_fuzzy").alias("f1"), F.lpad(F.col("test").cast("string"), 20, "0").alias("c"), F.lit(False).alias("f2"), F.col("test").alias("t")).alias("o"))
-    far = callers.select(F.col("src").alias("to"), F.col("dst").alias("id"), "fuzzy").join(test_edges, "to").select("id", "test", F.struct(F.lit(2).alias("hop"), F.col("fuzzy").alias("f1"), F.lpad(F.col("to").cast("string"), 20, "0").alias("c"), F.col("test_fuzzy").alias("f2"), F.col("test").alias("t")).alias("o"))
+    # of one caller's tests no more can be shown, and one may be the symbol itself
+    first = test_edges.withColumn("n", F.row_number().over(W.partitionBy("to").orderBy("test_fuzzy", "test"))).where(F.col("n") <= most + 1)
+    far = callers.select(F.col("src").alias("to"), F.col("dst").alias("id"), "fuzzy").join(first, "to").select("id", "test", F.struct(F.lit(2).alias("hop"), F.col("fuzzy").alias("f1"), F.lpad(F.col("to").cast("string"), 20, "0").alias("c"), F.col("test_fuzzy").alias("f2"), F.col("test").alias("t")).alias("o"))
     found = near.unionByName(far).where("test <> id").groupBy("id", "test").agg(F.min("o").alias("o"))
     ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy("o"))).where(F.col("rank") <= most)
     listed = ranked.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "test"))), lambda x: x["test"]).alias("test_callers"))

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _modules():
-    from facetline.plans import callgraph, diffs, files, graph, names, parsing, reports, scripts
+    from facetline.plans import callgraph, diffs, files, graph, names, parsing, reports, review, scripts
 
-    return [graph, diffs, files, names, callgraph, parsing, reports, scripts]
+    return [graph, diffs, files, names, callgraph, parsing, reports, review, scripts]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

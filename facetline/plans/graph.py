@@ -162,17 +162,6 @@ def risk(spark, d):
     return rows.withColumn("test_callers", F.array_join(F.col("test_callers").cast("array<string>"), ","))
 
 
-def review_plan(spark, d):
-    """Clusters of the changed core with their titles, files and sums, numbered."""
-    symbols, edges, changes, core, clusters = _clusters(spark, d)
-    links = materialise(P.adjacency(core, edges, changes), "adjacency")
-    members = changes.select("id", "path", "start", (F.col("additions") + F.col("deletions")).alias("churn"), F.lit(True).alias("counts"), F.lit(0).alias("segment"))
-    entries = materialise(P.entry_points(clusters, links, members), "entries")
-    order = materialise(P.reading_order(clusters, links, members, entries), "order")
-    made = P.cluster_table(order, changes)
-    return made.select("id", "title", "symbols", "additions", "deletions", F.array_join("files", ",").alias("files"), F.to_json("categories").alias("categories"))
-
-
 def entry_points(spark, d):
     symbols, edges, changes, core = _sets(spark, d)
     roots = materialise(T.components(core, E.induced(edges.where("NOT fuzzy"), core)).withColumnRenamed("root", "cluster"), "roots")
@@ -293,7 +282,6 @@ QUERIES = {
     "ag12_file_owner_votes": file_owner_votes,
     "gr10_risk": risk,
     "pf17_untested": untested,
-    "e2_review_plan": review_plan,
     "sl12_entry_points": entry_points,
     "sl11_reading_order": reading_order,
     "gr4_adjacency": adjacency,
