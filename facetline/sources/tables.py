@@ -69,16 +69,44 @@ def default_branch(names: DataFrame, head: str | None = None) -> DataFrame:
 
 
 def ancestors(parents: DataFrame, start: DataFrame) -> DataFrame:
-    """(id, distance): all commits reachable from ``start`` (id) over (id, parent), with the fewest steps."""
-    seen = materialise(start.select("id").distinct().withColumn("distance", F.lit(0)), "commits")
-    frontier, step = seen, 0
+    """(id, distance): all commits reachable from ``start`` (id) over (id, parent), with the fewest steps; the start itself at 0.
+
+    First parents make lines down the history. Jumps of 1, 2, 4 ... commits along them are tables, so that a
+    line of any length is walked in one job; then other parents open new lines, and that repeats until no distance falls.
+    Rounds are as many as lines that a shortest way changes between, not as generations. The first parent is that of the least
+    ``position``, if there is such a column, else the smallest; distances don't depend on which one it is. A parent that has no
+    row of its own is a commit without parents. Repeated rows change nothing; the history must not lead back to itself.
+    """
+    links = parents.where("parent IS NOT NULL AND parent <> id")
+    by = "position" if "position" in parents.columns else "parent"
+    first = materialise(links.groupBy("id").agg(F.min_by("parent", by).alias("to")), "first-parents")
+    other = materialise(links.join(first, "id").where("parent <> to").select("id", "parent").distinct(), "other-parents")
+    jumps = [first]
     while True:
-        step += 1
-        fresh = parents.join(frontier.select("id"), "id", "left_semi").where("parent IS NOT NULL").select(F.col("parent").alias("id")).distinct().join(seen, "id", "left_anti")
-        frontier = materialise(fresh.withColumn("distance", F.lit(step)), "commits")
-        if frontier.isEmpty():
+        last = jumps[-1]
+        twice = materialise(last.join(last.select(F.col("id").alias("to"), F.col("to").alias("over")), "to").select("id", F.col("over").alias("to")), "jumps")
+        if twice.isEmpty():
+            break
+        jumps.append(twice)
+
+    def along(known: DataFrame) -> DataFrame:
+        """Distances carried down all lines: after the jump of n commits, each commit has heard of all within 2n - 1 above it."""
+        for n, jump in enumerate(jumps):
+            on = known.join(jump, "id", "left").select(F.explode(F.array(F.struct("id", "distance"), F.struct(F.col("to").alias("id"), (F.col("distance") + 2**n).alias("distance")))).alias("r"))
+            known = on.where("r.id IS NOT NULL").groupBy("r.id").agg(F.min("r.distance").alias("distance"))
+        return known
+
+    seen = materialise(along(start.select("id").distinct().withColumn("distance", F.lit(0))), "commits")
+    fresh = seen
+    while True:
+        met = fresh.join(other, "id").groupBy(F.col("parent").alias("id")).agg((F.min("distance") + 1).alias("near"))
+        better = materialise(met.join(seen, "id", "left").where("distance IS NULL OR near < distance").select("id", F.col("near").alias("distance")), "turns")
+        if better.isEmpty():
             return seen
-        seen = materialise(seen.unionAll(frontier), "commits")
+        told = along(better).withColumnRenamed("distance", "near")
+        # what a line tells is of use where nothing as near was known
+        fresh = materialise(told.join(seen, "id", "left").where("distance IS NULL OR near < distance").select("id", F.col("near").alias("distance")), "fresh")
+        seen = materialise(seen.unionAll(fresh).groupBy("id").agg(F.min("distance").alias("distance")), "commits")
 
 
 def merge_base(parents: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
