@@ -5,9 +5,11 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from facetline.operators import edges as E
 from facetline.operators import planning as P
+from facetline.operators import report as R
 from facetline.operators.staging import materialise, shared_dir
 from facetline.plans import entities as N
 from facetline.sources import diff as D
@@ -23,8 +25,6 @@ def file_detail(spark, d):
 
 
 def symbols_in_file(spark, d):
-    from pyspark.sql import Window as W
-
     return N.symbols(spark, d).select("path", "id", F.row_number().over(W.partitionBy("path").orderBy("id")).alias("position"))
 
 
@@ -67,9 +67,32 @@ def symbol_report(spark, d):
     return rows.select("id", text.alias("report"))
 
 
-def _w(own, other):
-    from pyspark.sql import Window as W
+def _supplier_diffs(spark, d):
+    """path, n, type, text, old_no, new_no, hunk: the lines of each supplier as one file's diff, in hunks of 16 lines."""
+    w = W.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    upto = w.rowsBetween(W.unboundedPreceding, 0)
+    kind = F.when(F.col("l_returnflag") == "R", "del").when(F.col("l_returnflag") == "A", "add").otherwise("ctx")
+    rows = N.table(spark, d, "lineitem").withColumn("type", kind)
+    count = lambda other: F.count_if(F.col("type") != other).over(upto)
+    return rows.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("path"), F.row_number().over(w).alias("n"), "type", F.concat(F.lit("  p"), F.col("l_partkey").cast("string")).alias("text"), count("add").alias("old_no"), count("del").alias("new_no")).withColumn("hunk", F.floor((F.col("n") - 1) / 16))
+
+
+def symbol_context(spark, d):
+    """Hunks, numbered source and call sites of four symbols per supplier's file, within their budgets; the last one of each is deleted."""
+    diff = materialise(_supplier_diffs(spark, d), "supplier-diffs")
+    at = lambda side, other: (F.min(f"{side}_no") + F.when(F.min_by("type", "n") == other, 1).otherwise(0)).cast("int")
+    hunks = diff.groupBy("path", "hunk").agg(F.count("*").alias("size"), at("old", "add").alias("old_start"), F.count_if(F.col("type") != "add").cast("int").alias("old_lines"), at("new", "del").alias("new_start"), F.count_if(F.col("type") != "del").cast("int").alias("new_lines"))
+    header = F.concat(F.lit("@@ -"), "old_start", F.lit(","), "old_lines", F.lit(" +"), "new_start", F.lit(","), "new_lines", F.lit(" @@"))
+    hunks = hunks.withColumn("header", header)
+    of_side = lambda no, other, old: diff.where(F.col("type") != other).select("path", F.lit(old).alias("deleted"), F.col(no).cast("int").alias("line"), "text")
+    texts = of_side("old_no", "add", True).unionAll(of_side("new_no", "del", False))
+    spans = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(j == 3).alias("deleted"), F.lit(j).alias("j")) for j, (a, b) in enumerate(((1, 10), (5, 350), (20, 50000), (3, 290)))])
+    made = N.table(spark, d, "supplier").select("s_suppkey", F.explode(spans).alias("x")).select((F.col("s_suppkey") * 4 + F.col("x.j")).alias("id"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("path"), "x.start", "x.end", "x.deleted")
+    edges = made.select(F.col("id").alias("src"), F.floor(F.col("id") / 9).alias("dst"), (F.col("id") % 2 == 0).alias("fuzzy"), F.when(F.col("id") % 3 == 0, F.array().cast("array<int>")).otherwise(F.array((F.col("id") % 7 * 60).cast("int"))).alias("lines"))
+    return R.symbol_context(made, made, edges, hunks, diff.select("path", "hunk", F.col("n").alias("pos"), "type", "text"), texts)
 
+
+def _w(own, other):
     return W.partitionBy(own).orderBy("fuzzy", other)
 
 
@@ -132,13 +155,29 @@ QUERIES = {
     "rp4_review_summary": review_summary,
     "rp8_overview_elements": overview_elements,
     "rp1_symbol_report": symbol_report,
+    "rp1_symbol_context": symbol_context,
     "rp3_single_file_hunks": single_file_hunks,
     "rp9_file_lookup": file_lookup,
     "sc5_many_file_diff": many_file_diff,
     "sm1_incremental_parse": incremental_parse,
 }
 
+SUPPLIER_DIFFS = """sd AS (SELECT 's' || l_suppkey AS path, row_number() OVER w AS n, type, '  p' || l_partkey AS text, count(*) FILTER (type <> 'add') OVER u AS old_no, count(*) FILTER (type <> 'del') OVER u AS new_no
+  FROM (SELECT *, CASE l_returnflag WHEN 'R' THEN 'del' WHEN 'A' THEN 'add' ELSE 'ctx' END AS type FROM lineitem)
+  WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice), u AS (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice ROWS UNBOUNDED PRECEDING)),
+hk AS (SELECT path, (n - 1) // 16 AS hunk, count(*) AS size, min(old_no) + (arg_min(type, n) = 'add')::INT AS os, count(*) FILTER (type <> 'add') AS ol, min(new_no) + (arg_min(type, n) = 'del')::INT AS ns, count(*) FILTER (type <> 'del') AS nl FROM sd GROUP BY 1, 2),
+sy AS (SELECT s_suppkey * 4 + j AS id, 's' || s_suppkey AS path, a AS start, b AS "end", j = 3 AS gone FROM supplier, (VALUES (0, 1, 10), (1, 5, 350), (2, 20, 50000), (3, 3, 290)) v(j, a, b)),
+dl AS (SELECT y.id, h.hunk, x.n, x.t FROM sy y JOIN hk h ON h.path = y.path AND CASE WHEN gone THEN os ELSE ns END <= y."end" AND CASE WHEN gone THEN os + greatest(ol, 1) - 1 ELSE ns + greatest(nl, 1) - 1 END >= y.start
+  JOIN (SELECT path, hunk, 0 AS n, '@@ -' || os || ',' || ol || ' +' || ns || ',' || nl || ' @@' AS t FROM hk UNION ALL SELECT path, (n - 1) // 16, n, CASE type WHEN 'add' THEN '+' WHEN 'del' THEN '-' ELSE ' ' END || text FROM sd) x ON x.path = h.path AND x.hunk = h.hunk),
+dk AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY hunk, n) AS k FROM dl),
+df AS (SELECT id, string_agg(t, chr(10) ORDER BY k) FILTER (k <= 400) || CASE WHEN count(*) > 400 THEN chr(10) || '... (diff truncated)' ELSE '' END AS diff FROM dk GROUP BY id),
+tx AS (SELECT path, true AS gone, old_no AS line, text FROM sd WHERE type <> 'add' UNION ALL SELECT path, false, new_no, text FROM sd WHERE type <> 'del'),
+sr AS (SELECT y.id, string_agg(lpad(line::VARCHAR, 5, ' ') || '  ' || text, chr(10) ORDER BY line) || CASE WHEN max(line) < any_value(y."end") THEN chr(10) || '... (truncated)' ELSE '' END AS source FROM sy y JOIN tx t ON t.path = y.path AND t.gone = y.gone AND line BETWEEN y.start AND least(y."end", y.start + 299) GROUP BY y.id),
+ca AS (SELECT id // 9 AS id, row_number() OVER (PARTITION BY id // 9 ORDER BY id % 2 = 0, id) AS k, path, CASE WHEN id % 3 = 0 THEN start ELSE id % 7 * 60 END AS line FROM sy WHERE id <> id // 9),
+cs AS (SELECT c.id, string_agg(c.path || ':' || c.line || ': ' || trim(text), chr(10) ORDER BY k) AS sites FROM ca c JOIN tx t ON t.path = c.path AND NOT t.gone AND t.line = c.line WHERE k <= 6 GROUP BY c.id)"""
+
 ORACLES = {
+    "rp1_symbol_context": f"WITH {SUPPLIER_DIFFS} SELECT sy.id, diff, source, sites FROM sy LEFT JOIN df ON df.id = sy.id LEFT JOIN sr ON sr.id = sy.id LEFT JOIN cs ON cs.id = sy.id",
     "sc6_file_diff": f"""WITH {N.DIFF}, r AS (SELECT n, 2 * n + k AS pos, x.text FROM (SELECT n, unnest(CASE WHEN (n - 1) % 4 = 0 THEN [0, 1] ELSE [0] END) AS k,
     unnest(CASE WHEN (n - 1) % 4 = 0 THEN ['@@ -' || ((n - 1) * 10 + l_linenumber) || ',4 +' || ((n - 1) * 11 + 1) || ' @@ s' || l_suppkey, b] ELSE [b] END) AS text
     FROM (SELECT *, CASE l_returnflag WHEN 'R' THEN '-' WHEN 'A' THEN '+' ELSE ' ' END || 'p' || l_partkey AS b FROM raw_lines WHERE path = '1') q) x)
