@@ -115,9 +115,38 @@ def review_id(base: Column, head: Column) -> Column:
     return F.concat_ws("-", F.substring(base, 1, 12), F.substring(head, 1, 12))
 
 
-def still_defined(content: Column, name: str) -> Column:
-    """Whether a text still defines a name: def, class, function, const and the like."""
-    return content.rlike(rf"(?m)^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:def|class|function|const|let|var|interface|type|enum)\s+{re.escape(name)}\b")
+_WORD = r"[\p{L}\p{N}_$]"
+# Words that may stand before a method's name; words that a declared name follows, and what may stand before those.
+_BEFORE_METHOD = "public|private|protected|static|async|readonly|override|get|set|def"
+_DECLARES = r"const|let|var|function\*?|class|def|interface|type|enum|namespace"
+_BEFORE_DECLARED = r"(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:async\s+)?"
+
+
+def defined_methods(content: Column) -> Column:
+    """Names at the start of a line, after words such as ``static`` or ``def``, that an opening bracket, ``=``, ``:`` or ``<`` follows."""
+    return F.array_distinct(F.regexp_extract_all(content, F.lit(rf"(?m)^\s*(?:(?:{_BEFORE_METHOD})\s+)*({_WORD}++)(?=\s*[(=:<])"), F.lit(1)))
+
+
+def defined_names(content: Column) -> Column:
+    """Names that a text declares, assigns at the start of a line, with or without a type, or lists in an export.
+
+    A type ends at the next ``=`` of the text, and ``==`` is none; so the text is cut at ``=`` and each piece is looked at
+    once, however many names stand in it.
+    """
+    declared = F.regexp_extract_all(content, F.lit(rf"(?m)^\s*{_BEFORE_DECLARED}(?:{_DECLARES})\s+({_WORD}++)"), F.lit(1))
+    pieces = F.split(content, "=")
+    n = F.size(pieces)
+    assigned = F.flatten(
+        F.transform(
+            F.sequence(F.lit(1), n),
+            lambda i: F.when(
+                (i < n) & ((F.try_element_at(pieces, i + 1) != "") | (i + 1 == n)),
+                F.regexp_extract_all(F.concat(F.when(i > 1, "=").otherwise(""), F.element_at(pieces, i)), F.lit(rf"(?m)^\s*({_WORD}++)(?=\s*(?::|\z))"), F.lit(1)),
+            ).otherwise(F.array().cast("array<string>")),
+        )
+    )
+    listed = F.flatten(F.transform(F.regexp_extract_all(content, F.lit(r"export\s*\{([^}]*)"), F.lit(1)), lambda x: F.regexp_extract_all(x, F.lit(f"({_WORD}+)"), F.lit(1))))
+    return F.array_distinct(F.concat(declared, assigned, listed))
 
 
 def import_line(content: Column, name: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from facetline.functions.text import defined_methods, defined_names
 from facetline.operators.resolve import STOP_NAMES, inherited_member
 
 #: Uses that are listed per symbol.
@@ -28,6 +29,19 @@ def replaced_by_nothing(deleted: DataFrame, alive: DataFrame, still: DataFrame,
     return plain.unionByName(methods.join(inherited.select("id"), "id", "left_anti"))
 
 
+def without_definition(gone: DataFrame, texts: DataFrame) -> DataFrame:
+    """The symbols of ``gone`` (path, name, owner: null unless a method) whose file (path, content) defines their name no more.
+
+    Each text is read once for all names that it defines, for methods and for the rest, and these are joined by file and name.
+    Symbols whose file is absent, empty or null stay; a file with several rows defines what any of them does.
+    """
+    held = texts.join(gone.select("path").distinct(), "path", "left_semi").where("content IS NOT NULL")
+    kinds = F.array(F.struct(F.lit(True).alias("method"), defined_methods(F.col("content")).alias("names")), F.struct(F.lit(False).alias("method"), defined_names(F.col("content")).alias("names")))
+    defined = held.select("path", F.explode(kinds).alias("k")).select("path", "k.method", F.explode("k.names").alias("name"))
+    marked = gone.withColumn("method", F.col("owner").isNotNull())
+    return marked.join(defined, ["path", "name", "method"], "left_anti").select(*gone.columns)
+
+
 def reference_uses(references: DataFrame) -> DataFrame:
     """References (use, path, family, scope, ref, line) as uses: the last part is the name, one part before it the receiver; longer ones mean nothing."""
     parts = F.split("ref", r"\.")

@@ -152,12 +152,26 @@ def deleted_still_used(spark, d):
     return G.dangling_uses(gone, uses, locals_, imports.unionAll(modules), starred, receivers)
 
 
+FORMS = ["export const alpha = memo(x)", "  alpha(a) {", "alpha: number = 3", "alpha == 3", "export { b2, alpha as x }", "static async get (x)", "alpha: x\ny == 2", "alpha: x\n  b2 = 4", "export default function* b2()", "export {\n get", "let alphabet = 1", "b2 =", "x.alpha = 1", "def get(self):", "async def b2(a):", "type alpha<T> = T"]
+
+
+def still_defined(spark, d):
+    """Deleted names that whole documents with a line of code between define no more: each of three names as a method and as none."""
+    docs = N.table(spark, d, "documents")
+    form = F.element_at(F.array(*[F.lit(x) for x in FORMS]), (F.col("doc_id") % len(FORMS) + 1).cast("int"))
+    texts = docs.select(F.col("doc_id").alias("path"), F.concat("text", F.lit("\n"), form, F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.concat(F.lit("\n"), F.col("text")))).alias("content"))
+    names = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(o).cast("long").alias("owner")) for n in ("alpha", "b2", "get") for o in (None, 1)]))
+    gone = docs.select(F.col("doc_id").alias("path"), names.alias("n")).select("path", "n.name", "n.owner")
+    return G.without_definition(gone, texts).select("path", "name", F.col("owner").isNotNull().alias("method"))
+
+
 def import_lines(spark, d):
     """Lines of whole documents that name their language, those that import first."""
     return N.table(spark, d, "documents").select("doc_id", X.import_line(F.concat(F.lit("x\n"), "text", F.lit("\nrequire z\n"), "source"), F.when(F.col("doc_id") % 3 == 0, "z").otherwise(F.col("source"))).cast("long").alias("line"))
 
 
 QUERIES = {
+    "gr9_still_defined": still_defined,
     "gr9_deleted_still_used": deleted_still_used,
     "fn_import_lines": import_lines,
     "gr11_call_targets": call_targets,
@@ -235,6 +249,10 @@ m AS (SELECT id, arg_min(now, n) FILTER (now % 3 = 0) AS b, bool_or(now % 5 = 0)
 r AS (SELECT id, CASE WHEN b IS NULL THEN 'd' || id ELSE 'd' || b || '/b' || (b % 4) END AS base, CASE WHEN b IS NULL THEN '' ELSE 'd' || b || '/' END AS up, aliased FROM m WHERE b IS NOT NULL OR aliased),
 o AS (SELECT id, CASE WHEN NOT aliased THEN [] WHEN id % 3 = 0 THEN [base || '/lib/q/i', base || '/y'] WHEN id % 3 = 1 THEN [up || 'z'] ELSE [] END AS l, base || '/' || ['@x/q', 'exact', 'other'][(id % 3 + 1)::INTEGER] AS own FROM r)
 SELECT id, unnest(range(1, len(l) + 2))::INTEGER AS k, unnest(list_append(l, own)) AS base FROM o""",
+    "gr9_still_defined": f"""WITH t AS (SELECT doc_id AS path, text || chr(10) || ([{", ".join("'" + x.replace(chr(10), "' || chr(10) || '") + "'" for x in FORMS)}])[(doc_id % {len(FORMS)} + 1)::INTEGER] || CASE WHEN doc_id % 5 = 0 THEN '' ELSE chr(10) || text END AS content FROM documents),
+g AS (SELECT path, name, method, content FROM t, (VALUES ('alpha'), ('b2'), ('get')) n(name), (VALUES (true), (false)) m(method))
+SELECT path, name, method FROM g WHERE NOT coalesce(CASE WHEN method THEN regexp_matches(content, '(?m)^\\s*(?:(?:public|private|protected|static|async|readonly|override|get|set|def)\\s+)*' || name || '\\s*[(=:<]')
+  ELSE regexp_matches(content, '(?m)^\\s*(?:export\\s+)?(?:default\\s+)?(?:declare\\s+)?(?:async\\s+)?(?:const|let|var|function\\*?|class|def|interface|type|enum|namespace)\\s+' || name || '\\b|^\\s*' || name || '\\s*(?::[^=]*)?=(?:[^=]|\\z)|export\\s*\\{{[^}}]*\\b' || name || '\\b') END, false)""",
     "fn_unquoted_paths": "SELECT page_id, 'é' || chr(9) || '\"' || url || 'é日' || '\\q' AS path, url AS plain FROM pages",
     "fn_header_paths": """SELECT page_id, CASE page_id % 3 WHEN 0 THEN url END AS old_path, CASE page_id % 3 WHEN 0 THEN url END AS new_path FROM pages WHERE page_id % 3 <> 1
 UNION ALL SELECT page_id, '"' || url, 'n ' || url FROM pages WHERE page_id % 3 = 1""",

@@ -123,6 +123,17 @@ def incremental_parse(spark, d):
     return spark.read.parquet(f"{base}/cache").select("key", "k")
 
 
+def stream_progress(spark, d):
+    """Events that come in three parts, a batch each, as the stream goes on from its checkpoint: what each batch parsed and what was known."""
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    events = N.table(spark, d, "events").select(F.col("props").alias("key"), (F.col("event_id") % 3).alias("part"))
+    for part in range(3):
+        events.where(F.col("part") == part).select("key").write.parquet(f"{base}/in/part={part}")
+        stream = spark.readStream.schema("key string, part int").parquet(f"{base}/in").select("key")
+        I.parse_new(stream, f"{base}/cache", lambda rows: rows.select("key", F.length("key").alias("n")), f"{base}/checkpoint", f"{base}/progress").awaitTermination()
+    return I.read_progress(spark, f"{base}/progress")
+
+
 def file_diff(spark, d):
     """The first six lines of one order's diff."""
     return D.file_diff(N.diff_lines(spark, d), "1", 6).select("path", F.floor(F.col("pos") / 2).alias("n"), "text")
@@ -160,6 +171,7 @@ QUERIES = {
     "rp9_file_lookup": file_lookup,
     "sc5_many_file_diff": many_file_diff,
     "sm1_incremental_parse": incremental_parse,
+    "sm2_stream_progress": stream_progress,
 }
 
 SUPPLIER_DIFFS = """sd AS (SELECT 's' || l_suppkey AS path, row_number() OVER w AS n, type, '  p' || l_partkey AS text, count(*) FILTER (type <> 'add') OVER u AS old_no, count(*) FILTER (type <> 'del') OVER u AS new_no
@@ -194,6 +206,8 @@ SELECT key, version, 'd' || f.at AS data FROM f UNION ALL SELECT p_partkey, 'v'
     "rp9_file_lookup": f"WITH {N.PATHS} SELECT id, path FROM paths WHERE path = 'src/src1_en/main.py'",
     "sc5_many_file_diff": f"WITH {N.DIFF}, h AS (SELECT DISTINCT CASE WHEN path::BIGINT % 3 = 0 THEN path ELSE 'new' || path END AS path, hunk, old_start, new_start FROM body_lines) SELECT path, 'base' AS side, old_start AS first, 4 AS count FROM h UNION ALL SELECT path, 'head', new_start, 1 FROM h",
     "sm1_incremental_parse": "SELECT DISTINCT props AS key, (props::JSON->>'k')::INTEGER AS k FROM events",
+    "sm2_stream_progress": """WITH k AS (SELECT props, min(event_id % 3) AS f FROM events GROUP BY 1), b AS (SELECT event_id % 3 AS batch, count(*) AS rows, count(DISTINCT e.props) AS keys, count(DISTINCT CASE WHEN f = event_id % 3 THEN e.props END) AS parsed FROM events e LEFT JOIN k ON k.props = e.props GROUP BY 1)
+SELECT batch, rows, keys, parsed, keys - parsed AS known, (sum(parsed) OVER (ORDER BY batch))::BIGINT AS done, (sum(rows) OVER (ORDER BY batch))::BIGINT AS total FROM b""",
     "rp1_symbol_report": f"""{N.GRAPH}, x AS (SELECT dst AS id, array_to_string(list(q ORDER BY k), '; ') AS l FROM (SELECT e.dst, s.qual || ' (' || e.kind || CASE WHEN e.fuzzy THEN ', guess' ELSE '' END || ')' AS q, row_number() OVER (PARTITION BY e.dst ORDER BY e.fuzzy, e.src) AS k FROM edges e JOIN symbols s ON s.id = e.src) a WHERE k <= 12 GROUP BY dst),
 y AS (SELECT src AS id, array_to_string(list(q ORDER BY k), '; ') AS l FROM (SELECT e.src, s.qual || ' (' || e.kind || CASE WHEN e.fuzzy THEN ', guess' ELSE '' END || ')' AS q, row_number() OVER (PARTITION BY e.src ORDER BY e.fuzzy, e.dst) AS k FROM edges e JOIN symbols s ON s.id = e.dst) a WHERE k <= 12 GROUP BY src),
 t AS (SELECT e.src AS test, e.dst AS t_to FROM edges e JOIN symbols s ON s.id = e.src WHERE s.category = 'test')
