@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from facetline.functions.text import hunk_header, unquote
+from facetline.operators.staging import materialise
 
 HEADER = r"^@@ -\d+(?:,\d+)? \+\d+(?:,\d+)? @@"
 
@@ -61,14 +62,21 @@ def file_ranges(lines: DataFrame) -> DataFrame:
 
     A header block starts at 'diff --git' and ends at the first hunk header; only there are '---' and '+++' file
     names, so body lines that look like them are not. /dev/null, quoting and trailing tabs are handled; a file has
-    the path of its new side, or of its old side if it is deleted.
+    the path of its new side, or of its old side if it is deleted. One diff may be larger than a task: only marks are sorted,
+    in ranges of positions, and counts are carried from range to range.
     """
-    order = W.partitionBy("source").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    marked = lines.withColumns({"file": F.sum(F.startswith(F.col("text"), F.lit("diff --git ")).cast("int")).over(order)}).where("file > 0")
-    in_file = W.partitionBy("source", "file").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    staged = marked.withColumn("hunks", F.sum(F.col("text").rlike(HEADER).cast("int")).over(in_file))
+    starts, header = F.startswith(F.col("text"), F.lit("diff --git ")), F.col("text").rlike(HEADER)
+    named = F.startswith(F.col("text"), F.lit("+++ ")) | F.startswith(F.col("text"), F.lit("--- "))
+    # a block is what one task holds of the sorted marks; blocks are counted first, then lines within each
+    blocks = materialise(lines.where(starts | header | named).repartitionByRange("source", "pos").select("source", "pos", "text", F.spark_partition_id().alias("block")), "diff-marks")
+    counted = blocks.groupBy("source", "block").agg(F.count_if(starts).alias("files"))
+    before = counted.select("source", "block", (F.sum("files").over(W.partitionBy("source").orderBy("block")) - F.col("files")).alias("before"))
+    running = F.count_if(starts).over(W.partitionBy("source", "block").orderBy("pos").rowsBetween(W.unboundedPreceding, 0))
+    staged = blocks.withColumn("run", running).join(before, ["source", "block"]).withColumn("file", F.col("run") + F.col("before")).where("file > 0")
+    first = staged.groupBy("source", "file").agg(F.min(F.when(header, F.col("pos"))).alias("first"))
+    heads = staged.where(named).join(first, ["source", "file"]).where("first IS NULL OR pos < first")
     name = lambda prefix: F.regexp_replace(unquote(F.regexp_replace(F.expr("substring(text, 5)"), "\t.*$", "")), f"^{prefix}/", "")
-    of_side = lambda mark, prefix: F.max(F.when((F.col("hunks") == 0) & F.startswith(F.col("text"), F.lit(mark)) & (name(prefix) != "/dev/null"), name(prefix)))
-    names = staged.groupBy("source", "file").agg(of_side("+++ ", "b").alias("new"), of_side("--- ", "a").alias("old"))
-    headers = staged.where(F.col("text").rlike(HEADER)).join(names, ["source", "file"]).select(F.coalesce("new", "old").alias("path"), "pos", "text")
+    of_side = lambda mark, prefix: F.max(F.when(F.startswith(F.col("text"), F.lit(mark)) & (name(prefix) != "/dev/null"), name(prefix)))
+    names = heads.groupBy("source", "file").agg(of_side("+++ ", "b").alias("new"), of_side("--- ", "a").alias("old"))
+    headers = staged.where(header).join(names, ["source", "file"]).select(F.coalesce("new", "old").alias("path"), "pos", "text")
     return ranges(headers)
