@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from facetline.operators.staging import measured_joins
+
 # Lines of a diff, lines of source, call sites and characters of a call's line that are shown.
 DIFF_LINES, SOURCE_LINES, CALL_SITES, SITE_LENGTH = 400, 300, 6, 200
 #: Lines per segment of the interval join.
@@ -75,5 +77,6 @@ def call_sites(symbols: DataFrame, places: DataFrame, edges: DataFrame, texts: D
 
 def symbol_context(symbols: DataFrame, places: DataFrame, edges: DataFrame, hunks: DataFrame, lines: DataFrame, texts: DataFrame) -> DataFrame:
     """(id, diff, source, sites) of every symbol, null where there is none: see the three parts. Each id is given once."""
+    measured_joins(symbols.sparkSession)
     parts = symbols.select("id").join(symbol_hunks(symbols, hunks, lines), "id", "left")
     return parts.join(symbol_source(symbols, texts), "id", "left").join(call_sites(symbols, places, edges, texts), "id", "left")
