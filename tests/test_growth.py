@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from facetline.sources import python_facts as PY
 from facetline.sources import script_facts as J
 from facetline.sources import script_tokens
 
@@ -26,3 +27,13 @@ def test_script_texts_are_dealt_and_their_tables_not_broadcast_by_estimate(spark
 def test_what_stands_before_a_mark_is_looked_at_only_there():
     for pattern, mark in ((script_tokens._PATTERN, "/"), (script_tokens._TAG, "<")):
         assert pattern.startswith(f"(?={mark})")
+
+
+def test_python_files_of_one_split_are_dealt_and_parsed_in_small_batches(spark, monkeypatch):
+    monkeypatch.setattr(PY, "TASK_CHARS", 1000)
+    monkeypatch.setattr(PY, "BATCH_FACTS", 7)
+    text = "import a.b\nclass C(Base):\n    def go(self, x: T): return self.y.z(x)\n"
+    files = spark.range(300, numPartitions=1).select(F.concat(F.lit("f"), "id", F.lit(".py")).alias("path"), F.lit(text).alias("content"))
+    found = PY.python_facts(files)
+    assert found.rdd.getNumPartitions() == -(-300 * len(text) // 1000)
+    assert found.count() == 300 * len(PY.facts_of("f.py", text))
