@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from facetline.operators import intervals as I
 from facetline.sources import python_facts as PY
 from facetline.sources import script_facts as J
 from facetline.sources import script_tokens
@@ -37,3 +38,46 @@ def test_python_files_of_one_split_are_dealt_and_parsed_in_small_batches(spark,
     found = PY.python_facts(files)
     assert found.rdd.getNumPartitions() == -(-300 * len(text) // 1000)
     assert found.count() == 300 * len(PY.facts_of("f.py", text))
+
+
+def _rows_of_joins(df) -> int:
+    """The most rows that a join of ``df`` put out."""
+    df.collect()
+    plan, found = df._jdf.queryExecution().executedPlan(), [0]
+
+    def walk(node):
+        if "Join" in node.nodeName() and node.metrics().contains("numOutputRows"):
+            found.append(node.metrics().apply("numOutputRows").value())
+        children = node.children()
+        for i in range(children.size()):
+            walk(children.apply(i))
+        for inner in ("executedPlan", "plan"):
+            if node.nodeName() in ("AdaptiveSparkPlan", "ShuffleQueryStage", "BroadcastQueryStage") and inner in dir(node):
+                walk(getattr(node, inner)())
+
+    walk(plan)
+    return max(found)
+
+
+def test_hunks_meet_the_smallest_symbols_of_their_lines_only(spark):
+    # 100 hunks begin on one line, and as many symbols are around it
+    spans = [("p", 1 + i % 3, 30 + i, f"s{i}", i) for i in range(100)] + [("p", 12, 12 + i, f"t{i}", 200 + i) for i in range(20)] + [("p", 11, 10, "none", 300), ("p", 1, 99, "<module>", 301)]
+    hunks = [("p", h, 10, h % 5) for h in range(100)] + [("q", 1000, 10, 2)]
+    found = I.hunk_symbols(spark.createDataFrame(hunks, "path string, hunk int, start int, lines int"), spark.createDataFrame(spans, "path string, start int, end int, qual string, ord int"))
+    expected = set()
+    for path, hunk, start, lines in hunks:
+        met = sorted((e - s, o, q) for p, s, e, q, o in spans if p == path and s <= start + max(lines, 1) - 1 and e >= start and e >= s and q != "<module>")
+        expected |= {(path, hunk, q, i + 1) for i, (_, _, q) in enumerate(met[:4])}
+    assert {tuple(r) for r in found.collect()} == expected
+    assert _rows_of_joins(found) < 1000
+
+
+def test_lines_of_many_equal_ranges_are_merged_once(spark, monkeypatch):
+    seen, merge = [], I.merged_ranges
+    monkeypatch.setattr(I, "merged_ranges", lambda r: seen.append(r.count()) or merge(r))
+    ranges = [("p", 1 + i % 10, 1 + i % 4) for i in range(400)]
+    spans = [("p", 2, 3, "a", 1), ("p", 5, 20, "b", 2)]
+    found = I.owner_counts(spark.createDataFrame(ranges, "path string, first int, count int"), spark.createDataFrame(spans, "path string, start int, end int, qual string, ord int"))
+    lines = {x for _, a, n in ranges for x in range(a, a + n)}
+    assert {(r.owner, r.lines) for r in found.collect()} == {("a", 2), ("b", len([x for x in lines if x >= 5])), ("<module>", len(lines & {1, 4}))}
+    assert seen == [10]
