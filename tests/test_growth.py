@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from facetline.operators import intervals as I
+from facetline.operators import report as R
 from facetline.sources import python_facts as PY
 from facetline.sources import script_facts as J
 from facetline.sources import script_tokens
@@ -81,3 +82,16 @@ def test_lines_of_many_equal_ranges_are_merged_once(spark, monkeypatch):
     lines = {x for _, a, n in ranges for x in range(a, a + n)}
     assert {(r.owner, r.lines) for r in found.collect()} == {("a", 2), ("b", len([x for x in lines if x >= 5])), ("<module>", len(lines & {1, 4}))}
     assert seen == [10]
+
+
+def test_context_of_symbols_is_not_broadcast_by_estimate(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    ids = spark.range(3)
+    spans = ids.selectExpr("id", "'p' AS path", "1 AS start", "90000 AS end", "false AS deleted")
+    hunks = ids.selectExpr("'p' AS path", "id AS hunk", "'@@' AS header", "2L AS size", "1 AS old_start", "1 AS old_lines", "1 AS new_start", "1 AS new_lines")
+    lines = ids.selectExpr("'p' AS path", "id AS hunk", "1 AS pos", "'add' AS type", "'x' AS text")
+    texts = ids.selectExpr("'p' AS path", "false AS deleted", "int(id + 1) AS line", "'x' AS text")
+    edges = ids.selectExpr("id AS src", "id % 2 AS dst", "false AS fuzzy", "array(1) AS lines")
+    found = R.symbol_context(spans, spans, edges, hunks, lines, texts)
+    assert "BroadcastHashJoin" not in _planned(found)
+    assert found.where("source = '    1  x\n    2  x\n    3  x\n... (truncated)'").count() == 3
