@@ -196,6 +196,11 @@ def elected(ballots: DataFrame, clusters: DataFrame) -> DataFrame:
     return ranked.where("rank = 1").select("id", "cluster")
 
 
+def elected_by_file(ballots: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(path, cluster) with most votes of (path, cluster, votes). A file elects once, so its symbols never meet all its clusters."""
+    return elected(ballots.select(F.col("path").alias("id"), "cluster", "votes"), clusters).withColumnRenamed("id", "path")
+
+
 def adjacency(live: DataFrame, edges: DataFrame, changed: DataFrame) -> DataFrame:
     """(a, b): reading-order links among live symbols: exact edges, and bridges through unchanged symbols."""
     exact = edges.where("NOT fuzzy")

@@ -104,7 +104,7 @@ def attached(clusters: DataFrame, live: DataFrame, changed: DataFrame, edges: Da
 
     by_file = owner.join(live.select("id", "path"), "id").groupBy("path", "cluster").agg(F.count("*").alias("votes"))
     pending = materialise(own.where("is_module").join(won, "id", "left_anti").select("id", "path"), "modules")
-    filed = materialise(P.elected(pending.join(by_file, "path").select("id", "cluster", "votes"), clusters).withColumnRenamed("cluster", "filed"), "filed")
+    filed = materialise(pending.join(P.elected_by_file(by_file, clusters), "path").select("id", F.col("cluster").alias("filed")), "filed")
     while not pending.isEmpty():
         later = materialise(pending.join(links.waiting(pending), "id", "left_semi"), "modules")
         ready = pending.join(later.select("id"), "id", "left_anti")

@@ -153,7 +153,7 @@ def file_owner_votes(spark, d):
     voted = P.votes(changes.where("kind = 'module'").select("id", F.lit(True).alias("skip_refs")), roots, edges, changes.select("id"), core).select("id").distinct()
     left = changes.where("kind = 'module'").join(voted, "id", "left_anti").select("id", "path")
     by_file = roots.join(changes.select("id", "path"), "id").groupBy("path", "cluster").agg(F.count("*").alias("votes"))
-    return P.elected(left.join(by_file, "path").select("id", "cluster", "votes"), roots)
+    return left.join(P.elected_by_file(by_file, roots), "path").select("id", "cluster")
 
 
 def risk(spark, d):
