@@ -23,17 +23,16 @@ def diff_lines(lines: DataFrame) -> DataFrame:
     What stands before the first hunk header, and '\\ No newline' marks, are skipped; lines without a mark are
     context. Numbers are running counts within the hunk.
     """
-    order = W.partitionBy("path").orderBy("pos")
-    numbered = lines.withColumn("is_header", F.col("text").rlike(HEADER)).withColumn("hunk", F.sum(F.col("is_header").cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)) - 1)
-    head = hunk_header(F.col("text"))
-    carried = numbered.where("hunk >= 0").withColumns({k: F.first(F.when(F.col("is_header"), v), ignorenulls=True).over(W.partitionBy("path", "hunk")) for k, v in head.items()})
-    body = carried.where(~F.col("is_header") & ~F.startswith(F.col("text"), F.lit("\\")))
+    # one order serves all: the header before a line is the last one so far, and counts within a hunk are counts of the file less those at its header
+    upto = W.partitionBy("path").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     mark = F.substring("text", 1, 1)
     kind = F.when(mark == "+", "add").when(mark == "-", "del").otherwise("ctx")
-    typed = body.withColumn("type", kind)
-    running = W.partitionBy("path", "hunk").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    old = F.when(F.col("type") != "add", F.col("old_start") + F.count_if(F.col("type") != "add").over(running) - 1)
-    new = F.when(F.col("type") != "del", F.col("new_start") + F.count_if(F.col("type") != "del").over(running) - 1)
+    numbered = lines.withColumn("is_header", F.col("text").rlike(HEADER)).withColumn("is_body", ~F.col("is_header") & ~F.startswith(F.col("text"), F.lit("\\")))
+    numbered = numbered.withColumn("type", kind).withColumns({"hunk": F.sum(F.col("is_header").cast("int")).over(upto) - 1, **{f"not_{x}": F.count_if(F.col("is_body") & (F.col("type") != x)).over(upto) for x in ("add", "del")}})
+    head = F.when(F.col("is_header"), F.struct(*[v.alias(k) for k, v in hunk_header(F.col("text")).items()], "not_add", "not_del"))
+    typed = numbered.withColumn("head", F.last(head, ignorenulls=True).over(upto)).where("hunk >= 0").where("is_body").withColumn("section", F.col("head.section"))
+    old = F.when(F.col("type") != "add", F.col("head.old_start") + F.col("not_add") - F.col("head.not_add") - 1)
+    new = F.when(F.col("type") != "del", F.col("head.new_start") + F.col("not_del") - F.col("head.not_del") - 1)
     content = F.when(mark.isin("+", "-", " "), F.expr("substring(text, 2)")).otherwise(F.col("text"))
     return typed.select("path", "hunk", "pos", "type", old.alias("old_no"), new.alias("new_no"), content.alias("text"), "section")
 
