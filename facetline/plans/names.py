@@ -203,7 +203,9 @@ def merge_base(spark, d):
 def commit_count(spark, d):
     """Commits of one head that the base does not have."""
     one = lambda n: N.table(spark, d, "orders").where(f"o_orderkey = {n}").select(F.col("o_orderkey").alias("id"))
-    own = T.ancestors(_parents(spark, d), one(1000)).join(T.ancestors(_parents(spark, d), one(801)).select("id"), "id", "left_anti")
+    parents = _parents(spark, d)
+    held = T.history(parents)
+    own = T.ancestors(parents, one(1000), held).join(T.ancestors(parents, one(801), held).select("id"), "id", "left_anti")
     return own.agg(F.count("*").alias("n"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from facetline.operators.staging import materialise
+from facetline.operators.staging import materialise, small_side
 
 PULL_REQUEST = "number int, title string, url string, author struct<login: string>, state string, isDraft boolean, baseRefName string, headRefName string, baseRefOid string, headRefOid string, body string, updatedAt string"
 
@@ -68,14 +68,10 @@ def default_branch(names: DataFrame, head: str | None = None) -> DataFrame:
     return known.select(F.coalesce(F.lit(head), "name").alias("name"))
 
 
-def ancestors(parents: DataFrame, start: DataFrame) -> DataFrame:
-    """(id, distance): all commits reachable from ``start`` (id) over (id, parent), with the fewest steps; the start itself at 0.
+def history(parents: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Tables of a history (id, parent) for all walks over it: jumps (id, to) of 1, 2, 4 ... commits along first parents, and other parents (id, parent).
 
-    First parents make lines down the history. Jumps of 1, 2, 4 ... commits along them are tables, so that a
-    line of any length is walked in one job; then other parents open new lines, and that repeats until no distance falls.
-    Rounds are as many as lines that a shortest way changes between, not as generations. The first parent is that of the least
-    ``position``, if there is such a column, else the smallest; distances don't depend on which one it is. A parent that has no
-    row of its own is a commit without parents. Repeated rows change nothing; the history must not lead back to itself.
+    The first parent is that of the least ``position``, if there is such a column, else the smallest.
     """
     links = parents.where("parent IS NOT NULL AND parent <> id")
     by = "position" if "position" in parents.columns else "parent"
@@ -86,14 +82,28 @@ def ancestors(parents: DataFrame, start: DataFrame) -> DataFrame:
         last = jumps[-1]
         twice = materialise(last.join(last.select(F.col("id").alias("to"), F.col("to").alias("over")), "to").select("id", F.col("over").alias("to")), "jumps")
         if twice.isEmpty():
-            break
+            return jumps, other
         jumps.append(twice)
 
+
+def ancestors(parents: DataFrame, start: DataFrame, known_history: tuple[list[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(id, distance): all commits reachable from ``start`` (id) over (id, parent), with the fewest steps; the start itself at 0.
+
+    First parents make lines down the history. Jumps of 1, 2, 4 ... commits along them are tables (``history``, given where several walks
+    share it), so that a line of any length is walked in one job for each; then other parents open new lines, and that repeats until no
+    distance falls. Rounds are as many as lines that a shortest way changes between, not as generations. Distances don't depend on which
+    parent is the first. A parent that has no row of its own is a commit without parents. Repeated rows change nothing; the history must
+    not lead back to itself.
+    """
+    jumps, other = history(parents) if known_history is None else known_history
+
     def along(known: DataFrame) -> DataFrame:
         """Distances carried down all lines: after the jump of n commits, each commit has heard of all within 2n - 1 above it."""
         for n, jump in enumerate(jumps):
-            on = known.join(jump, "id", "left").select(F.explode(F.array(F.struct("id", "distance"), F.struct(F.col("to").alias("id"), (F.col("distance") + 2**n).alias("distance")))).alias("r"))
-            known = on.where("r.id IS NOT NULL").groupBy("r.id").agg(F.min("r.distance").alias("distance"))
+            # few commits are walked of a long history, so they go to the jumps and not the jumps to them
+            known = materialise(known, "walk")
+            on = jump.join(small_side(known), "id").select(F.col("to").alias("id"), (F.col("distance") + 2**n).alias("distance"))
+            known = known.unionAll(on).groupBy("id").agg(F.min("distance").alias("distance"))
         return known
 
     seen = materialise(along(start.select("id").distinct().withColumn("distance", F.lit(0))), "commits")
@@ -111,7 +121,8 @@ def ancestors(parents: DataFrame, start: DataFrame) -> DataFrame:
 
 def merge_base(parents: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     """(id): common ancestors that are no ancestors of another common ancestor, the smallest of them."""
-    common = materialise(ancestors(parents, a).join(ancestors(parents, b).select("id"), "id", "left_semi").select("id"), "common")
+    held = history(parents)
+    common = materialise(ancestors(parents, a, held).join(ancestors(parents, b, held).select("id"), "id", "left_semi").select("id"), "common")
     inner = parents.join(common, "id", "left_semi").select(F.col("parent").alias("id"))
     return common.join(inner, "id", "left_anti").agg(F.min("id").alias("id"))
 

@@ -37,3 +37,13 @@ def test_no_history(spark):
     none = spark.createDataFrame([], "id long, parent long")
     assert [tuple(r) for r in tables.ancestors(none, spark.createDataFrame([(7,)], "id long")).collect()] == [(7, 0)]
     assert tables.ancestors(none, none.select("id")).count() == 0
+
+
+def test_two_walks_share_a_history(spark, monkeypatch):
+    written, write = [], tables.materialise
+    monkeypatch.setattr(tables, "materialise", lambda df, name, **options: written.append(name) or write(df, name, **options))
+    parents = spark.range(1, 20).selectExpr("id", "id div 2 AS parent")
+    one = lambda n: spark.createDataFrame([(n,)], "id long")
+    assert tables.merge_base(parents, one(19), one(16)).first().id == 4
+    # jumps of 2 and 4 commits, and an empty table
+    assert written.count("first-parents") == 1 and written.count("jumps") == 3
