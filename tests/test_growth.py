@@ -6,7 +6,7 @@ from facetline.operators import intervals as I
 from facetline.operators import report as R
 from facetline.sources import python_facts as PY
 from facetline.sources import script_facts as J
-from facetline.sources import script_tokens
+from facetline.sources import script_tokens, token_boxes
 
 
 def _planned(df) -> str:
@@ -96,3 +96,22 @@ def test_context_of_symbols_is_not_broadcast_by_estimate(spark):
     found = R.symbol_context(spans, spans, edges, hunks, lines, texts)
     assert "BroadcastHashJoin" not in _planned(found)
     assert found.where("source = '    1  x\n    2  x\n    3  x\n... (truncated)'").count() == 3
+
+
+def test_boxes_of_tokens_are_found_without_windows(spark, monkeypatch):
+    monkeypatch.setattr(script_tokens, "materialise", lambda df, name: df)
+    monkeypatch.setattr(token_boxes, "BATCH_TOKENS", 10)
+    text = "import { a } from './m';\nexport class C { go() { return f(a); } }\n"
+    files = spark.range(40).select(F.concat(F.lit("f"), "id", F.lit(".ts")).alias("path"), F.lit(text).alias("content"))
+    found = script_tokens.tokens(files)
+    assert "Window" not in _planned(found) and "Sort" not in _planned(found)
+    rows = found.where("path = 'f7.ts'").orderBy("k").collect()
+    opened = []
+    for r in rows:
+        while opened and r.k > opened[-1].close:
+            opened.pop()
+        assert r.box == (opened[-1].k if opened else -1)
+        if r.close is not None:
+            opened.append(r)
+    assert [r.t for r in rows if r.close is not None] == ["{", "{", "(", "{", "("]
+    assert found.count() == 40 * len(rows)
