@@ -115,3 +115,13 @@ def test_boxes_of_tokens_are_found_without_windows(spark, monkeypatch):
             opened.append(r)
     assert [r.t for r in rows if r.close is not None] == ["{", "{", "(", "{", "("]
     assert found.count() == 40 * len(rows)
+
+
+def test_statements_and_parts_are_made_where_their_files_are_read(spark, monkeypatch):
+    plans, write = {}, J.materialise
+    monkeypatch.setattr(J, "materialise", lambda df, name: plans.setdefault(name, _planned(df)) and write(df, name))
+    script = J.parse(spark.createDataFrame([("a.ts", "const a = 1, b = f(c, d);\nlet e")], "path string, content string"))
+    assert "Exchange" not in plans["statements"] + plans["parts"] and "Aggregate" not in plans["statements"] + plans["parts"]
+    assert {(r.box, r.s) for r in script.statements.collect()} == {(-1, "const a = 0 , b = f ( ;"), (-1, "let e"), (8, "c , d")}
+    assert {(r.box, r.s) for r in script.parts.collect()} == {(-1, "const a = 0"), (-1, "b = f ( ;"), (-1, "let e"), (8, "c"), (8, "d")}
+    assert "tokens" not in script.__dict__
