@@ -106,14 +106,14 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 def ancestors(parents: DataFrame) -> DataFrame:
     """(id, ancestor, depth): all containers of each (id, parent), the direct one at depth 1. A circle ends where it comes back.
 
-    Every round doubles the steps: what is known up to depth n is joined with itself.
+    Every round doubles the steps: what is known up to depth n goes on from the containers that are exactly n steps above, so that a pair
+    is met through one container between and not through all, and hubs near the root meet only what is n steps below them.
     """
-    known = materialise(parents.where("parent IS NOT NULL AND parent <> id").select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")), "ancestors")
-    n = known.count()
+    known, n = materialise(parents.where("parent IS NOT NULL AND parent <> id").select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct(), "ancestors"), 1
     while True:
-        upper = known.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("above"), F.col("depth").alias("more"))
-        further = known.join(upper, "ancestor").select("id", F.col("above").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth")).where("id <> ancestor")
-        known = materialise(known.unionAll(further).groupBy("id", "ancestor").agg(F.min("depth").alias("depth")), "ancestors")
-        before, n = n, known.count()
-        if n == before:
+        farthest = known.where(F.col("depth") == n)
+        if farthest.isEmpty():
             return known
+        upper = known.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("above"), F.col("depth").alias("more"))
+        further = farthest.join(upper, "ancestor").select("id", F.col("above").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth")).where("id <> ancestor")
+        known, n = materialise(known.unionAll(further).groupBy("id", "ancestor").agg(F.min("depth").alias("depth")), "ancestors"), 2 * n

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from facetline.operators import intervals as I
 from facetline.operators import report as R
+from facetline.operators import traversal
 from facetline.sources import python_facts as PY
 from facetline.sources import script_facts as J
 from facetline.sources import script_tokens, token_boxes
@@ -125,3 +126,20 @@ def test_statements_and_parts_are_made_where_their_files_are_read(spark, monkeyp
     assert {(r.box, r.s) for r in script.statements.collect()} == {(-1, "const a = 0 , b = f ( ;"), (-1, "let e"), (8, "c , d")}
     assert {(r.box, r.s) for r in script.parts.collect()} == {(-1, "const a = 0"), (-1, "b = f ( ;"), (-1, "let e"), (8, "c"), (8, "d")}
     assert "tokens" not in script.__dict__
+
+
+def test_containers_are_met_through_one_container_between(spark, monkeypatch):
+    seen, write = [], traversal.materialise
+    monkeypatch.setattr(traversal, "materialise", lambda df, name: seen.append(_rows_of_joins(df)) or write(df, name))
+    line = [(i, i - 1) for i in range(1, 40)] + [(0, None), (50, 20), (50, 3), (60, 61), (61, 62), (62, 60)]
+    found = traversal.ancestors(spark.createDataFrame(line, "id long, parent long"))
+    above, expected = {}, {}
+    for i, p in line:
+        above.setdefault(i, []).append(p)
+    for start in above:
+        level, depth = {start}, 0
+        while level := {p for x in level for p in above.get(x, []) if p is not None and p != start and (start, p) not in expected}:
+            depth += 1
+            expected |= {(start, p): depth for p in level}
+    assert {(r.id, r.ancestor): r.depth for r in found.collect()} == expected
+    assert found.count() == len(expected) and sum(seen) <= len(expected)
