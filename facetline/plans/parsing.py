@@ -84,19 +84,19 @@ def script_files(spark, d):
 
 
 def script_symbols(spark, d):
-    return JS.symbols(JS.parse(script_files(spark, d)))
+    return JS.symbols(JS.read(script_files(spark, d)))
 
 
 def script_imports(spark, d):
-    return JS.imports(JS.parse(script_files(spark, d)))
+    return JS.imports(JS.read(script_files(spark, d)))
 
 
 def script_exports(spark, d):
-    return JS.exports(JS.parse(script_files(spark, d))).select("path", "exported", "local")
+    return JS.exports(JS.read(script_files(spark, d))).select("path", "exported", "local")
 
 
 def script_calls(spark, d):
-    return JS.calls(JS.parse(script_files(spark, d))).drop("scope", "k")
+    return JS.calls(JS.read(script_files(spark, d))).drop("scope", "k")
 
 
 CLASS_TEXT = """/* note: don't
@@ -134,19 +134,19 @@ def class_files(spark, d):
 
 
 def script_members(spark, d):
-    return JS.symbols(JS.parse(class_files(spark, d)))
+    return JS.symbols(JS.read(class_files(spark, d)))
 
 
 def script_bases(spark, d):
-    return JS.bases(JS.parse(class_files(spark, d)))
+    return JS.bases(JS.read(class_files(spark, d)))
 
 
 def script_parameters(spark, d):
-    return JS.accessor_parameters(JS.parse(class_files(spark, d))).drop("class")
+    return JS.accessor_parameters(JS.read(class_files(spark, d))).drop("class")
 
 
 def script_static_members(spark, d):
-    return JS.static_members(JS.parse(class_files(spark, d)))
+    return JS.static_members(JS.read(class_files(spark, d)))
 
 
 def call_sites(spark, d):

@@ -1,5 +1,6 @@
 """What must not grow into the driver, one task or one group."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from facetline.operators import intervals as I
@@ -143,3 +144,26 @@ def test_containers_are_met_through_one_container_between(spark, monkeypatch):
             expected |= {(start, p): depth for p in level}
     assert {(r.id, r.ancestor): r.depth for r in found.collect()} == expected
     assert found.count() == len(expected) and sum(seen) <= len(expected)
+
+
+def test_facts_of_scripts_are_found_without_a_table_of_tokens_and_without_windows_of_boxes(spark, monkeypatch):
+    plans, write = {}, J.materialise
+    monkeypatch.setattr(J, "materialise", lambda df, name: plans.setdefault(name, _planned(df)) and write(df, name))
+    text = "import { a } from './m';\nconst r = require('./r');\nexport class C { x: T; go(p) { const q = a.b<T>(p); return q.d(x => x.y); } }\nexport default make(C)\n"
+    script = J.parse(spark.createDataFrame([("f.ts", text)], "path string, content string"))
+    chains, bound = J.chains(script), J.bound_names(script)
+    facts = [J.imports(script), J.exports(script), J.calls(script, chains), J.references(script, chains, bound), J.locals_(script, bound), J.variable_types(script)]
+    assert [f.count() for f in facts] == [2, 3, 3, 5, 3, 2]
+    assert "tokens" not in script.__dict__
+    assert plans["chains"].count("Window ") == 1 and "Window" not in plans["places"] + plans["bound-names"]
+
+
+def test_only_tables_that_a_fact_needs_are_written(spark):
+    script = J.read(spark.createDataFrame([("a.ts", "class A {}\nA.Item = b.c;\n")], "path string, content string"))
+    assert [tuple(r) for r in J.static_members(script).collect()] == [("a.ts", "A", "Item", "b.c")]
+    assert "parts" not in script.__dict__ and "symbols" not in script.__dict__
+
+
+def test_the_first_mark_after_a_token_is_looked_for_in_its_box_only():
+    where, starts = np.array([True, False, True, False, True]), np.array([0, 0, 0, 3, 3])
+    assert token_boxes._following(where, starts).tolist() == [2, 2, -1, 4, -1]
