@@ -167,3 +167,15 @@ def test_only_tables_that_a_fact_needs_are_written(spark):
 def test_the_first_mark_after_a_token_is_looked_for_in_its_box_only():
     where, starts = np.array([True, False, True, False, True]), np.array([0, 0, 0, 3, 3])
     assert token_boxes._following(where, starts).tolist() == [2, 2, -1, 4, -1]
+
+
+def test_types_are_normalised_once_from_written_rows_and_patterns_are_followed_by_few_rows(spark, monkeypatch):
+    plans, write = {}, J.materialise
+    monkeypatch.setattr(J, "materialise", lambda df, name: plans.setdefault(name, _planned(df)) and write(df, name))
+    text = "class A { f(x: T, { y: [z, { u }], v = 1 }) { const { w: [q] } = x; } }\n"
+    script = J.parse(spark.createDataFrame([("a.ts", text)], "path string, content string"))
+    assert {tuple(r) for r in J.variable_types(script).select("var", "type").collect()} == {("x", "T")}
+    assert {r.name for r in J.bound_names(script).collect()} == {"x", "z", "u", "v", "q"}
+    assert _planned(J.variable_types(script)).count("FileScan") == 1
+    # each round reads what binds a further pattern, not lines
+    assert "ts#" not in plans["patterns"] and {"bindings", "inner-patterns", "declared-types"} <= plans.keys()
